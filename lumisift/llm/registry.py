@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, simhash_dedup
+from . import chat, langid, mixing, simhash_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.op1_language_id,
+        "op2_format_chats": chat.op2_format_chats,
+        "op4_warc_round_trip": warc.op4_warc_round_trip,
         "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_format_chats": chat.OP2_SQL, "op4_warc_round_trip": warc.OP4_SQL}
