@@ -162,8 +162,9 @@ def near_links(nodes: DataFrame, radius: int) -> DataFrame:
     nodes: (node long, fp array<long>, keys array<long>), one row per node.
     """
     keyed = nodes.select("node", "fp", F.explode(F.array_distinct("keys")).alias("k"))
-    tiles = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    held = keyed.join(tiles.select("k", "tiles"), "k").withColumn("own", F.pmod(F.hash("node"), F.col("tiles")))
+    tiles = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    # Written first: a join of two tables is one that Spark can split at a hot key.
+    held = keyed.join(materialize(tiles, "simhash-tiles"), "k").withColumn("own", F.pmod(F.hash("node"), F.col("tiles")))
     # A tile meets itself and every other tile of its bucket: side 0 within, 1 and 2 across.
     meet = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(
         F.least(t, F.col("own")).alias("a"), F.greatest(t, F.col("own")).alias("b"), F.when(t == F.col("own"), 0).when(F.col("own") < t, 1).otherwise(2).alias("side")))
@@ -232,7 +233,7 @@ def components(fps: DataFrame, radius: int = 2) -> DataFrame:
     nodes = classes.filter("node is not null").select("node", F.array("fp").alias("fp"), pigeonhole_keys("fp", radius, radius + 2).alias("keys"))
     labels = smallest_reachable(near_links(nodes, radius))
     named = classes.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(materialize(named, "simhash-named"), "fp").select("doc_id", "fp", "component_id")
 
 
 # --- near-duplicates by shingle similarity, for documents of a corpus -----------------------------
