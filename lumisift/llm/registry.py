@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, simhash_dedup, substring_dedup, warc
+from . import chat, fingerprint, langid, mixing, simhash_dedup, substring_dedup, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_language_id": langid.op1_language_id,
         "op2_format_chats": chat.op2_format_chats,
         "op4_warc_round_trip": warc.op4_warc_round_trip,
+        "op5_fingerprints": fingerprint.op5_fingerprints,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
         "op10_mix_sources": mixing.op10_mix_sources,
