@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, langid, mixing, simhash_dedup, substring_dedup, warc
+from . import chat, decontaminate, fingerprint, langid, mixing, simhash_dedup, substring_dedup, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_warc_round_trip": warc.op4_warc_round_trip,
         "op5_fingerprints": fingerprint.op5_fingerprints,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
