@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprint, langid, mixing, simhash_dedup, substring_dedup, warc
+import corpus_pipeline
+
+from . import chat, decontaminate, fingerprint, langid, line_dedup, mixing, simhash_dedup, substring_dedup, warc
 
 
 def queries() -> dict:
@@ -11,10 +13,12 @@ def queries() -> dict:
         "op2_format_chats": chat.op2_format_chats,
         "op4_warc_round_trip": warc.op4_warc_round_trip,
         "op5_fingerprints": fingerprint.op5_fingerprints,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "pipeline": corpus_pipeline.run,
     }
 
 
