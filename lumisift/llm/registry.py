@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, fingerprint, langid, line_dedup, mixing, simhash_dedup, substring_dedup, warc
+from . import chat, ctw, decontaminate, fingerprint, langid, line_dedup, mixing, simhash_dedup, substring_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.op1_language_id,
         "op2_format_chats": chat.op2_format_chats,
+        "op3_ctw_scores": ctw.op3_ctw_scores,
         "op4_warc_round_trip": warc.op4_warc_round_trip,
         "op5_fingerprints": fingerprint.op5_fingerprints,
         "op6_line_dedup": line_dedup.op6_line_dedup,
