@@ -70,7 +70,10 @@ def histogram(df: DataFrame, column: str, bins: int = 30, log_x: bool = False) -
     else:
         first = low - 0.001 * (high - low)
     width = (high - low) / bins
-    at = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((F.col("v") - low) / width))).cast("int")
+    guess = F.ceil((F.col("v") - low) / width)
+    # The quotient may round across an edge; the edges themselves decide.
+    exact = F.when(F.col("v") <= low + (guess - 1) * width, guess - 1).when(F.col("v") > low + guess * width, guess + 1).otherwise(guess)
+    at = F.greatest(F.lit(1), F.least(F.lit(bins), exact)).cast("int")
     counts = v.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     edges = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     left = F.when(F.col("bin") == 1, F.lit(first)).otherwise(low + (F.col("bin") - 1) * width)
