@@ -178,7 +178,7 @@ SELECT l.candidate_id, classification, rounds, unsure_rounds, CASE WHEN unsure_r
         "new_files": """WITH l AS (SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'done' ELSE 'failed' END AS status FROM orders WHERE o_custkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate DESC, status) = 1)
 SELECT concat('f', o_orderkey) AS path FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM l WHERE status = 'done')""",
         "phase_fold": f"""WITH {_TCE}, j AS (SELECT tic_id, planet_number, value, (CAST(event_id % 1000 AS DOUBLE) - CAST(0.5 AS DOUBLE)) AS dt, orbital_period_days AS p FROM tce JOIN events ON user_id = tic_id WHERE orbital_period_days > 0)
-SELECT tic_id, planet_number, CAST(least(19, floor(CAST((CASE WHEN fmod(dt, p) < 0 THEN fmod(dt, p) + p ELSE fmod(dt, p) END) AS DOUBLE) / p * 20)) AS INT) AS phase_bin, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS stddev FROM j GROUP BY 1, 2, 3""",
+SELECT tic_id, planet_number, CAST(least(19, floor((dt / p - floor(dt / p)) * 20)) AS INT) AS phase_bin, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS stddev FROM j GROUP BY 1, 2, 3""",
         "summary_records": _flg(f"SELECT {_KEYS}, model_fit_snr AS snr, CASE WHEN any_diagnostic_flag THEN 'true' ELSE 'false' END AS flagged FROM flg WHERE NOT any_diagnostic_flag"),
     }
 

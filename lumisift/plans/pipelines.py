@@ -62,8 +62,9 @@ def phase_fold(series: DataFrame, candidates: DataFrame, bins: int = 100, *, ent
     """(candidate keys, phase_bin, n, mean, stddev): all sectors of a series folded at each candidate's period and stacked."""
     keys = [c for c in candidates.columns if c not in (period, epoch)]
     usable = candidates.filter(F.col(period) > 0)
-    phase = F.pmod(F.col(time) - F.coalesce(F.col(epoch), F.lit(0.0)), F.col(period)) / F.col(period)
-    at = F.least(F.lit(bins - 1), F.floor(phase * bins)).cast("int")
+    # Cycles since the epoch less the whole ones: a time on a whole cycle stays in the first bin despite rounding.
+    cycles = (F.col(time) - F.coalesce(F.col(epoch), F.lit(0.0))) / F.col(period)
+    at = F.least(F.lit(bins - 1), F.floor((cycles - F.floor(cycles)) * bins)).cast("int")
     folded = series.select(entity, time, value).join(usable, entity).filter(F.col(time).isNotNull() & F.col(value).isNotNull())
     return folded.groupBy(*keys, at.alias("phase_bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("stddev"))
 
