@@ -103,11 +103,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no benchmark item, with the columns of docs (a column named _key apart)."""
+    """The documents that overlap no benchmark item, with the columns of docs."""
     hits = find_overlaps(_keyed(docs.select("doc_id", "text")), benchmark.select("item_id", "text"))
     hits = materialize(hits.select(F.col("key").alias("_key")).distinct(), "contaminated")
-    own = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    return own.join(hits, "_key", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"))
+    return own.join(hits, "_key", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

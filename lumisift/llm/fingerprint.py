@@ -120,7 +120,10 @@ def edited_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _with_prints(both: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, f0, f1, e0, e1) from (doc_id, text, edited)."""
     keyed = both.withColumn("key", F.xxhash64("text"))
-    sides = keyed.select("doc_id", "key", F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("x"))
+    # Repeated rows vote once, or their terms would weigh more than those of a copy under another id.
+    again = Window.partitionBy("doc_id", "key").orderBy(F.lit(1))
+    once = keyed.withColumn("copy", F.row_number().over(again)).filter("copy = 1")
+    sides = once.select("doc_id", "key", F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("x"))
     prints = simhash(sides.select("doc_id", "key", "x.side", "x.text"), ["doc_id", "key", "side"])
     # Both sides of a row in one; the rows of doc_id are together, so this moves nothing.
     pair = prints.groupBy("doc_id", "key").agg(*[F.max(F.when(F.col("side") == side, F.col(f"f{half}"))).alias(f"{name}{half}") for side, name in ((0, "f"), (1, "e")) for half in (0, 1)])

@@ -164,4 +164,6 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accept_known(docs: DataFrame) -> DataFrame:
     """Pipeline stage: learn from all labelled rows, drop documents whose language is rejected, keep the columns."""
-    return predict(docs, fit(docs)).filter("not lang_rejected").select(*docs.columns)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    kept = predict(row, fit(docs)).filter("not lang_rejected")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

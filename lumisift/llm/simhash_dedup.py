@@ -274,17 +274,16 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     The smallest doc_id of a group stays (null ids last; then the smallest hash of the text). Repeated
     rows are one document. Documents without words are one group. All columns of docs are kept.
     """
-    cols = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"))
     marks = materialize(wide_fingerprints(keyed.select("_key", "text"), "_key").join(keyed.select("_key", "doc_id").distinct(), "_key"), "near-fps")
     classes = materialize(marks.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"), F.min("keys").alias("keys")), "near-classes")
     nodes = classes.select(F.col("first._key").alias("node"), "fp", "keys")
     labels = smallest_reachable(near_links(nodes, STAGE_RADIUS))
     grouped = classes.join(labels, classes["first._key"] == labels["node"], "left").groupBy(F.coalesce("label", F.col("first._key")).alias("label")).agg(F.min("first").alias("first"))
     kept = grouped.select(F.col("first._key").alias("_key"))
-    chosen = keyed.join(kept, "_key", "left_semi")
+    chosen = keyed.select("row", "_key").join(kept, "_key", "left_semi")
     once = Window.partitionBy("_key").orderBy(F.lit(1))
-    return chosen.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*cols)
+    return chosen.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
