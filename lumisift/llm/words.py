@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text handled at once; longer texts are cut at white space, so memory stays bounded.
@@ -135,7 +136,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.array([len(x) if x is not None else 0 for x in batch.column(column).cast(pa.binary()).to_pylist()], np.int64)
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = np.cumsum(size) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
