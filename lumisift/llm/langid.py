@@ -121,14 +121,16 @@ def decide(sizes: np.ndarray) -> tuple[int, float, float]:
     return best, score, margin
 
 
-def predict(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", settings: LangIdSettings = LangIdSettings()) -> DataFrame:
-    """All columns of docs, then lang_pred, lang_score, lang_margin, lang_rejected (any of those names in docs is replaced)."""
+def predict(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", settings: LangIdSettings = LangIdSettings(), prefix: str = "lang_") -> DataFrame:
+    """All columns of docs, then lang_pred, lang_score, lang_margin, lang_rejected (any of those names in docs is replaced; prefix gives others)."""
     names = sorted(model)
-    added = ["lang_pred", "lang_score", "lang_margin", "lang_rejected"]
+    added = [f"{prefix}{x}" for x in ("pred", "score", "margin", "rejected")]
     keep = [c for c in docs.columns if c not in added]
     shared = docs.sparkSession.sparkContext.broadcast([model[n] for n in names])  # dict_bytes for each learned language
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    out_schema = schema.add("lang_pred", "string").add("lang_score", "double").add("lang_margin", "double").add("lang_rejected", "boolean")
+    out_schema = schema
+    for name, kind in zip(added, ("string", "double", "double", "boolean"), strict=True):
+        out_schema = out_schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codecs = [Codec.of(x, settings) for x in shared.value]
@@ -164,6 +166,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accept_known(docs: DataFrame) -> DataFrame:
     """Pipeline stage: learn from all labelled rows, drop documents whose language is rejected, keep the columns."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    kept = predict(row, fit(docs)).filter("not lang_rejected")
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    prefix = "lang_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return predict(docs, fit(docs), prefix=prefix).filter(f"not `{prefix}rejected`").select(*[f"`{c}`" for c in docs.columns])
