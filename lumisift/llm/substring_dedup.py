@@ -156,8 +156,10 @@ def find_repeats(texts: DataFrame, window: int, seed_words: int) -> DataFrame:
     shown = asked.groupBy("key").agg(F.collect_list("part").alias("asked"))
     # Each window has one anchor, so every occurrence shown counts once.
     each = show_windows(texts.join(shown, "key"), window)
-    met = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w")
-    single = each.filter("open").join(met, "w", "left_semi").select("key", F.col("start").alias("low"), F.col("start").alias("high"))
+    # The join's key is not the key of the counts but its complement, so both sides are dealt out anew
+    # and Spark can split a window that very many documents show.
+    met = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.bitwise_not("w").alias("v"))
+    single = each.filter("open").withColumn("v", F.bitwise_not("w")).join(met, "v", "left_semi").select("key", F.col("start").alias("low"), F.col("start").alias("high"))
     return whole.unionByName(single).groupBy("key").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
 
 
