@@ -3,7 +3,8 @@
 A mask such as 110110010111 picks some of twelve neighbouring words and ignores the others, so a hit
 survives a substituted word wherever the mask has a zero. Each mask's picked words are hashed, test
 and training hashes are joined, and around each hit the item is laid over the document: all its words
-are compared in place, substitutions tolerated, and the overlap counts if enough of them agree.
+are compared in place, substitutions tolerated, and the overlap counts if any stretch of at least
+LEAST_WORDS words has enough equal ones, wherever the others stand in it.
 
 Only DataFrame functions are used. The words around a hit travel with it, so documents are never
 shuffled. Benchmark hashes are broadcast in blocks of a fixed size; a larger benchmark takes more
@@ -18,6 +19,9 @@ tables give an empty result; other columns are left behind.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,27 +51,52 @@ def with_seeds(words: DataFrame, masks: list[str]) -> DataFrame:
     return at.withColumn("h", F.explode(F.array(*hashes))).filter(F.col("h").isNotNull())
 
 
-def best_stretch(a: Column, b: Column, share: float) -> Column:
-    """struct<equal, words, start>: of two aligned arrays, the stretch with most equal elements over the share.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once even where body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def best_stretch(a: Column, b: Column, share: float, least: int) -> Column:
+    """array<struct<equal, words, start>>: of two aligned arrays, the stretch of at least `least` words and that share equal.
 
-    Equal elements score 1 and others cost share / (1 - share), so a stretch of positive score has a larger share.
+    The one with most equal words, then fewest words, then the first; an empty array if there is none.
+    Of the equal elements k <= l at places p, the stretch from one to the other has the share if
+    t(l) <= t(k) + den - num, with t(k) = num * p(k) - den * k and share = num / den. Only rising maxima
+    of t can begin a longest stretch and only falling minima from the right can end one.
     """
-    cost = -share / (1 - share)
-    state = "struct<i:int,run:double,same:int,since:int,score:double,equal:int,words:int,start:int>"
-    start = F.from_json(F.lit('{"i":0,"run":0.0,"same":0,"since":0,"score":0.0,"equal":0,"words":0,"start":0}'), state)
+    num, den = Fraction(str(share)).as_integer_ratio()
+    none = F.from_json(F.lit("[]"), "array<struct<i:int,t:bigint>>")
+    best = "array<struct<equal:int,words:int,start:int>>"
+
+    def records(t: Column, further: Callable[[Column, Column], Column]) -> Column:
+        top = lambda s: F.get(s, F.size(s) - 1)["t"]
+        return F.aggregate(t, none, lambda s, x: F.when((F.size(s) == 0) | further(x["t"], top(s)), F.concat(s, F.array(x))).otherwise(s))
+
+    def longest(t: Column) -> Column:
+        ends = records(F.reverse(t), lambda new, old: new < old)
+        begin = lambda r, end: F.get(F.filter(r, lambda k: k["t"] + (den - num) >= end["t"]), F.lit(0))["i"]
+        return _let(records(t, lambda new, old: new > old), lambda r: F.array_max(F.transform(ends, lambda end: end["i"] - begin(r, end) + 1)))
+
+    def place(hits: Column, p: Column, equal: Column) -> Column:
+        def at(v: Column, k: Column) -> Column:
+            words = F.greatest(F.get(p, k + equal - 1) - v + 1, F.lit(least))
+            return F.struct(words.alias("words"), F.least(v, F.size(hits) - words).alias("start"))
+
+        one = F.array_min(F.transform(F.slice(p, F.lit(1), F.size(p) - equal + 1), at))
+        return F.array(F.struct(equal.alias("equal"), one["words"].alias("words"), one["start"].alias("start")))
+
+    def search(hits: Column) -> Column:
+        places = F.filter(F.transform(hits, lambda hit, i: F.when(hit, i)), lambda i: i.isNotNull())
+        enough = -(-num * least // den)
+
+        def among(p: Column) -> Column:
+            t = F.transform(p, lambda v, i: F.struct(i.alias("i"), (v.cast("long") * num - i.cast("long") * den).alias("t")))
+            return _let(_let(t, longest), lambda equal: F.when(equal >= enough, place(hits, p, equal)))
 
-    def step(s: Column, hit: Column) -> Column:
-        fresh = s["run"] <= 0
-        run = F.when(fresh, F.lit(0.0)).otherwise(s["run"]) + F.when(hit, F.lit(1.0)).otherwise(F.lit(cost))
-        same = F.when(fresh, F.lit(0)).otherwise(s["same"]) + hit.cast("int")
-        since = F.when(fresh, s["i"]).otherwise(s["since"])
-        better = run > s["score"]
-        pick = lambda new, old: F.when(better, new).otherwise(s[old])
-        return F.struct(
-            (s["i"] + 1).alias("i"), run.alias("run"), same.alias("same"), since.alias("since"), pick(run, "score").alias("score"),
-            pick(same, "equal").alias("equal"), pick(s["i"] + 1 - since, "words").alias("words"), pick(since, "start").alias("start"))
+        return _let(places, lambda p: F.when((F.size(hits) >= least) & (F.size(p) >= enough), among(p)))
 
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x == y), start, step)
+    found = _let(F.zip_with(a, b, lambda x, y: x == y), search)
+    return F.coalesce(found, F.from_json(F.lit("[]"), best))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, masks: tuple[str, ...] = MASKS, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
@@ -92,8 +121,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, least_words: int = L
         found = hits if found is None else found.unionByName(hits)
     laid = found.distinct().alias("l").join(items.alias("i"), F.col("l.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("l.item_words") == F.size("i.words")))
     laid = laid.withColumn("under", F.slice("i.words", F.col("skip") + 1, F.size("laid")))
-    laid = laid.select("key", "doc_id", F.col("l.item_id").alias("item_id"), "item_words", "begin", best_stretch(F.col("laid"), F.col("under"), least_share).alias("b")).filter(F.col("b.words") >= least_words)
-    best = F.max(F.struct("b.equal", (-F.col("b.words")).alias("w"), (-(F.col("begin") + F.col("b.start"))).alias("s"), "item_words")).alias("b")
+    laid = laid.select("key", "doc_id", F.col("l.item_id").alias("item_id"), "item_words", "begin", F.inline(best_stretch(F.col("laid"), F.col("under"), least_share, least_words)))
+    best = F.max(F.struct("equal", (-F.col("words")).alias("w"), (-(F.col("begin") + F.col("start"))).alias("s"), "item_words")).alias("b")
     best = laid.groupBy("key", "doc_id", "item_id").agg(best)
     return best.select("key", "doc_id", "item_id", (-F.col("b.s")).alias("start"), (-F.col("b.w")).alias("words"), F.col("b.equal").alias("equal"), F.col("b.item_words").alias("item_words"))
 

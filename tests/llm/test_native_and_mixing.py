@@ -189,6 +189,32 @@ def test_overlaps(spark):
     assert overlaps(spark, docs, []) == {} and overlaps(spark, [], [(1, " ".join(item))]) == {}
 
 
+def brute_stretch(hits, least, share=0.8):
+    """(equal, words) of the qualifying stretch with most equal, then fewest words, over all lengths and placements."""
+    all_of = [(sum(hits[i:j]), i - j) for i in range(len(hits)) for j in range(i + least, len(hits) + 1) if sum(hits[i:j]) >= share * (j - i) - 1e-9]
+    return (max(all_of)[0], -max(all_of)[1]) if all_of else None
+
+
+def test_best_stretch_equals_brute_force(spark):
+    rng = random.Random(8)
+    cases = [[rng.random() < rng.choice((0.5, 0.75, 0.85, 0.95)) for _ in range(rng.randint(0, 45))] for _ in range(600)]
+    cases += [[i not in (4, 9, 14) for i in range(20)], [i != 5 for i in range(10)], [True] * 10, [False] * 12, [i % 5 != 4 for i in range(43)]]
+    rows = [(n, [0] * len(c), [0 if hit else 1 for hit in c]) for n, c in enumerate(cases)]
+    df = spark.createDataFrame(rows, "n int, a array<int>, b array<int>")
+    got = {r["n"]: r["found"] for r in df.select("n", decontaminate.best_stretch(F.col("a"), F.col("b"), 0.8, 10).alias("found")).collect()}
+    for n, hits in enumerate(cases):
+        want = brute_stretch(hits, 10)
+        assert [(f["equal"], f["words"]) for f in got[n]] == ([want] if want else []), hits
+        for f in got[n]:
+            assert f["start"] >= 0 and f["start"] + f["words"] <= len(hits) and sum(hits[f["start"] : f["start"] + f["words"]]) == f["equal"]
+
+
+def test_substitution_in_the_middle_of_a_short_passage(spark):
+    item = [f"a{i}" for i in range(13)]
+    changed = [*item[:6], "z", *item[7:]]
+    assert overlaps(spark, [(1, "x y " + " ".join(changed)), (2, "x y")], [(7, " ".join(item))]) == {(1, 7): (2, 13, 12)}
+
+
 def test_item_shorter_than_a_mask(spark):
     item = " ".join(f"a{i}" for i in range(11))
     assert overlaps(spark, [(1, f"x y {item} z"), (2, "x y z")], [(7, item)]) == {(1, 7): (2, 11, 11)}
