@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds.
 
-A mask such as 110110010111 picks some of twelve neighbouring words and ignores the others, so a hit
+A mask such as 101000111 picks some of nine neighbouring words and ignores the others, so a hit
 survives a substituted word wherever the mask has a zero. Each mask's picked words are hashed, test
 and training hashes are joined, and around each hit the item is laid over the document: all its words
 are compared in place, substitutions tolerated, and the overlap counts if any stretch of at least
@@ -10,9 +10,9 @@ Only DataFrame functions are used. The words around a hit travel with it, so doc
 shuffled. Benchmark hashes are broadcast in blocks of a fixed size; a larger benchmark takes more
 passes over the documents, not a larger broadcast.
 
-Nulls and edges: null texts are empty and match nothing; an item of fewer than LEAST_WORDS words
-can't reach the least overlap and matches nothing; one shorter than a mask is sought by the mask cut
-to its length; of several overlaps of a document and an item the one with most equal words stays;
+Nulls and edges: null texts are empty and match nothing; an item of fewer than LEAST_WORDS words, down
+to one, is found where a document holds all of it unchanged; an item without words matches nothing;
+masks longer than LEAST_WORDS are cut to it; of several overlaps of a document and an item the one with most equal words stays;
 repeated rows of documents or items give one row per (doc_id, item_id); null ids stay null; empty
 tables give an empty result; other columns are left behind.
 """
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, table
 
-#: Eight of twelve and eight of thirteen words. The masks ignore different places, so substitutions that break one can leave the other.
-MASKS = ("110110010111", "1110100110011")
+#: Five of six, nine and seven words. Every stretch that counts as an overlap, of any length and with its
+#: substitutions anywhere, holds the picked words of one of them (the tests go through all stretches).
+MASKS = ("111011", "101000111", "1111001")
 #: Benchmark hashes broadcast at once, about 40 bytes each.
 BLOCK_SEEDS = 1_000_000
 #: An overlap has at least this many words, of which this share at least is equal.
@@ -104,10 +105,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, least_words: int = L
 
     docs: (key long, doc_id, text); benchmark: (item_id, text). start is the overlap's first word in the document.
     """
-    items = materialize(benchmark.select("item_id", word_hashes("text").alias("words")).distinct().filter(F.size("words") >= least_words), "bench-items")
-    short = [r["n"] for r in items.filter(F.size("words") < max(map(len, masks))).select(F.size("words").alias("n")).distinct().collect()]
-    used = sorted({m[:n] for m in masks for n in [len(m), *short] if n <= len(m)})
-    tests = materialize(with_seeds(items.select("item_id", "words"), used).select("h", "item_id", F.col("at").alias("item_at"), F.col("n").alias("item_words")), "bench-seeds")
+    items = materialize(benchmark.select("item_id", word_hashes("text").alias("words")).filter(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).distinct(), "bench-items")
+    # Items too short for an overlap are sought whole: at most least_words - 1 lengths.
+    is_short = F.size("words") < least_words
+    short = sorted(r["n"] for r in items.filter(is_short).select(F.size("words").alias("n")).distinct().collect())
+    masks = sorted({m[:least_words] for m in masks})
+    whole = ["1" * n for n in short]
+    used = [*masks, *(m for m in whole if m not in masks)]
+    seeds = with_seeds(items.filter(~is_short).select("item_id", "words"), masks)
+    for m in whole:
+        seeds = seeds.unionByName(with_seeds(items.filter(F.size("words") == len(m)).select("item_id", "words"), [m]))
+    tests = materialize(seeds.select("h", "item_id", F.col("at").alias("item_at"), F.col("n").alias("item_words")), "bench-seeds")
     blocks = -(-max(1, tests.count()) // block_seeds)
     words = docs.select("key", "doc_id", word_hashes("text").alias("words"))
     found = None
@@ -121,7 +129,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, least_words: int = L
         found = hits if found is None else found.unionByName(hits)
     laid = found.distinct().alias("l").join(items.alias("i"), F.col("l.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("l.item_words") == F.size("i.words")))
     laid = laid.withColumn("under", F.slice("i.words", F.col("skip") + 1, F.size("laid")))
-    laid = laid.select("key", "doc_id", F.col("l.item_id").alias("item_id"), "item_words", "begin", F.inline(best_stretch(F.col("laid"), F.col("under"), least_share, least_words)))
+    entire = F.array(F.struct(F.col("item_words").alias("equal"), F.col("item_words").alias("words"), F.lit(0).alias("start")))
+    equal = F.when(F.col("laid") == F.col("i.words"), entire)
+    stretch = F.when(F.col("item_words") < least_words, equal).otherwise(best_stretch(F.col("laid"), F.col("under"), least_share, least_words))
+    laid = laid.select("key", "doc_id", F.col("l.item_id").alias("item_id"), "item_words", "begin", F.inline(stretch))
     best = F.max(F.struct("equal", (-F.col("words")).alias("w"), (-(F.col("begin") + F.col("start"))).alias("s"), "item_words")).alias("b")
     best = laid.groupBy("key", "doc_id", "item_id").agg(best)
     return best.select("key", "doc_id", "item_id", (-F.col("b.s")).alias("start"), (-F.col("b.w")).alias("words"), F.col("b.equal").alias("equal"), F.col("b.item_words").alias("item_words"))

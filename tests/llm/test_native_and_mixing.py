@@ -215,6 +215,53 @@ def test_substitution_in_the_middle_of_a_short_passage(spark):
     assert overlaps(spark, [(1, "x y " + " ".join(changed)), (2, "x y")], [(7, " ".join(item))]) == {(1, 7): (2, 13, 12)}
 
 
+def test_every_overlap_holds_a_seed():
+    """Walk all texts that hold no mask: none has ten words or more, four fifths of them equal, at any length.
+
+    A state is the last ten words (1 equal, 0 other); an equal word adds 1 and another takes 4, so a
+    stretch with the share has no negative sum. The best sums settle below zero and repeat, lower, five words later.
+    """
+    span = 10
+    assert max(map(len, decontaminate.MASKS)) <= span
+    masks = [int(m, 2) for m in decontaminate.MASKS]
+    best, sums = {0: 0}, []
+    for _ in range(60):
+        after = {}
+        for state, total in best.items():
+            for bit in (0, 1):
+                to = (state << 1 | bit) & (1 << span) - 1
+                if not any(to & m == m for m in masks):
+                    after[to] = max(after.get(to, -(10**9)), total + (1 if bit else -4))
+        best = after
+        sums.append(dict(best))
+    assert all(max(s.values()) < 0 for s in sums[9:])
+    # No state gains over a period of five words: no longer text can reach zero either.
+    assert all(total <= sums[-6][state] for state, total in sums[-1].items())
+
+
+def test_sparse_seeds_and_whole_short_items(spark):
+    item = [f"a{i}" for i in range(40)]
+    fifth = [w if i % 5 != 4 else f"z{i}" for i, w in enumerate(item)]
+    texts = ["x y " + " ".join(item[12:22]) + " x y", " ".join(fifth), "x " + " ".join(item[3:6] + ["z", "z"] + item[8:13]) + " y", "x Short exact Item y", "short item exact", "only"]
+    got = overlaps(spark, list(enumerate(texts)), [(1, " ".join(item)), (2, "short exact item"), (3, "  "), (4, "only"), (5, None)])
+    assert got == {(0, 1): (2, 10, 10), (1, 1): (0, 39, 32), (2, 1): (1, 10, 8), (3, 2): (1, 3, 3), (5, 4): (0, 1, 1)}
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(9)
+    items, docs, want = [], [], {}
+    for n in range(150):
+        item = [f"i{n}w{k}" for k in range(rng.randint(10, 24))]
+        text = [w if rng.random() < 0.8 else "z" for w in item]
+        items.append((n, " ".join(item)))
+        docs.append((n, " ".join(["x"] * rng.randint(0, 4) + text + ["y"])))
+        found = brute_stretch([a == b for a, b in zip(item, text, strict=True)], 10)
+        if found:
+            want[n, n] = found
+    got = overlaps(spark, docs, items)
+    assert {k: (v[2], v[1]) for k, v in got.items()} == want and len(want) > 50
+
+
 def test_item_shorter_than_a_mask(spark):
     item = " ".join(f"a{i}" for i in range(11))
     assert overlaps(spark, [(1, f"x y {item} z"), (2, "x y z")], [(7, item)]) == {(1, 7): (2, 11, 11)}
