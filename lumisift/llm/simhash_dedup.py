@@ -244,7 +244,7 @@ STAGE_SHINGLE, STAGE_WORDS, STAGE_RADIUS, STAGE_KEYS = 5, 4, 48, 6
 
 
 def wide_fingerprints(docs: DataFrame, key_col: str, text_col: str = "text") -> DataFrame:
-    """(key, fp array<long>, keys array<long>): 256-bit SimHash and six min-hashes of five-word shingles."""
+    """(key, fp array<long>, keys array<long>): 256-bit SimHash and six min-hashes of the distinct five-word shingles."""
     kind = docs.schema[key_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +255,12 @@ def wide_fingerprints(docs: DataFrame, key_col: str, text_col: str = "text") ->
             first = np.repeat(starts[:-1] - W.doc_starts(counts)[:-1], counts) + np.arange(counts.sum())
             last = np.minimum(first + STAGE_SHINGLE, np.repeat(starts[1:], counts))
             shingles = W.span(sums, first, last)
+            # Similarity is one of sets: a shingle votes once, however often its document repeats it.
+            owner = np.repeat(np.arange(len(n)), counts)
+            order = np.lexsort((shingles, owner))
+            shingles, owner = shingles[order], owner[order]
+            new = np.concatenate(([True], (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])))[: len(shingles)]
+            shingles, counts = shingles[new], np.bincount(owner[new], minlength=len(n))
             fp = np.stack([majority_bits(W.mix(shingles + W.U(0xA24BAED4963EE407 * (i + 1) & (1 << 64) - 1)), counts) for i in range(STAGE_WORDS)], axis=1)
             keys = np.zeros((len(n), STAGE_KEYS), np.uint64)
             some = np.flatnonzero(counts)

@@ -397,6 +397,17 @@ def test_near_duplicates_by_similarity(spark):
     assert simhash_dedup.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_repeated_passage_votes_once(spark):
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    own = lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(150))
+    rows = [(i, " ".join([passage] * 20) + " " + own()) for i in range(12)]  # a Jaccard similarity of 0.17
+    same = own()
+    rows += [(20, same), (21, same + " " + same)]  # 146 shingles of 150
+    kept = simhash_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(12), 20]
+
+
 # --- pipeline -----------------------------------------------------------------------------------------
 
 
