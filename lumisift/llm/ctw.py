@@ -5,16 +5,18 @@ Each byte is eight binary decisions, and each decision of each context of up to
 with two counts. The Krichevsky-Trofimov estimate of a node's counts is mixed, half and half, with the
 product over its longer contexts, from the deepest contexts down to none; these weights then blend the
 estimates of all depths along a context into one probability per decision. A decision uses the contexts
-that have data, up to the longest.
+that have data, up to the longest. Every node of the training texts counts, however rare: the model
+grows with the corpus, so it is a table and never a worker's.
 
-Counting runs over all training texts: each task counts its byte runs, Spark sums them, derives the
-nodes of every depth, and weighs them level by level with joins. Of the nodes of one depth and one
-bit position, those kept hold at least one `width`-th of all bytes, so at most `width` are kept: the
-model has at most 8 * width * (depth + 1) nodes whatever the corpus. What is not kept weighs in as one
-more context of its parent.
+1. Documents are dealt into groups of bounded size; each task lists the distinct byte runs and words of
+   its groups with their training counts, and Spark sums them over all groups.
+2. Runs that share their `_LOW` nearest context bytes go to one bucket. There the long contexts are
+   weighed; their sums per short context go back to Spark, which weighs the few levels below with joins.
+   A second pass over the buckets gives the log probability of every distinct run.
+3. Each group's runs and words are joined with what they are worth and written by group, and the task
+   that scores a group reads what that group needs.
 
-The base score is a unigram model of words. Words that make up at least one `width`-th of the tokens
-(at most `width` words) are looked up in tasks, all others by a join.
+The base score is a unigram model of words, which are counted and looked up the same way.
 
 Nulls and edges: null text is empty and has one token, its end; a null doc_id is neither learned from
 nor held out; without training rows every decision has probability one half and every word is unknown;
@@ -32,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,16 +43,22 @@ from .langid import fold
 from .shared import fresh_path, materialize, table
 
 #: Bytes of text whose runs are laid out at once (arrays over them take about a hundred times as much),
-#: and bytes whose distinct runs are put together before they are counted or looked up.
-_BATCH, _GROUP = 1 << 19, 4 << 20
+#: and bytes of text (or one text, if that is longer) in a group.
+_BATCH, _GROUP = 1 << 19, 32 << 20
+#: Contexts of this many bytes and more are weighed in tasks, shorter ones by Spark; runs that share them
+#: are at most 2**24 (two older bytes and the byte itself), so a bucket's size has a bound.
+_LOW = 3
+#: Distinct runs in a bucket.
+_BUCKET = 1 << 17
+#: What a row of counts is about.
+_RUN, _WORD, _TEXT = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class CtwSettings:
-    """depth: bytes of the longest context (5 at most); width: least share of a kept node is 1 / width."""
+    """depth: bytes of the longest context, 1 to 5."""
 
     depth: int = 5
-    width: int = 1 << 20
 
 
 def stream(text: bytes) -> bytes:
@@ -64,13 +73,15 @@ def byte_runs(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(b"".join([pad + s for s in streams]), np.uint8)
     n = np.array([len(s) for s in streams], np.int64)
     # Runs of 1, 2, 4, ... bytes, put together to depth + 1.
-    part, wide = buf.astype(np.uint64), 1
-    out, have = np.zeros(len(buf) + 1, np.uint64), 0
-    while have < depth + 1:
+    part, wide = buf.astype(np.int64), 1
+    out, have = np.zeros(len(buf) + 1, np.int64), 0
+    while True:
         if (depth + 1) & wide:
-            out = (out[: len(out) - wide] << W.U(8 * wide)) | part[have : have + len(out) - wide]
+            out = (out[: len(out) - wide] << (8 * wide)) | part[have : have + len(out) - wide]
             have += wide
-        part = (part[: len(part) - wide] << W.U(8 * wide)) | part[wide:]
+        if have == depth + 1:
+            break
+        part = (part[: len(part) - wide] << (8 * wide)) | part[wide:]
         wide *= 2
     keep = np.ones(len(out), bool)
     ends = np.cumsum(n + depth)[:-1] - depth
@@ -89,223 +100,315 @@ def add_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys[first], np.add.reduceat(counts[order], first)
 
 
-def count_training(docs: DataFrame, settings: CtwSettings) -> DataFrame:
-    """(kind, key, n): how often each byte run (kind 0), word hash (1) and text (2, key 0) occurs in a column text."""
+def deal(docs: DataFrame) -> DataFrame:
+    """docs with their text as bytes and the number `g` of a group: neighbouring rows of about _GROUP bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in W.small_batches(batches, "text", _GROUP):
-            parts = [np.unique(byte_runs(W.as_bytes(part.column("text")), settings.depth)[0], return_counts=True) for part in W.small_batches(iter([group]), "text", _BATCH)]
-            runs, n_runs = add_counts(*map(np.concatenate, zip(*parts, strict=True)))
-            words, n_words = np.unique(W.word_hashes([t.lower() for t in W.as_bytes(group.column("text"))])[0], return_counts=True)
-            kinds = np.concatenate((np.zeros(len(runs), np.int8), np.ones(len(words), np.int8), np.full(1, 2, np.int8)))
-            keys = np.concatenate((runs, words, np.zeros(1, np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys), pa.array(np.concatenate((n_runs, n_words, [group.num_rows])).astype(np.int64))], names=["kind", "key", "n"])
+        first, size = TaskContext.get().partitionId() << 32, 0
+        for batch in W.small_batches(batches, "text", _GROUP):
+            n = batch.column("text").nbytes
+            if size and size + n > _GROUP:
+                first, size = first + 1, 0
+            size += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, first))], names=[*batch.schema.names, "g"])
+
+    rows = docs.select("doc_id", "held_out", "learn", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, learn boolean, text binary, g long")
+
+
+class _Tally:
+    """Counts by key of many parts, put together whenever the parts outgrow what is together already."""
+
+    def __init__(self) -> None:
+        self.keys = self.counts = np.zeros(0, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.waiting += len(keys)
+        if self.waiting > max(1 << 21, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.parts:
+            self.keys, self.counts = add_counts(*map(np.concatenate, zip((self.keys, self.counts), *self.parts, strict=True)))
+            self.parts, self.waiting = [], 0
+        return self.keys, self.counts
+
 
-    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "kind byte, key long, n long")
-    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+def count_groups(dealt: DataFrame, depth: int) -> DataFrame:
+    """(g, kind, key, n): each distinct byte run (kind 0) and word hash (1) of a group, and texts (2, key 0), with its number in texts to learn from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, runs, words, n_texts = None, _Tally(), _Tally(), 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for kind, (keys, n) in ((_RUN, runs.merge()), (_WORD, words.merge()), (_TEXT, (np.zeros(1, np.int64), np.array([n_texts])))):
+                for i in range(0, len(keys), 1 << 16):
+                    part = keys[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), group)), pa.array(np.full(len(part), kind, np.int8)), pa.array(part), pa.array(n[i : i + (1 << 16)])], names=["g", "kind", "key", "n"])
+
+        for batch in W.small_batches(batches, "text", _BATCH):
+            texts, learn, of = W.as_bytes(batch.column("text")), batch.column("learn").to_pylist(), batch.column("g").to_numpy()
+            for g in dict.fromkeys(of.tolist()):
+                if g != group:
+                    if group is not None:
+                        yield from out()
+                    group, runs, words, n_texts = g, _Tally(), _Tally(), 0
+                for wanted in (True, False):
+                    some = [t for t, own, x in zip(texts, of, learn, strict=True) if own == g and bool(x) is wanted]
+                    if some:
+                        n_texts += len(some) if wanted else 0
+                        for tally, keys in ((runs, byte_runs(some, depth)[0]), (words, W.word_hashes([t.lower() for t in some])[0].view(np.int64))):
+                            keys, n = np.unique(keys, return_counts=True)
+                            tally.add(keys, n.astype(np.int64) if wanted else np.zeros(len(keys), np.int64))
+        if group is not None:
+            yield from out()
+
+    return dealt.select("g", "learn", "text").mapInArrow(run, "g long, kind byte, key long, n long")
+
+
+# --- nodes ------------------------------------------------------------------------------------------
+# A node's key is its context << 8 | 1 << i | the i bits so far of the byte.
+
+
+def _stirling(x: np.ndarray) -> np.ndarray:
+    """Log of the gamma function: Stirling's series six above the argument, brought down by the recurrence."""
+    y = x + 6.0
+    below = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(below)
+
+
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of counts."""
+    return _stirling(zeros + 0.5) + _stirling(ones + 0.5) - math.log(math.pi) - _stirling(zeros + ones + 1.0)
 
 
 def _log_gamma(x: Column) -> Column:
-    """Stirling's series six above the argument, brought down by the recurrence."""
+    """_stirling for a column."""
     x = x.cast("double")
     y = x + 6
     below = reduce(lambda p, i: p * (x + i), range(1, 6), x)
     return (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(below)
 
 
-def log_kt(zeros: Column, ones: Column) -> Column:
-    """Log of the Krichevsky-Trofimov probability of counts."""
+def log_kt_column(zeros: Column, ones: Column) -> Column:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - F.lit(math.log(math.pi)) - _log_gamma(zeros + ones + 1)
 
 
+class Level:
+    """The nodes of one depth over runs (ascending, distinct) of depth + 1 bytes: keys in ascending order, and their counts of zeros and ones."""
+
+    def __init__(self, runs: np.ndarray, n: np.ndarray, depth: int) -> None:
+        keys, zeros, ones, at = [], [], [], []
+        for i in range(8):
+            so_far = runs >> (8 - i)
+            first = np.concatenate(([True], so_far[1:] != so_far[:-1]))
+            place = np.flatnonzero(first)
+            bit = (runs >> (7 - i)) & 1
+            zeros.append(np.add.reduceat(n * (1 - bit), place))
+            ones.append(np.add.reduceat(n * bit, place))
+            so_far = so_far[place]
+            keys.append(((so_far >> i) << 8) | (1 << i) | (so_far & ((1 << i) - 1)))
+            at.append((np.cumsum(first) - 1 + sum(map(len, keys[:-1])), bit))
+        order = np.argsort(np.concatenate(keys))
+        self.depth, self.keys = depth, np.concatenate(keys)[order]
+        self.zeros, self.ones = (np.concatenate(x)[order].astype(np.float64) for x in (zeros, ones))
+        self._rank = np.empty(len(order), np.int64)
+        self._rank[order] = np.arange(len(order))
+        self._at = at
+
+    def node_of(self, i: int) -> np.ndarray:
+        """For each run, the node that decides bit i of its last byte."""
+        return self._rank[self._at[i][0]]
+
+    def bits(self, i: int) -> np.ndarray:
+        return self._at[i][1]
+
+    def parents(self) -> np.ndarray:
+        """Keys of the nodes without the oldest byte of their contexts."""
+        return ((self.keys >> 8 & ((1 << 8 * (self.depth - 1)) - 1)) << 8) | (self.keys & 255)
+
+
+def levels_of(runs: np.ndarray, n: np.ndarray, top: int, low: int) -> list[Level]:
+    """The levels top, top - 1, ..., low of runs of top + 1 bytes."""
+    out = []
+    for depth in range(top, low - 1, -1):
+        runs, n = add_counts(runs & ((1 << 8 * (depth + 1)) - 1), n)
+        out.append(Level(runs, n, depth))
+    return out
+
+
+def weigh(levels: list[Level]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each level from the deepest, the log weights of its nodes and the share of a node's own estimate in its weight."""
+    weights, shares = [], []
+    for i, level in enumerate(levels):
+        own = log_kt(level.zeros, level.ones)
+        if i == 0:
+            weights.append(own)
+            shares.append(np.ones(len(own)))
+            continue
+        longer = np.bincount(np.searchsorted(level.keys, levels[i - 1].parents()), weights=weights[-1], minlength=len(own))
+        both = np.logaddexp(own, longer) - math.log(2)
+        weights.append(both)
+        shares.append(0.5 * np.exp(own - both))
+    return weights, shares
+
+
+def run_logs(levels: list[Level], shares: list[np.ndarray], above: dict[str, np.ndarray]) -> np.ndarray:
+    """log10 of the probability of the last byte of each run of the deepest level.
+
+    above: for each node of the last (shallowest) level, what its shorter contexts settled: `s0` and
+    `s1`, the blended probability of a zero and a one so far; `left`, the weight still open; and `p0`
+    and `p1`, the blend that ends there.
+    """
+    s0, s1, left, p0, p1 = (above[x] for x in ("s0", "s1", "left", "p0", "p1"))
+    for i in range(len(levels) - 1, -1, -1):
+        level, share = levels[i], shares[i]
+        if i < len(levels) - 1:
+            up = np.searchsorted(levels[i + 1].keys, level.parents())
+            s0, s1, left, p0, p1 = s0[up], s1[up], left[up], p0[up], p1[up]
+        total = level.zeros + level.ones
+        # Both are sums of positive terms, so neither gets lost beside a probability near one.
+        zero, one = (level.zeros + 0.5) / (total + 1), (level.ones + 0.5) / (total + 1)
+        some = total > 0
+        p0, p1 = np.where(some, s0 + left * zero, p0), np.where(some, s1 + left * one, p1)
+        s0, s1, left = s0 + left * share * zero, s1 + left * share * one, left * (1 - share)
+    logs = np.log10(np.stack((p0, p1), axis=1)).reshape(-1)
+    runs = levels[0]
+    return sum(logs[2 * runs.node_of(i) + runs.bits(i)] for i in range(8))
+
+
+def _bucket(context: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(context), F.lit(buckets)).cast("int").alias("bucket")
+
+
 def _parent(depth: int) -> Column:
-    """A node's key without the oldest byte of its context of `depth` bytes: keys are context << 8 | bits so far."""
     return F.shiftleft(F.shiftrightunsigned("node", 8).bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1)), 8).bitwiseOR(F.col("node").bitwiseAND(F.lit(255)))
 
 
-def fit(runs: DataFrame, total: int, settings: CtwSettings) -> str:
-    """Weigh the tree of byte-run counts (key, n); returns the folder of its nodes (depth, node, q), q the probability of a one."""
-    spark, top = runs.sparkSession, settings.depth
-    byte = F.col("key").bitwiseAND(F.lit(255))
-    context = F.shiftright("key", 8)
-    decisions = F.array(*[F.struct(
-        F.shiftleft(context, 8).bitwiseOR(F.lit(1 << i).bitwiseOR(F.shiftright(byte, 8 - i))).alias("node"),
-        F.shiftright(byte, 7 - i).bitwiseAND(F.lit(1)).alias("bit")) for i in range(8)])
-    split = runs.select(F.explode(decisions).alias("d"), "n").select("d.node", "d.bit", "n")
-    level = split.groupBy("node").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("a"), F.sum(F.col("n") * F.col("bit")).alias("b"))
-    levels = {top: materialize(level, "ctw-counts")}
-    for depth in range(top, 0, -1):
-        up = levels[depth].groupBy(_parent(depth).alias("node")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        levels[depth - 1] = materialize(up, "ctw-counts")
-    least = -(-total // settings.width)
-    kept = {depth: x.filter(F.col("a") + F.col("b") >= least) for depth, x in levels.items()}
-    # Bottom up: log weight of every kept node, and the share of its own estimate in it.
-    own = log_kt(F.col("a"), F.col("b"))
-    weighed = {top: materialize(kept[top].select("node", "a", "b", own.alias("lw"), F.lit(1.0).alias("alpha")), "ctw-weights")}
-    for depth in range(top - 1, -1, -1):
-        longer = weighed[depth + 1].groupBy(_parent(depth + 1).alias("p")).agg(F.sum("lw").alias("clw"), F.sum("a").alias("ca"), F.sum("b").alias("cb"))
-        at = kept[depth].join(longer, F.col("node") == F.col("p"), "left").withColumn("pe", own)
-        at = at.withColumn("pc", F.col("clw") + log_kt(F.col("a") - F.col("ca"), F.col("b") - F.col("cb")))
-        most = F.greatest("pe", "pc")
-        both = most + F.log(0.5 * F.exp(F.col("pe") - most) + 0.5 * F.exp(F.col("pc") - most))
-        at = at.withColumn("lw", F.when(F.col("p").isNull(), F.col("pe")).otherwise(both))
-        alpha = F.when(F.col("p").isNull(), F.lit(1.0)).otherwise(0.5 * F.exp(F.col("pe") - F.col("lw")))
-        weighed[depth] = materialize(at.select("node", "a", "b", "lw", alpha.alias("alpha")), "ctw-weights")
-    # Top down: the blend along each context. sure: the part settled above; left: the weight still open.
-    folder = fresh_path(spark, "ctw-model")
-    kt = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)
-    above = None
-    for depth in range(top + 1):
+def _blends(lowest: DataFrame, low: int) -> DataFrame:
+    """(node, s0, s1, left, p0, p1) for the nodes (node, a, b, lw) of depth `low`: what shorter contexts settle."""
+    a, b = F.col("a"), F.col("b")
+    weighed = {low: lowest}
+    for depth in range(low - 1, -1, -1):
+        up = weighed[depth + 1].groupBy(_parent(depth + 1).alias("node")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("lw").alias("longer"))
+        own = log_kt_column(a, b)
+        most = F.greatest("own", "longer")
+        up = up.withColumn("own", own).withColumn("lw", most + F.log(0.5 * F.exp(F.col("own") - most) + 0.5 * F.exp(F.col("longer") - most)))
+        weighed[depth] = materialize(up.select("node", "a", "b", "lw", (0.5 * F.exp(F.col("own") - F.col("lw"))).alias("share")), "ctw-weights")
+    root = {"s0": F.lit(0.0), "s1": F.lit(0.0), "left": F.lit(1.0), "p0": F.lit(0.5), "p1": F.lit(0.5)}
+    settled = None
+    for depth in range(low):
         at = weighed[depth]
-        if above is None:
-            at = at.withColumns({"sure": F.lit(0.0), "left": F.lit(1.0)})
-        else:
-            at = at.withColumn("up", _parent(depth)).join(above, "up")
-        at = at.select("node", (F.col("sure") + F.col("left") * kt).alias("q"), (F.col("sure") + F.col("left") * F.col("alpha") * kt).alias("sure"), (F.col("left") * (1 - F.col("alpha"))).alias("left"))
-        at = materialize(at, "ctw-blend")
-        at.select(F.lit(depth).alias("depth"), "node", F.col("q").cast("float").alias("q")).write.mode("append").parquet(folder)
-        above = at.select(F.col("node").alias("up"), "sure", "left")
-    return folder
+        at = at.withColumns(root) if settled is None else at.withColumn("up", _parent(depth)).join(settled, "up")
+        zero, one, some, left = (a + 0.5) / (a + b + 1), (b + 0.5) / (a + b + 1), a + b > 0, F.col("left")
+        settled = materialize(at.select(
+            F.col("node").alias("up"), (F.col("s0") + left * F.col("share") * zero).alias("s0"), (F.col("s1") + left * F.col("share") * one).alias("s1"), (left * (1 - F.col("share"))).alias("left"),
+            F.when(some, F.col("s0") + left * zero).otherwise(F.col("p0")).alias("p0"), F.when(some, F.col("s1") + left * one).otherwise(F.col("p1")).alias("p1")), "ctw-blend")
+    return lowest.select("node", _parent(low).alias("up")).join(settled, "up").drop("up")
 
 
-class Nodes:
-    """The nodes of one depth in ascending order, with log10 of the probabilities of zero and one.
+def run_log_table(runs: DataFrame, settings: CtwSettings) -> DataFrame:
+    """(key, v): log10 of the probability of each run, from (key, n), the distinct runs and their training counts."""
+    top, low = settings.depth, min(_LOW, settings.depth)
+    buckets = max(1, -(-runs.count() // _BUCKET))
+    low_context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * low) - 1))
+    dealt = materialize(runs.select("key", "n", _bucket(low_context, buckets)).repartition("bucket"), "ctw-runs")
 
-    Runs are looked up in ascending order too, so neighbours are found near each other in memory.
-    """
+    def tree(part: pa.Table) -> tuple[np.ndarray, list[Level], list[np.ndarray], list[np.ndarray]]:
+        keys, n = add_counts(part.column("key").to_numpy(), part.column("n").to_numpy())
+        levels = levels_of(keys, n, top, low)
+        return keys, levels, *weigh(levels)
 
-    def __init__(self, node: np.ndarray, q: np.ndarray) -> None:
-        order = np.argsort(node)
-        self.keys, q = node[order], q[order].astype(np.float64)
-        self.logs = np.stack((np.log10(1.0 - q), np.log10(q)), axis=1).astype(np.float32)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each key, -1 where there is none."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
-
-
-_loaded: dict[str, list[Nodes]] = {}
-_common: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _read(folder: str, columns: list[str]) -> pa.Table:
-    store, root = fs.FileSystem.from_uri(folder)
-    return ds.dataset(root, filesystem=store, format="parquet").to_table(columns=columns)
-
-
-def load_model(folder: str, top: int) -> list[Nodes]:
-    """A Python worker reads a model once."""
-    if folder not in _loaded:
-        _loaded.clear()
-        got = _read(folder, ["depth", "node", "q"])
-        depth, node, q = (got.column(c).to_numpy() for c in ("depth", "node", "q"))
-        _loaded[folder] = [Nodes(node[depth == d], q[depth == d]) for d in range(top + 1)]
-    return _loaded[folder]
-
-
-def load_common(folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the common words and log10 of their counts plus 0.1."""
-    if folder not in _common:
-        _common.clear()
-        got = _read(folder, ["key", "n"])
-        keys, n = got.column("key").to_numpy(), got.column("n").to_numpy()
-        order = np.argsort(keys)
-        _common[folder] = keys[order], np.log10(n[order] + 0.1)
-    return _common[folder]
-
-
-def log_probabilities(runs: np.ndarray, model: list[Nodes]) -> np.ndarray:
-    """log10 of the probability of the last byte of each run after the bytes before it; runs ascend."""
-    runs = runs.view(np.int64)
-    out = np.zeros(len(runs))
-    level = np.full(len(runs), len(model) - 1, np.int8)
-    for i in range(8):
-        # Runs that share context and bits so far are neighbours and share the decision. A node is
-        # kept only if the one a bit before is, so the search goes on at the depth last found.
-        shared = runs >> (8 - i)
-        new = np.concatenate(([True], shared[1:] != shared[:-1]))[: len(runs)]
-        shared, depth = shared[new], level[new]
-        node = ((shared >> i) << 8) | (1 << i) | (shared & ((1 << i) - 1))
-        logs = np.full((len(shared), 2), np.log10(0.5), np.float32)
-        at = np.arange(len(shared))
-        for d in range(len(model) - 1, -1, -1):
-            here = at[depth[at] == d]
-            if len(here):
-                found = model[d].find(node[here] & ((1 << 8 * (d + 1)) - 1))
-                hit = found >= 0
-                logs[here[hit]] = model[d].logs[found[hit]]
-                depth[here[~hit]] = d - 1
-        which = np.cumsum(new) - 1
-        level = depth[which]
-        out += logs.reshape(-1)[2 * which + ((runs >> (7 - i)) & 1)]
-    return out
+    def up(part: pa.Table) -> pa.Table:
+        _, levels, weights, _ = tree(part)
+        return pa.table({"node": levels[-1].keys, "a": levels[-1].zeros, "b": levels[-1].ones, "lw": weights[-1]})
+
+    def down(part: pa.Table, above: pa.Table) -> pa.Table:
+        keys, levels, _, shares = tree(part)
+        order = np.argsort(above.column("node").to_numpy())
+        settled = {c: above.column(c).to_numpy()[order] for c in ("s0", "s1", "left", "p0", "p1")}
+        return pa.table({"key": keys, "v": run_logs(levels, shares, settled)})
+
+    lowest = materialize(dealt.groupBy("bucket").applyInArrow(up, "node long, a double, b double, lw double"), "ctw-low")
+    blends = _blends(lowest, low).withColumn("bucket", _bucket(F.shiftright("node", 8), buckets))
+    return dealt.groupBy("bucket").cogroup(blends.groupBy("bucket")).applyInArrow(down, "key long, v double")
+
+
+# --- scores -----------------------------------------------------------------------------------------
 
 
-def score_texts(batch: pa.RecordBatch, model: list[Nodes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the probability, and the bytes, of each text of a batch; each distinct run is looked up once."""
-    parts = []
-    for part in W.small_batches(iter([batch]), "text", _BATCH):
-        runs, sizes = byte_runs(W.as_bytes(part.column("text")), depth)
-        distinct, which = np.unique(runs, return_inverse=True)
-        parts.append((distinct, which.astype(np.int32), sizes))
-    every = np.unique(np.concatenate([p[0] for p in parts]))
-    logs = log_probabilities(every, model)
-    points = [np.add.reduceat(logs[np.searchsorted(every, distinct)][which], W.doc_starts(sizes)[:-1]) for distinct, which, sizes in parts]
-    return np.concatenate(points), np.concatenate([p[2] for p in parts])
+class Worth:
+    """What the runs (log10 of their probability) and words (their training counts) of one group are worth."""
 
+    def __init__(self, folder: str, group: int) -> None:
+        store, root = fs.FileSystem.from_uri(folder)
+        got = ds.dataset(f"{root}/g={group}", filesystem=store, format="parquet").to_table(columns=["kind", "key", "v"])
+        kind, key, v = (got.column(c).to_numpy() for c in ("kind", "key", "v"))
+        self.tables = {}
+        for k in (_RUN, _WORD):
+            mine = kind == k
+            order = np.argsort(key[mine])
+            self.tables[k] = key[mine][order], v[mine][order]
 
-def score(docs: DataFrame, training: DataFrame, settings: CtwSettings = CtwSettings()) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) for rows (doc_id, held_out, text), learning from training (text).
+    def of(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        known, v = self.tables[kind]
+        return v[np.searchsorted(known, keys)]
+
+
+def score_texts(texts: list[bytes], worth: Worth, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the probability, and the bytes, of each text."""
+    runs, sizes = byte_runs(texts, depth)
+    distinct, which = np.unique(runs, return_inverse=True)
+    return np.add.reduceat(worth.of(_RUN, distinct)[which], W.doc_starts(sizes)[:-1]), sizes
+
+
+def score(docs: DataFrame, settings: CtwSettings = CtwSettings()) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) for rows (doc_id, held_out, learn, text), learning from those marked learn.
 
     Code length per byte is -score / n_bytes / log10(2).
     """
-    spark = docs.sparkSession
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    counts = materialize(count_training(training, settings), "ctw-training")
-    sums = {r["kind"]: (r["n"], r["k"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()}
-    n_bytes, n_texts = sums.get(0, (0, 0))[0], sums.get(2, (0, 0))[0]
-    n_train, vocabulary = sums.get(1, (0, 0))[0] + n_texts, sums.get(1, (0, 0))[1] + (1 if n_texts else 0)
-    folder = fit(counts.filter("kind = 0").select("key", "n"), n_bytes, settings)
-    words = counts.filter("kind = 1").select("key", "n")
-    least = max(1, -(-n_train // settings.width))
-    common_folder = fresh_path(spark, "common-words")
-    words.filter(F.col("n") >= least).write.parquet(common_folder)  # at most `width` rows
+    spark, depth = docs.sparkSession, settings.depth
+    dealt = materialize(deal(docs), "ctw-dealt")
+    held = materialize(count_groups(dealt, depth), "ctw-groups")
+    counts = materialize(held.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts")
+    sums = {r["kind"]: (r["n"], r["k"]) for r in counts.filter(F.col("kind") > _RUN).groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("k")).collect()}
+    n_texts = sums.get(_TEXT, (0, 0))[0]
+    n_train, vocabulary = sums.get(_WORD, (0, 0))[0] + n_texts, sums.get(_WORD, (0, 0))[1] + (1 if n_texts else 0)
+    runs = run_log_table(counts.filter(F.col("kind") == _RUN).select("key", "n"), settings).withColumn("kind", F.lit(_RUN).cast("byte"))
+    words = counts.filter(F.col("kind") == _WORD).select("key", F.col("n").cast("double").alias("v"), "kind")
+    worth = materialize(runs.unionByName(words), "ctw-worth")
+    folder = fresh_path(spark, "ctw-lookup")
+    met = held.filter(F.col("kind") < _TEXT).select("g", "kind", "key").join(worth, ["kind", "key"])
+    met.repartition("g").write.option("compression", "zstd").partitionBy("g").parquet(folder)
+    whole, unseen = math.log10(n_train + 0.1 * (vocabulary + 1)), math.log10(0.1)
+    end = math.log10(n_texts + 0.1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load_model(folder, settings.depth)
-        keys, logs = load_common(common_folder)
-        for batch in W.small_batches(batches, "text", _GROUP):
-            points, sizes = score_texts(batch, model, settings.depth)
-            texts = W.as_bytes(batch.column("text"))
-            hashes, n_words = W.word_hashes([t.lower() for t in texts])
-            hashes = hashes.view(np.int64)
-            at = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
-            known = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
-            starts = W.doc_starts(n_words)
-            run_known = np.concatenate(([0], np.cumsum(known)))
-            run_logs = np.concatenate(([0.0], np.cumsum(np.where(known, logs[at] if len(keys) else 0.0, 0.0))))
-            rare = np.flatnonzero(~known)
-            edges = np.searchsorted(rare, starts).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(edges), pa.array(hashes[rare]))
-            cols = [pa.array(n_words + 1), pa.array(np.diff(run_known[starts])), pa.array(np.diff(run_logs[starts])), pa.array(points), pa.array(sizes), tail]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *cols], names=["doc_id", "held_out", "n_tokens", "known", "logs", "score", "n_bytes", "tail"])
-
-    scored = docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, known long, logs double, score double, n_bytes long, tail array<long>")
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "ctw-scored")
-    tail = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("tf"))
-    met = tail.join(words, "key", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("more_known"), F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more_logs"))
-    whole = F.lit(math.log10(n_train + 0.1 * (vocabulary + 1)))
-    end = F.lit(math.log10(n_texts + 0.1))
-    out = scored.select("row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "n_bytes").join(met, "row", "left")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0)) + F.lit(1 if n_texts else 0)).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + end - F.col("n_tokens") * whole).alias("base_score"), "score", "n_bytes")
+        group, known = None, None
+        for batch in W.small_batches(batches, "text", _BATCH):
+            of = batch.column("g").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if of[a] != group:
+                    group, known = of[a], Worth(folder, of[a])
+                texts = W.as_bytes(batch.column("text").slice(a, b - a))
+                points, sizes = score_texts(texts, known, depth)
+                hashes, n_words = W.word_hashes([t.lower() for t in texts])
+                distinct, which = np.unique(hashes.view(np.int64), return_inverse=True)
+                c, starts = known.of(_WORD, distinct), W.doc_starts(n_words)
+                sums = [np.diff(np.concatenate(([0.0], np.cumsum(x[which])))[starts]) for x in ((c > 0).astype(np.float64), np.where(c > 0, np.log10(c + 0.1), unseen))]
+                n_known = np.rint(sums[0]).astype(np.int64) + (1 if n_texts else 0)
+                cols = [n_words + 1, n_known, np.full(b - a, n_train, np.int64), sums[1] + end - (n_words + 1) * whole, points, sizes]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), *map(pa.array, cols)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return dealt.select("g", "doc_id", "held_out", "text").mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
 
 
 def op3_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(fold("doc_id", 10) == 0, F.lit(False)).alias("held_out"), "text")
-    return score(docs, table(spark, sf_dir, "documents").filter(fold("doc_id", 10) != 0).select("text"))
+    docs = table(spark, sf_dir, "documents")
+    held = fold("doc_id", 10)
+    return score(docs.select("doc_id", F.coalesce(held == 0, F.lit(False)).alias("held_out"), F.coalesce(held != 0, F.lit(False)).alias("learn"), "text"))

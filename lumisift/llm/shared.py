@@ -28,7 +28,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and reread it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
