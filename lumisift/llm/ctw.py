@@ -32,6 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark import TaskContext
@@ -345,13 +346,13 @@ class Worth:
 
     def __init__(self, folder: str, group: int) -> None:
         store, root = fs.FileSystem.from_uri(folder)
-        got = ds.dataset(f"{root}/g={group}", filesystem=store, format="parquet").to_table(columns=["kind", "key", "v"])
-        kind, key, v = (got.column(c).to_numpy() for c in ("kind", "key", "v"))
+        got = ds.dataset(f"{root}/g={group}", filesystem=store, format="parquet").to_table(columns=["kind", "key", "v", "n"])
         self.tables = {}
-        for k in (_RUN, _WORD):
-            mine = kind == k
-            order = np.argsort(key[mine])
-            self.tables[k] = key[mine][order], v[mine][order]
+        for k, column in ((_RUN, "v"), (_WORD, "n")):
+            mine = got.filter(pc.equal(got.column("kind"), k))
+            key = mine.column("key").to_numpy()
+            order = np.argsort(key)
+            self.tables[k] = key[order], mine.column(column).to_numpy()[order].astype(np.float64)
 
     def of(self, kind: int, keys: np.ndarray) -> np.ndarray:
         known, v = self.tables[kind]
@@ -377,8 +378,8 @@ def score(docs: DataFrame, settings: CtwSettings = CtwSettings()) -> DataFrame:
     sums = {r["kind"]: (r["n"], r["k"]) for r in counts.filter(F.col("kind") > _RUN).groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("k")).collect()}
     n_texts = sums.get(_TEXT, (0, 0))[0]
     n_train, vocabulary = sums.get(_WORD, (0, 0))[0] + n_texts, sums.get(_WORD, (0, 0))[1] + (1 if n_texts else 0)
-    runs = run_log_table(counts.filter(F.col("kind") == _RUN).select("key", "n"), settings).withColumn("kind", F.lit(_RUN).cast("byte"))
-    words = counts.filter(F.col("kind") == _WORD).select("key", F.col("n").cast("double").alias("v"), "kind")
+    runs = run_log_table(counts.filter(F.col("kind") == _RUN).select("key", "n"), settings).select(F.lit(_RUN).cast("byte").alias("kind"), "key", F.col("v").cast("float").alias("v"), F.lit(None).cast("long").alias("n"))
+    words = counts.filter(F.col("kind") == _WORD).select("kind", "key", F.lit(None).cast("float").alias("v"), "n")
     worth = materialize(runs.unionByName(words), "ctw-worth")
     folder = fresh_path(spark, "ctw-lookup")
     met = held.filter(F.col("kind") < _TEXT).select("g", "kind", "key").join(worth, ["kind", "key"])
