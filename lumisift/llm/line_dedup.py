@@ -1,26 +1,33 @@
 """Line dedup by pairwise alignment.
 
-Lines of at least `least_words` words are hashed together with how often the document had them before,
-so every line is unique in its document. Each line pairs a later document with the first document that
-has it: pairs grow with the lines, not with the square of a group of copies, and every line shared
-with any earlier document is in exactly one pair. A pair overlaps if it shares a rare line (one in at
-most `rare` documents), or, where all its shared lines are frequent ones, a run of `least_run`
-neighbouring lines or every line of the later document. Overlapping pairs are aligned by patience
-diff: the longest sequence of shared lines in the order of both documents. Aligned lines are deleted
-from the later document, with the short lines around them where those are equal too.
-
-Nulls and edges: null and empty texts have no lines and stay; documents are ordered by id, then by
-text hash, null ids last; rows that repeat in id and text are one document and fare alike; blank and
-short lines alone never pair documents; an empty table gives an empty result; other columns pass
-through, whatever their names.
+Lines are compared by their words; blank lines are not compared. Seeds are hashes of blocks of
+neighbouring lines: from every line the shortest block onwards, and the shortest block back to it, that
+holds LEAST_BYTES bytes of words. That many bytes make a block rare by what it says. How often it is seen
+does not matter, so that nothing changes when a corpus or a group of copies grows. A document shorter
+than that is one block, and only equal to another such whole.
+
+Each block pairs a later document with the first document that holds it, so pairs grow with the lines,
+not with the square of a group of copies. This loses nothing: if a document shares a block with any
+earlier one, the first document to hold the block is earlier too. (The blocks of one shared passage may
+lead to several first documents.) Each pair is aligned by patience diff: the longest sequence of shared
+lines that rises in both. Aligned blocks of LEAST_BYTES bytes or more are deleted from the later
+document, with the blank lines inside. Seeds that stand in another order than the alignment are moved
+blocks; they go too unless `moved` is false. So a line goes if and only if a block around it stands in
+an earlier document, whichever pair shows it.
+
+Nulls and edges: null, empty and blank texts have no lines and stay; documents are ordered by id, then
+by text hash, null ids last; rows that repeat in id and text are one document and fare alike; a block
+that repeats inside its own document only stays; an empty table gives an empty result; other columns
+pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -29,32 +36,39 @@ from pyspark.sql import functions as F
 from . import words as W
 from .shared import materialize, table
 
-#: A seed line's least words, a rare line's most documents, and the run that shows a copy without a rare line.
-LEAST_WORDS, RARE, LEAST_RUN = 5, 100, 3
+#: Bytes of words (about a dozen words) in the smallest block that shows an overlap.
+LEAST_BYTES = 60
 
 
-def _hash(data: bytes) -> int:
-    value = xxhash.xxh3_64_intdigest(data)
-    return value - (1 << 64) if value >> 63 else value
-
-
-def long_lines(text: bytes, least_words: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(line, position, number among long lines, position of the short lines before it, their hash, hash of the short lines after the last)."""
-    out: list[list[int]] = []
-    seen: Counter[bytes] = Counter()
-    run: list[bytes] = []
-    for pos, line in enumerate(text.split(b"\n")):
+def clean_lines(text: bytes) -> tuple[list[bytes], list[int]]:
+    """The lines that hold words, those joined by one space, and their positions in the text."""
+    lines, at = [], []
+    for i, line in enumerate(text.split(b"\n")):
         words = line.split()
-        clean = b" ".join(words)
-        if len(words) < least_words:
-            run.append(clean)
-            continue
-        seen[clean] += 1
-        out.append([_hash(b"%d " % seen[clean] + clean), pos, len(out), pos - len(run), _hash(b"\n".join(run)) if run else 0, 0])
-        run = []
-    if out and run:
-        out[-1][5] = _hash(b"\n".join(run)) or 1
-    return [tuple(x) for x in out]
+        if words:
+            lines.append(b" ".join(words))
+            at.append(i)
+    return lines, at
+
+
+def blocks(lines: list[bytes], least: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest blocks of at least `least` bytes that begin or end at a line; of all lines if there are fewer bytes."""
+    if not lines:
+        return []
+    ends = np.cumsum([0, *map(len, lines)])
+    if ends[-1] < least:
+        return [(0, len(lines) - 1)]
+    n = len(lines)
+    last = np.searchsorted(ends, ends[:-1] + least) - 1  # from each line on
+    first = np.searchsorted(ends, ends[1:] - least, "right") - 1  # back from each line
+    onwards = [(i, int(j)) for i, j in enumerate(last) if j < n]
+    return sorted({*onwards, *[(int(i), j) for j, i in enumerate(first) if i >= 0]})
+
+
+def block_hash(lines: list[bytes], least: int) -> int:
+    """Hash of a block; that of a whole short document differs from that of any block in a longer one."""
+    value = xxhash.xxh3_64_intdigest(b"\n".join(lines), seed=int(sum(map(len, lines)) < least))
+    return value - (1 << 64) if value >> 63 else value
 
 
 def longest_rising(values: list[int]) -> list[int]:
@@ -74,77 +88,93 @@ def longest_rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def aligned_lines(matches: list[dict], lines: int, rare: int, least_run: int) -> list[int]:
-    """Positions to delete from a later document with `lines` long lines.
+def aligned_lines(matches: list[dict], lines: int, least: int, moved: bool = True) -> list[int]:
+    """Positions to delete from a document with `lines` lines of words.
 
-    matches: its lines that an earlier document has, each with that document (first), the line's
-    positions (pos; own and their: its numbers among the long lines), begin, lead and tail (whether the
-    short lines before and after are equal), last (how many short lines follow), and df.
+    matches: its blocks that an earlier document holds: `other` (that document), first and last (numbers
+    of its lines of words), theirs (the other's first), sizes (bytes of each line), at (the position of
+    each line, and of the line of words that follows or the end), whole (a whole short document).
     """
-    pairs: dict[int, list[dict]] = defaultdict(list)
-    for m in sorted(matches, key=lambda m: m["pos"]):
-        pairs[m["first"]].append(m)
+    pairs: dict[int, dict[tuple[int, int], int]] = defaultdict(dict)
+    place: dict[int, tuple[int, int]] = {}
     gone: set[int] = set()
-    for shared in pairs.values():
-        kept = [shared[i] for i in longest_rising([m["their"] for m in shared])]
-        if not any(m["df"] <= rare for m in kept) and len(kept) < lines:
-            run = most = 1
-            for a, b in zip(kept, kept[1:], strict=False):
-                run = run + 1 if b["own"] == a["own"] + 1 and b["their"] == a["their"] + 1 else 1
-                most = max(most, run)
-            if most < least_run:
-                continue
-        for m in kept:
-            gone.update(range(m["begin"] if m["lead"] else m["pos"], m["pos"] + 1 + (m["after"] if m["tail"] else 0)))
-    return sorted(gone)
-
-
-def shared_lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """Long lines that stand in an earlier document too: (_key, first, pos, begin, own, their, lead, tail, after, df, lines), from (_key, doc_id, text)."""
+    for m in matches:
+        for i, size in enumerate(m["sizes"]):
+            pairs[m["other"]][m["first"] + i, m["theirs"] + i] = size
+            place[m["first"] + i] = m["at"][i], m["at"][i + 1]
+        if moved or m["whole"]:
+            gone.update(range(m["first"], m["last"] + 1))
+    for sizes in pairs.values():
+        # Of the pairs of one line, the highest first: so at most one of them can rise.
+        order = sorted(sizes, key=lambda p: (p[0], -p[1]))
+        block: list[tuple[int, int]] = []
+        for p in [*(order[i] for i in longest_rising([p[1] for p in order])), (-1, -1)]:
+            if block and p != (block[-1][0] + 1, block[-1][1] + 1):
+                if sum(sizes[x] for x in block) >= least:
+                    gone.update(x[0] for x in block)
+                block = []
+            block.append(p)
+    drop: set[int] = set()
+    for k in gone:
+        begin, after = place[k]
+        drop.update(range(begin, after) if k + 1 in gone or k + 1 == lines else (begin,))
+        if k == 0:
+            drop.update(range(begin))
+    return sorted(drop)
+
+
+def shared_blocks(docs: DataFrame, least: int) -> DataFrame:
+    """(_key, other, first, last, theirs, sizes, at, whole, lines): blocks of a document that an earlier one, `other`, holds, from (_key, doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["line", "pos", "own", "begin", "lead", "tail"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         for batch in W.small_batches(batches, "text"):
-            found, owner, total, after = [], [], [], []
+            owner, hashes, first, last, whole, total, sizes, at, offsets = [], [], [], [], [], [], [], [], [0]
             for i, text in enumerate(W.as_bytes(batch.column("text"))):
-                lines = long_lines(text, least_words)
-                found += lines
-                owner += [i] * len(lines)
-                total += [len(lines)] * len(lines)
-                after += [0] * (len(lines) - 1) + [text.count(b"\n") - lines[-1][1]] if lines else []
-            at = pa.array(owner, pa.int64())
-            cols = [pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 6, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("_key").take(at), batch.column("doc_id").take(at), *cols, pa.array(after, pa.int32()), pa.array(total, pa.int32())], names=["_key", "doc_id", *names, "after", "lines"])
-
-    schema = f"_key long, doc_id {kind}, line long, pos int, own int, begin int, lead long, tail long, after int, lines int"
-    lines = docs.select("_key", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, schema)
-    lines = materialize(lines, "lines")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "own", "lead", "tail")
-    first = lines.groupBy("line").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("df")).filter("df > 1")
-    first = first.select("line", "df", F.col("f._key").alias("first"), F.col("f.own").alias("their"), F.col("f.lead").alias("lead_f"), F.col("f.tail").alias("tail_f"))
-    # Both sides are tables, so Spark can split the join at a line that very many documents share.
-    met = lines.join(materialize(first, "first-lines"), "line").filter("_key <> first")
-    same = lambda x: (F.col(x) == F.col(f"{x}_f")) & (F.col(x) != 0)
-    return met.select("_key", "first", "pos", "begin", "own", "their", same("lead").alias("lead"), same("tail").alias("tail"), "after", "df", "lines")
-
-
-def lines_to_delete(docs: DataFrame, *, least_words: int = LEAST_WORDS, rare: int = RARE, least_run: int = LEAST_RUN) -> DataFrame:
+                lines, places = clean_lines(text)
+                length = [len(x) for x in lines]
+                places.append(text.count(b"\n") + 1)
+                short = sum(length) < least
+                for a, b in blocks(lines, least):
+                    owner.append(i)
+                    hashes.append(block_hash(lines[a : b + 1], least))
+                    first.append(a)
+                    last.append(b)
+                    whole.append(short)
+                    total.append(len(lines))
+                    sizes += length[a : b + 1]
+                    at += places[a : b + 2]
+                    offsets.append(len(sizes))
+            row = pa.array(owner, pa.int64())
+            ends = np.array(offsets, np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(x, pa.int32())) for e, x in ((ends, sizes), (ends + np.arange(len(ends), dtype=np.int32), at))]
+            cols = [batch.column("_key").take(row), batch.column("doc_id").take(row), pa.array(hashes, pa.int64()), *[pa.array(x, pa.int32()) for x in (first, last, total)], pa.array(whole, pa.bool_()), *lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["_key", "doc_id", "block", "first", "last", "lines", "whole", "sizes", "at"])
+
+    schema = f"_key long, doc_id {kind}, block long, first int, last int, lines int, whole boolean, sizes array<int>, at array<int>"
+    found = materialize(docs.select("_key", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, schema), "blocks")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "first")
+    held = found.groupBy("block").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("block", F.col("f._key").alias("other"), F.col("f.first").alias("theirs"))
+    # Both sides are tables, so Spark can split the join at a block that very many documents share.
+    met = found.join(materialize(held, "first-blocks"), "block").filter("_key <> other")
+    return met.select("_key", "other", "first", "last", "theirs", "sizes", "at", "whole", "lines")
+
+
+def lines_to_delete(docs: DataFrame, *, least_bytes: int = LEAST_BYTES, moved: bool = True) -> DataFrame:
     """(_key, _removed array<int>): positions of the lines that alignment deletes, from (_key, doc_id, text)."""
-    fields = ["first", "pos", "begin", "own", "their", "lead", "tail", "after", "df"]
+    fields = ["other", "first", "last", "theirs", "sizes", "at", "whole"]
     # A document's matches come together; they are bounded by its own lines.
-    grouped = shared_lines(docs, least_words).groupBy("_key").agg(F.collect_set(F.struct(*fields)).alias("m"), F.max("lines").alias("lines"))
+    grouped = shared_blocks(docs, least_bytes).groupBy("_key").agg(F.collect_set(F.struct(*fields)).alias("m"), F.max("lines").alias("lines"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [aligned_lines(m.as_py(), n, rare, least_run) for m, n in zip(batch.column("m"), batch.column("lines").to_pylist(), strict=True)]
+            gone = [aligned_lines(m.as_py(), n, least_bytes, moved) for m, n in zip(batch.column("m"), batch.column("lines").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(gone, pa.list_(pa.int32()))], names=["_key", "_removed"])
 
     return grouped.mapInArrow(align, "_key long, _removed array<int>").filter(F.size("_removed") > 0)
 
 
-def _cut(docs: DataFrame, **limits: int) -> DataFrame:
+def _cut(docs: DataFrame, **limits) -> DataFrame:
     """(row, text, n_removed): each row as it came, the text that stays, and how many lines went."""
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key")
     gone = materialize(lines_to_delete(docs.select(key, "doc_id", "text"), **limits), "lines-gone")
@@ -160,7 +190,7 @@ def _with_text(cut: DataFrame, columns: list[str]) -> list:
     return [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns]
 
 
-def drop_aligned_lines(docs: DataFrame, **limits: int) -> DataFrame:
+def drop_aligned_lines(docs: DataFrame, **limits) -> DataFrame:
     """docs with text cut to the lines that stay, and n_removed (which replaces a column of that name); the text of other rows is untouched."""
     cut = _cut(docs, **limits)
     return cut.select(*_with_text(cut, [c for c in docs.columns if c != "n_removed"]), "n_removed")
