@@ -8,12 +8,14 @@ has overflowed are abandoned.
 
 Two ways to form buckets: blocks of fingerprint bits, which lose no pair (pigeonhole), or min-hash
 keys of the shingles, for radii at which no pigeonhole is selective. Buckets are cut in tiles, and
-tiles meet in pairs, so a hot bucket is spread over tasks. Links leave a block as a forest
-(each member to its group's smallest), never as all pairs.
+tiles meet in pairs, so a hot bucket is spread over tasks. Links leave a block as a spanning forest of
+its nearest pairs, never as all pairs.
+
+Near-duplicates of a corpus are then verified: only links whose shingle sets have the similarity stand.
 
 Nulls and edges: null text counts as empty; texts without words have fingerprint zero and link like
-others; equal fingerprints are one node; null ids never name a component but get its name; an empty
-table gives an empty result.
+others; equal fingerprints are one node; null ids link like others and get their component's name but
+never name one, so a component of null ids alone is null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from .graph import smallest_reachable
 from .shared import materialize, table
 
 #: Members of a bucket compared in one task.
-TILE = 4096
+TILE = 1024
 #: Members put in one bit-sliced block, and queries run against it at once.
 BLOCK, QUERIES = 1024, 256
 
@@ -140,35 +142,57 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _block_links(node: np.ndarray, fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges of one block. Small groups may share a block: a link across them is as true as one inside."""
+def spanning_pairs(n: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Indices of the pairs (a, b) that make a spanning forest of n nodes of the least total distance (Boruvka's rounds)."""
+    order = np.lexsort((b, a, apart))
+    a, b = a[order], b[order]
+    left, label, chosen = np.arange(len(a)), np.arange(n), np.zeros(len(a), bool)
+    while len(left):
+        nearest = np.full(n, len(a))
+        np.minimum.at(nearest, label[a[left]], left)
+        np.minimum.at(nearest, label[b[left]], left)
+        picked = np.unique(nearest[nearest < len(a)])
+        chosen[picked] = True
+        label = forest(n, label[a[picked]], label[b[picked]])[label]
+        left = left[label[a[left]] != label[b[left]]]
+    return order[chosen]
+
+
+def _block_links(node: np.ndarray, fps: np.ndarray, n: np.ndarray, side: np.ndarray, radius: int, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pairs that join one block. Small groups may share a block: a link across them is as true as one inside."""
     if (side > 0).any():  # two different tiles of one bucket: only pairs across
         left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
         q, k = links_within(fps[left], fps[right], radius) if len(left) and len(right) else (np.zeros(0, np.int64),) * 2
         a, b = left[q], right[k]
     else:
         a, b = links_within(fps, fps, radius, later=np.arange(1, len(fps) + 1))
-    order = np.argsort(node, kind="stable")
-    place = np.empty(len(node), np.int64)
-    place[order] = np.arange(len(node))
-    label = forest(len(node), place[a], place[b])
-    mine = np.flatnonzero(label != np.arange(len(node)))
-    return node[order[label[mine]]], node[order[mine]]
-
-
-def near_links(nodes: DataFrame, radius: int) -> DataFrame:
+    part, of = least
+    fits = np.minimum(n[a], n[b]) * of >= np.maximum(n[a], n[b]) * part
+    a, b = a[fits], b[fits]
+    apart = np.zeros(len(a), np.uint16)
+    for word in range(fps.shape[1]):
+        apart += np.bitwise_count(fps[a, word] ^ fps[b, word])
+    # A node may stand in a block more than once.
+    distinct, place = np.unique(node, return_inverse=True)
+    kept = spanning_pairs(len(distinct), place[a], place[b], apart)
+    u, v = node[a[kept]], node[b[kept]]
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def near_links(nodes: DataFrame, radius: int, least: tuple[int, int] = (0, 1)) -> DataFrame:
     """Edges (u, v) that join all nodes at most radius apart whose fingerprints share a bucket key.
 
-    nodes: (node long, fp array<long>, keys array<long>), one row per node.
+    nodes: (node long, fp array<long>, keys array<long>, n long), one row per node. Pairs whose smaller
+    n is less than the fraction `least` of the larger are no links.
     """
-    keyed = nodes.select("node", "fp", F.explode(F.array_distinct("keys")).alias("k"))
-    tiles = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    keyed = nodes.select("node", "fp", "n", F.explode(F.array_distinct("keys")).alias("k"))
+    tiles = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("k", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     # Written first: a join of two tables is one that Spark can split at a hot key.
     held = keyed.join(materialize(tiles, "simhash-tiles"), "k").withColumn("own", F.pmod(F.hash("node"), F.col("tiles")))
     # A tile meets itself and every other tile of its bucket: side 0 within, 1 and 2 across.
     meet = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(
         F.least(t, F.col("own")).alias("a"), F.greatest(t, F.col("own")).alias("b"), F.when(t == F.col("own"), 0).when(F.col("own") < t, 1).otherwise(2).alias("side")))
-    spread = held.select("node", "fp", "k", F.explode(meet).alias("m")).select("node", "fp", "k", "m.a", "m.b", "m.side")
+    spread = held.select("node", "fp", "n", "k", F.explode(meet).alias("m")).select("node", "fp", "n", "k", "m.a", "m.b", "m.side")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -177,7 +201,7 @@ def near_links(nodes: DataFrame, radius: int) -> DataFrame:
         def compare(block: pd.DataFrame) -> pd.DataFrame:
             node = block["node"].to_numpy()
             fps = np.stack(block["fp"].to_numpy()).astype(np.int64).view(np.uint64)
-            group = block["g"].to_numpy()
+            group, n = block["g"].to_numpy(), block["n"].to_numpy()
             u, v = [], []
             cut = np.flatnonzero(np.diff(group)) + 1
             begin, edges = 0, [*cut.tolist(), len(block)]
@@ -190,7 +214,7 @@ def near_links(nodes: DataFrame, radius: int) -> DataFrame:
                     if i and (mixed != begins_mixed) and edges[i - 1] > begin:
                         spans = [(begin, edges[i - 1]), (edges[i - 1], stop)]
                     for x, y in spans:
-                        one, two = _block_links(node[x:y], fps[x:y], group[x:y], side[x:y], radius)
+                        one, two = _block_links(node[x:y], fps[x:y], n[x:y], side[x:y], radius, least)
                         u.append(one)
                         v.append(two)
                     begin = stop
@@ -229,63 +253,105 @@ def pigeonhole_keys(fp: str, radius: int = 2, blocks: int = 4) -> F.Column:
 def components(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) of a table (doc_id, fp): linked at radius or fewer differing bits."""
     fps = materialize(fps.select("doc_id", "fp"), "simhash-fps")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    nodes = classes.filter("node is not null").select("node", F.array("fp").alias("fp"), pigeonhole_keys("fp", radius, radius + 2).alias("keys"))
+    # A fingerprint is its own node, so that one which only null ids have links others too.
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    nodes = classes.select(F.col("fp").alias("node"), F.array("fp").alias("fp"), pigeonhole_keys("fp", radius, radius + 2).alias("keys"), F.lit(1).cast("long").alias("n"))
     labels = smallest_reachable(near_links(nodes, radius))
-    named = classes.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
+    rooted = materialize(classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("root")), "simhash-roots")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(materialize(named, "simhash-named"), "fp").select("doc_id", "fp", "component_id")
 
 
 # --- near-duplicates by shingle similarity, for documents of a corpus -----------------------------
 
-#: 256-bit fingerprints of five-word shingles. At a Jaccard similarity of 0.8 the cosine is 0.889 and
-#: 38.8 bits (s.d. 5.7) differ; a radius of 48 keeps 95 % of such pairs and all closer ones.
-STAGE_SHINGLE, STAGE_WORDS, STAGE_RADIUS, STAGE_KEYS = 5, 4, 48, 6
+#: Candidates: 256-bit fingerprints of five-word shingles. At a Jaccard similarity of 0.8 the cosine is
+#: 0.889 and 38.8 bits (s.d. 5.7) differ, or 48 (s.d. 6.2) between sets of four and five shingles; a radius
+#: of 64 keeps 99 % of the worst of these. Eight keys of two min-hashes each meet in all but 0.03 % of such pairs.
+STAGE_SHINGLE, STAGE_BITS, STAGE_RADIUS, STAGE_KEYS, STAGE_ROWS = 5, 256, 64, 8, 2
+#: Links: similarity of the sets of shingles, as a fraction.
+STAGE_LEAST = (4, 5)
+
+
+def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct five-word shingles of each text, ascending (fewer words: all of them as one), and how many."""
+    hashes, n = W.word_hashes([t.lower() for t in texts])
+    sums, starts = W.run_sums(hashes), W.doc_starts(n)
+    counts = np.where(n > 0, np.maximum(n - STAGE_SHINGLE + 1, 1), 0)
+    first = np.repeat(starts[:-1] - W.doc_starts(counts)[:-1], counts) + np.arange(counts.sum())
+    last = np.minimum(first + STAGE_SHINGLE, np.repeat(starts[1:], counts))
+    shingles, owner = W.span(sums, first, last), np.repeat(np.arange(len(n)), counts)
+    order = np.lexsort((shingles, owner))
+    shingles, owner = shingles[order], owner[order]
+    new = np.concatenate(([True], (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])))[: len(shingles)]
+    return shingles[new], np.bincount(owner[new], minlength=len(n))
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
 def wide_fingerprints(docs: DataFrame, key_col: str, text_col: str = "text") -> DataFrame:
-    """(key, fp array<long>, keys array<long>): 256-bit SimHash and six min-hashes of the distinct five-word shingles."""
+    """(key, fp array<long>, keys array<long>, whole long, n long): SimHash, min-hash keys, one hash and the number of the distinct five-word shingles."""
     kind = docs.schema[key_col].dataType.simpleString()
 
+    def salted(shingles: np.ndarray, salt: int) -> np.ndarray:
+        return W.mix(shingles ^ W.U(0x9FB21C651E98DF25 * (2 * salt + 3) & (1 << 64) - 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.small_batches(batches, "_text"):
-            hashes, n = W.word_hashes([t.lower() for t in W.as_bytes(batch.column("_text"))])
-            sums, starts = W.run_sums(hashes), W.doc_starts(n)
-            counts = np.where(n > 0, np.maximum(n - STAGE_SHINGLE + 1, 1), 0)
-            first = np.repeat(starts[:-1] - W.doc_starts(counts)[:-1], counts) + np.arange(counts.sum())
-            last = np.minimum(first + STAGE_SHINGLE, np.repeat(starts[1:], counts))
-            shingles = W.span(sums, first, last)
-            # Similarity is one of sets: a shingle votes once, however often its document repeats it.
-            owner = np.repeat(np.arange(len(n)), counts)
-            order = np.lexsort((shingles, owner))
-            shingles, owner = shingles[order], owner[order]
-            new = np.concatenate(([True], (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])))[: len(shingles)]
-            shingles, counts = shingles[new], np.bincount(owner[new], minlength=len(n))
-            fp = np.stack([majority_bits(W.mix(shingles + W.U(0xA24BAED4963EE407 * (i + 1) & (1 << 64) - 1)), counts) for i in range(STAGE_WORDS)], axis=1)
-            keys = np.zeros((len(n), STAGE_KEYS), np.uint64)
+            shingles, counts = shingle_sets(W.as_bytes(batch.column("_text")))
+            fp = np.stack([majority_bits(W.mix(shingles + W.U(0xA24BAED4963EE407 * (i + 1) & (1 << 64) - 1)), counts) for i in range(STAGE_BITS // 64)], axis=1)
+            keys, whole = np.zeros((len(counts), STAGE_KEYS), np.uint64), np.zeros(len(counts), np.uint64)
             some = np.flatnonzero(counts)
             if len(some):
                 begin = W.doc_starts(counts)[:-1][some]
+                whole[some] = np.add.reduceat(W.mix(shingles), begin)
                 for i in range(STAGE_KEYS):
-                    keys[some, i] = np.minimum.reduceat(W.mix(shingles ^ W.U(0x9FB21C651E98DF25 * (2 * i + 3) & (1 << 64) - 1)), begin) * W.U(8) + W.U(i)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64))) for x in (fp, keys)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=[key_col, "fp", "keys"])
+                    band = np.full(len(some), i, np.uint64)
+                    for j in range(STAGE_ROWS):
+                        band = W.mix(band + np.minimum.reduceat(salted(shingles, i * STAGE_ROWS + j), begin))
+                    keys[some, i] = band
+            lists = [_lists(x.reshape(-1), np.arange(len(counts) + 1) * x.shape[1]) for x in (fp, keys)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array(whole.view(np.int64)), pa.array(counts.astype(np.int64))], names=[key_col, "fp", "keys", "whole", "n"])
+
+    return docs.select(key_col, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, f"{key_col} {kind}, fp array<long>, keys array<long>, whole long, n long")
+
+
+def similar_pairs(links: DataFrame, texts: DataFrame, sizes: DataFrame, least: tuple[int, int] = STAGE_LEAST) -> DataFrame:
+    """The links (u, v) whose texts' shingle sets have a Jaccard similarity of at least `least`; texts: (node, text), sizes: (node, n)."""
+    part, of = least
+    n_u, n_v = sizes.select(F.col("node").alias("u"), F.col("n").alias("nu")), sizes.select(F.col("node").alias("v"), F.col("n").alias("nv"))
+    near = materialize(links.distinct().join(n_u, "u").join(n_v, "v"), "simhash-near")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.small_batches(batches, "text"):
+            shingles, counts = shingle_sets(W.as_bytes(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(shingles, W.doc_starts(counts))], names=["node", "s"])
 
-    return docs.select(key_col, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, f"{key_col} {kind}, fp array<long>, keys array<long>")
+    ends = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = texts.select("node", F.col("text").cast("binary").alias("text")).join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")).mapInArrow(run, "node long, s array<long>")
+    sets = materialize(sets, "simhash-sets")
+    met = near.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
+    both = F.size(F.array_intersect("su", "sv"))
+    return met.filter(both * (of + part) >= (F.col("nu") + F.col("nv")) * part).select("u", "v")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keep one document of each group of near-duplicates (Jaccard of five-word shingles about 0.8 or more).
+    """Keep one document of each group of near-duplicates (Jaccard of the sets of five-word shingles 0.8 or more).
 
-    The smallest doc_id of a group stays (null ids last; then the smallest hash of the text). Repeated
-    rows are one document. Documents without words are one group. All columns of docs are kept.
+    Documents of equal sets are one; candidates come from SimHash and are verified by their sets. The
+    smallest doc_id of a group stays (null ids last; then the smallest hash of the text). Repeated rows are
+    one document. Documents without words are one group. All columns of docs are kept.
     """
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"))
-    marks = materialize(wide_fingerprints(keyed.select("_key", "text"), "_key").join(keyed.select("_key", "doc_id").distinct(), "_key"), "near-fps")
-    classes = materialize(marks.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"), F.min("keys").alias("keys")), "near-classes")
-    nodes = classes.select(F.col("first._key").alias("node"), "fp", "keys")
-    labels = smallest_reachable(near_links(nodes, STAGE_RADIUS))
-    grouped = classes.join(labels, classes["first._key"] == labels["node"], "left").groupBy(F.coalesce("label", F.col("first._key")).alias("label")).agg(F.min("first").alias("first"))
+    marks = materialize(wide_fingerprints(keyed.select(F.struct("doc_id", "_key").alias("at"), "text"), "at"), "near-fps")
+    first = F.min(F.struct(F.col("at.doc_id").isNull(), "at.doc_id", "at._key")).alias("first")
+    classes = materialize(marks.groupBy("fp", "whole", "n").agg(first, F.min("keys").alias("keys")).withColumn("node", F.col("first._key")), "near-classes")
+    links = materialize(near_links(classes.select("node", "fp", "keys", "n"), STAGE_RADIUS, STAGE_LEAST), "near-links")
+    # Rows of one key have one text, and a class needs one of them.
+    texts = keyed.select(F.col("_key").alias("node"), "text")
+    labels = smallest_reachable(similar_pairs(links, texts, classes.select("node", "n")).distinct())
+    grouped = classes.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first"))
     kept = grouped.select(F.col("first._key").alias("_key"))
     chosen = keyed.select("row", "_key").join(kept, "_key", "left_semi")
     once = Window.partitionBy("_key").orderBy(F.lit(1))

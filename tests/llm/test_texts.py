@@ -443,6 +443,65 @@ def test_near_duplicates_by_similarity(spark):
     assert simhash_dedup.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_groups(texts):
+    """Smallest index of each text's group: sets of five-word shingles, all pairs compared, joined at 0.8."""
+    words = [(t or "").lower().encode().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    label = list(range(len(texts)))
+    similarity = {}
+    for i in range(len(texts)):
+        for j in range(i):
+            inter, union = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            similarity[j, i] = 1.0 if not union else inter / union
+            if inter * 5 >= union * 4:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label, similarity
+
+
+@pytest.mark.parametrize("words", [12, 60, 400])
+def test_near_duplicates_equal_brute_force(spark, words):
+    rng = random.Random(words)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(words // 2, words))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            near = [*base]
+            for _ in range(rng.randint(0, max(1, len(near) // 25))):
+                near[rng.randrange(len(near))] = rng.choice(vocabulary)
+            texts.append(" ".join(near if rng.random() < 0.5 else base[: len(base) - rng.randint(1, 1 + len(base) // 4)]))
+    label, similarity = brute_groups(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash_dedup.drop_near_duplicates(df).collect()}
+    want = set(label)
+    assert want <= kept  # nothing goes without a similar document
+    recall = 1 - len(kept - want) / (len(texts) - len(want))
+    assert recall >= 0.98
+    assert sum(1 for x in similarity.values() if 0.8 <= x < 1) > 20 and sum(1 for x in similarity.values() if 0.6 < x < 0.8) > 20
+
+
+def test_a_fingerprint_of_null_ids_is_a_bridge(spark):
+    rows = [(1, 0), (None, 3), (2, 15), (None, 1 << 40 | 1 << 50 | 1 << 60), (7, 0x7F00)]
+    got = simhash_dedup.components(spark.createDataFrame(rows, "doc_id long, fp long"), radius=2).collect()
+    assert {(r["fp"], r["component_id"]) for r in got} == {(0, 1), (3, 1), (15, 1), (rows[3][1], None), (0x7F00, 7)}
+
+
+def test_spanning_pairs():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        a, b, w = rng.integers(0, 12, 30), rng.integers(0, 12, 30), rng.integers(0, 9, 30)
+        total, label = 0, np.arange(12)
+        for i in np.argsort(w, kind="stable"):
+            x, y = label[a[i]], label[b[i]]
+            if x != y:
+                total += w[i]
+                label[label == max(x, y)] = min(x, y)
+        got = simhash_dedup.spanning_pairs(12, a, b, w)
+        assert w[got].sum() == total and (simhash_dedup.forest(12, a[got], b[got]) == simhash_dedup.forest(12, a, b)).all()
+
+
 def test_a_repeated_passage_votes_once(spark):
     rng = random.Random(4)
     passage = " ".join(f"p{i}" for i in range(60))
