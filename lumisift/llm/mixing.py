@@ -1,12 +1,16 @@
 """Mixing overlapping sources to target weights by min-cost flow.
 
 Documents that belong to the same set of sources are interchangeable for the quotas, so Spark sums
-their sizes by membership pattern; the driver routes pattern capacity to source quotas (a flow over
-patterns and sources only, never over documents); Spark then selects documents in seeded order.
+their sizes by membership pattern. A source whose documents belong to nothing else takes what it can of
+its quota, which Spark settles for any number of sources. Where sources overlap, the driver routes
+pattern capacity to source quotas (a flow over overlapping patterns and sources only, never over
+documents). Spark then selects documents in seeded order. Tables by source or pattern are written and
+joined; Spark broadcasts them only while their files are small.
 
 Nulls and edges: a null or empty membership is a pattern that feeds no quota and is never taken; a
 null member sorts last; a null or empty text has size 0 and takes 0; an empty table gives an empty
-result; repeated rows are chosen alike, as one block; columns beside the named ones are left behind.
+result; repeated rows are chosen alike, as one block; other columns are kept, those named like a
+result are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, table
 
-#: Pattern tables are solved on the driver; more patterns than this raise instead of growing there.
+#: The flow over overlapping patterns is one problem, solved on the driver; more such patterns raise, none is cut.
 MAX_PATTERNS = 100_000
 _BINS = 1024
 
@@ -29,24 +33,36 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
-    """Share of the total by weight in code point order (null last); what lies above a source's cap is reshared."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    rest, cap = Fraction(share) * sum(sizes.values()), {s: Fraction(most) * n for s, n in sizes.items()}
-    out: dict[str | None, Fraction] = {}
-    active = list(order)
-    while active:
-        total = sum(weight[s] for s in active)
-        full = [s for s in active if rest * weight[s] / total > cap[s]]
-        if not full:
-            out |= {s: rest * weight[s] / total for s in active}
+def in_order(sources: DataFrame) -> DataFrame:
+    """sources with `position`, counted from 0 in code point order of a column source, null last."""
+    order = [F.col("source").isNull(), F.col("source")]
+    dealt = materialize(sources.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-order")
+    parts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    # One row per partition: this table grows with their number only.
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = F.broadcast(parts.select("part", before.alias("before")))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return dealt.join(parts, "part").withColumn("position", place).drop("part", "before")
+
+
+def source_targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(source, n, target) from (source, n), one row each: by weight a share of the total, in code point order (null last).
+
+    What lies above `most` times a source's n is reshared by weight until none is above: targets are the
+    lesser of that and weight * level, and the level rises until nothing more is capped.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("position") % len(weights) + 1).cast("int"))
+    weighed = materialize(in_order(sources.select("source", "n")).select("source", "n", weight.alias("weight")), "mix-weights")
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("weight") * F.lit(level) > F.col("n") * F.lit(most)
+        got = weighed.agg(F.sum("n").alias("n"), F.sum(F.when(~full, F.col("weight"))).alias("open"), F.sum(F.when(full, F.col("n"))).alias("taken"), F.count_if(full).alias("capped")).first()
+        if got["open"] is None or got["capped"] == capped:
             break
-        for s in full:
-            out[s] = cap[s]
-        rest -= sum(cap[s] for s in full)
-        active = [s for s in active if s not in full]
-    return {s: float(x) for s, x in out.items()}
+        capped = got["capped"]
+        level = float((Fraction(share) * got["n"] - Fraction(most) * (got["taken"] or 0)) / got["open"])
+    cap = F.col("n") * F.lit(float(most))
+    return weighed.select("source", "n", F.when(F.lit(got["open"] is None), cap).otherwise(F.least(F.col("weight") * F.lit(level), cap)).alias("target"))
 
 
 def route(capacity: dict[tuple, int], quota: dict[str | None, int], epochs: int = 2) -> dict[tuple, int]:
@@ -112,82 +128,105 @@ def route(capacity: dict[tuple, int], quota: dict[str | None, int], epochs: int
     return used
 
 
-def _pattern_table(spark: SparkSession, rows: list[tuple], extra: str) -> DataFrame:
-    return spark.createDataFrame(rows, f"_pattern array<string>, {extra}")
+def planned(capacity: DataFrame, quota: DataFrame, epochs: int) -> DataFrame:
+    """(_pattern, base, room): how often all of a pattern (_pattern, n) is used, and how many units more, for quotas (source, quota)."""
+    alone = F.size("_pattern") == 1
+    source = F.get("_pattern", F.lit(0))
+    shared = capacity.filter(F.size("_pattern") > 1).select(F.explode("_pattern").alias("source")).distinct()
+    marked = materialize(capacity.join(shared.select(F.col("source").alias("met"), F.lit(True).alias("overlaps")), alone & source.eqNullSafe(F.col("met")), "left").drop("met"), "mix-patterns")
+    flows = (F.size("_pattern") > 1) | (alone & F.col("overlaps").isNotNull())
+    lone = marked.filter(alone & F.col("overlaps").isNull()).join(quota, source.eqNullSafe(F.col("source")), "left")
+    lone = lone.select("_pattern", "n", F.least(F.coalesce("quota", F.lit(0)), F.col("n") * epochs).alias("used"))
+    rows = marked.filter(flows).limit(MAX_PATTERNS + 1).collect()
+    if len(rows) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} overlapping membership patterns; group the sources first")
+    spent = {}
+    if rows:
+        # Sources of these patterns only: at most the members of MAX_PATTERNS rows.
+        named = marked.filter(flows).select(F.explode("_pattern").alias("s")).distinct()
+        asked = {r["source"]: r["quota"] for r in quota.join(named, F.col("source").eqNullSafe(F.col("s")), "left_semi").collect()}
+        spent = route({tuple(r["_pattern"]): r["n"] for r in rows}, asked, epochs)
+    routed = capacity.sparkSession.createDataFrame([(list(r["_pattern"]), r["n"], spent.get(tuple(r["_pattern"]), 0)) for r in rows], "_pattern array<string>, n long, used long")
+    none = marked.filter(F.size("_pattern") == 0).select("_pattern", "n", F.lit(0).cast("long").alias("used"))
+    every = lone.unionByName(routed).unionByName(none)
+    some = F.col("n") > 0
+    return materialize(every.select("_pattern", F.when(some, F.expr("used div n")).otherwise(0).alias("base"), F.when(some, F.expr("used % n")).otherwise(0).alias("room")), "mix-plan")
+
+
+def _refine(rows: DataFrame, bounds: DataFrame, level: int) -> DataFrame:
+    """For each pattern with room, the hash bin in which the room runs out, and the room at that bin's start: (_pattern, m1, m2, room)."""
+    at = rows.join(bounds, "_pattern")
+    if level == 2:
+        at = at.filter(F.col("_b1") == F.col("m1"))
+    bins = at.groupBy("_pattern", "m1", "room", F.col(f"_b{level}").alias("bin")).agg(F.sum("_size").alias("n"))
+    w = Window.partitionBy("_pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    edge = bins.withColumn("run", F.sum("n").over(w)).filter(F.col("run") > F.col("room"))
+    edge = edge.groupBy("_pattern").agg(F.min_by(F.struct("m1", "bin", (F.col("room") - F.col("run") + F.col("n")).alias("left")), "bin").alias("x"))
+    first, second = (F.col("x.bin"), F.lit(-1).cast("long")) if level == 1 else (F.col("x.m1"), F.col("x.bin"))
+    return materialize(edge.select("_pattern", first.alias("m1"), second.alias("m2"), F.col("x.left").alias("room")), "mix-bounds")
 
 
-def mix(docs: DataFrame, quota: dict[str | None, int], *, id_col: str = "doc_id", size_col: str = "size", member_col: str = "members", epochs: int = 2, seed: int = 17) -> DataFrame:
-    """Rows (id, members, size, taken): taken is size times the number of uses of the document.
+def mix(docs: DataFrame, quota: DataFrame | dict[str | None, int], *, counted: DataFrame | None = None, id_col: str = "doc_id", size_col: str = "size", member_col: str = "members", epochs: int = 2, seed: int = 17) -> DataFrame:
+    """The columns of docs, members sorted, and taken: size times the number of uses of the document.
+
+    quota: units by source, as (source, quota) or a dictionary; counted: the same rows with only the
+    three named columns, where those are cheaper to read again than docs.
 
     All documents of a pattern are used as often as the pattern's flow goes into its size; what is
     left over goes to a prefix of the documents in the order of a seeded hash. The prefix is found
     from sums by hash bin, twice refined, so that no task sorts a whole pattern.
     """
-    spark = docs.sparkSession
-    rows = docs.select(
-        F.col(id_col).alias("_id"), F.array_sort(F.array_distinct(F.coalesce(F.col(member_col), F.array().cast("array<string>")))).alias("_pattern"),
-        F.col(size_col).cast("long").alias("_size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"),
-    ).withColumns({"_b1": F.pmod(F.shiftrightunsigned("_h", 10), F.lit(_BINS)), "_b2": F.pmod(F.shiftrightunsigned("_h", 30), F.lit(_BINS))})
-    sums = rows.groupBy("_pattern").agg(F.sum("_size").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns; group the sources first")
-    capacity = {tuple(r["_pattern"]): r["n"] or 0 for r in sums}
-    used = route(capacity, quota, epochs)
-    plan = {p: divmod(used.get(p, 0), capacity[p]) if capacity[p] else (0, 0) for p in capacity}
-    bound = {p: [-1, -1, left] for p, (_, left) in plan.items() if left}
+    if isinstance(quota, dict):
+        quota = docs.sparkSession.createDataFrame(list(quota.items()), "source string, quota long")
+
+    def keyed(df: DataFrame, *more: Column) -> DataFrame:
+        hashed = df.select(
+            *more, F.col(id_col).alias("_id"), F.array_sort(F.array_distinct(F.coalesce(F.col(member_col), F.array().cast("array<string>")))).alias("_pattern"),
+            F.col(size_col).cast("long").alias("_size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"))
+        return hashed.withColumns({"_b1": F.pmod(F.shiftrightunsigned("_h", 10), F.lit(_BINS)), "_b2": F.pmod(F.shiftrightunsigned("_h", 30), F.lit(_BINS))})
+
+    rows = keyed(counted if counted is not None else docs)
+    capacity = materialize(rows.groupBy("_pattern").agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("n")), "mix-capacity")
+    plan = planned(capacity, quota, epochs)
+    bounds = plan.filter("room > 0").select("_pattern", F.lit(-1).cast("long").alias("m1"), F.lit(-1).cast("long").alias("m2"), "room")
     for level in (1, 2):
-        bound = _refine(rows, bound, level)
-    marks = _pattern_table(spark, [(list(p), plan[p][0], *bound.get(p, (-1, -1, 0))) for p in plan], "base long, m1 long, m2 long, room long")
-    at = rows.join(F.broadcast(marks), "_pattern")  # at most MAX_PATTERNS rows
+        bounds = _refine(rows, bounds, level)
+    marks = materialize(plan.select("_pattern", "base").join(bounds, "_pattern", "left").select("_pattern", "base", F.coalesce("m1", F.lit(-1)).alias("m1"), F.coalesce("m2", F.lit(-1)).alias("m2"), F.coalesce("room", F.lit(0)).alias("room")), "mix-marks")
     before = (F.col("_b1") < F.col("m1")) | ((F.col("_b1") == F.col("m1")) & (F.col("_b2") < F.col("m2")))
     edge = (F.col("_b1") == F.col("m1")) & (F.col("_b2") == F.col("m2"))
     # The last bin holds a millionth of a pattern; whole groups of equal ids are taken while they end nearer to the room left than they began.
-    last = Window.partitionBy("_pattern").orderBy("_h", "_id")
-    inside = (
-        at.filter(edge).groupBy("_pattern", "_h", "_id", "room").agg(F.sum("_size").alias("_n"))
-        .withColumn("_run", F.sum("_n").over(last.rowsBetween(Window.unboundedPreceding, 0)))
-        .filter(F.col("_run") - F.col("_n") / 2 <= F.col("room")).select(F.col("_pattern").alias("_p"), F.col("_h").alias("_g"), F.col("_id").alias("_i"))
-    )
+    last = Window.partitionBy("_pattern").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.join(marks, "_pattern").filter(edge).groupBy("_pattern", "_h", "_id", "room").agg(F.sum("_size").alias("_n"))
+    inside = inside.withColumn("_run", F.sum("_n").over(last)).filter(F.col("_run") - F.col("_n") / 2 <= F.col("room"))
+    inside = materialize(inside.select(F.col("_pattern").alias("_p"), F.col("_h").alias("_g"), F.col("_id").alias("_i")), "mix-inside")
     same = (F.col("_pattern") == F.col("_p")) & (F.col("_h") == F.col("_g")) & F.col("_id").eqNullSafe(F.col("_i"))
     once = F.when(before | F.col("_p").isNotNull(), 1).otherwise(0)
-    picked = at.join(inside, same, "left").select("_id", "_pattern", "_size", (F.col("base") + once).alias("_uses"))
-    return picked.select(F.col("_id").alias(id_col), F.col("_pattern").alias(member_col), F.col("_size").alias(size_col), (F.col("_size") * F.col("_uses")).alias("taken"))
-
-
-def _refine(rows: DataFrame, bound: dict[tuple, list], level: int) -> dict[tuple, list]:
-    """For each pattern, the hash bin in which the room left runs out, and the room at that bin's start."""
-    if not bound:
-        return bound
-    marks = _pattern_table(rows.sparkSession, [(list(p), *b) for p, b in bound.items()], "m1 long, m2 long, room long")
-    at = rows.join(F.broadcast(marks), "_pattern")
-    if level == 2:
-        at = at.filter(F.col("_b1") == F.col("m1"))
-    bins = at.groupBy("_pattern", "room", f"_b{level}").agg(F.sum("_size").alias("n"))
-    w = Window.partitionBy("_pattern").orderBy(f"_b{level}").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        bins.withColumn("run", F.sum("n").over(w)).filter(F.col("run") > F.col("room"))
-        .groupBy("_pattern").agg(F.min_by(F.struct(F.col(f"_b{level}").alias("bin"), (F.col("room") - F.col("run") + F.col("n")).alias("left")), f"_b{level}").alias("x")).collect()
-    )
-    return {p: ([r["x"]["bin"], -1, r["x"]["left"]] if level == 1 else [bound[p][0], r["x"]["bin"], r["x"]["left"]]) for r in found for p in [tuple(r["_pattern"])]}
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    picked = keyed(docs, whole).join(marks, "_pattern").join(inside, same, "left")
+    named = [F.col("_pattern").alias(c) if c == member_col else F.col("_size").alias(c) if c == size_col else F.col("_row")[c].alias(c) for c in docs.columns if c != "taken"]
+    return picked.select(*named, (F.col("_size") * (F.col("base") + once)).alias("taken"))
 
 
-def mix_documents(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: int = 17) -> DataFrame:
-    """Mix documents of one source each: (doc_id, source, size, source_size, target, taken).
+def mix_documents(docs: DataFrame, *, keep: list[str] | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: int = 17) -> DataFrame:
+    """Mix documents of one source each: the columns of docs (or those of `keep`), then size, source_size, target and taken.
 
-    A document of null source belongs to the source null, which comes last.
+    A document of null source belongs to the source null, which comes last. Columns named like the four are replaced.
     """
-    spark = docs.sparkSession
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.array("source").alias("members")), "mix-sizes")
-    per = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()}
-    if len(per) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} sources; group them first")
-    target = source_targets(per, weights, share, float(epochs))
-    mixed = mix(sized, {s: round(t) for s, t in target.items()}, epochs=epochs, seed=seed)
-    facts = spark.createDataFrame([(s, per[s], target[s]) for s in per], "source string, source_size long, target double")
-    own = mixed.withColumn("source", F.col("members")[0]).alias("m")
-    facts = F.broadcast(facts).alias("f")  # one row per source, counted above
-    return own.join(facts, F.col("m.source").eqNullSafe(F.col("f.source"))).select("doc_id", F.col("m.source").alias("source"), "size", "source_size", "target", "taken")
+    made = ["size", "source_size", "target", "taken"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    size, members = word_count(F.col("text")).alias("size"), F.array("source").alias("members")
+    counted = materialize(docs.select("doc_id", "source", size, members), "mix-sizes")
+    per = materialize(counted.groupBy("source").agg(F.sum("size").alias("n")), "mix-sources")
+    facts = materialize(source_targets(per, weights, share, float(epochs)).select(F.col("source").alias("_source"), F.col("n").alias("source_size"), "target"), "mix-targets")
+    quota = facts.select(F.col("_source").alias("source"), F.round("target").cast("long").alias("quota"))
+    if set(keep) <= {"doc_id", "source"}:
+        rows = counted.select(F.struct(*keep).alias("kept"), "doc_id", "source", "size", "members")
+    else:
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), "doc_id", "source", size, members)
+    mixed = mix(rows, quota, counted=counted.select("doc_id", "size", "members"), epochs=epochs, seed=seed)
+    out = mixed.join(facts, F.col("source").eqNullSafe(F.col("_source")))
+    return out.select(*[F.col("kept")[c].alias(c) for c in keep], *made)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix_documents(table(spark, sf_dir, "documents"), keep=["doc_id", "source"]).select("doc_id", "size", "source_size", "target", "taken", "source")

@@ -66,6 +66,32 @@ def test_sizes_near_target_on_many_documents(spark):
     assert all(abs(r["t"] - r["g"]) <= 40 for r in got)
 
 
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 3)
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 30)), None if i % 41 == 0 else f"h{(i * i) % 97}é" if i % 2 else f"h{i % 13}") for i in range(2000)]
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    want = python_targets(sizes)
+    got = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        assert r["target"] == pytest.approx(want[r["source"]]) and r["text"] is not None
+    assert len(sizes) > 40 and all(abs(taken[s] - want[s]) <= 31 for s in want)
+    clash = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"]), (3, ["c", "d"]), (4, ["d"])], "doc_id long, members array<string>").withColumn("size", F.lit(5))
+    with pytest.raises(ValueError, match="overlapping"):
+        mixing.mix(clash, {"a": 1})
+
+
+def test_mix_keeps_all_columns(docs):
+    got = mixing.mix_documents(docs.withColumn("size", F.lit("x")).withColumn("kept", F.lit(1)))
+    assert got.columns == [*docs.columns, "kept", "size", "source_size", "target", "taken"]
+    key = lambda df: Counter(map(repr, df.select(*docs.columns).collect()))
+    assert key(got) == key(docs)
+
+
 def brute_cost(capacity, quota, epochs=2):
     """Cheapest total cost of units for tiny instances, by trying all flows unit by unit."""
     best = None
@@ -102,6 +128,20 @@ def test_overlapping_members(spark):
     assert sum(r["taken"] for r in got) == 300 and all(r["taken"] == 0 for r in got if not r["members"])
 
 
+def test_items_of_one_text_and_hot_seeds(spark):
+    rng = random.Random(9)
+    common = "one common opening of seven words here"
+    items = [(i, common + " " + " ".join(f"i{i}w{j}" for j in range(8))) for i in range(60)] + [(100, None), (101, "short item"), (102, "short item")]
+    items += [(200 + i, items[3][1]) for i in range(3)]
+    docs = [(i, " ".join(f"d{rng.randrange(999)}" for _ in range(20)) + " " + common) for i in range(40)]
+    docs += [(50, "lead " + items[3][1] + " tail"), (51, "a short item is here")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("key", F.col("doc_id"))
+    for block in (1500, 10**6):
+        got = {(r["doc_id"], r["item_id"], r["words"], r["equal"]) for r in decontaminate.find_overlaps(frame, benchmark, block_seeds=block).collect()}
+        assert got == {(50, i, 15, 15) for i in (3, 200, 201, 202)} | {(51, 101, 2, 2), (51, 102, 2, 2)}
+
+
 # --- fingerprints -------------------------------------------------------------------------------------
 
 
