@@ -105,36 +105,40 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, least_words: int = L
 
     docs: (key long, doc_id, text); benchmark: (item_id, text). start is the overlap's first word in the document.
     """
-    items = materialize(benchmark.select("item_id", word_hashes("text").alias("words")).filter(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).distinct(), "bench-items")
+    named = materialize(benchmark.select("item_id", word_hashes("text").alias("words")).filter(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).distinct(), "bench-named")
+    # Items of one text are sought once.
+    items = materialize(named.select("words").distinct().withColumn("item", F.monotonically_increasing_id()), "bench-items")
+    named = named.join(items, "words").select("item", "item_id")
     # Items too short for an overlap are sought whole: at most least_words - 1 lengths.
     is_short = F.size("words") < least_words
     short = sorted(r["n"] for r in items.filter(is_short).select(F.size("words").alias("n")).distinct().collect())
     masks = sorted({m[:least_words] for m in masks})
     whole = ["1" * n for n in short]
     used = [*masks, *(m for m in whole if m not in masks)]
-    seeds = with_seeds(items.filter(~is_short).select("item_id", "words"), masks)
+    seeds = with_seeds(items.filter(~is_short).select("item", "words"), masks)
     for m in whole:
-        seeds = seeds.unionByName(with_seeds(items.filter(F.size("words") == len(m)).select("item_id", "words"), [m]))
-    tests = materialize(seeds.select("h", "item_id", F.col("at").alias("item_at"), F.col("n").alias("item_words")), "bench-seeds")
+        seeds = seeds.unionByName(with_seeds(items.filter(F.size("words") == len(m)).select("item", "words"), [m]))
+    tests = materialize(seeds.select("h", "item", F.col("at").alias("item_at"), F.col("n").alias("item_words")), "bench-seeds")
     blocks = -(-max(1, tests.count()) // block_seeds)
     words = docs.select("key", "doc_id", word_hashes("text").alias("words"))
     found = None
     for block in range(blocks):
-        part = F.broadcast(tests.filter(F.pmod("h", F.lit(blocks)) == block))  # block_seeds rows on average
+        # By hash, item and place, so that a seed of very many items is spread over all blocks.
+        part = F.broadcast(tests.filter(F.pmod(F.xxhash64("h", "item", "item_at"), F.lit(blocks)) == block))
         hits = with_seeds(words, used).join(part, "h")
         # The item laid over the document: its words from `skip` on meet the document's from `begin` on.
         lag = F.col("at") - F.col("item_at")
-        hits = hits.select("key", "doc_id", "item_id", "item_words", F.greatest(lag, F.lit(0)).alias("begin"), F.greatest(-lag, F.lit(0)).alias("skip"), "words")
-        hits = hits.select("key", "doc_id", "item_id", "item_words", "begin", "skip", F.slice("words", F.col("begin") + 1, F.col("item_words") - F.col("skip")).alias("laid"))
+        hits = hits.select("key", "doc_id", "item", "item_words", F.greatest(lag, F.lit(0)).alias("begin"), F.greatest(-lag, F.lit(0)).alias("skip"), "words")
+        hits = hits.select("key", "doc_id", "item", "item_words", "begin", "skip", F.slice("words", F.col("begin") + 1, F.col("item_words") - F.col("skip")).alias("laid"))
         found = hits if found is None else found.unionByName(hits)
-    laid = found.distinct().alias("l").join(items.alias("i"), F.col("l.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("l.item_words") == F.size("i.words")))
-    laid = laid.withColumn("under", F.slice("i.words", F.col("skip") + 1, F.size("laid")))
+    laid = found.distinct().join(items, "item")
+    laid = laid.withColumn("under", F.slice("words", F.col("skip") + 1, F.size("laid")))
     entire = F.array(F.struct(F.col("item_words").alias("equal"), F.col("item_words").alias("words"), F.lit(0).alias("start")))
-    equal = F.when(F.col("laid") == F.col("i.words"), entire)
+    equal = F.when(F.col("laid") == F.col("words"), entire)
     stretch = F.when(F.col("item_words") < least_words, equal).otherwise(best_stretch(F.col("laid"), F.col("under"), least_share, least_words))
-    laid = laid.select("key", "doc_id", F.col("l.item_id").alias("item_id"), "item_words", "begin", F.inline(stretch))
+    laid = laid.select("key", "doc_id", "item", "item_words", "begin", F.inline(stretch))
     best = F.max(F.struct("equal", (-F.col("words")).alias("w"), (-(F.col("begin") + F.col("start"))).alias("s"), "item_words")).alias("b")
-    best = laid.groupBy("key", "doc_id", "item_id").agg(best)
+    best = laid.groupBy("key", "doc_id", "item").agg(best).join(named, "item")
     return best.select("key", "doc_id", "item_id", (-F.col("b.s")).alias("start"), (-F.col("b.w")).alias("words"), F.col("b.equal").alias("equal"), F.col("b.item_words").alias("item_words"))
 
 
