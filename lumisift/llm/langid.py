@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard as zstd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -62,8 +62,8 @@ def _compressor(content: bytes, settings: LangIdSettings) -> zstd.ZstdCompressor
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", settings: LangIdSettings = LangIdSettings()) -> dict[str, bytes]:
     """A dictionary per language, from a hash-chosen sample whose size does not depend on the corpus.
 
-    The rate of the sample follows from a count by language; what is drawn is trimmed to exactly
-    sample_docs in hash order on the driver.
+    The rate of the sample follows from a count by language; repeated texts are drawn once, and of the
+    rows drawn the first 3 * sample_docs in hash order reach the driver, for each language in the data.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -71,10 +71,12 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
         return {}
     spread = 1 << 20
     rate = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(spread, spread * 3 * settings.sample_docs // n + 1)))])
-    rows = rows.withColumn("h", F.xxhash64(F.lit(settings.seed), "id")).filter(F.pmod("h", F.lit(spread)) < rate[F.col("lang")])
+    rows = rows.withColumn("h", F.xxhash64(F.lit(settings.seed), "id", "text")).filter(F.pmod("h", F.lit(spread)) < rate[F.col("lang")])
     # A piece from anywhere in the text, so that common openings don't fill the dictionary.
     at = F.pmod(F.shiftrightunsigned("h", 20), F.greatest(F.length("text") - settings.sample_chars, F.lit(0)) + 1) + 1
-    drawn = rows.select("lang", "h", F.substring("text", at.cast("int"), F.lit(settings.sample_chars)).alias("piece")).collect()
+    once = rows.select("lang", "h", F.substring("text", at.cast("int"), F.lit(settings.sample_chars)).alias("piece")).dropDuplicates(["lang", "h"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    drawn = once.withColumn("place", place).filter(F.col("place") <= 3 * settings.sample_docs).collect()
     pieces = defaultdict(dict)
     for r in sorted(drawn, key=lambda r: (r["lang"], r["h"], r["piece"])):
         clean = letters_only(r["piece"])
