@@ -13,6 +13,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     known = spark.conf.get("spark.lumisift.shared.dir", None)
     if not known:
         known = "file://" + tempfile.mkdtemp(prefix="lumisift-")

@@ -145,7 +145,7 @@ def find_repeats(texts: DataFrame, window: int, seed_words: int) -> DataFrame:
 
     texts: (key long, text); rows of one key have one text.
     """
-    found = seed_table(texts, window, seed_words)
+    found = materialize(seed_table(texts, window, seed_words), "repeat-seeds")
     shared = materialize(found.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a"), "repeat-shared")
     kept = materialize(found.join(shared, "a"), "repeat-anchors")
     # One row per distinct extension: how often it occurs, and one occurrence that can show its windows.
@@ -177,8 +177,8 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 total.append(len(words))
                 if low.is_valid:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, low.values.to_numpy(), 1)
-                    np.add.at(edge, high.values.to_numpy() + window, -1)
+                    np.add.at(edge, np.minimum(low.values.to_numpy(), len(words)), 1)
+                    np.add.at(edge, np.minimum(high.values.to_numpy() + window, len(words)), -1)
                     covered = np.cumsum(edge[:-1]) > 0
                     words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
                 gone.append(total[-1] - len(words))
