@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +28,22 @@ def classify_run_type(df: DataFrame, images_col: str = "n_difference_images") ->
     return df.withColumn("run_type", run_type(F.col(images_col)) if images_col in df.columns else F.lit("single_sector"))
 
 
+def _metric(df: DataFrame, out: str, how: Callable[..., Column], *needs: str) -> DataFrame:
+    """Add how(columns); null where a column is absent."""
+    given = set(needs) <= set(df.columns)
+    return df.withColumn(out, how(*[F.col(n) for n in needs]) if given else F.lit(None).cast("double"))
+
+
 def add_reduced_chi_square(df: DataFrame) -> DataFrame:
-    return df.withColumn("model_chi_square_reduced", over(F.col("model_chi_square"), F.col("model_degrees_of_freedom")))
+    return _metric(df, "model_chi_square_reduced", over, "model_chi_square", "model_degrees_of_freedom")
 
 
 def add_odd_even_depth_sig(df: DataFrame) -> DataFrame:
-    return df.withColumn("odd_even_depth_sig", root(F.col("odd_even_depth_statistic")))
+    return _metric(df, "odd_even_depth_sig", root, "odd_even_depth_statistic")
 
 
 def add_ghost_diagnostic_ratio(df: DataFrame) -> DataFrame:
-    return df.withColumn("ghost_diagnostic_ratio", over(F.col("ghost_core_correlation"), F.col("ghost_halo_correlation")))
+    return _metric(df, "ghost_diagnostic_ratio", over, "ghost_core_correlation", "ghost_halo_correlation")
 
 
 def sector_run(sector: Column) -> Column:

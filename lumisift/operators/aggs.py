@@ -55,28 +55,24 @@ def summary_gates(df: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 30, log_x: bool = False) -> DataFrame:
     """(bin, low, high, n): equal-width bins closed on the right, empty ones included, the lowest edge widened by 0.1 % of the range.
 
-    Two passes over one column: its range, then its counts. One value only: both edges move by 0.1 % of it. No values: no rows.
+    Two passes over one column: its range (a scalar subquery), then its counts. One value only: both edges
+    move by 0.1 % of it. No values: no rows.
     """
     value = F.col(column).cast("double")
     value = log10_positive(value) if log_x else value
     v = df.select(F.when(~F.isnan(value), value).alias("v")).filter("v is not null")
-    low, high = v.agg(F.min("v"), F.max("v")).first()
-    spark = df.sparkSession
-    if low is None:
-        return spark.createDataFrame([], "bin int, low double, high double, n long")
-    if low == high:
-        room = 0.001 * abs(low) if low else 0.001
-        low, high, first = low - room, high + room, low - room
-    else:
-        first = low - 0.001 * (high - low)
-    width = (high - low) / bins
+    lo, hi = F.col("lo"), F.col("hi")
+    room = F.when(lo < hi, 0.0).when(lo == 0, 0.001).otherwise(0.001 * F.abs(lo))
+    first = F.when(lo < hi, lo - 0.001 * (hi - lo)).otherwise(lo - room)
+    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).select((lo - room).alias("low"), first.alias("first"), ((hi + room - (lo - room)) / bins).alias("width"))
+    low, first, width = (ends.select(c).scalar() for c in ("low", "first", "width"))
     guess = F.ceil((F.col("v") - low) / width)
     # The quotient may round across an edge; the edges themselves decide.
     exact = F.when(F.col("v") <= low + (guess - 1) * width, guess - 1).when(F.col("v") > low + guess * width, guess + 1).otherwise(guess)
     at = F.greatest(F.lit(1), F.least(F.lit(bins), exact)).cast("int")
-    counts = v.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    edges = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-    left = F.when(F.col("bin") == 1, F.lit(first)).otherwise(low + (F.col("bin") - 1) * width)
+    counts = v.select(at.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    edges = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin")).filter(low.isNotNull())
+    left = F.when(F.col("bin") == 1, first).otherwise(low + (F.col("bin") - 1) * width)
     return edges.join(counts, "bin", "left").select("bin", left.alias("low"), (low + F.col("bin") * width).alias("high"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -109,11 +105,11 @@ def density2d(df: DataFrame, x: str, y: str, bins: int = 20, log_x: bool = False
     """(xbin, ybin, n): counts on a grid over the pairs with both values (positive ones on a log axis). A dump of points would not scale."""
     raw = [log10_positive(F.col(c).cast("double")) if log else F.col(c).cast("double") for c, log in ((x, log_x), (y, log_y))]
     v = df.select(*[F.when(~F.isnan(r), r).alias(n) for r, n in zip(raw, "xy", strict=True)]).filter("x is not null and y is not null")
-    x0, x1, y0, y1 = v.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if x0 is None:
-        return df.sparkSession.createDataFrame([], "xbin int, ybin int, n long")
-    at = lambda c, low, high: F.least(F.lit(bins - 1), F.floor((F.col(c) - low) / (((high - low) or 1.0) / bins))).cast("int")
-    return v.groupBy(at("x", x0, x1).alias("xbin"), at("y", y0, y1).alias("ybin")).agg(F.count(F.lit(1)).alias("n"))
+    spread = lambda c: F.when(F.max(c) > F.min(c), F.max(c) - F.min(c)).otherwise(1.0) / bins
+    ends = v.agg(F.min("x").alias("x0"), spread("x").alias("xw"), F.min("y").alias("y0"), spread("y").alias("yw"))
+    at = lambda c: F.least(F.lit(bins - 1), F.floor((F.col(c) - ends.select(f"{c}0").scalar()) / ends.select(f"{c}w").scalar())).cast("int")
+    cells = v.select(at("x").alias("xbin"), at("y").alias("ybin"))
+    return cells.groupBy("xbin", "ybin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def score_coverage(df: DataFrame, score: str = "score") -> DataFrame:

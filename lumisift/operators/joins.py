@@ -57,6 +57,11 @@ def add_family_flags(df: DataFrame, catalogs: dict[str, tuple[str, DataFrame, bo
     return out.withColumns({f"in_family_{f}": true(F.col(f"_f_{f}")) for f in families}).drop("_id", *[f"_f_{f}" for f in families])
 
 
+def add_filter_catalogs(df: DataFrame, catalogs: dict[str, DataFrame | None], key: str = "tic_id") -> DataFrame:
+    """in_<catalog> for each catalog of the filter configuration, which the filter chain reads by its switches; in none where a catalog is missing."""
+    return membership(df, catalogs, {name: f"in_{name}" for name in catalogs}, key)
+
+
 def require_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
     """The same rows; running it raises if a key occurs twice. The check is a filter, so no pruning removes it."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))

@@ -56,6 +56,7 @@ def select_candidates(df: DataFrame, top_n: int | None = None, *, passes: str =
 
 
 def control_sample(df: DataFrame, size: int = 50, *, passes: str = "passes_all_filters", keys: tuple[str, ...] = ("tic_id", "planet_number", "sector"), seed: int = 42) -> DataFrame:
-    """A reproducible sample of failed rows: the smallest seeded hashes of the key, whatever the layout of the data."""
+    """A reproducible sample of failed rows: the smallest MD5 of seed and key (null: empty), whatever the layout of the data."""
     failed = df.filter(~true(F.col(passes)))
-    return failed.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(size).withColumn("is_control_sample", F.lit(True))
+    drawn = F.md5(F.concat_ws("-", F.lit(seed).cast("string"), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    return failed.orderBy(drawn, *keys).limit(size).withColumn("is_control_sample", F.lit(True))

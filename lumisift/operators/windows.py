@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,19 +17,20 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
-def add_matching_period_signals(df: DataFrame, tol_days: float = 0.01, *, period_col: str = "orbital_period_days", partition_keys: tuple[str, ...] = ("tic_id",), out: str = "matching_period_signals") -> DataFrame:
+def add_matching_period_signals(df: DataFrame, tol_days: float = 0.01, *, period_col: str = "orbital_period_days", partition_keys: tuple[str, ...] = ("tic_id",), null_keys: bool = True, out: str = "matching_period_signals") -> DataFrame:
     """True on all rows of an entity that has two periods less than tol_days apart.
 
     Sorted neighbours suffice, so this is a window and not a self join; both windows and a later join on
-    the same keys share one exchange. A null key is nobody's entity: False.
+    the same keys share one exchange. A null key is nobody's entity: False, and such rows stay out of the
+    windows, where they would be one group (null_keys=False promises that there are none). An absent column: False.
     """
+    if not {period_col, *partition_keys} <= set(df.columns):
+        return df.withColumn(out, F.lit(False))
     by_key = Window.partitionBy(*partition_keys)
     gap = F.col(period_col) - F.lag(period_col).over(by_key.orderBy(F.col(period_col).asc_nulls_first()))
-    known = [F.col(k).isNotNull() for k in partition_keys]
-    inside = known[0]
-    for k in known[1:]:
-        inside = inside & k
-    return df.withColumn("_gap", gap).withColumn(out, true(F.max(true(F.col("_gap") < tol_days)).over(by_key)) & inside).drop("_gap")
+    inside = reduce(Column.__and__, [F.col(k).isNotNull() for k in partition_keys])
+    known = df.filter(inside).withColumn("_gap", gap).withColumn(out, true(F.max(true(F.col("_gap") < tol_days)).over(by_key))).drop("_gap")
+    return known.unionByName(df.filter(~inside).withColumn(out, F.lit(False))) if null_keys else known
 
 
 #: The period ratios that count as related.

@@ -85,8 +85,8 @@ _FAILED = {
     "failed_suspected_eb": "coalesce(suspected_eclipsing_binary, FALSE)",
     "failed_odd_even": "coalesce(odd_even_depth_sig > 35, FALSE)",
     "failed_period_harmonic": "period_harmonic_match",
-    "failed_known_eb": "simbad_is_eb",
-    "failed_known_dipper": "FALSE",
+    "failed_known_eb": "simbad_is_eb OR tic_id % 97 = 0 OR tic_id % 89 = 0",
+    "failed_known_dipper": "tic_id % 101 = 0",
     "failed_simbad_variable": "simbad_is_variable",
     "failed_well_fit": "coalesce(model_chi_square_reduced < 1.1, FALSE)",
 }
@@ -111,6 +111,16 @@ def oracle_sql() -> dict[str, str]:
     grid = "CAST(least(19, floor(({c} - {c}0) / (({c}1 - {c}0) / 20))) AS INT)"
     return {
         "derived_metrics": _met(f"SELECT {_KEYS}, model_chi_square_reduced, odd_even_depth_sig, ghost_diagnostic_ratio, matching_period_signals FROM met"),
+        "metrics_absent_columns": f"WITH {_TCE}\nSELECT {_KEYS}, CAST(NULL AS DOUBLE) AS model_chi_square_reduced, CAST(NULL AS DOUBLE) AS odd_even_depth_sig, CAST(NULL AS DOUBLE) AS ghost_diagnostic_ratio, FALSE AS matching_period_signals, "
+        + ", ".join(f"{'coalesce(NOT full_convergence, FALSE)' if n == 'flag_no_convergence' else 'FALSE'} AS {n}" for n in _RULES) + " FROM tce",
+        "report_tables": f"""{_FULL}, h AS (SELECT min(tess_mag) AS lo, (max(tess_mag) - min(tess_mag)) / 30 AS w FROM sample),
+hc AS (SELECT CAST(greatest(1, least(30, ceil((tess_mag - lo) / h.w))) AS INT) AS bin, count(*) AS n FROM sample, h GROUP BY 1)
+SELECT 'n_total' AS metric, count(*) AS n FROM sample UNION ALL SELECT 'n_clean', count_if(in_clean_sample) FROM sample UNION ALL SELECT 'n_unflagged_diagnostics', count_if(NOT by_diagnostics) FROM sample
+UNION ALL SELECT 'n_unflagged_catalog', count_if(NOT flag_catalog_eb) FROM sample UNION ALL SELECT 'n_survivors', count_if(NOT any_diagnostic_flag) FROM sample UNION ALL SELECT 'entities', count(DISTINCT tic_id) FROM sample
+UNION ALL """ + _long("sample", {n: n for n in _SUMMARY} | {"unflagged": "NOT any_diagnostic_flag", "rows": "TRUE"}, m) + "\nUNION ALL SELECT concat('tess_mag ', b), coalesce(n, 0) FROM range(1, 31) t(b) LEFT JOIN hc ON hc.bin = b",
+        "prefixed_columns": "SELECT o_orderkey % 7 AS part, count(*) AS n, max(0.8 + (o_custkey % 20) / CAST(10 AS DOUBLE)) AS most FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1",
+        "score_round_trip": f"WITH {_TCE}, {_MET}, {_FLG}, {_PRED}\nSELECT tic_id, {_OWN_RUN} AS sector_run, count(*) AS n_signals, count(score) AS n_scored FROM flg LEFT JOIN pred ON tic_id = target_id AND planet_number = tce_plnt_num AND uid = concat(tic_id, '-', planet_number, '-S', sector) WHERE NOT any_diagnostic_flag GROUP BY 1, 2",
+        "control_sample": _flg(f"SELECT {_KEYS}, TRUE AS is_control_sample FROM flg WHERE any_diagnostic_flag ORDER BY md5(concat_ws('-', '42', tic_id, planet_number, sector)), {_KEYS} LIMIT 50"),
         "matching_period": _met("SELECT matching_period_signals, count(*) AS n, count(DISTINCT tic_id) AS n_entities FROM met GROUP BY 1"),
         "diagnostic_flags": _flg(f"SELECT {_KEYS}, {', '.join(_RULES)}, annotation_low_rchisq, any_diagnostic_flag FROM flg"),
         "any_flag": _flg("SELECT any_diagnostic_flag, count(*) AS n FROM flg GROUP BY 1"),

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import __version__
-from ..functions.exprs import classify_run_type, with_provenance
+from ..functions.exprs import classify_run_type, sector_run, with_provenance
 from ..functions.nulls import nan_to_null
 from ..operators.aggs import cooccurrence, distribution_stats, histogram, long_form, sample_summary, score_coverage, summary_gates
-from ..operators.flags import CATALOG_FLAG, DIAGNOSTIC_FLAGS, add_any_flag, add_derived_metrics, add_diagnostic_flags, apply_cuts
-from ..operators.joins import add_catalog_flags, enrich
+from ..operators.flags import CATALOG_FLAG, DIAGNOSTIC_FLAGS, add_any_flag, add_derived_metrics, add_diagnostic_flags, apply_cuts, apply_filters, survivors
+from ..operators.joins import add_catalog_flags, add_filter_catalogs, enrich, merge_predictions
 from ..operators.select import survivor_table
 from ..operators.sets import union_sectors
-from ..sources.tables import with_thresholds
+from ..sources.tables import with_thresholds, write_work_list
 
 
 def build_sample(parts: list[DataFrame], config: dict[str, Any], *, stellar: DataFrame | None = None, stellar_order: list | None = None, **catalogs: DataFrame | None) -> DataFrame:
@@ -58,6 +58,31 @@ def build_parent_sample(observed: DataFrame, config: dict[str, Any], stellar: Da
     return apply_cuts(enrich(grouped, stellar, key=entity, marker=marker), config)
 
 
+def filter_chain(df: DataFrame, config: dict[str, Any], catalogs: dict[str, DataFrame | None]) -> DataFrame:
+    """The filter chain with its catalogs: in_<catalog> columns, then failed_* and passes_all_filters by the configuration's switches."""
+    return apply_filters(add_filter_catalogs(df, catalogs), config)
+
+
+def score_round_trip(sample: DataFrame, scores: DataFrame, path: str | None = None, **how: Any) -> DataFrame:
+    """The work list of a sample's survivors, written to `path` if given, with how many of its signals have come back scored.
+
+    (tic_id, sector_run, n_signals, n_scored): a run without scores is still out.
+    """
+    kept = survivors(sample)
+    write_work_list(kept, path)
+    merged = merge_predictions(kept, scores, **how)
+    return merged.groupBy("tic_id", sector_run(F.col("sector")).alias("sector_run")).agg(F.count(F.lit(1)).alias("n_signals"), F.count("score").alias("n_scored"))
+
+
+def write_summary_records(df: DataFrame, path: str, keys: tuple[str, ...] = ("tic_id", "planet_number", "sector"), by: str = "sector") -> None:
+    """Append summary records as Parquet by sector; keys that the folder holds already are skipped."""
+    spark, records = df.sparkSession, summary_records(df, keys)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        records = records.join(spark.read.schema(records.schema).parquet(path).select(*keys), list(keys), "left_anti")
+    records.write.mode("append").partitionBy(by).parquet(path)
+
+
 def phase_fold(series: DataFrame, candidates: DataFrame, bins: int = 100, *, entity: str = "tic_id", time: str = "t", value: str = "value", period: str = "orbital_period_days", epoch: str = "epoch") -> DataFrame:
     """(candidate keys, phase_bin, n, mean, stddev): all sectors of a series folded at each candidate's period and stacked."""
     keys = [c for c in candidates.columns if c not in (period, epoch)]
@@ -74,4 +99,4 @@ def summary_records(df: DataFrame, keys: tuple[str, ...] = ("tic_id", "planet_nu
     return df.select(*keys, F.to_json(F.struct("*")).alias("record"))
 
 
-__all__ = ["build_sample", "report", "build_parent_sample", "phase_fold", "summary_records", "long_form"]
+__all__ = ["build_sample", "report", "build_parent_sample", "filter_chain", "score_round_trip", "write_summary_records", "phase_fold", "summary_records", "long_form"]

@@ -34,6 +34,31 @@ def derived_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics(spark, d).select(*KEYS, "model_chi_square_reduced", "odd_even_depth_sig", "ghost_diagnostic_ratio", "matching_period_signals")
 
 
+def metrics_absent_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics and flags of a table with few of their inputs: null and False, no error."""
+    few = proxy.tce(spark, d).select(*KEYS, "model_chi_square", "orbital_period_days", "full_convergence")
+    out = few.drop("orbital_period_days").transform(flags.add_derived_metrics).transform(flags.add_diagnostic_flags)
+    return out.select(*KEYS, "model_chi_square_reduced", "odd_even_depth_sig", "ghost_diagnostic_ratio", "matching_period_signals", *flags.DIAGNOSTIC_FLAGS)
+
+
+def report_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of a whole report in one table: gates, summary and one histogram."""
+    out = pipelines.report(_sample(spark, d))
+    gates = aggs.long_form(out["gates"], out["gates"].columns)
+    bars = out["histogram_tess_mag"].select(F.concat(F.lit("tess_mag "), F.col("bin").cast("string")).alias("metric"), "n")
+    return gates.unionByName(out["summary"].select("metric", "n")).unionByName(bars)
+
+
+def prefixed_columns(spark: SparkSession, d: str) -> DataFrame:
+    return exprs.prefixed(proxy.stellar(spark, d).filter("copy = 0"), "cat_", ["tic_id"]).groupBy((F.col("tic_id") % 7).alias("part")).agg(F.count("cat_copy").alias("n"), F.max("cat_doyle_ruwe").alias("most"))
+
+
+def score_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Work list of the survivors against the scores that came back for it."""
+    rows = flagged(spark, d)
+    return pipelines.score_round_trip(rows, proxy.predictions(proxy.tce(spark, d)))
+
+
 def matching_period(spark: SparkSession, d: str) -> DataFrame:
     return windows.add_matching_period_signals(proxy.tce(spark, d), 0.01).groupBy("matching_period_signals").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tic_id").alias("n_entities"))
 
@@ -256,7 +281,7 @@ def period_harmonics(spark: SparkSession, d: str) -> DataFrame:
 FILTERS = {
     "data_quality": {"require_convergence": True, "centroid_offset_sigma_max": 3.0, "ghost_ratio_min": 1.0, "model_fit_snr_min": 20.0},
     "false_positive": {"odd_even_significance_max": 35.0, "treat_suspected_eb_as_failed": True, "fail_period_harmonics": True},
-    "catalog_filters": {},
+    "catalog_filters": {"prsa_eb": True, "kostov_eb": True, "oddo_dipper": True, "unvetted_cpv": False, "high_ruwe": True},
     "simbad_filter": {"enabled": True},
     "anomaly": {"reduced_chisq_min": 1.1},
 }
@@ -267,7 +292,9 @@ FAILED = ["failed_convergence", "failed_centroid", "failed_ghost", "failed_low_s
 
 def _filtered(spark: SparkSession, d: str) -> DataFrame:
     rows = flags.derive_type_flags(metrics(spark, d), TYPES)
-    return flags.apply_filters(windows.flag_period_harmonics(rows), FILTERS)
+    c = proxy.id_catalogs(spark, d)
+    catalogs = {"prsa_eb": c["prsa"], "kostov_eb": c["kostov_vetted"], "oddo_dipper": c["oddo"], "unvetted_cpv": c["kostov_unvetted"], "high_ruwe": c["kostov_unvetted"]}
+    return pipelines.filter_chain(windows.flag_period_harmonics(rows), FILTERS, catalogs)
 
 
 def filter_chain(spark: SparkSession, d: str) -> DataFrame:
@@ -375,6 +402,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sectors_seen, density2d, survivor_table, sorted_page, worklist, merge_predictions_scoped, merge_predictions_unscoped, median_z, score_coverage, suspect_joins,
         uid_runs, bitmask_sectors, report_urls, log10_values, parse_reports, reject_counts, fixed_width, catalog_ids, period_harmonics, filter_chain, anomaly_score,
         type_flags, stale_lookups, newest_lookups, family_flags, parent_sample, top_n, control_sample, shared_triples, sentinel_parameters, deep_eclipse,
-        decision_rejects, agreement, revet_queue, new_files, phase_fold, summary_records,
+        decision_rejects, agreement, revet_queue, new_files, phase_fold, summary_records, metrics_absent_columns, report_tables, prefixed_columns, score_round_trip,
     )
 }

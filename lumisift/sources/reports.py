@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,7 +136,7 @@ def signal_columns(p: Column) -> dict[str, Column]:
 
 @dataclass
 class Parsed:
-    """signals: one row per signal; file_errors: files that are no report; rejects: signals without a number."""
+    """signals: one row per signal; file_errors: files that are no report; rejects: signals without a number; all from `files`, parsed."""
 
     files: DataFrame
     signals: DataFrame
@@ -144,8 +145,9 @@ class Parsed:
 
     def counts(self) -> DataFrame:
         """One row: files_total, files_ok, files_failed, tces_extracted."""
-        of_files = self.files.agg(F.count(F.lit(1)).alias("files_total"), F.count_if(F.col("error_type").isNull()).alias("files_ok"), F.count_if(F.col("error_type").isNotNull()).alias("files_failed"))
-        return of_files.withColumn("tces_extracted", F.lit(self.signals.count()))
+        of_file = self.files.select("error_type", F.when(F.col("error_type").isNull(), F.filter("r.planetResults", lambda p: to_long(p["_planetNumber"]).isNotNull())).alias("p"))
+        failed = F.col("error_type").isNotNull()
+        return of_file.agg(F.count(F.lit(1)).alias("files_total"), F.count_if(~failed).alias("files_ok"), F.count_if(failed).alias("files_failed"), F.coalesce(F.sum(F.size(F.coalesce("p", F.array()))), F.lit(0)).cast("long").alias("tces_extracted"))
 
 
 def scan_reports(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,27 +165,43 @@ def parse_reports(texts: DataFrame, *, text_col: str = "value", path_col: str =
     root = F.regexp_extract(F.regexp_replace(F.col(text_col), r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>]*>", ""), r"^\s*<(?:[\w.-]+:)?([\w.-]+)[\s/>]", 1)
     error = F.when(F.col("_root") != ROOT, F.when(F.col("r._corrupt_record").isNotNull() | (F.col("_root") == ""), "ParseError").otherwise("ValueError")).when(F.col("r._corrupt_record").isNotNull() | F.col("r").isNull(), "ParseError")
     message = F.when(F.col("error_type") == "ValueError", F.concat(F.lit("unexpected root element "), F.col("_root"))).when(F.col("error_type").isNotNull(), "not well-formed")
-    files = texts.select(F.col(path_col).alias("path"), root.alias("_root"), F.from_xml(F.coalesce(text_col, F.lit("")), report_schema(), options).alias("r"))
+    # Exploded from an array of one: filters on the result can't move below a generator and parse again.
+    files = texts.select(F.col(path_col).alias("path"), root.alias("_root"), F.explode(F.array(F.from_xml(F.coalesce(text_col, F.lit("")), report_schema(), options))).alias("r"))
     files = files.withColumn("error_type", error).withColumn("message", message)
     errors = files.filter("error_type is not null").select(F.current_timestamp().alias("timestamp"), F.lit("file").alias("level"), "path", "error_type", "message")
     each = files.filter("error_type is null").select("path", "r", F.explode("r.planetResults").alias("p"))
     rows = each.select(F.regexp_extract("path", "[^/]*$", 0).alias("xml_filename"), F.col("path").alias("_path"), *[c.alias(n) for n, c in (target_columns(F.col("r"), bit_order) | signal_columns(F.col("p"))).items()])
     rejects = rows.filter("planet_number is null").select(F.current_timestamp().alias("timestamp"), F.lit("tce").alias("level"), F.col("_path").alias("path"), "tic_id", F.lit("ValueError").alias("error_type"), F.lit("planetNumber is missing or no integer").alias("message"))
-    return Parsed(files.select("path", "error_type"), rows.filter("planet_number is not null").drop("_path"), errors, rejects)
+    return Parsed(files, rows.filter("planet_number is not null").drop("_path"), errors, rejects)
 
 
-def write_signals(parsed: Parsed, path: str, errors_path: str, parser_version: str) -> bool:
+def write_signals(parsed: Parsed, path: str, errors_path: str, parser_version: str, observed: dict[str, int] | None = None) -> bool:
     """Write signals by sector (replacing only the sectors present) and errors as JSON lines; nothing if there are no rows.
 
-    Returns False if there were files and every one failed.
+    Files are parsed once and kept on disk for the run. Returns False if there were files and every one
+    failed; `observed` (a dictionary) receives files_total, files_ok, files_failed and rows written.
     """
+    parsed.files.persist(StorageLevel.DISK_ONLY)
+    try:
+        return _write(parsed, path, errors_path, parser_version, {} if observed is None else observed)
+    finally:
+        parsed.files.unpersist()
+
+
+def _write(parsed: Parsed, path: str, errors_path: str, parser_version: str, observed: dict[str, int]) -> bool:
+    of_files, of_rows = Observation("files"), Observation("signals")
+    watched = parsed.files.observe(of_files, F.count(F.lit(1)).alias("files_total"), F.count_if(F.col("error_type").isNull()).alias("files_ok"))
+    watched.select("path").write.format("noop").mode("overwrite").save()
     signals = parsed.signals
     stamps = {"parser_version": F.lit(parser_version), "parsed_at": F.current_timestamp()}
     signals = signals.withColumns({k: v for k, v in stamps.items() if k not in signals.columns})
     if not signals.isEmpty():
+        signals = signals.observe(of_rows, F.count(F.lit(1)).alias("rows"))
         signals.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sector").parquet(path)
+        observed["rows"] = of_rows.get["rows"]
     errors = parsed.file_errors.unionByName(parsed.rejects, allowMissingColumns=True)
     if not errors.isEmpty():
         errors.write.mode("append").json(errors_path)
-    n = parsed.files.agg(F.count(F.lit(1)), F.count_if(F.col("error_type").isNull())).first()
-    return n[0] == 0 or n[1] > 0
+    total, good = of_files.get["files_total"], of_files.get["files_ok"]
+    observed |= {"files_total": total, "files_ok": good, "files_failed": total - good, "rows": observed.get("rows", 0)}
+    return total == 0 or good > 0

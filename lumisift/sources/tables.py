@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,15 @@ def read_sectors(spark: SparkSession, folder: str, pattern: str = "tce_dv_metric
 
 
 def read_tolerant(spark: SparkSession, paths: list[str], schema: StructType | str) -> DataFrame:
-    """Files that can be read, under a known schema; unreadable or missing ones are skipped, and none gives an empty table."""
+    """Files that can be read, under a known schema; unreadable or missing ones are skipped, and none gives an empty table.
+
+    Missing ones are named in a warning; unreadable ones show only when a task reads them, and in its log.
+    """
+    conf, to_path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    missing = [p for p in paths if "*" not in p and not to_path(p).getFileSystem(conf).exists(to_path(p))]
+    if missing:
+        warnings.warn(f"skipped, missing: {', '.join(missing)}", stacklevel=2)
+    paths = [p for p in paths if p not in set(missing)]
     if not paths:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(*paths)

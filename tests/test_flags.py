@@ -168,3 +168,35 @@ def test_report_url(spark):
 
 def test_id_column():
     assert exprs.find_id_column(["a", "TIC_ID"]) == "TIC_ID" and exprs.find_id_column(["TICname", "x"]) == "TICname" and exprs.find_id_column(["x"]) is None
+
+
+def test_absent_columns_give_null_metrics_and_no_flags(spark):
+    rows = spark.createDataFrame([(1, 1, 2.5), (1, 2, 2.505), (None, 1, 2.5)], "tic_id long, planet_number int, orbital_period_days double")
+    out = rows.transform(flags.add_derived_metrics).transform(flags.add_diagnostic_flags)
+    got = {(r["tic_id"], r["planet_number"]): r for r in out.collect()}
+    assert all(r[c] is None for r in got.values() for c in ("model_chi_square_reduced", "odd_even_depth_sig", "ghost_diagnostic_ratio"))
+    assert got[1, 1]["flag_matching_period"] and got[1, 2]["flag_matching_period"] and not got[None, 1]["flag_matching_period"]
+    bare = rows.select("planet_number").transform(flags.add_derived_metrics).transform(flags.add_diagnostic_flags).collect()
+    assert len(bare) == 3 and not any(r[f] for r in bare for f in flags.DIAGNOSTIC_FLAGS)
+
+
+def test_filter_catalogs_follow_their_switches(spark):
+    from lumisift.plans import pipelines
+
+    rows = spark.createDataFrame([(i,) for i in (1, 2, 3, None)], "tic_id long")
+    ids = lambda *v: spark.createDataFrame([(x,) for x in v], "tic_id long")
+    catalogs = {"a_eb": ids(1, None), "b_dipper": ids(2), "c_cpv": ids(3), "d_eb": None}
+    got = {r["tic_id"]: r for r in pipelines.filter_chain(rows, {"catalog_filters": {"a_eb": True, "b_dipper": True, "c_cpv": False, "d_eb": True}}, catalogs).collect()}
+    assert [got[i]["failed_known_eb"] for i in (1, 2, 3, None)] == [True, False, False, False]
+    assert [got[i]["failed_known_dipper"] for i in (1, 2, 3, None)] == [False, True, False, False] and got[3]["passes_all_filters"]
+
+
+def test_summary_records_skip_what_is_there(spark, tmp_path):
+    from lumisift.plans import pipelines
+
+    path = str(tmp_path / "records")
+    rows = spark.createDataFrame([(1, 1, 36, 0.5), (2, 1, 37, 0.7)], "tic_id long, planet_number int, sector int, x double")
+    pipelines.write_summary_records(rows.limit(1), path)
+    pipelines.write_summary_records(rows.withColumn("x", F.lit(9.0)), path)
+    got = {r["tic_id"]: r["record"] for r in spark.read.parquet(path).collect()}
+    assert len(got) == 2 and spark.read.parquet(path).count() == 2 and sum("9.0" in v for v in got.values()) == 1

@@ -145,8 +145,9 @@ def test_build_sample_and_thresholds_survive_parquet(spark, data, tmp_path):
 
 def test_window_and_join_share_an_exchange(spark, data, capsys):
     # The matching-period windows add one exchange by entity, not two.
-    plain = proxy.tce(spark, data)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
-    windowed = windows.add_matching_period_signals(proxy.tce(spark, data))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    known = proxy.tce(spark, data)
+    plain = known._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    windowed = windows.add_matching_period_signals(known, null_keys=False)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     assert windowed <= plain + 1
 
 
@@ -155,6 +156,15 @@ def test_tolerant_read(spark, tmp_path):
     (tmp_path / "bad.parquet").write_bytes(b"nonsense")
     assert tables.read_tolerant(spark, [str(tmp_path / "good"), str(tmp_path / "bad.parquet")], "a long").count() == 1
     assert tables.read_tolerant(spark, [], "a long").count() == 0
+    with pytest.warns(UserWarning, match="gone.parquet"):
+        assert tables.read_tolerant(spark, [str(tmp_path / "good"), str(tmp_path / "gone.parquet")], "a long").count() == 1
+
+
+def test_read_sectors(spark, tmp_path):
+    spark.createDataFrame([(1, float("nan"))], "tic_id long, x double").write.parquet(str(tmp_path / "tce_dv_metrics_s1.parquet"))
+    spark.createDataFrame([(2, 3)], "tic_id long, y int").write.parquet(str(tmp_path / "tce_dv_metrics_s2.parquet"))
+    got = {r["tic_id"]: (r["x"], r["y"]) for r in tables.read_sectors(spark, str(tmp_path)).collect()}
+    assert got == {1: (None, None), 2: (None, 3)}
 
 
 def test_predictions_csv(spark, tmp_path):

@@ -18,8 +18,19 @@ def test_control_sample_is_reproducible_and_failed(spark, data):
     assert a == b and len(a) == 50 and all(r["is_control_sample"] for r in a)
 
 
-def test_only_sampling_has_no_oracle():
-    assert set(registry.queries()) - set(ORACLES) == {"control_sample"}
+def test_all_queries_have_an_oracle():
+    assert set(registry.queries()) == set(ORACLES)
+
+
+def test_planning_runs_no_job(spark, data):
+    """Histograms and grids find their ranges inside the plan."""
+    from lumisift.operators import aggs
+
+    rows = spark.read.parquet(f"{data}/lineitem.parquet")
+    spark.sparkContext.setJobGroup("planning", "planning")
+    aggs.histogram(rows, "l_quantity"), aggs.density2d(rows, "l_quantity", "l_discount")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_entry(spark):

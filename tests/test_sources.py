@@ -128,3 +128,14 @@ def test_optional_catalog(spark, tmp_path):
     assert catalogs.optional_catalog(spark, None, None).count() == 0
     assert catalogs.optional_catalog(spark, "/path/to/x", None).count() == 0
     assert catalogs.optional_catalog(spark, str(tmp_path / "missing"), None).columns == ["tic_id"]
+
+
+def test_reports_are_parsed_once(spark, tmp_path):
+    texts = spark.createDataFrame([("/r/a.xml", '<dvTargetResults ticId="1"><planetResults planetNumber="1"><bootstrapResults significance="0.25"/><differenceImageResults sector="4"/></planetResults></dvTargetResults>'), ("/r/b.xml", "<x")], "path string, value string")
+    parsed = reports.parse_reports(texts)
+    plan = parsed.signals._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") + plan.count("xmltostructs") == 1
+    assert [r["bootstrap_significance"] for r in parsed.signals.collect()] == [0.25]
+    observed = {}
+    assert reports.write_signals(parsed, str(tmp_path / "out"), str(tmp_path / "errors"), "1.0", observed)
+    assert observed == {"files_total": 2, "files_ok": 1, "files_failed": 1, "rows": 1}
