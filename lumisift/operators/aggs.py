@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import log10_positive, true
@@ -76,14 +76,32 @@ def histogram(df: DataFrame, column: str, bins: int = 30, log_x: bool = False) -
     return edges.join(counts, "bin", "left").select("bin", left.alias("low"), (low + F.col("bin") * width).alias("high"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def distribution_stats(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    """(metric, n, median, low, high) per column, on raw values."""
-    stats = []
-    for c in columns:
-        v = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-        median = F.percentile_approx(v, 0.5) if approximate else F.median(v)
-        stats.append(F.struct(F.lit(c).alias("metric"), F.count(v).alias("n"), median.alias("median"), F.min(v).alias("low"), F.max(v).alias("high")))
-    return df.agg(F.array(*stats).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+def distribution_stats(df: DataFrame, columns: list[str], approximate: bool = False, accuracy: int = 100_000) -> DataFrame:
+    """(metric, n, median, low, high) per column, on raw values; no values: n is 0, the rest null.
+
+    Two passes. The first finds ends and two quantiles, `5 / accuracy` of the rows below and above the middle;
+    the second counts distinct values between these and only numbers the rows outside. So a 10,000th
+    of the values meets in a task to settle the exact median, not all of them. Columns with at most
+    `accuracy` values are counted whole. approximate=True stops after the first pass.
+    """
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    shares = [0.5] if approximate else [0.5 - 5 / accuracy, 0.5 + 5 / accuracy]
+    stats = [F.struct(F.lit(c).alias("metric"), F.count(v).alias("n"), F.percentile_approx(v, shares, accuracy).alias("near"), F.min(v).alias("low"), F.max(v).alias("high")) for c, v in value.items()]
+    ends = df.agg(F.array(*stats).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    if approximate:
+        return ends.select("metric", "n", F.col("near")[0].alias("median"), "low", "high")
+    ends = ends.withColumn("near", F.when(F.col("n") > accuracy, F.col("near")).otherwise(F.array("low", "high")))
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("of"), v.alias("v")) for c, v in value.items()])).alias("x")).select("x.*").filter("v is not null")
+    # One row per column to broadcast. Side -1 and 1 lie outside the two quantiles and keep no value.
+    side = F.when(F.col("v") < F.col("near")[0], -1).when(F.col("v") > F.col("near")[1], 1).otherwise(0)
+    sided = each.join(F.broadcast(ends.select("metric", "n", "near")), F.col("of") == F.col("metric")).select("of", "n", side.alias("side"), F.when(side == 0, F.col("v")).alias("v"))
+    counts = sided.groupBy("of", "n", "side", "v").agg(F.count(F.lit(1)).alias("rows"))
+    upto = counts.withColumn("upto", F.sum("rows").over(Window.partitionBy("of").orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0)))
+    middle = [F.min(F.when(F.col("upto") > rank, F.struct("side", "v"))) for rank in (F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))]
+    found = upto.groupBy("of").agg(*[m.alias(f"m{i}") for i, m in enumerate(middle)])
+    sure = (F.col("m0.side") == 0) & (F.col("m1.side") == 0)
+    median = F.when(sure, F.col("m0.v") * 0.5 + F.col("m1.v") * 0.5).otherwise(F.raise_error(F.lit("quantiles beyond their accuracy")).cast("double"))
+    return ends.join(F.broadcast(found.select("of", median.alias("median"))), F.col("metric") == F.col("of"), "left").select("metric", "n", "median", "low", "high")
 
 
 def cooccurrence(df: DataFrame, flags: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..sources.reports import MODEL_PARAMETERS
 from . import proxy
 from .queries import TYPES
 
@@ -66,6 +67,10 @@ _STATS = ["model_chi_square_reduced", "odd_even_depth_sig", "ghost_diagnostic_ra
 _OWN_RUN = "concat(CAST(sector AS VARCHAR), '-', CAST(sector AS VARCHAR))"
 
 
+def _rendered(columns: dict[str, str]) -> str:
+    return ", ".join(f"{e.replace('STRING', 'VARCHAR')} AS {n}" for n, e in columns.items())
+
+
 def _types(alias: str = "") -> str:
     words = "string_split_regex(otypes, '[ ,]+')"
     each = {t["flag"]: f"list_has_any({words}, [{', '.join(repr(c) for c in t['codes'])}])" if t["enabled"] else "FALSE" for t in TYPES.values()}
@@ -94,7 +99,7 @@ _SCORE = """CASE WHEN model_chi_square_reduced > 0 THEN log10(model_chi_square_r
   0.3 * CASE WHEN odd_even_depth_sig > 0 THEN log10(odd_even_depth_sig / 35) END AS score_odd_even, 0.5 * CASE WHEN model_fit_snr > 0 THEN log10(model_fit_snr) END AS score_snr"""
 _DECISIONS = """dec AS (SELECT user_id AS candidate_id, concat('v', event_id % 2) AS vetter_id, event_id % 3 AS vetting_round,
   CASE event_type WHEN 'click' THEN 'unsure' WHEN 'view' THEN 'planet' WHEN 'purchase' THEN 'background' ELSE event_type END AS classification,
-  CASE WHEN event_id % 9 = 0 THEN 'certain' ELSE 'high' END AS confidence, ts AS decided_at FROM events),
+  CASE WHEN event_id % 9 = 0 THEN 'certain' ELSE 'high' END AS confidence, ts AS decided_at, event_id FROM events),
 chk AS (SELECT *, CASE WHEN classification NOT IN ('unsure', 'planet', 'background') THEN 'unknown classification' WHEN confidence <> 'high' THEN 'unknown confidence' END AS reason FROM dec),
 ok AS (SELECT * FROM chk WHERE reason IS NULL)"""
 _PARSED_OK = "tic_id % 50 <> 0 AND tic_id % 77 <> 0"
@@ -155,10 +160,10 @@ UNION ALL """ + _long("sample", {n: n for n in _SUMMARY} | {"unflagged": "NOT an
         "bitmask_sectors": "SELECT o_orderkey, CASE WHEN o_custkey % 6 > 1 THEN (SELECT string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FROM range(1, 40) t(i) WHERE (o_custkey >> (i - 1)) & 1 = 1) ELSE NULL END AS sectors FROM orders",
         "report_urls": f"WITH {_TCE}\nSELECT {_KEYS}, {_url()} AS url FROM tce",
         "log10_values": f"WITH {_TCE}\nSELECT {_KEYS}, CASE WHEN odd_even_depth_statistic > 0 THEN log10(odd_even_depth_statistic) END AS log_statistic FROM tce",
-        "parse_reports": f"""WITH {_TCE}, t AS (SELECT *, min(tess_mag) OVER (PARTITION BY tic_id) AS mag FROM tce)
-SELECT tic_id, planet_number, sector, n_difference_images, orbital_period_days, CAST(0.5 AS DOUBLE) AS orbital_period_days_err, model_chi_square, model_degrees_of_freedom, odd_even_depth_statistic, odd_even_depth_significance,
-  ghost_core_correlation, ghost_halo_correlation, ms_tic_centroid_offset_sigma, ms_control_centroid_offset_sigma, model_fit_snr, full_convergence, suspected_eclipsing_binary, mag AS tess_mag,
-  concat(tic_id, '.xml') AS xml_filename, '1,3' AS sectors_observed FROM t WHERE {_PARSED_OK} AND (tic_id + planet_number) % 11 <> 0""",
+        "parse_reports": f"""WITH {_TCE}, t AS (SELECT * EXCLUDE (effective_temp, radius, log_g, transit_depth_ppm, otypes), min(tess_mag) OVER (PARTITION BY tic_id) AS mag FROM tce)
+SELECT * EXCLUDE (mag, tess_mag, sector, n_difference_images), mag AS tess_mag, sector, n_difference_images, concat(tic_id, '.xml') AS xml_filename, '101' AS sectors_observed_bitmask, '1,3' AS sectors_observed, concat('M', tic_id % 8, ',M9') AS matched_toi_ids,
+  {_rendered(proxy.REPORT_TARGET)}, {_rendered(proxy.REPORT_SIGNAL)}, {', '.join(f'CAST(0.5 AS DOUBLE) AS {n}_err' for n in MODEL_PARAMETERS.values())}
+FROM t WHERE {_PARSED_OK} AND (tic_id + planet_number) % 11 <> 0""",
         "reject_counts": f"""WITH {_TCE}\nSELECT 'file' AS level, CASE WHEN tic_id % 50 = 0 THEN 'ParseError' ELSE 'ValueError' END AS error_type, count(DISTINCT tic_id) AS n FROM tce WHERE tic_id % 50 = 0 OR tic_id % 77 = 0 GROUP BY 2
 UNION ALL SELECT 'tce', 'ValueError', count(*) FROM tce WHERE {_PARSED_OK} AND (tic_id + planet_number) % 11 = 0 HAVING count(*) > 0""",
         "fixed_width": f"WITH {_STELLAR}\nSELECT tic_id, doyle_parallax_over_error, CASE WHEN tic_id % 4 <> 0 THEN doyle_ruwe END AS doyle_ruwe, CAST(NULL AS BIGINT) AS doyle_gaia_dr3 FROM stellar",
@@ -185,6 +190,12 @@ SELECT a.vetter_id AS vetter_a, b.vetter_id AS vetter_b, count(*) AS n, CAST(cou
         "revet_queue": f"""WITH {_DECISIONS}, l AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY vetting_round DESC, decided_at DESC, classification) = 1),
 r AS (SELECT candidate_id, count(DISTINCT vetting_round) AS rounds, count(DISTINCT CASE WHEN classification = 'unsure' THEN vetting_round END) AS unsure_rounds FROM ok GROUP BY 1)
 SELECT l.candidate_id, classification, rounds, unsure_rounds, CASE WHEN unsure_rounds >= 2 THEN 'escalate' ELSE 'revet' END AS action FROM l JOIN r USING (candidate_id) WHERE classification = 'unsure'""",
+        "decisions_for": f"WITH {_DECISIONS}\nSELECT candidate_id, vetter_id, vetting_round, classification, event_id FROM ok WHERE candidate_id = 7",
+        "confusion": f"""WITH {_DECISIONS}, l AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY candidate_id, vetter_id ORDER BY vetting_round DESC, decided_at DESC, classification) = 1)
+SELECT a.classification AS class_a, count_if(b.classification = 'unsure')::BIGINT AS unsure, count_if(b.classification = 'planet')::BIGINT AS planet, count_if(b.classification = 'background')::BIGINT AS background
+FROM l a JOIN l b ON a.candidate_id = b.candidate_id AND a.vetter_id < b.vetter_id GROUP BY 1""",
+        "read_folder": "SELECT o_orderpriority, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY 1",
+        "machine_readable": """SELECT o_orderkey AS tic_id, o_custkey / CAST(4 AS DOUBLE) AS "Per", left(o_orderstatus, 1) AS "Flag" FROM orders WHERE o_orderkey % 10 <> 0""",
         "new_files": """WITH l AS (SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'done' ELSE 'failed' END AS status FROM orders WHERE o_custkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate DESC, status) = 1)
 SELECT concat('f', o_orderkey) AS path FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM l WHERE status = 'done')""",
         "phase_fold": f"""WITH {_TCE}, j AS (SELECT tic_id, planet_number, value, (CAST(event_id % 1000 AS DOUBLE) - CAST(0.5 AS DOUBLE)) AS dt, orbital_period_days AS p FROM tce JOIN events ON user_id = tic_id WHERE orbital_period_days > 0)

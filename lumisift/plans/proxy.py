@@ -60,6 +60,31 @@ CONFIG = {
     "diagnostics": {"period_match_tol_days": 0.01, "ghost_ratio_min": 1.0, "centroid_offset_max_sigma": 3.0, "odd_even_sig_max": 35.0, "snr_min": 10.0, "reduced_chisq_min": 1.1, "odd_even_invalid_sentinel": -1},
 }
 
+_OF_TARGET = "(tic_id % {0}) / CAST(8 AS DOUBLE)"
+_OF_SIGNAL = "((tic_id + planet_number) % {0}) / CAST(8 AS DOUBLE)"
+#: What reports hold beside the columns of TCE, by the column that parsing gives; eighths are the same in decimal and binary.
+REPORT_TARGET = {
+    "toi_id": "CASE WHEN tic_id % 4 = 0 THEN NULL ELSE concat('T', CAST(tic_id % 90 AS STRING)) END",
+    "planet_candidate_count": "tic_id % 5",
+    "start_cadence": "tic_id % 1000",
+    "end_cadence": "tic_id % 1000 + 500",
+    "pipeline_task_id": "CASE WHEN tic_id % 13 = 0 THEN NULL ELSE tic_id * 3 END",
+    **{name: _OF_TARGET.format(2880 - 7 * i) for i, name in enumerate(("ra_deg", "dec_deg", "pm_ra", "pm_dec", "radius", "log_g", "log_metallicity", "stellar_density"))},
+    "effective_temp": "CASE WHEN tic_id % 9 = 0 THEN NULL ELSE CAST(3000 + tic_id % 4000 AS DOUBLE) END",
+    "limb_darkening_model": "CASE WHEN tic_id % 6 = 0 THEN NULL ELSE 'quadratic' END",
+    **{f"limb_darkening_c{i}": _OF_TARGET.format(16 + i) for i in range(1, 5)},
+}
+REPORT_SIGNAL = {
+    "tce_toi_id": "CASE WHEN planet_number = 1 THEN concat('T', CAST(tic_id % 90 AS STRING), '.01') END",
+    "toi_correlation": _OF_SIGNAL.format(9),
+    "detrend_filter_length": "(tic_id + planet_number) % 31",
+    **{name: _OF_SIGNAL.format(100 + 3 * i) for i, name in enumerate((
+        "max_single_event_sigma", "max_multiple_event_sigma", "robust_statistic", "model_chi_square_2", "model_chi_square_dof_2", "model_chi_square_gof", "model_chi_square_gof_dof",
+        "weak_secondary_mes_mad", "weak_secondary_robust_statistic", "transit_epoch_btjd", "min_impact_parameter", "ratio_planet_radius_to_star_radius", "ratio_semi_major_axis_to_star_radius",
+        "transit_duration_hours", "transit_depth_ppm", "bootstrap_significance", "ghost_core_correlation_significance", "ghost_halo_correlation_significance"))},
+    "transit_model_name": "CASE WHEN tic_id % 10 = 0 THEN NULL ELSE 'limb' END",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

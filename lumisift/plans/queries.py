@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs, nulls
 from ..operators import aggs, flags, joins, select, sets, vetting, windows
 from ..sources import catalogs as cat
-from ..sources import reports
+from ..sources import reports, tables
 from ..streaming import incremental
 from . import pipelines, proxy
 
@@ -224,29 +224,39 @@ def report_texts(rows: DataFrame) -> DataFrame:
     """Report files rendered from detections: (path, value), one per target; every 50th is broken, every 77th has another root."""
     attr = lambda name, value: F.coalesce(F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"')), F.lit(""))
     c = F.col
+    s = {n: F.expr(e) for n, e in proxy.REPORT_SIGNAL.items()}
+    t = {n: F.expr(e) for n, e in proxy.REPORT_TARGET.items()}
+    attrs = lambda of, **names: F.concat(*[attr(name, of[out]) for name, out in names.items()])
     sky = lambda tag, col: F.concat(F.lit(f"<{tag}><meanSkyOffset"), attr("value", c(col) * 2), attr("uncertainty", F.when(c(col).isNotNull(), F.lit("2.0"))), F.lit(f"/></{tag}>"))
+    parameter = lambda name, out: F.concat(F.lit(f'<dv:modelParameter name="{name}"'), attr("value", c(out) if out == "orbital_period_days" else s[out]), F.lit(' uncertainty="0.5"/>'))
     one = F.concat(
-        F.lit("<dv:planetResults"), attr("planetNumber", F.when((c("tic_id") + c("planet_number")) % 11 != 0, c("planet_number"))), F.lit(">"),
-        F.lit("<dv:planetCandidate"), attr("suspectedEclipsingBinary", c("suspected_eclipsing_binary")), F.lit("/>"),
-        F.lit("<dv:allTransitsFit"), attr("fullConvergence", c("full_convergence")), attr("modelChiSquare", c("model_chi_square")), attr("modelDegreesOfFreedom", c("model_degrees_of_freedom")), attr("modelFitSnr", c("model_fit_snr")),
-        F.lit('><dv:modelParameters><dv:modelParameter name="other" value="1"/><dv:modelParameter name="orbitalPeriodDays"'), attr("value", c("orbital_period_days")), F.lit(' uncertainty="0.5"/></dv:modelParameters></dv:allTransitsFit>'),
+        F.lit("<dv:planetResults"), attr("planetNumber", F.when((c("tic_id") + c("planet_number")) % 11 != 0, c("planet_number"))), attrs(s, toiId="tce_toi_id", toiCorrelation="toi_correlation", detrendFilterLength="detrend_filter_length"),
+        F.lit("><dv:planetCandidate"), attr("suspectedEclipsingBinary", c("suspected_eclipsing_binary")),
+        attrs(s, maxSingleEventSigma="max_single_event_sigma", maxMultipleEventSigma="max_multiple_event_sigma", robustStatistic="robust_statistic", modelChiSquare2="model_chi_square_2", modelChiSquareDof2="model_chi_square_dof_2", modelChiSquareGof="model_chi_square_gof", modelChiSquareGofDof="model_chi_square_gof_dof"),
+        F.lit("><dv:weakSecondary"), attrs(s, mesMad="weak_secondary_mes_mad", robustStatistic="weak_secondary_robust_statistic"), F.lit("/></dv:planetCandidate>"),
+        F.lit("<dv:allTransitsFit"), attr("fullConvergence", c("full_convergence")), attr("modelChiSquare", c("model_chi_square")), attr("modelDegreesOfFreedom", c("model_degrees_of_freedom")), attr("modelFitSnr", c("model_fit_snr")), attrs(s, transitModelName="transit_model_name"),
+        F.lit('><dv:modelParameters><dv:modelParameter name="other" value="1"/>'), *[parameter(name, out) for name, out in reports.MODEL_PARAMETERS.items()], F.lit("</dv:modelParameters></dv:allTransitsFit>"),
         F.lit("<dv:binaryDiscriminationResults><dv:oddEvenTransitDepthComparisonStatistic"), attr("value", c("odd_even_depth_statistic")), attr("significance", c("odd_even_depth_significance")), F.lit("/></dv:binaryDiscriminationResults>"),
+        F.lit("<dv:bootstrapResults"), attrs(s, significance="bootstrap_significance"), F.lit("/>"),
         F.lit("<dv:centroidResults><dv:differenceImageMotionResults>"), sky("msTicCentroidOffsets", "ms_tic_centroid_offset_sigma"), sky("msControlCentroidOffsets", "ms_control_centroid_offset_sigma"), F.lit("</dv:differenceImageMotionResults></dv:centroidResults>"),
-        F.lit("<dv:ghostDiagnosticResults><dv:coreApertureCorrelationStatistic"), attr("value", c("ghost_core_correlation")), F.lit("/><dv:haloApertureCorrelationStatistic"), attr("value", c("ghost_halo_correlation")), F.lit("/></dv:ghostDiagnosticResults>"),
+        F.lit("<dv:ghostDiagnosticResults><dv:coreApertureCorrelationStatistic"), attr("value", c("ghost_core_correlation")), attrs(s, significance="ghost_core_correlation_significance"),
+        F.lit("/><dv:haloApertureCorrelationStatistic"), attr("value", c("ghost_halo_correlation")), attrs(s, significance="ghost_halo_correlation_significance"), F.lit("/></dv:ghostDiagnosticResults>"),
         F.repeat(F.lit('<dv:differenceImageResults sector="1"/>'), c("n_difference_images") - 1), F.lit("<dv:differenceImageResults"), attr("sector", c("sector")), F.lit("/></dv:planetResults>"))
     grouped = rows.groupBy("tic_id").agg(F.array_join(F.array_sort(F.collect_list(one)), "").alias("body"), F.min("tess_mag").alias("mag"))
-    head = F.concat(F.lit('<?xml version="1.0"?>\n<dv:dvTargetResults xmlns:dv="urn:report"'), attr("ticId", c("tic_id")), F.lit(' sectorsObserved="101">'), F.lit("<dv:tessMag"), attr("value", c("mag")), F.lit("/>"))
+    stars = [F.concat(F.lit(f"<dv:{element}"), attr("value", c("mag") if out == "tess_mag" else t[out]), F.lit("/>")) for element, out in reports.STELLAR.items()]
+    head = F.concat(
+        F.lit('<?xml version="1.0"?>\n<dv:dvTargetResults xmlns:dv="urn:report"'), attr("ticId", c("tic_id")), attrs(t, toiId="toi_id", planetCandidateCount="planet_candidate_count", startCadence="start_cadence", endCadence="end_cadence", pipelineTaskId="pipeline_task_id"), F.lit(' sectorsObserved="101">'),
+        F.lit("<dv:matchedToiId>M"), (c("tic_id") % 8).cast("string"), F.lit("</dv:matchedToiId><dv:matchedToiId></dv:matchedToiId><dv:matchedToiId>M9</dv:matchedToiId>"), *stars,
+        F.lit("<dv:limbDarkeningModel"), attrs(t, modelName="limb_darkening_model", **{f"coefficient{i}": f"limb_darkening_c{i}" for i in range(1, 5)}), F.lit("/>"))
     good = F.concat(head, c("body"), F.lit("</dv:dvTargetResults>"))
     text = F.when(c("tic_id") % 50 == 0, F.concat(head, c("body"))).when(c("tic_id") % 77 == 0, F.lit("<other/>")).otherwise(good)
     return grouped.select(F.concat(F.lit("/reports/"), c("tic_id").cast("string"), F.lit(".xml")).alias("path"), text.alias("value"))
 
 
-PARSED_COLUMNS = ["tic_id", "planet_number", "sector", "n_difference_images", "orbital_period_days", "orbital_period_days_err", "model_chi_square", "model_degrees_of_freedom", "odd_even_depth_statistic", "odd_even_depth_significance", "ghost_core_correlation", "ghost_halo_correlation", "ms_tic_centroid_offset_sigma", "ms_control_centroid_offset_sigma", "model_fit_snr", "full_convergence", "suspected_eclipsing_binary", "tess_mag", "xml_filename"]
-
-
 def parse_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Every column of the parsed signals, lists as text."""
     parsed = reports.parse_reports(report_texts(proxy.tce(spark, d)))
-    return parsed.signals.select(*PARSED_COLUMNS, F.array_join("sectors_observed", ",").alias("sectors_observed"))
+    return parsed.signals.withColumns({x: F.array_join(x, ",") for x in ("sectors_observed", "matched_toi_ids")})
 
 
 def reject_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -389,6 +399,32 @@ def phase_fold(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.phase_fold(series, candidates, bins=20)
 
 
+def decisions_for(spark: SparkSession, d: str) -> DataFrame:
+    """The operator is a lookup: all decisions on one candidate, here the seventh user."""
+    valid = vetting.validate_decisions(_decisions(spark, d))[0]
+    return vetting.decisions_for(valid, 7).select("candidate_id", "vetter_id", "vetting_round", "classification", "event_id")
+
+
+def confusion(spark: SparkSession, d: str) -> DataFrame:
+    classes = ["unsure", "planet", "background"]
+    return vetting.confusion(vetting.validate_decisions(_decisions(spark, d))[0], classes)
+
+
+def read_folder(spark: SparkSession, d: str) -> DataFrame:
+    """All files of a folder that match a pattern, columns by name."""
+    return tables.read_sectors(spark, d, "orders*.parquet").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("most"))
+
+
+#: A head as tables of this kind have it; the query renders its rows below.
+_MRT_HEAD = ["Title: orders", "=" * 40, "Byte-by-byte Description of file: t.txt", "-" * 40, "   Bytes Format Units Label Explanations", "-" * 40, "   1-  9 I9     ---   TIC   id", "  11- 20 F10.2  d     Per   period", "      22 A1     ---   Flag  kind", "-" * 40]
+
+
+def machine_readable(spark: SparkSession, d: str) -> DataFrame:
+    orders = proxy.table(spark, d, "orders")
+    line = F.concat(F.lpad(F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderkey").cast("string")).otherwise(F.lit("-")), 9, " "), F.lit(" "), F.lpad((F.col("o_custkey") / 4).cast("string"), 10, " "), F.lit(" "), F.substring("o_orderstatus", 1, 1))
+    return cat.parse_mrt(orders.select(line.alias("value")), _MRT_HEAD).select(F.col("ticId").alias("tic_id"), "Per", "Flag")
+
+
 def summary_records(spark: SparkSession, d: str) -> DataFrame:
     rows = flagged(spark, d).transform(flags.survivors).select(*KEYS, "model_fit_snr", "any_diagnostic_flag")
     return pipelines.summary_records(rows).select(*KEYS, F.get_json_object("record", "$.model_fit_snr").cast("double").alias("snr"), F.get_json_object("record", "$.any_diagnostic_flag").alias("flagged"))
@@ -403,5 +439,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         uid_runs, bitmask_sectors, report_urls, log10_values, parse_reports, reject_counts, fixed_width, catalog_ids, period_harmonics, filter_chain, anomaly_score,
         type_flags, stale_lookups, newest_lookups, family_flags, parent_sample, top_n, control_sample, shared_triples, sentinel_parameters, deep_eclipse,
         decision_rejects, agreement, revet_queue, new_files, phase_fold, summary_records, metrics_absent_columns, report_tables, prefixed_columns, score_round_trip,
+        decisions_for, confusion, read_folder, machine_readable,
     )
 }

@@ -64,6 +64,7 @@ def read_id_csv(spark: SparkSession, path: str, column: str | None = "TIC") -> D
     return with_ids(rows, column or find_id_column(rows.columns) or "TIC")[0]
 
 
+_RULE = re.compile(r"^[-=]{10,}\s*$", re.ASCII)
 _HEAD_LINE = re.compile(r"^\s*(?:(\d+)\s*-\s*)?(\d+)\s+([AIFE])[\d.]*\s+\S+\s+(\S+)")
 
 
@@ -74,15 +75,31 @@ def mrt_layout(head: list[str]) -> list[tuple[str, int, int, str]]:
     return [(m[4], int(m[1] or m[2]), int(m[2]), kinds[m[3]]) for m in found]
 
 
-def read_mrt(spark: SparkSession, path: str, column: str = "TIC", head_lines: int = 500) -> DataFrame:
-    """A machine-readable table: its head (read on the driver, up to the last rule among head_lines lines) lays out its rows."""
-    lines = [r["value"] for r in spark.read.text(path).limit(head_lines).collect()]
-    rules = [i for i, x in enumerate(lines) if re.fullmatch(r"[-=]{10,}\s*", x)]
-    if not rules:
+def parse_mrt(lines: DataFrame, head: list[str], column: str = "TIC", text_col: str = "value") -> DataFrame:
+    """Rows of a machine-readable table, laid out by its head, with ids as ticId; lines of the head and blank ones are no rows."""
+    body = lines.filter(~F.col(text_col).isin(head) & (F.trim(text_col) != ""))
+    return with_ids(parse_fixed_width(body, mrt_layout(head), id_col=None, text_col=text_col), column)[0]
+
+
+def mrt_head(lines: DataFrame, text_col: str = "value") -> list[str]:
+    """The lines of a file up to its last rule, however many: read on the driver in growing pieces, as many as hold all rules counted in Spark."""
+    n_rules, size, head = lines.filter(F.col(text_col).rlike(_RULE.pattern)).count(), 256, []
+    while n_rules:
+        head = [r[text_col] for r in lines.select(text_col).limit(size).collect()]
+        rules = [i for i, x in enumerate(head) if _RULE.match(x)]
+        if len(rules) == n_rules or len(head) < size:
+            return head[: rules[-1] + 1]
+        size *= 2
+    return head
+
+
+def read_mrt(spark: SparkSession, path: str, column: str = "TIC") -> DataFrame:
+    """A machine-readable table: its head, up to the last rule, lays out its rows."""
+    lines = spark.read.text(path)
+    head = mrt_head(lines)
+    if not head:
         raise ValueError(f"{path} has no byte-by-byte description")
-    head = lines[: rules[-1] + 1]
-    body = spark.read.text(path).filter(~F.col("value").isin(head) & (F.trim("value") != ""))
-    return with_ids(parse_fixed_width(body, mrt_layout(head), id_col=None), column)[0]
+    return parse_mrt(lines, head, column)
 
 
 def optional_catalog(spark: SparkSession, path: str | None, read, schema: str = "tic_id long") -> DataFrame:

@@ -36,14 +36,18 @@ def read_tolerant(spark: SparkSession, paths: list[str], schema: StructType | st
     return spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(*paths)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """CSV by suffix, else Parquet."""
-    return spark.read.csv(path, header=True, inferSchema=True) if path.endswith(".csv") else spark.read.parquet(path)
+def _csv(spark: SparkSession, path: str, schema: StructType | str | None, **options: Any) -> DataFrame:
+    return spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None, **options)
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV of external scores, lines that begin with # left out."""
-    return nan_to_null(spark.read.csv(path, header=True, inferSchema=True, comment="#"))
+def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """CSV by suffix, else Parquet. Without a schema, a CSV is read once more to find its types."""
+    return _csv(spark, path, schema) if path.endswith(".csv") else spark.read.parquet(path)
+
+
+def read_predictions(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """A CSV of external scores, lines that begin with # left out. Give the schema of a large one, or finding it reads all rows."""
+    return nan_to_null(_csv(spark, path, schema, comment="#"))
 
 
 def with_thresholds(df: DataFrame, config: dict[str, Any], column: str = "any_diagnostic_flag") -> DataFrame:

@@ -83,6 +83,20 @@ def test_empty_table_reports(spark):
     assert aggs.density2d(empty, "x", "y").count() == 0 and aggs.distribution_stats(empty, ["x"]).first()["n"] == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 4000, 4001])
+def test_median_is_exact_between_two_quantiles(spark, n):
+    """With an accuracy below the number of values only those near the middle are counted one by one."""
+    import statistics
+
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    x, y = rng.normal(size=n).tolist(), rng.integers(0, 5, n).astype(float).tolist()
+    df = spark.createDataFrame([*zip(x, y, strict=True), (None, float("nan"))], "x double, y double").repartition(5)
+    got = {r["metric"]: (r["n"], r["median"], r["low"], r["high"]) for r in aggs.distribution_stats(df, ["x", "y"], accuracy=500).collect()}
+    assert got == {c: (n, statistics.median(v), min(v), max(v)) for c, v in (("x", x), ("y", y))}
+
+
 def test_work_list_and_paging(spark):
     rows = spark.createDataFrame([(1, 5), (1, 5), (2, 5), (2, 6)], "tic_id long, sector int")
     assert {tuple(r) for r in select.work_list(rows).collect()} == {(1, "5-5"), (2, "5-5"), (2, "6-6")}

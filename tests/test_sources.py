@@ -124,6 +124,15 @@ def test_mrt(spark, tmp_path):
     assert got == {42: (1.25, "x"), 43: (None, "z")}
 
 
+def test_mrt_with_a_long_head(spark, tmp_path):
+    """The head ends at its last rule, wherever that is."""
+    (tmp_path / "t.txt").write_text("Note: more\n" * 700 + MRT)
+    assert {r["ticId"] for r in catalogs.read_mrt(spark, str(tmp_path / "t.txt")).collect()} == {42, 43}
+    (tmp_path / "none.txt").write_text("a\nb\n")
+    with pytest.raises(ValueError):
+        catalogs.read_mrt(spark, str(tmp_path / "none.txt"))
+
+
 def test_optional_catalog(spark, tmp_path):
     assert catalogs.optional_catalog(spark, None, None).count() == 0
     assert catalogs.optional_catalog(spark, "/path/to/x", None).count() == 0
