@@ -172,6 +172,24 @@ def test_fingerprints(spark, docs, as_table):
         by_text[texts[r["doc_id"], r["n_chars"]]].add(r["fingerprint"])
         assert 0 <= r["near_edited"] <= 1 and (r["near_next"] is None) == (r["doc_id"] is None)
     assert all(len(v) == 1 for v in by_text.values()) and by_text[""] == {"0" * 32}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    halves = lambda p: (signed(int(p, 16) & (1 << 64) - 1), signed(int(p, 16) >> 64))
+    apart = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    prints = defaultdict(list)
+    for r in rows:
+        prints[r["doc_id"]].append(r["fingerprint"])
+    edited = defaultdict(set)
+    for r in rows:
+        edited[r["edited_sha256"]].add(r["edited_fingerprint"])
+        assert r["near_edited"] == 1 - apart(r["fingerprint"], r["edited_fingerprint"]) / 128
+        if r["doc_id"] is not None:
+            assert r["near_next"] == 1 - apart(r["fingerprint"], min(prints[after[r["doc_id"]]], key=halves)) / 128
+        asked = r["doc_id"] is not None and r["doc_id"] % 50 == 0
+        assert r["n_near"] == (sum(apart(r["fingerprint"], p) <= 3 for many in prints.values() for p in many) if asked else None)
+    assert all(len(v) == 1 for v in edited.values())
+    # An edited text equal to some document's text has that document's fingerprint.
+    own = {hashlib.sha256(t.encode()).hexdigest(): by_text[t] for t in by_text}
+    assert any(sha in own for sha in edited) and all(own[sha] == prints_of for sha, prints_of in edited.items() if sha in own)
 
 
 def test_fingerprints_empty(no_docs):

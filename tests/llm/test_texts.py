@@ -62,6 +62,53 @@ def test_language_query(spark, docs, as_table):
     assert {r["doc_id"] for r in rows if r["lang_pred"] == "und"} <= blank
 
 
+def plain_language(text, model, settings):
+    """Language, score, margin: every block after the carrier, one fresh compressor each."""
+    import math
+
+    import regex
+    import zstandard as zstd
+
+    clean = " ".join(regex.findall(r"\p{L}[\p{L}\p{M}]*", (text or "").lower())).encode("utf-8", "replace")
+    if not clean or not model:
+        return "und", 0.0, 0.0
+    sizes = {}
+    for lang, content in sorted(model.items()):
+        cut = min(settings.carrier_bytes, len(content) // 4)
+        carrier, rest = content[:cut] + b" ", content[cut:]
+
+        def packed(data, rest=rest):
+            params = zstd.ZstdCompressionParameters.from_level(
+                settings.level, source_size=settings.block_bytes + settings.carrier_bytes, dict_size=len(rest), format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+            made = zstd.ZstdCompressionDict(rest, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            made.precompute_compress(compression_params=params)
+            return len(zstd.ZstdCompressor(dict_data=made, compression_params=params).compress(data))
+
+        alone = packed(carrier)
+        sizes[lang] = sum(max(1, packed(carrier + clean[i : i + settings.block_bytes]) - alone) for i in range(0, len(clean), settings.block_bytes))
+    best = min(sizes, key=lambda x: (sizes[x], x))
+    others = [n for lang, n in sizes.items() if lang != best]
+    if not others:
+        return best, 1.0, 1.0
+    return best, 1 / (1 + sum(math.exp(-(n - sizes[best]) / 2) for n in others)), (min(others) - sizes[best]) / min(others)
+
+
+def test_language_query_and_stage_equal_brute_force(spark, docs, as_table):
+    """Every row of the query and every decision of the stage against plain loops; the dictionaries come from the allowed rows alone."""
+    settings, plain = langid.LangIdSettings(), docs.select("doc_id", "text", "lang").collect()
+    folds = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 for r in plain if r["doc_id"] is not None}
+    allowed = docs.filter(F.col("doc_id").isin([d for d, f in folds.items() if f != 2]))
+    model = langid.fit(allowed)
+    want = Counter((r["doc_id"], *plain_language(r["text"], model, settings)) for r in plain)
+    got = Counter((r["doc_id"], r["lang_pred"], r["score"], r["margin"]) for r in QUERIES["op1_language_id"](spark, as_table(documents=docs)).collect())
+    close = lambda rows: sorted((str(d), lang, round(score, 9), round(margin, 9), n) for (d, lang, score, margin), n in rows.items())
+    assert close(got) == close(want)
+    whole = langid.fit(docs)
+    judged = [(r, plain_language(r["text"], whole, settings)) for r in plain]
+    kept = Counter((r["doc_id"], r["text"]) for r, (lang, _, margin) in judged if lang != "und" and margin >= settings.min_margin)
+    assert Counter((r["doc_id"], r["text"]) for r in langid.accept_known(docs).collect()) == kept and 0 < len(kept) < len(plain)
+
+
 def test_held_out_accuracy(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, lang, rng.randint(4, 200)), lang) for i, lang in enumerate(list(WORDS) * 80)]
