@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_format_chats": chat.OP2_SQL, "op4_warc_round_trip": warc.OP4_SQL}
+    return {"op2_format_chats": chat.OP2_SQL, "op4_warc_round_trip": warc.OP4_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL}

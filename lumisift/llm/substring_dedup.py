@@ -191,3 +191,25 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = drop_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (
+  SELECT rid, i, array_to_string(ws[i:i + 34], ' ') AS win
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+again AS (SELECT win FROM starts GROUP BY win HAVING count(*) > 1),
+hit AS (SELECT rid, i FROM starts SEMI JOIN again USING (win)),
+word AS (SELECT rid, unnest(ws) AS t, unnest(range(1, len(ws) + 1)) AS i FROM w),
+last_hit AS (
+  SELECT rid, i, t, max(h) OVER (PARTITION BY rid ORDER BY i) AS h
+  FROM (SELECT word.rid, word.i, t, hit.i AS h FROM word LEFT JOIN hit USING (rid, i))),
+kept AS (
+  SELECT rid, count(*) AS n, string_agg(t, ' ' ORDER BY i) AS txt
+  FROM last_hit WHERE h IS NULL OR i > h + 34 GROUP BY rid)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.txt, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (rid)
+"""
