@@ -11,8 +11,9 @@ occur inside a text; a line feed in a role becomes `\\n`.
 
 Nulls and edges: a null text or role is empty; a null part, or one of an unknown type, is empty text;
 null content is no text; turns are ordered by (turn, role, content), nulls first, so repeated turns
-stay; a null conversation id is a conversation of its own; an empty table gives an empty result. A
-conversation is one output value, so the longest one bounds a task's memory.
+stay; a null conversation id is a conversation of its own; an empty table gives an empty result; other
+columns are left behind. A conversation's turns go through one task in order, a turn at a time, so only
+the longest turns and not the longest conversation take memory.
 """
 
 from __future__ import annotations
@@ -111,22 +112,28 @@ class Flattener:
         return "".join(self.out)
 
 
+def format_turn(role: str | None, parts: list[dict] | None, number: int, begin: int, costs: TokenCosts, learn: str) -> dict:
+    """One turn of a conversation whose text so far has `begin` code points; offsets count from the conversation's start."""
+    visitor = Flattener(costs)
+    for part in parts or []:
+        visitor.visit(part)
+    body = visitor.result()
+    head = f"{START}{escape_role(role or '')}\n"
+    at = begin + len(head)
+    attachments = [a | {"turn": number, "offset": a["offset"] + at} for a in visitor.attachments]
+    spans = [{"start": at, "end": at + len(body)}] if role == learn else []
+    return {"formatted": f"{head}{body}{END}\n", "loss_spans": spans, "attachments": attachments, "expanded_tokens": sum(a["tokens"] for a in attachments)}
+
+
 def format_turns(turns: list[dict], costs: TokenCosts = TokenCosts(), learn: str = "assistant") -> dict:
     """The text of a conversation, the spans under the loss mask, and its attachments; offsets in code points."""
-    out, at, spans, attachments = [], 0, [], []
+    made, begin = [], 0
     for number, turn in enumerate(turns):
-        visitor = Flattener(costs)
-        for part in turn["parts"] or []:
-            visitor.visit(part)
-        body = visitor.result()
-        head = f"{START}{escape_role(turn['role'] or '')}\n"
-        begin = at + len(head)
-        attachments += [a | {"turn": number, "offset": a["offset"] + begin} for a in visitor.attachments]
-        if turn["role"] == learn:
-            spans.append({"start": begin, "end": begin + len(body)})
-        out += [head, body, f"{END}\n"]
-        at = begin + len(body) + len(END) + 1
-    return {"formatted": "".join(out), "loss_spans": spans, "attachments": attachments, "expanded_tokens": sum(a["tokens"] for a in attachments)}
+        made.append(format_turn(turn["role"], turn["parts"], number, begin, costs, learn))
+        begin += len(made[-1]["formatted"])
+    return {
+        "formatted": "".join(m["formatted"] for m in made), "loss_spans": [x for m in made for x in m["loss_spans"]],
+        "attachments": [x for m in made for x in m["attachments"]], "expanded_tokens": sum(m["expanded_tokens"] for m in made)}
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -141,40 +148,90 @@ def masked_text(formatted: str, spans: list[dict]) -> str:
 
 _ATTACHMENT = pa.struct([("kind", pa.string()), ("uri", pa.string()), ("tokens", pa.int64()), ("offset", pa.int64()), ("turn", pa.int64())])
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+_MADE = "formatted string, loss_spans array<struct<start:long,end:long>>, attachments array<struct<kind:string,uri:string,tokens:long,offset:long,turn:long>>, expanded_tokens long"
 
 
-def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts", costs: TokenCosts = TokenCosts(), learn: str = "assistant") -> DataFrame:
-    """(conv_id, n_turns, formatted, loss_spans, attachments, expanded_tokens), one row per conversation."""
+def format_each_turn(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts", costs: TokenCosts = TokenCosts(), learn: str = "assistant") -> DataFrame:
+    """(conv_id, number, begin, formatted, loss_spans, attachments, expanded_tokens), one row per turn.
+
+    number: the turn's place in its conversation; begin: where its text starts in the conversation's.
+    The rows of a conversation follow each other in order in one partition; a task streams through
+    sorted turns and keeps two counters, however long a conversation is.
+    """
     kind = turns.schema[conv_col].dataType.simpleString()
-    grouped = turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(parts_col).cast(f"array<{PART}>").alias("parts")))).alias("turns"))
+    order = ["conv_id", "turn", "role", "parts"]
+    dealt = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(parts_col).cast(f"array<{PART}>").alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, number, begin = object(), 0, 0
         for batch in batches:
-            made = [format_turns(x.as_py(), costs, learn) for x in batch.column("turns")]
-            cols = [pa.array([m[k] for m in made], t) for k, t in (("formatted", pa.string()), ("loss_spans", pa.list_(_SPAN)), ("attachments", pa.list_(_ATTACHMENT)), ("expanded_tokens", pa.int64()))]
-            sizes = pa.array([len(x) for x in batch.column("turns")], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), sizes, *cols], names=["conv_id", "n_turns", "formatted", "loss_spans", "attachments", "expanded_tokens"])
+            rows = []
+            for c, role, parts in zip(*[batch.column(x).to_pylist() for x in ("conv_id", "role", "parts")], strict=True):
+                if c != conv:
+                    conv, number, begin = c, 0, 0
+                rows.append({"number": number, "begin": begin} | format_turn(role, parts, number, begin, costs, learn))
+                number, begin = number + 1, begin + len(rows[-1]["formatted"])
+            cols = [pa.array([r[k] for r in rows], t) for k, t in (("number", pa.int64()), ("begin", pa.int64()), ("formatted", pa.string()), ("loss_spans", pa.list_(_SPAN)), ("attachments", pa.list_(_ATTACHMENT)), ("expanded_tokens", pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *cols], names=["conv_id", "number", "begin", "formatted", "loss_spans", "attachments", "expanded_tokens"])
+
+    return dealt.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(run, f"conv_id {kind}, number long, begin long, {_MADE}")
+
+
+def format_chats(turns: DataFrame, **options) -> DataFrame:
+    """(conv_id, n_turns, formatted, loss_spans, attachments, expanded_tokens), one row per conversation.
 
-    return grouped.mapInArrow(run, f"conv_id {kind}, n_turns long, formatted string, loss_spans array<struct<start:long,end:long>>, attachments array<struct<kind:string,uri:string,tokens:long,offset:long,turn:long>>, expanded_tokens long")
+    Options are those of `format_each_turn`. Each conversation is one value here, so the longest one bounds
+    a task's memory; where conversations have no bound, keep the turns' rows.
+    """
+    made = ["formatted", "loss_spans", "attachments", "expanded_tokens"]
+    whole = format_each_turn(turns, **options).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("number", *made))).alias("t"))
+    return whole.select(
+        "conv_id", F.size("t").cast("long").alias("n_turns"), F.array_join("t.formatted", "").alias("formatted"), F.flatten("t.loss_spans").alias("loss_spans"),
+        F.flatten("t.attachments").alias("attachments"), F.aggregate("t.expanded_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("expanded_tokens"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """Digests taken from formatted conversations alone: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)."""
+    """Digests taken from formatted text alone: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars).
+
+    chats: whole conversations, or the rows of `format_each_turn` as they come; rows of one conversation
+    that follow each other are read as one text, digested as it goes by.
+    """
     kind = chats.schema["conv_id"].dataType.simpleString()
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    begin = F.col("begin") if "begin" in chats.columns else F.lit(0).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, spans in zip(batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist(), strict=True):
-                turns, digest = parse(text), hashlib.sha256()
-                for role, body in turns:
-                    digest.update(f"{role}\n{body}\n".encode("utf-8", "surrogatepass"))
-                loss = masked_text(text, spans)
-                rows.append((len(turns), digest.hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
-            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *cols], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        conv, had, id_type = None, False, None
+        n_turns = loss_chars = chars = 0
+        turns, loss = hashlib.sha256(), hashlib.sha256()
 
-    return chats.select("conv_id", "formatted", "loss_spans").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+        def ended() -> tuple:
+            return (conv, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars)
+
+        def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([id_type, *types])], names=names)
+
+        for batch in batches:
+            id_type, done = batch.column("conv_id").type, []
+            for c, at, text, spans in zip(*[batch.column(x).to_pylist() for x in ("conv_id", "begin", "formatted", "loss_spans")], strict=True):
+                if had and c != conv:
+                    done.append(ended())
+                if not had or c != conv:
+                    conv, had = c, True
+                    n_turns = loss_chars = chars = 0
+                    turns, loss = hashlib.sha256(), hashlib.sha256()
+                for role, body in parse(text):
+                    n_turns += 1
+                    turns.update(f"{role}\n{body}\n".encode("utf-8", "surrogatepass"))
+                under = masked_text(text, [{k: s[k] - at for k in ("start", "end")} for s in spans])
+                loss.update(under.encode("utf-8", "surrogatepass"))
+                loss_chars, chars = loss_chars + len(under), chars + len(text)
+            yield as_batch(done)
+        if had:
+            yield as_batch([ended()])
+
+    return chats.select("conv_id", begin.alias("begin"), "formatted", "loss_spans").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -185,7 +242,7 @@ def op2_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     nothing = {"uri": "string", "width": "int", "height": "int", "seconds": "double", "pages": "int"}
     parts = F.array(F.struct(F.lit("text").alias("type"), F.col("text"), *[F.lit(None).cast(t).alias(n) for n, t in nothing.items()]))
-    return read_back(format_chats(turns.unionByName(probe).withColumn("parts", parts)))
+    return read_back(format_each_turn(turns.unionByName(probe).withColumn("parts", parts)))
 
 
 OP2_SQL = r"""

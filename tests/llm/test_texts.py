@@ -156,6 +156,20 @@ def test_chat_query_on_awkward_turns(spark, as_table):
     assert QUERIES["op2_format_chats"](spark, folder).columns[:2] == ["conv_id", "n_turns"]
 
 
+def test_turn_rows_join_to_conversations(spark):
+    """A conversation of many Arrow batches, read back turn by turn and whole, among short ones."""
+    rows = [(1, i, "assistant" if i % 2 else "user", [("text", f"<|t{i}|>", None, None, None, None, None), ("image", None, f"u{i}", 14, 14, None, None)]) for i in range(25_000)]
+    rows += [(c, i, "assistant", [("text", f"{c}", None, None, None, None, None)]) for c in (0, 2, None) for i in range(3)]
+    turns = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>").repartition(4)
+    each, whole = chat.format_each_turn(turns), chat.format_chats(turns)
+    assert sorted(map(repr, chat.read_back(each).collect())) == sorted(map(repr, chat.read_back(whole).collect()))
+    found = {r["conv_id"]: r for r in whole.collect()}
+    assert {c: r["n_turns"] for c, r in found.items()} == {0: 3, 1: 25_000, 2: 3, None: 3}
+    made = chat.format_turns([{"role": r, "parts": [dict(zip(("type", "text", "uri", "width", "height"), p, strict=False)) for p in parts]} for c, _, r, parts in rows if c == 1])
+    assert found[1]["formatted"] == made["formatted"] and [(x["start"], x["end"]) for x in found[1]["loss_spans"]] == [(x["start"], x["end"]) for x in made["loss_spans"]]
+    assert [x["offset"] for x in found[1]["attachments"]] == [x["offset"] for x in made["attachments"]] and found[1]["expanded_tokens"] == made["expanded_tokens"] == 25_000
+
+
 def test_no_conversations(spark):
     empty = spark.createDataFrame([], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
     assert chat.read_back(chat.format_chats(empty)).count() == 0
