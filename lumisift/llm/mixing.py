@@ -2,9 +2,9 @@
 
 Documents that belong to the same set of sources are interchangeable for the quotas, so Spark sums
 their sizes by membership pattern. A source whose documents belong to nothing else takes what it can of
-its quota, which Spark settles for any number of sources. Where sources overlap, the driver routes
-pattern capacity to source quotas (a flow over overlapping patterns and sources only, never over
-documents). Spark then selects documents in seeded order. Tables by source or pattern are written and
+its quota, which Spark settles for any number of sources. Where sources overlap, pattern capacity is
+routed to source quotas, one flow for each group of sources that patterns link, each in a task of its own
+(over patterns and sources only, never over documents). Spark then selects documents in seeded order. Tables by source or pattern are written and
 joined; Spark broadcasts them only while their files are small.
 
 Nulls and edges: a null or empty membership is a pattern that feeds no quota and is never taken; a
@@ -18,12 +18,14 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .graph import smallest_reachable
 from .shared import materialize, table
 
-#: The flow over overlapping patterns is one problem, solved on the driver; more such patterns raise, none is cut.
+#: Patterns linked by sources are one flow, solved in one task; a group of more patterns raises, none is cut.
 MAX_PATTERNS = 100_000
 _BINS = 1024
 
@@ -128,27 +130,38 @@ def route(capacity: dict[tuple, int], quota: dict[str | None, int], epochs: int
     return used
 
 
+def _route_groups(rows: DataFrame, quota: DataFrame, epochs: int) -> DataFrame:
+    """(_pattern, n, used) for overlapping patterns (_pattern, n): each group of sources that patterns link is a flow of its own."""
+    # Sources are nodes by their hash; a collision would only put two groups into one flow.
+    first = F.xxhash64(F.get("_pattern", F.lit(0)))
+    labels = smallest_reachable(rows.select(first.alias("u"), F.explode("_pattern").alias("s")).select("u", F.xxhash64("s").alias("v")))
+    held = materialize(rows.join(labels, first == F.col("node")).select("label", "_pattern", "n"), "mix-flows")
+    if not held.groupBy("label").count().filter(F.col("count") > MAX_PATTERNS).isEmpty():
+        raise ValueError(f"more than {MAX_PATTERNS} overlapping membership patterns hang together; group the sources first")
+    asked = quota.join(labels, F.xxhash64("source") == F.col("node")).select("label", "source", "quota")
+
+    def solve(flows: pd.DataFrame, quotas: pd.DataFrame) -> pd.DataFrame:
+        by_name = lambda p: [(s is None, s or "") for s in p]
+        capacity = {tuple(p): int(n) for p, n in zip(flows["_pattern"], flows["n"], strict=True)}
+        wanted = {None if pd.isna(s) else s: int(q) for s, q in zip(quotas["source"], quotas["quota"], strict=True)}
+        used = route({p: capacity[p] for p in sorted(capacity, key=by_name)}, wanted, epochs)
+        return pd.DataFrame({"_pattern": [list(p) for p in capacity], "n": list(capacity.values()), "used": [used.get(p, 0) for p in capacity]})
+
+    return held.groupBy("label").cogroup(asked.groupBy("label")).applyInPandas(solve, "_pattern array<string>, n long, used long")
+
+
 def planned(capacity: DataFrame, quota: DataFrame, epochs: int) -> DataFrame:
     """(_pattern, base, room): how often all of a pattern (_pattern, n) is used, and how many units more, for quotas (source, quota)."""
     alone = F.size("_pattern") == 1
     source = F.get("_pattern", F.lit(0))
     shared = capacity.filter(F.size("_pattern") > 1).select(F.explode("_pattern").alias("source")).distinct()
     marked = materialize(capacity.join(shared.select(F.col("source").alias("met"), F.lit(True).alias("overlaps")), alone & source.eqNullSafe(F.col("met")), "left").drop("met"), "mix-patterns")
-    flows = (F.size("_pattern") > 1) | (alone & F.col("overlaps").isNotNull())
+    flows = marked.filter((F.size("_pattern") > 1) | (alone & F.col("overlaps").isNotNull())).select("_pattern", "n")
     lone = marked.filter(alone & F.col("overlaps").isNull()).join(quota, source.eqNullSafe(F.col("source")), "left")
-    lone = lone.select("_pattern", "n", F.least(F.coalesce("quota", F.lit(0)), F.col("n") * epochs).alias("used"))
-    rows = marked.filter(flows).limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} overlapping membership patterns; group the sources first")
-    spent = {}
-    if rows:
-        # Sources of these patterns only: at most the members of MAX_PATTERNS rows.
-        named = marked.filter(flows).select(F.explode("_pattern").alias("s")).distinct()
-        asked = {r["source"]: r["quota"] for r in quota.join(named, F.col("source").eqNullSafe(F.col("s")), "left_semi").collect()}
-        spent = route({tuple(r["_pattern"]): r["n"] for r in rows}, asked, epochs)
-    routed = capacity.sparkSession.createDataFrame([(list(r["_pattern"]), r["n"], spent.get(tuple(r["_pattern"]), 0)) for r in rows], "_pattern array<string>, n long, used long")
-    none = marked.filter(F.size("_pattern") == 0).select("_pattern", "n", F.lit(0).cast("long").alias("used"))
-    every = lone.unionByName(routed).unionByName(none)
+    every = lone.select("_pattern", "n", F.least(F.coalesce("quota", F.lit(0)), F.col("n") * epochs).alias("used"))
+    if not flows.isEmpty():
+        every = every.unionByName(_route_groups(flows, quota, epochs))
+    every = every.unionByName(marked.filter(F.size("_pattern") == 0).select("_pattern", "n", F.lit(0).cast("long").alias("used")))
     some = F.col("n") > 0
     return materialize(every.select("_pattern", F.when(some, F.expr("used div n")).otherwise(0).alias("base"), F.when(some, F.expr("used % n")).otherwise(0).alias("room")), "mix-plan")
 

@@ -85,6 +85,26 @@ def test_many_sources(spark, monkeypatch):
         mixing.mix(clash, {"a": 1})
 
 
+def test_groups_of_linked_sources_are_flows_of_their_own(spark, monkeypatch):
+    """Many small groups, far more patterns than one flow may hold: each is spent as the flow of all of them says."""
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 4)
+    rng = random.Random(9)
+    capacity, quota = {}, {}
+    for g in range(12):
+        a, b, c = (None if g == 5 else f"a{g}"), f"b{g}", f"c{g}"
+        for p in ((b, a) if a is None else (a, b), (b,), (b, c), (a,)):
+            capacity[p] = rng.randint(0, 9)
+        quota |= {a: rng.randint(0, 20), b: rng.randint(0, 20), c: rng.randint(0, 9)}
+    capacity[()] = 7
+    frame = spark.createDataFrame([(list(p), n) for p, n in capacity.items()], "_pattern array<string>, n long").repartition(5)
+    plan = mixing.planned(frame, spark.createDataFrame(list(quota.items()), "source string, quota long"), 2).collect()
+    got = {tuple(r["_pattern"]): r["base"] * capacity[tuple(r["_pattern"])] + r["room"] for r in plan}
+    used = mixing.route(capacity, quota)
+    cost = lambda u: sum(sum(1 + k // capacity[p] for k in range(n)) for p, n in u.items())
+    assert set(got) == set(capacity) and sum(got.values()) == sum(used.values()) and cost(got) == cost(used)
+    assert all(n <= 2 * capacity[p] for p, n in got.items())
+
+
 def test_mix_keeps_all_columns(docs):
     got = mixing.mix_documents(docs.withColumn("size", F.lit("x")).withColumn("kept", F.lit(1)))
     assert got.columns == [*docs.columns, "kept", "size", "source_size", "target", "taken"]
