@@ -12,8 +12,8 @@ occur inside a text; a line feed in a role becomes `\\n`.
 Nulls and edges: a null text or role is empty; a null part, or one of an unknown type, is empty text;
 null content is no text; turns are ordered by (turn, role, content), nulls first, so repeated turns
 stay; a null conversation id is a conversation of its own; an empty table gives an empty result; other
-columns are left behind. A conversation's turns go through one task in order, a turn at a time, so only
-the longest turns and not the longest conversation take memory.
+columns are left behind. A conversation's turns go through one task in order, an Arrow batch at a time, so
+a batch of turns and not the longest conversation takes memory.
 """
 
 from __future__ import annotations
