@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, ctw, decontaminate, fingerprint, langid, line_dedup, mixing, simhash_dedup, substring_dedup, warc
+from . import chat, ctw, decontaminate, fingerprint, langid, line_dedup, minhash_dedup, mixing, resample, simhash_dedup, substring_dedup, vector_codes, warc
 
 
 def queries() -> dict:
@@ -19,9 +19,12 @@ def queries() -> dict:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_resample": resample.op11_resample,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_minhash_dedup": minhash_dedup.op13_minhash_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_format_chats": chat.OP2_SQL, "op4_warc_round_trip": warc.OP4_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL}
+    return {"op2_format_chats": chat.OP2_SQL, "op4_warc_round_trip": warc.OP4_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL, "op11_resample": resample.OP11_SQL, "op12_vector_codes": vector_codes.OP12_SQL, "op13_minhash_dedup": minhash_dedup.OP13_SQL}

@@ -143,8 +143,9 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def spanning_pairs(n: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Indices of the pairs (a, b) that make a spanning forest of n nodes of the least total distance (Boruvka's rounds)."""
+    """Indices of the pairs (a, b) that make a spanning forest of n nodes of the least total distance (Boruvka's rounds); pairs a = b join nothing."""
     order = np.lexsort((b, a, apart))
+    order = order[a[order] != b[order]]
     a, b = a[order], b[order]
     left, label, chosen = np.arange(len(a)), np.arange(n), np.zeros(len(a), bool)
     while len(left):
@@ -272,13 +273,13 @@ STAGE_SHINGLE, STAGE_BITS, STAGE_RADIUS, STAGE_KEYS, STAGE_ROWS = 5, 256, 64, 8,
 STAGE_LEAST = (4, 5)
 
 
-def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct five-word shingles of each text, ascending (fewer words: all of them as one), and how many."""
+def shingle_sets(texts: list[bytes], size: int = STAGE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of `size` words of each text, ascending (fewer words: all of them as one), and how many."""
     hashes, n = W.word_hashes([t.lower() for t in texts])
     sums, starts = W.run_sums(hashes), W.doc_starts(n)
-    counts = np.where(n > 0, np.maximum(n - STAGE_SHINGLE + 1, 1), 0)
+    counts = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
     first = np.repeat(starts[:-1] - W.doc_starts(counts)[:-1], counts) + np.arange(counts.sum())
-    last = np.minimum(first + STAGE_SHINGLE, np.repeat(starts[1:], counts))
+    last = np.minimum(first + size, np.repeat(starts[1:], counts))
     shingles, owner = W.span(sums, first, last), np.repeat(np.arange(len(n)), counts)
     order = np.lexsort((shingles, owner))
     shingles, owner = shingles[order], owner[order]
