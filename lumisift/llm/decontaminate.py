@@ -7,12 +7,13 @@ are compared in place, substitutions tolerated, and the overlap counts if any st
 LEAST_WORDS words has enough equal ones, wherever the others stand in it.
 
 Only DataFrame functions are used. The words around a hit travel with it, so documents are never
-shuffled. Benchmark hashes are broadcast in blocks of a fixed size; a larger benchmark takes more
-passes over the documents, not a larger broadcast.
+shuffled. Benchmark hashes are broadcast in blocks of a fixed size, one block at a time; a larger
+benchmark takes more passes over the documents, not a larger broadcast.
 
 Nulls and edges: null texts are empty and match nothing; an item of fewer than LEAST_WORDS words, down
 to one, is found where a document holds all of it unchanged; an item without words matches nothing;
 masks longer than LEAST_WORDS are cut to it; of several overlaps of a document and an item the one with most equal words stays;
+texts of any length are sought whole, and words that repeat cost the sum of both lengths, not their product;
 repeated rows of documents or items give one row per (doc_id, item_id); null ids stay null; empty
 tables give an empty result; other columns are left behind.
 """
@@ -44,12 +45,13 @@ def word_hashes(text: str) -> Column:
 
 
 def with_seeds(words: DataFrame, masks: list[str]) -> DataFrame:
-    """A row (..., n, at, h) for every mask and position (0-based) of the array column `words` that the mask fits."""
+    """A row (..., n, at, h, before) for every mask and position (0-based) of the array column `words` that the mask fits; before: the hash one position earlier, null at the start."""
     least = min(map(len, masks))
     # No filter on n: pushed below the projection, it would hash all words twice.
     at = words.withColumn("n", F.size("words")).withColumn("at", F.explode(F.when(F.col("n") >= least, F.sequence(F.lit(0), F.col("n") - least))))
-    hashes = [F.when(F.col("at") + len(m) <= F.col("n"), F.xxhash64(F.lit(m), *[F.get("words", F.col("at") + i) for i, bit in enumerate(m) if bit == "1"])) for m in masks]
-    return at.withColumn("h", F.explode(F.array(*hashes))).filter(F.col("h").isNotNull())
+    seed = lambda m, start: F.xxhash64(F.lit(m), *[F.get("words", start + i) for i, bit in enumerate(m) if bit == "1"])
+    seeds = [F.when(F.col("at") + len(m) <= F.col("n"), F.struct(seed(m, F.col("at")).alias("h"), F.when(F.col("at") > 0, seed(m, F.col("at") - 1)).alias("before"))) for m in masks]
+    return at.withColumn("seed", F.explode(F.array(*seeds))).filter(F.col("seed").isNotNull()).select(*at.columns, "seed.h", "seed.before")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -118,18 +120,24 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, least_words: int = L
     seeds = with_seeds(items.filter(~is_short).select("item", "words"), masks)
     for m in whole:
         seeds = seeds.unionByName(with_seeds(items.filter(F.size("words") == len(m)).select("item", "words"), [m]))
-    tests = materialize(seeds.select("h", "item", F.col("at").alias("item_at"), F.col("n").alias("item_words")), "bench-seeds")
+    tests = materialize(seeds.select("h", F.col("before").alias("item_before"), "item", F.col("at").alias("item_at"), F.col("n").alias("item_words")), "bench-seeds")
     blocks = -(-max(1, tests.count()) // block_seeds)
     words = docs.select("key", "doc_id", word_hashes("text").alias("words"))
     found = None
     for block in range(blocks):
         # By hash, item and place, so that a seed of very many items is spread over all blocks.
         part = F.broadcast(tests.filter(F.pmod(F.xxhash64("h", "item", "item_at"), F.lit(blocks)) == block))
-        hits = with_seeds(words, used).join(part, "h")
+        # A hit whose place before is a hit too lays the item the same way: only the first of such a row counts. So
+        # a word that repeats n times in a document and m times in an item lays it n + m ways, not n * m times.
+        first = F.col("before").isNull() | F.col("item_before").isNull() | (F.col("before") != F.col("item_before"))
+        seeded = with_seeds(words, used).withColumnRenamed("h", "seed")
+        hits = seeded.join(part, (F.col("seed") == F.col("h")) & first)
         # The item laid over the document: its words from `skip` on meet the document's from `begin` on.
         lag = F.col("at") - F.col("item_at")
         hits = hits.select("key", "doc_id", "item", "item_words", F.greatest(lag, F.lit(0)).alias("begin"), F.greatest(-lag, F.lit(0)).alias("skip"), "words")
         hits = hits.select("key", "doc_id", "item", "item_words", "begin", "skip", F.slice("words", F.col("begin") + 1, F.col("item_words") - F.col("skip")).alias("laid"))
+        if blocks > 1:  # written before the next block is broadcast, so that one block at a time is held
+            hits = materialize(hits.distinct(), "bench-hits")
         found = hits if found is None else found.unionByName(hits)
     laid = found.distinct().join(items, "item")
     laid = laid.withColumn("under", F.slice("words", F.col("skip") + 1, F.size("laid")))

@@ -1,21 +1,20 @@
 """Mixing overlapping sources to target weights by min-cost flow.
 
 Documents that belong to the same set of sources are interchangeable for the quotas, so Spark sums
-their sizes by membership pattern. A source whose documents belong to nothing else takes what it can of
-its quota, which Spark settles for any number of sources. Where sources overlap, pattern capacity is
-routed to source quotas, one flow for each group of sources that patterns link, each in a task of its own
-(over patterns and sources only, never over documents). Spark then selects documents in seeded order. Tables by source or pattern are written and
-joined; Spark broadcasts them only while their files are small.
+their sizes by membership pattern. Pattern capacity is then routed to source quotas by a min-cost flow in
+which the r-th use of a document costs r: nothing is repeated while a fresh document can serve. Each group of
+sources that patterns link is a flow of its own, in a task of its own, a source that overlaps no other too
+(over patterns and sources only, never over documents). Spark then selects documents in seeded order.
+Tables by source or pattern are written and joined; Spark broadcasts them only while their files are small.
 
 Nulls and edges: a null or empty membership is a pattern that feeds no quota and is never taken; a
 null member sorts last; a null or empty text has size 0 and takes 0; an empty table gives an empty
-result; repeated rows are chosen alike, as one block; other columns are kept, those named like a
-result are replaced.
+result; repeated rows are chosen alike, as one block; equal hashes of ids go by the id; texts of any length
+are counted whole; other columns are kept, those named like a result are replaced.
 """
 
 from __future__ import annotations
 
-import heapq
 from fractions import Fraction
 
 import pandas as pd
@@ -25,8 +24,6 @@ from pyspark.sql import functions as F
 from .graph import smallest_reachable
 from .shared import materialize, table
 
-#: Patterns linked by sources are one flow, solved in one task; a group of more patterns raises, none is cut.
-MAX_PATTERNS = 100_000
 _BINS = 1024
 
 
@@ -68,77 +65,118 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), sha
 
 
 def route(capacity: dict[tuple, int], quota: dict[str | None, int], epochs: int = 2) -> dict[tuple, int]:
-    """Units taken from each pattern: successive cheapest paths, where the r-th use of a pattern's tokens costs r.
+    """Units taken from each pattern: a min-cost flow in which the r-th use of a pattern's tokens costs r.
 
-    Nodes are the patterns and the sources; each path search runs over residual edges with Dijkstra,
-    and every augmentation fills a repetition step, a quota or a residual edge.
+    Every source has its quota to send to patterns that hold it. As a unit's cost depends on the pattern's level
+    of use alone, the cheapest flow is found level by level: patterns open for their first use and all that can
+    flow does, then for the second, and so on. Within a level paths may take over another source's units where
+    that source can be served elsewhere. Paths are found in layers (breadth first, then all shortest
+    ones), so a level takes few passes over the patterns, not one search for each path.
     """
     patterns = [p for p in capacity if capacity[p] > 0 and p]
-    used = dict.fromkeys(patterns, 0)
-    flow: dict[tuple, dict[str | None, int]] = {p: {} for p in patterns}
-    feeds: dict[str | None, list[tuple]] = {}
-    for p in patterns:
-        for s in set(p):
-            feeds.setdefault(s, []).append(p)
-    for s in sorted(feeds, key=lambda s: (s is None, s or "")):
-        need = quota.get(s, 0)
-        while need > 0:
-            # Distance from source s back to a pattern with spare capacity; a path may take over
-            # another source's units of a pattern if that source can be served elsewhere.
-            heap: list = [(0, 0, ("s", s))]
-            best: dict = {("s", s): 0}
-            came: dict = {}
-            tick, end = 0, None
-            while heap:
-                cost, _, node = heapq.heappop(heap)
-                if cost > best[node]:
-                    continue
-                if node[0] == "end":
-                    end = node
+    sources = sorted({s for p in patterns for s in p}, key=lambda s: (s is None, s or ""))
+    number = {s: i for i, s in enumerate(sources)}
+    members = [sorted({number[s] for s in p}) for p in patterns]
+    feeds: list[list[int]] = [[] for _ in sources]
+    for j, own in enumerate(members):
+        for i in own:
+            feeds[i].append(j)
+    left = [int(quota.get(s, 0)) for s in sources]
+    flow: list[dict[int, int]] = [dict.fromkeys(own, 0) for own in members]
+    used = [0] * len(patterns)
+    for level in range(1, epochs + 1):
+        open_to = [level * capacity[p] for p in patterns]
+        while True:
+            # Layers of sources (even) and patterns (odd) from the sources with units left.
+            at_source, at_pattern, reached = [-1] * len(sources), [-1] * len(patterns), False
+            wave = [i for i, n in enumerate(left) if n > 0]
+            for i in wave:
+                at_source[i] = 0
+            depth = 0
+            while wave and not reached:
+                hit = []
+                for i in wave:
+                    for j in feeds[i]:
+                        if at_pattern[j] < 0:
+                            at_pattern[j] = depth + 1
+                            hit.append(j)
+                            reached = reached or used[j] < open_to[j]
+                wave = []
+                for j in hit if not reached else ():
+                    for i, units in flow[j].items():
+                        if units > 0 and at_source[i] < 0:
+                            at_source[i] = depth + 2
+                            wave.append(i)
+                depth += 2
+            if not reached:
+                break
+            _push(left, used, open_to, flow, feeds, at_source, at_pattern)
+    return dict(zip(patterns, used, strict=True))
+
+
+def _push(left: list[int], used: list[int], open_to: list[int], flow: list[dict[int, int]], feeds: list[list[int]], at_source: list[int], at_pattern: list[int]) -> None:
+    """Send units along shortest paths of the layers until none is left; every edge that fails is tried once."""
+    edges = [0] * len(feeds)
+    takers: list[list[int] | None] = [None] * len(used)
+    for start, n in enumerate(left):
+        path: list[tuple[int, int]] = []  # (source, the pattern it sends to)
+        i = start
+        while n > 0 and left[start] > 0:
+            found = None
+            while edges[i] < len(feeds[i]):
+                j = feeds[i][edges[i]]
+                if at_pattern[j] == at_source[i] + 1:
+                    if used[j] < open_to[j]:
+                        found = (j, None)
+                        break
+                    if takers[j] is None:
+                        takers[j] = [k for k in flow[j] if at_source[k] == at_pattern[j] + 1]
+                    while takers[j] and flow[j][takers[j][-1]] <= 0:
+                        takers[j].pop()
+                    if takers[j]:
+                        found = (j, takers[j][-1])
+                        break
+                edges[i] += 1
+            if found is None:
+                if not path:
                     break
-                if node[0] == "s":
-                    steps = [(("p", p), 0) for p in feeds.get(node[1], ())]
-                else:
-                    p = node[1]
-                    steps = [(("s", t), 0) for t, units in flow[p].items() if units]
-                    if used[p] < epochs * capacity[p]:
-                        steps.append((("end", p), 1 + used[p] // capacity[p]))
-                for to, price in steps:
-                    if cost + price < best.get(to, 1 << 60):
-                        best[to] = cost + price
-                        came[to] = node
-                        tick += 1
-                        heapq.heappush(heap, (cost + price, tick, to))
-            if end is None:
-                break  # every reachable pattern is spent: the quota can't be met
-            path = [end]
-            while path[-1] in came:
-                path.append(came[path[-1]])
-            last = end[1]
-            units = min(need, (used[last] // capacity[last] + 1) * capacity[last] - used[last])
-            hops = [(a, b) for a, b in zip(path[1:], path[2:], strict=False)]  # pattern -> the node it serves
-            for a, b in hops:
-                if a[0] == "s":  # b's units of source a are what frees b
-                    units = min(units, flow[b[1]][a[1]])
-            for a, b in hops:
-                if a[0] == "p":
-                    flow[a[1]][b[1]] = flow[a[1]].get(b[1], 0) + units
-                else:
-                    flow[b[1]][a[1]] -= units
-            used[last] += units
-            need -= units
-    return used
-
-
-def _route_groups(rows: DataFrame, quota: DataFrame, epochs: int) -> DataFrame:
-    """(_pattern, n, used) for overlapping patterns (_pattern, n): each group of sources that patterns link is a flow of its own."""
+                # A dead end: the way here is not tried again.
+                i, j = path.pop()
+                takers[j].pop()
+                continue
+            j, further = found
+            path.append((i, j))
+            if further is not None:
+                i = further
+                continue
+            units = min(left[start], open_to[j] - used[j], *[flow[q][k] for (_, q), (k, _) in zip(path, path[1:], strict=False)])
+            for a, q in path:
+                flow[q][a] += units
+            for (_, q), (k, _) in zip(path, path[1:], strict=False):
+                flow[q][k] -= units
+            used[j] += units
+            left[start] -= units
+            path, i = [], start
+
+
+def planned(capacity: DataFrame, quota: DataFrame, epochs: int) -> DataFrame:
+    """(_pattern, base, room): how often all of a pattern (_pattern, n) is used, and how many units more, for quotas (source, quota).
+
+    Sources that patterns link are one flow, solved in a task of its own; a source that shares no pattern is
+    a flow of one pattern. A task holds its group's patterns and sources: about 1 GB for a million patterns.
+    """
     # Sources are nodes by their hash; a collision would only put two groups into one flow.
     first = F.xxhash64(F.get("_pattern", F.lit(0)))
-    labels = smallest_reachable(rows.select(first.alias("u"), F.explode("_pattern").alias("s")).select("u", F.xxhash64("s").alias("v")))
-    held = materialize(rows.join(labels, first == F.col("node")).select("label", "_pattern", "n"), "mix-flows")
-    if not held.groupBy("label").count().filter(F.col("count") > MAX_PATTERNS).isEmpty():
-        raise ValueError(f"more than {MAX_PATTERNS} overlapping membership patterns hang together; group the sources first")
-    asked = quota.join(labels, F.xxhash64("source") == F.col("node")).select("label", "source", "quota")
+    rows = capacity.filter(F.size("_pattern") > 0).withColumn("_first", first)
+    shared = rows.filter(F.size("_pattern") > 1)
+    named = lambda df, node: df.withColumn("label", node)
+    asked = quota.withColumn("_first", F.xxhash64("source"))
+    if shared.isEmpty():
+        rows, asked = named(rows, F.col("_first")), named(asked, F.col("_first"))
+    else:
+        labels = smallest_reachable(shared.select(F.col("_first").alias("u"), F.explode("_pattern").alias("s")).select("u", F.xxhash64("s").alias("v")))
+        rows, asked = (named(df.join(labels, F.col("_first") == F.col("node"), "left"), F.coalesce("label", "_first")) for df in (rows, asked))
+    flows, quotas = rows.select("label", "_pattern", "n"), asked.select("label", "source", "quota")
 
     def solve(flows: pd.DataFrame, quotas: pd.DataFrame) -> pd.DataFrame:
         by_name = lambda p: [(s is None, s or "") for s in p]
@@ -147,21 +185,8 @@ def _route_groups(rows: DataFrame, quota: DataFrame, epochs: int) -> DataFrame:
         used = route({p: capacity[p] for p in sorted(capacity, key=by_name)}, wanted, epochs)
         return pd.DataFrame({"_pattern": [list(p) for p in capacity], "n": list(capacity.values()), "used": [used.get(p, 0) for p in capacity]})
 
-    return held.groupBy("label").cogroup(asked.groupBy("label")).applyInPandas(solve, "_pattern array<string>, n long, used long")
-
-
-def planned(capacity: DataFrame, quota: DataFrame, epochs: int) -> DataFrame:
-    """(_pattern, base, room): how often all of a pattern (_pattern, n) is used, and how many units more, for quotas (source, quota)."""
-    alone = F.size("_pattern") == 1
-    source = F.get("_pattern", F.lit(0))
-    shared = capacity.filter(F.size("_pattern") > 1).select(F.explode("_pattern").alias("source")).distinct()
-    marked = materialize(capacity.join(shared.select(F.col("source").alias("met"), F.lit(True).alias("overlaps")), alone & source.eqNullSafe(F.col("met")), "left").drop("met"), "mix-patterns")
-    flows = marked.filter((F.size("_pattern") > 1) | (alone & F.col("overlaps").isNotNull())).select("_pattern", "n")
-    lone = marked.filter(alone & F.col("overlaps").isNull()).join(quota, source.eqNullSafe(F.col("source")), "left")
-    every = lone.select("_pattern", "n", F.least(F.coalesce("quota", F.lit(0)), F.col("n") * epochs).alias("used"))
-    if not flows.isEmpty():
-        every = every.unionByName(_route_groups(flows, quota, epochs))
-    every = every.unionByName(marked.filter(F.size("_pattern") == 0).select("_pattern", "n", F.lit(0).cast("long").alias("used")))
+    every = flows.groupBy("label").cogroup(quotas.groupBy("label")).applyInPandas(solve, "_pattern array<string>, n long, used long")
+    every = every.unionByName(capacity.filter(F.size("_pattern") == 0).select("_pattern", "n", F.lit(0).cast("long").alias("used")))
     some = F.col("n") > 0
     return materialize(every.select("_pattern", F.when(some, F.expr("used div n")).otherwise(0).alias("base"), F.when(some, F.expr("used % n")).otherwise(0).alias("room")), "mix-plan")
 
