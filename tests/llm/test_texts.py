@@ -374,6 +374,55 @@ def test_line_dedup_equals_brute_force(spark, seed):
         assert [" ".join(x.split()) for x in (got[i][0] or "").split("\n") if x.split()] == want
 
 
+def test_patience_pairs():
+    """Equal lines, rising in both; of lines that occur once, as many as any alignment has; anchors split what repeats."""
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.randrange(9) for _ in range(rng.randrange(12))] for _ in range(2))
+        pairs = line_dedup.patience_pairs(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False))
+    for _ in range(100):
+        a, b = (rng.sample(range(14), rng.randrange(12)) for _ in range(2))
+        at = {x: j for j, x in enumerate(b)}
+        best = [0] * (len(a) + 1)
+        for i in reversed(range(len(a))):
+            best[i] = 0 if a[i] not in at else 1 + max((best[k] for k in range(i + 1, len(a)) if a[k] in at and at[a[k]] > at[a[i]]), default=0)
+        assert len(line_dedup.patience_pairs(a, b)) == max(best)
+    assert line_dedup.patience_pairs("x{y{z}w}", "x{q{z}w}") == [(0, 0), (1, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7)]
+
+
+def test_nothing_goes_but_by_alignment(monkeypatch):
+    ours, sizes, seeds = list("abcde"), [70] * 5, [(i, i, i) for i in range(5)]
+    assert line_dedup.aligned_lines(ours, ours, sizes, seeds, 60) == {0, 1, 2, 3, 4}
+    assert line_dedup.aligned_lines(ours, list("edcba"), sizes, [(i, i, 4 - i) for i in range(5)], 60, moved=False) == {0}
+    assert line_dedup.aligned_lines(ours, list("edcba"), sizes, [(i, i, 4 - i) for i in range(5)], 60) == {0, 1, 2, 3, 4}
+    monkeypatch.setattr(line_dedup, "patience_pairs", lambda a, b: [])
+    assert line_dedup.aligned_lines(ours, ours, sizes, seeds, 60) == set()
+
+
+def test_without_moves_what_rises_in_both_goes(spark):
+    """Later texts are earlier ones in another order: of each, a longest rising run goes and the rest stays."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for n in range(30):
+        base = LINES[n * 12 : n * 12 + rng.randint(2, 12)]
+        order = rng.sample(range(len(base)), len(base))
+        if n % 2:  # one cut moved to the front
+            cut = rng.randrange(len(base))
+            order = [*range(cut, len(base)), *range(cut)]
+        best = [1] * len(order)
+        for i in range(len(order)):
+            best[i] += max((best[k] for k in range(i) if order[k] < order[i]), default=0)
+        rows += [(n, "\n".join(base)), (100 + n, "\n".join(base[i] for i in order))]
+        want[100 + n] = max(best)
+    got = cut(spark, rows, moved=False)
+    assert all(got[k][1] == n for k, n in want.items()) and all(got[k][1] == 0 for k in range(30))
+    for n in range(30):
+        gone = [x for x in rows[2 * n + 1][1].split("\n") if x not in (got[100 + n][0] or "").split("\n")]
+        at = [rows[2 * n][1].split("\n").index(x) for x in gone]
+        assert at == sorted(at)
+
+
 def test_line_dedup_on_awkward_rows(docs, no_docs):
     out = line_dedup.drop_aligned_lines(docs)
     assert out.count() == docs.count() and line_dedup.drop_aligned_lines(no_docs).count() == 0
