@@ -394,7 +394,7 @@ def test_patience_pairs():
 def test_nothing_goes_but_by_alignment(monkeypatch):
     ours, sizes, seeds = list("abcde"), [70] * 5, [(i, i, i) for i in range(5)]
     assert line_dedup.aligned_lines(ours, ours, sizes, seeds, 60) == {0, 1, 2, 3, 4}
-    assert line_dedup.aligned_lines(ours, list("edcba"), sizes, [(i, i, 4 - i) for i in range(5)], 60, moved=False) == {0}
+    assert line_dedup.aligned_lines(ours, list("edcba"), sizes, [(i, i, 4 - i) for i in range(5)], 60, moved=False) == {4}  # one of five: the last of equally long runs
     assert line_dedup.aligned_lines(ours, list("edcba"), sizes, [(i, i, 4 - i) for i in range(5)], 60) == {0, 1, 2, 3, 4}
     monkeypatch.setattr(line_dedup, "patience_pairs", lambda a, b: [])
     assert line_dedup.aligned_lines(ours, ours, sizes, seeds, 60) == set()
