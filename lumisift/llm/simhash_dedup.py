@@ -11,7 +11,9 @@ keys of the shingles, for radii at which no pigeonhole is selective. Buckets are
 tiles meet in pairs, so a hot bucket is spread over tasks. Links leave a block as a spanning forest of
 its nearest pairs, never as all pairs.
 
-Near-duplicates of a corpus are then verified: only links whose shingle sets have the similarity stand.
+Near-duplicates of a corpus are verified: only links whose shingle sets have the similarity stand. Pairs that
+a forest left out are looked at again where their ends still lie in different components, and there the
+sets themselves are compared: no candidate is lost by the forests.
 
 Nulls and edges: null text counts as empty; texts without words have fingerprint zero and link like
 others; equal fingerprints are one node; null ids link like others and get their component's name but
@@ -31,11 +33,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .graph import smallest_reachable
+from .graph import joined_further, smallest_reachable
 from .shared import materialize, table
+from .tiles import group_starts, in_tiles, set_tiles, settled, several_labels
 
 #: Members of a bucket compared in one task.
 TILE = 1024
+#: Nodes of a tile, at most so many shingles, where full sets are compared.
+SET_TILE, SET_VALUES = 256, 1 << 20
 #: Members put in one bit-sliced block, and queries run against it at once.
 BLOCK, QUERIES = 1024, 256
 
@@ -318,8 +323,8 @@ def wide_fingerprints(docs: DataFrame, key_col: str, text_col: str = "text") ->
     return docs.select(key_col, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, f"{key_col} {kind}, fp array<long>, keys array<long>, whole long, n long")
 
 
-def similar_pairs(links: DataFrame, texts: DataFrame, sizes: DataFrame, least: tuple[int, int] = STAGE_LEAST) -> DataFrame:
-    """The links (u, v) whose texts' shingle sets have a Jaccard similarity of at least `least`; texts: (node, text), sizes: (node, n)."""
+def similar_pairs(links: DataFrame, texts: DataFrame, sizes: DataFrame, least: tuple[int, int] = STAGE_LEAST) -> tuple[DataFrame, DataFrame]:
+    """The links (u, v) whose texts' shingle sets have a Jaccard similarity of at least `least`, and the sets (node, s) of all ends; texts: (node, text), sizes: (node, n)."""
     part, of = least
     n_u, n_v = sizes.select(F.col("node").alias("u"), F.col("n").alias("nu")), sizes.select(F.col("node").alias("v"), F.col("n").alias("nv"))
     near = materialize(links.distinct().join(n_u, "u").join(n_v, "v"), "simhash-near")
@@ -334,7 +339,48 @@ def similar_pairs(links: DataFrame, texts: DataFrame, sizes: DataFrame, least: t
     sets = materialize(sets, "simhash-sets")
     met = near.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
     both = F.size(F.array_intersect("su", "sv"))
-    return met.filter(both * (of + part) >= (F.col("nu") + F.col("nv")) * part).select("u", "v")
+    return met.filter(both * (of + part) >= (F.col("nu") + F.col("nv")) * part).select("u", "v"), sets
+
+
+def _apart_in_tiles(rows: pa.Table, first: np.ndarray, last: np.ndarray, radius: int, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows (i, j) of different labels at most radius bits apart whose sizes fit, and their distances."""
+    node = np.arange(rows.num_rows)
+    fps = rows.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+    n, label = rows.column("n").to_numpy(), rows.column("label").to_numpy()
+    part, of = least
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+    starts = np.flatnonzero(group_starts(rows))
+    for a, b in zip(starts, np.append(starts[1:], len(node)), strict=True):
+        if (label[a:b] == label[a]).all():
+            continue
+        q, k = links_within(fps[a:b], fps[a:b], radius, later=first[a:b] - a)
+        q, k = q + a, k + a
+        fits = (label[q] != label[k]) & (np.minimum(n[q], n[k]) * of >= np.maximum(n[q], n[k]) * part)
+        q, k = q[fits], k[fits]
+        found.append((q, k, np.bitwise_count(fps[q] ^ fps[k]).sum(axis=1, dtype=np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def left_out_links(nodes: DataFrame, labels: DataFrame, sets: DataFrame, radius: int, least: tuple[int, int]) -> DataFrame:
+    """Edges (u, v) between components `labels` (node, label) of nodes (node, fp, keys, n) that share a key, lie in the radius and have similar sets (node, s): as many as join the components."""
+    keys = nodes.select("node", F.explode(F.array_distinct("keys")).alias("k"))
+    tiles = keys.groupBy("k").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("k", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    # Candidates always have a proposed link, so nodes without a set have none.
+    facts = materialize(nodes.select("node", "fp", "n").join(sets.select("node"), "node", "left_semi").join(labels, "node", "left").select("node", "fp", "n", F.coalesce("label", "node").alias("label")), "simhash-labels")
+    held = several_labels(keys.join(facts, "node").join(materialize(tiles, "simhash-tiles"), "k"))
+
+    def open_pairs(rows: pa.Table, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j, _ = _apart_in_tiles(rows, first, last, radius, least)
+        hit = pa.array(np.unique(np.concatenate((i, j))))
+        yield pa.RecordBatch.from_arrays([rows.column(c).take(hit).combine_chunks() for c in ("k", "node")], names=["k", "node"])
+
+    left = materialize(in_tiles(held, open_pairs, "k long, node long", ["node", "fp", "n", "label"]).distinct(), "simhash-open")
+    again = set_tiles(left, facts.select("node", "n"), SET_TILE, SET_VALUES).join(facts, "node").join(sets.select("node", F.col("s").alias("shingles")), "node")
+
+    def confirm(rows: pa.Table, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield settled(rows, *_apart_in_tiles(rows, first, last, radius, least), least)
+
+    return in_tiles(again, confirm, "u long, v long", ["node", "fp", "n", "label", "shingles"])
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -351,7 +397,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(near_links(classes.select("node", "fp", "keys", "n"), STAGE_RADIUS, STAGE_LEAST), "near-links")
     # Rows of one key have one text, and a class needs one of them.
     texts = keyed.select(F.col("_key").alias("node"), "text")
-    labels = smallest_reachable(similar_pairs(links, texts, classes.select("node", "n")).distinct())
+    true, sets = similar_pairs(links, texts, classes.select("node", "n"))
+    true = materialize(true.distinct(), "near-true")
+    labels = smallest_reachable(true)
+    more = materialize(left_out_links(classes.select("node", "fp", "keys", "n"), labels, sets, STAGE_RADIUS, STAGE_LEAST), "near-more")
+    labels = joined_further(labels, more)
     grouped = classes.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first"))
     kept = grouped.select(F.col("first._key").alias("_key"))
     chosen = keyed.select("row", "_key").join(kept, "_key", "left_semi")

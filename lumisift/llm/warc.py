@@ -72,7 +72,7 @@ def parse_head(head: bytes) -> dict[str, str]:
 
 def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
     """Cut a stream of uncompressed bytes in records; what is held is one record and one piece."""
-    held = b""
+    held = bytearray()  # grows in place: a record of many pieces is copied once
     for piece in pieces:
         held += piece
         at = 0
@@ -80,12 +80,12 @@ def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
             end = held.find(b"\r\n\r\n", at)
             if end < 0:
                 break
-            stop = end + 8 + int(parse_head(held[at:end])["content-length"])
+            stop = end + 8 + int(parse_head(bytes(held[at:end]))["content-length"])
             if len(held) < stop:
                 break
-            yield held[at:stop]
+            yield bytes(held[at:stop])
             at = stop
-        held = held[at:]
+        del held[:at]
     if held.strip():
         raise ValueError("an archive ends inside a record")
 

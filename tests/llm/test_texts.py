@@ -408,8 +408,8 @@ def test_without_moves_what_rises_in_both_goes(spark):
         base = LINES[n * 12 : n * 12 + rng.randint(2, 12)]
         order = rng.sample(range(len(base)), len(base))
         if n % 2:  # one cut moved to the front
-            cut = rng.randrange(len(base))
-            order = [*range(cut, len(base)), *range(cut)]
+            turn = rng.randrange(len(base))
+            order = [*range(turn, len(base)), *range(turn)]
         best = [1] * len(order)
         for i in range(len(order)):
             best[i] += max((best[k] for k in range(i) if order[k] < order[i]), default=0)
@@ -538,6 +538,34 @@ def test_graph(spark):
     assert graph.smallest_reachable(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_random_graphs(spark):
+    """Sparse and dense graphs, stars with a large and a small centre, a long path in mixed order; then joined by further edges."""
+    rng = random.Random(14)
+    path = rng.sample(range(5000, 5200), 200)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1000 + j) for i in range(25) for j in range(i)] + [(2000 + i, 2999) for i in range(60)] + [(3000, 3001 + i) for i in range(60)] + list(zip(path, path[1:], strict=False))
+    further = [(1000, 2030), (3050, 9000), (9001, 9002), (5, 5), (299, 7000)]
+
+    def roots(edges):
+        label = {}
+
+        def find(x):
+            while label.setdefault(x, x) != x:
+                x = label[x]
+            return x
+
+        for u, v in edges:
+            if u != v:
+                a, b = sorted((find(u), find(v)))
+                label[b] = a
+        return {x: find(x) for x in label}
+
+    labels = graph.smallest_reachable(spark.createDataFrame(edges, "u long, v long"))
+    assert {r["node"]: r["label"] for r in labels.collect()} == roots(edges)
+    more = graph.joined_further(labels, spark.createDataFrame(further, "u long, v long"))
+    assert {r["node"]: r["label"] for r in more.collect()} == roots(edges + further) and more.count() == len(roots(edges + further))
+    assert graph.joined_further(labels, spark.createDataFrame([], "u long, v long")).count() == labels.count()
+
+
 def test_near_duplicates_by_similarity(spark):
     rng = random.Random(3)
     base = [prose(rng, "en", 300).split() for _ in range(30)]
@@ -588,7 +616,7 @@ def test_near_duplicates_equal_brute_force(spark, words):
     want = set(label)
     assert want <= kept  # nothing goes without a similar document
     recall = 1 - len(kept - want) / (len(texts) - len(want))
-    assert recall >= 0.98
+    assert recall >= 0.99
     assert sum(1 for x in similarity.values() if 0.8 <= x < 1) > 20 and sum(1 for x in similarity.values() if 0.6 < x < 0.8) > 20
 
 
