@@ -55,7 +55,7 @@ def sector_run(sector: Column) -> Column:
 def run_of_uid(uid: Column) -> Column:
     """The run of '<target>-<n>-S47' or '<target>-<n>-S36-S69'; null if there is none."""
     parts = F.split(uid, "-")
-    runs = F.filter(F.slice(parts, 3, 1_000), lambda p: p.startswith("S"))
+    runs = F.filter(parts, lambda p, i: (i >= 2) & p.startswith("S"))
     return F.when(F.size(runs) > 0, F.array_join(runs, "-"))
 
 

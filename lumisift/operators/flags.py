@@ -46,10 +46,10 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(Column.__or__, conditions, F.lit(False))
 
 
-def add_derived_metrics(df: DataFrame, period_match_tol_days: float = 0.01, partition_keys: tuple[str, ...] = ("tic_id",)) -> DataFrame:
-    """Reduced chi square, odd/even significance, core to halo ratio, and matching periods."""
+def add_derived_metrics(df: DataFrame, period_match_tol_days: float = 0.01, partition_keys: tuple[str, ...] = ("tic_id",), periods: DataFrame | None = None) -> DataFrame:
+    """Reduced chi square, odd/even significance, core to halo ratio, and matching periods (found in `periods` where that is cheaper to read than df)."""
     df = df.transform(add_reduced_chi_square).transform(add_odd_even_depth_sig).transform(add_ghost_diagnostic_ratio)
-    return add_matching_period_signals(df, period_match_tol_days, partition_keys=partition_keys)
+    return add_matching_period_signals(df, period_match_tol_days, partition_keys=partition_keys, periods=periods)
 
 
 def add_diagnostic_flags(df: DataFrame, thresholds: dict[str, Any] | None = None) -> DataFrame:

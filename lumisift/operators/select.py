@@ -38,6 +38,35 @@ def sorted_page(df: DataFrame, by: str, *, descending: bool = False, size: int |
     return out if size is None else out.offset(offset).limit(size)
 
 
+def page_after(df: DataFrame, by: str, last: tuple | None = None, *, descending: bool = False, size: int = 50, ties: tuple[str, ...] = ("tic_id", "planet_number")) -> DataFrame:
+    """The page that follows a row given by its (value of `by`, *ties), or the first; the order of `sorted_page`.
+
+    Rows up to the cursor are filtered away before anything is sorted, and of the rest each task keeps `size`
+    rows: a deep page costs no more than the first, where an offset sorts all rows before it. The ties must make
+    rows unique and not be null, or rows equal to the cursor are left out.
+    """
+    ties = tuple(t for t in ties if t != by)
+    out = df
+    if last is not None:
+        value, *rest = last
+        beyond = F.lit(False)
+        for i in reversed(range(len(ties))):  # by the first tie, then the second where the first is equal
+            beyond = (F.col(ties[i]) > F.lit(rest[i])) | ((F.col(ties[i]) == F.lit(rest[i])) & beyond)
+        if value is None:
+            out = df.filter(F.col(by).isNull() & beyond)
+        else:
+            further = F.col(by) < F.lit(value) if descending else F.col(by) > F.lit(value)
+            out = df.filter(further | ((F.col(by) == F.lit(value)) & beyond) | F.col(by).isNull())
+    first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
+    return out.orderBy(first, *[F.col(t) for t in ties]).limit(size)
+
+
+def cursor_of(page: DataFrame, by: str, ties: tuple[str, ...] = ("tic_id", "planet_number")) -> tuple | None:
+    """What `page_after` needs to go on after a page: its last row; None after an empty page."""
+    rows = page.select(by, *[t for t in ties if t != by]).collect()
+    return tuple(rows[-1]) if rows else None
+
+
 def work_list(rows: DataFrame, sector_col: str = "sector") -> DataFrame:
     """Distinct (tic_id, sector_run): what an external scorer has to look at."""
     for c in ("tic_id", sector_col):

@@ -17,20 +17,42 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
-def add_matching_period_signals(df: DataFrame, tol_days: float = 0.01, *, period_col: str = "orbital_period_days", partition_keys: tuple[str, ...] = ("tic_id",), null_keys: bool = True, out: str = "matching_period_signals") -> DataFrame:
+def matching_entities(df: DataFrame, tol_days: float = 0.01, *, period_col: str = "orbital_period_days", partition_keys: tuple[str, ...] = ("tic_id",)) -> DataFrame:
+    """The keys, once each, of entities that have two periods less than tol_days apart.
+
+    Periods fall into bands one and a half tolerances wide, so three in a band always hold a match, two
+    are compared, and otherwise only the last of a band and the first of the next can match. Each period is
+    sent to its own band and, as a predecessor, to the next: counts, ends and predecessors of a band are one
+    aggregation, summed per task before the one shuffle. An entity of any number of rows is spread over its
+    bands and no task sorts or holds its rows. Missing keys and missing or infinite periods match nothing.
+    """
+    p, width = F.col("_p"), 1.5 * tol_days
+    inside = reduce(Column.__and__, [F.col(k).isNotNull() for k in partition_keys])
+    rows = df.filter(inside).select(*partition_keys, F.col(period_col).cast("double").alias("_p")).filter(p.isNotNull() & ~F.isnan(p) & (F.abs(p) < float("inf")))
+    # Where doubles lie further apart than a band is wide, a value is a band of its own and precedes none.
+    fine = F.abs(p) < width * 2.0**52
+    band = F.when(fine, F.floor(p / width).cast("double")).otherwise(p)
+    own, before = F.struct(band.alias("band"), p.alias("p"), F.lit(None).cast("double").alias("before")), F.struct((band + 1).alias("band"), F.lit(None).cast("double").alias("p"), p.alias("before"))
+    bands = rows.select(*partition_keys, F.explode(F.when(fine, F.array(own, before)).otherwise(F.array(own))).alias("x")).groupBy(*partition_keys, F.col("x.band").alias("_band")).agg(
+        F.count("x.p").alias("_n"), F.min("x.p").alias("_low"), F.max("x.p").alias("_high"), F.max("x.before").alias("_before"))
+    # With one value in a band, its ends are the same value.
+    match = (F.col("_n") > 2) | ((F.col("_n") == 2) & (F.col("_high") - F.col("_low") < tol_days)) | (F.col("_low") - F.col("_before") < tol_days)
+    return bands.filter(true(match)).select(*partition_keys).distinct()
+
+
+def add_matching_period_signals(df: DataFrame, tol_days: float = 0.01, *, period_col: str = "orbital_period_days", partition_keys: tuple[str, ...] = ("tic_id",), out: str = "matching_period_signals", periods: DataFrame | None = None) -> DataFrame:
     """True on all rows of an entity that has two periods less than tol_days apart.
 
-    Sorted neighbours suffice, so this is a window and not a self join; both windows and a later join on
-    the same keys share one exchange. A null key is nobody's entity: False, and such rows stay out of the
-    windows, where they would be one group (null_keys=False promises that there are none). An absent column: False.
+    The entities are found from keys and periods alone and joined back, so a hot entity's rows are never
+    brought together. Where df is dear to compute, `periods` names a cheaper table of the same keys and
+    periods, such as the one df was joined from. A missing key is nobody's entity: False. An absent column: False.
     """
     if not {period_col, *partition_keys} <= set(df.columns):
         return df.withColumn(out, F.lit(False))
-    by_key = Window.partitionBy(*partition_keys)
-    gap = F.col(period_col) - F.lag(period_col).over(by_key.orderBy(F.col(period_col).asc_nulls_first()))
-    inside = reduce(Column.__and__, [F.col(k).isNotNull() for k in partition_keys])
-    known = df.filter(inside).withColumn("_gap", gap).withColumn(out, true(F.max(true(F.col("_gap") < tol_days)).over(by_key))).drop("_gap")
-    return known.unionByName(df.filter(~inside).withColumn(out, F.lit(False))) if null_keys else known
+    named = [f"_match_{k}" for k in partition_keys]
+    found = matching_entities(df if periods is None else periods, tol_days, period_col=period_col, partition_keys=partition_keys).withColumnsRenamed(dict(zip(partition_keys, named, strict=True)))
+    same = reduce(Column.__and__, [F.col(k) == F.col(n) for k, n in zip(partition_keys, named, strict=True)])
+    return df.join(found, same, "left").withColumn(out, F.col(named[0]).isNotNull()).drop(*named)
 
 
 #: The period ratios that count as related.

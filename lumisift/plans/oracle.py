@@ -113,6 +113,9 @@ def oracle_sql() -> dict[str, str]:
     scoped_uid = "CASE WHEN target_id % 5 = 0 THEN concat(CAST(target_id AS VARCHAR), '-', CAST(tce_plnt_num AS VARCHAR), '-S1-S2') ELSE uid END"
     scoped = f"WITH {_TCE}, {_PRED}, p AS (SELECT * REPLACE ({scoped_uid} AS uid), target_id % 5 <> 0 AS own FROM pred),\nmrg AS (SELECT tic_id, planet_number, sector, score, tce_period, {_MEDIAN} AS median_z_score, uid FROM tce LEFT JOIN p ON tic_id = target_id AND planet_number = tce_plnt_num AND own)"
     unscoped = f"WITH {_TCE}, {_PRED}, mrg AS (SELECT tic_id, planet_number, sector, score, tce_period, {_MEDIAN} AS median_z_score, uid FROM tce LEFT JOIN pred ON tic_id = target_id AND planet_number = tce_plnt_num)"
+    sample_flags = [c for c in _SUMMARY if c.startswith("flag_")]
+    cents = "CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE)"
+    of_files = "count(*) AS files_total, count_if(k % 11 <> 0 AND k % 7 <> 0) AS files_ok, count_if(k % 11 = 0) AS other_root, count_if(k % 11 <> 0 AND k % 7 = 0) AS broken, count_if(k % 11 <> 0 AND k % 7 <> 0 AND k % 3 = 0) AS second"
     grid = "CAST(least(19, floor(({c} - {c}0) / (({c}1 - {c}0) / 20))) AS INT)"
     return {
         "derived_metrics": _met(f"SELECT {_KEYS}, model_chi_square_reduced, odd_even_depth_sig, ghost_diagnostic_ratio, matching_period_signals FROM met"),
@@ -122,7 +125,9 @@ def oracle_sql() -> dict[str, str]:
 hc AS (SELECT CAST(greatest(1, least(30, ceil((tess_mag - lo) / h.w))) AS INT) AS bin, count(*) AS n FROM sample, h GROUP BY 1)
 SELECT 'n_total' AS metric, count(*) AS n FROM sample UNION ALL SELECT 'n_clean', count_if(in_clean_sample) FROM sample UNION ALL SELECT 'n_unflagged_diagnostics', count_if(NOT by_diagnostics) FROM sample
 UNION ALL SELECT 'n_unflagged_catalog', count_if(NOT flag_catalog_eb) FROM sample UNION ALL SELECT 'n_survivors', count_if(NOT any_diagnostic_flag) FROM sample UNION ALL SELECT 'entities', count(DISTINCT tic_id) FROM sample
-UNION ALL """ + _long("sample", {n: n for n in _SUMMARY} | {"unflagged": "NOT any_diagnostic_flag", "rows": "TRUE"}, m) + "\nUNION ALL SELECT concat('tess_mag ', b), coalesce(n, 0) FROM range(1, 31) t(b) LEFT JOIN hc ON hc.bin = b",
+UNION ALL """ + _long("sample", {n: n for n in _SUMMARY} | {"unflagged": "NOT any_diagnostic_flag", "rows": "TRUE"}, m) + "\nUNION ALL SELECT concat('tess_mag ', b), coalesce(n, 0) FROM range(1, 31) t(b) LEFT JOIN hc ON hc.bin = b"
+        + "".join(f"\nUNION ALL SELECT 'values of {c}', count({c}) FROM sample" for c in _STATS) + "".join(f"\nUNION ALL SELECT '{a} and {b}', CAST(count_if({a} AND {b}) AS BIGINT) FROM sample" for a in sample_flags for b in sample_flags)
+        + "".join(f"\nUNION ALL SELECT 'survivors {n}', CAST(count_if(NOT any_diagnostic_flag{e}) AS BIGINT) FROM sample" for n, e in {"n_total": "", "n_scored": " AND (tic_id + planet_number) % 3 = 0", "n_unscored": " AND (tic_id + planet_number) % 3 <> 0"}.items()),
         "prefixed_columns": "SELECT o_orderkey % 7 AS part, count(*) AS n, max(0.8 + (o_custkey % 20) / CAST(10 AS DOUBLE)) AS most FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1",
         "score_round_trip": f"WITH {_TCE}, {_MET}, {_FLG}, {_PRED}\nSELECT tic_id, {_OWN_RUN} AS sector_run, count(*) AS n_signals, count(score) AS n_scored FROM flg LEFT JOIN pred ON tic_id = target_id AND planet_number = tce_plnt_num AND uid = concat(tic_id, '-', planet_number, '-S', sector) WHERE NOT any_diagnostic_flag GROUP BY 1, 2",
         "control_sample": _flg(f"SELECT {_KEYS}, TRUE AS is_control_sample FROM flg WHERE any_diagnostic_flag ORDER BY md5(concat_ws('-', '42', tic_id, planet_number, sector)), {_KEYS} LIMIT 50"),
@@ -194,6 +199,21 @@ SELECT l.candidate_id, classification, rounds, unsure_rounds, CASE WHEN unsure_r
         "confusion": f"""WITH {_DECISIONS}, l AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY candidate_id, vetter_id ORDER BY vetting_round DESC, decided_at DESC, classification) = 1)
 SELECT a.classification AS class_a, count_if(b.classification = 'unsure')::BIGINT AS unsure, count_if(b.classification = 'planet')::BIGINT AS planet, count_if(b.classification = 'background')::BIGINT AS background
 FROM l a JOIN l b ON a.candidate_id = b.candidate_id AND a.vetter_id < b.vetter_id GROUP BY 1""",
+        "sample_sink": f"{_FULL}\nSELECT sector, 'v1' AS sample_version, count(*) AS n, CAST(count_if(any_diagnostic_flag) AS BIGINT) AS n_flagged, CAST(14 AS DOUBLE) AS tmag_max, CAST(3.5 AS DOUBLE) AS log_g_min FROM sample GROUP BY sector",
+        "report_files": f"WITH f AS (SELECT {of_files} FROM (SELECT s_suppkey AS k FROM supplier))\nSELECT metric, CAST(n AS BIGINT) AS n FROM (SELECT 'files_total' AS metric, files_total AS n FROM f UNION ALL SELECT 'files_ok', files_ok FROM f UNION ALL SELECT 'files_failed', files_total - files_ok FROM f UNION ALL SELECT 'rows', files_ok + second FROM f UNION ALL "
+        + " UNION ALL ".join(f"SELECT '{m}', {n} FROM f WHERE {n} > 0" for m, n in {"sector 5 by v1": "files_ok", "sector 7 by v1": "second", "file ParseError": "broken", "file ValueError": "other_root", "tce ValueError": "files_ok"}.items()) + ")",
+        "worklist_sink": _flg(f"SELECT DISTINCT tic_id, {_OWN_RUN} AS sector_run FROM flg WHERE NOT any_diagnostic_flag"),
+        "predictions_with_comments": f"WITH {_TCE}, {_PRED}\nSELECT uid, target_id, tce_plnt_num, CASE WHEN target_id % 2 = 0 THEN 'a # b, c' ELSE 'plain' END AS note, score FROM pred",
+        "skipped_files": f"SELECT 'rows' AS what, count(*) AS n, {cents} AS total FROM orders UNION ALL SELECT 'not a Parquet file', count(*), NULL FROM supplier UNION ALL SELECT 'missing', 1, NULL",
+        "stream_replay": f"SELECT o_orderkey % 2 AS batch, count(*) AS n, {cents} AS total, 1 + o_orderkey % 2 AS n_attempts, count(*) AS n_recorded, 'v1' AS version FROM orders GROUP BY o_orderkey % 2",
+        "entity_sketches": f"WITH {_TCE}\nSELECT sector % 2 AS half, count(*) AS n_rows, count(DISTINCT tic_id) AS exact, TRUE AS near FROM tce GROUP BY 1 UNION ALL SELECT NULL, count(*), count(DISTINCT tic_id), TRUE FROM tce",
+        "cached_lookups": "SELECT user_id AS tic_id, ts AS queried_at, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1",
+        "bucketed_enrich": f"{_FULL}\nSELECT {_KEYS}, doyle_parallax_over_error, doyle_ruwe, has_doyle_params FROM sample",
+        "keyset_page": f"WITH {_TCE}\nSELECT tic_id, planet_number, log_g FROM tce ORDER BY log_g DESC NULLS LAST, tic_id, planet_number LIMIT 40 OFFSET 120",
+        "unique_keys": f"WITH {_TCE}\nSELECT sector, count(*) AS n FROM tce GROUP BY 1",
+        "found_id_column": 'SELECT o_orderkey AS "ticId" FROM orders WHERE o_orderkey % 5 <> 0',
+        "stored_catalog": f"WITH {_STELLAR}\nSELECT tic_id, doyle_parallax_over_error, CASE WHEN tic_id % 4 <> 0 THEN doyle_ruwe END AS doyle_ruwe, CAST(NULL AS BIGINT) AS doyle_gaia_dr3 FROM stellar",
+        "absent_catalogs": f"WITH {_TCE}\n" + _long("tce", {"flag_prsa_eb": "FALSE", "flag_kostov_eb": "FALSE", "flag_oddo_eb": "tic_id % 101 = 0", "flag_catalog_eb": "tic_id % 101 = 0", "annotation_kostov_candidate": "FALSE"}, m),
         "read_folder": "SELECT o_orderpriority, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY 1",
         "machine_readable": """SELECT o_orderkey AS tic_id, o_custkey / CAST(4 AS DOUBLE) AS "Per", left(o_orderstatus, 1) AS "Flag" FROM orders WHERE o_orderkey % 10 <> 0""",
         "new_files": """WITH l AS (SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'done' ELSE 'failed' END AS status FROM orders WHERE o_custkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate DESC, status) = 1)

@@ -21,13 +21,12 @@ from ..sources.tables import with_thresholds, write_work_list
 def build_sample(parts: list[DataFrame], config: dict[str, Any], *, stellar: DataFrame | None = None, stellar_order: list | None = None, **catalogs: DataFrame | None) -> DataFrame:
     """Parsed sectors to the annotated sample: run type, catalog values, metrics, flags, cuts, provenance, thresholds.
 
-    The join with the stellar catalog and the windows use the same key, so they share one exchange.
-    Catalog flags of single sources and annotations don't gate.
+    Matching periods are found in the parts, before anything is joined to them. Catalog flags of single sources and annotations don't gate.
     """
     diagnostics = config.get("diagnostics", {})
-    df = nan_to_null(union_sectors(parts)).transform(classify_run_type)
-    df = enrich(df, stellar, stellar_order)
-    df = add_derived_metrics(df, diagnostics.get("period_match_tol_days", 0.01))
+    raw = nan_to_null(union_sectors(parts))
+    df = enrich(raw.transform(classify_run_type), stellar, stellar_order)
+    df = add_derived_metrics(df, diagnostics.get("period_match_tol_days", 0.01), periods=raw)
     df = add_diagnostic_flags(df, diagnostics)
     df = add_catalog_flags(df, **catalogs)
     df = add_any_flag(df, [*DIAGNOSTIC_FLAGS, CATALOG_FLAG])

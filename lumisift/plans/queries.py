@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..functions import exprs, nulls
 from ..operators import aggs, flags, joins, select, sets, vetting, windows
 from ..sources import catalogs as cat
 from ..sources import reports, tables
+from ..sources.scratch import scratch_path
 from ..streaming import incremental
 from . import pipelines, proxy
 
@@ -42,11 +44,15 @@ def metrics_absent_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_tables(spark: SparkSession, d: str) -> DataFrame:
-    """The counts of a whole report in one table: gates, summary and one histogram."""
-    out = pipelines.report(_sample(spark, d))
+    """The counts of a whole report in one table: gates, summary, one histogram, statistics, co-occurrence, survivors and their scores."""
+    scores = proxy.predictions(proxy.tce(spark, d)).selectExpr("target_id AS tic_id", "tce_plnt_num AS planet_number", "score")
+    out = pipelines.report(_sample(spark, d), scores)
     gates = aggs.long_form(out["gates"], out["gates"].columns)
     bars = out["histogram_tess_mag"].select(F.concat(F.lit("tess_mag "), F.col("bin").cast("string")).alias("metric"), "n")
-    return gates.unionByName(out["summary"].select("metric", "n")).unionByName(bars)
+    known = out["statistics"].select(F.concat(F.lit("values of "), F.col("metric")).alias("metric"), "n")
+    both = out["cooccurrence"].select(F.concat("flag_a", F.lit(" and "), "flag_b").alias("metric"), F.col("both").alias("n"))
+    coverage = aggs.long_form(out["coverage"], out["coverage"].columns).withColumn("metric", F.concat(F.lit("survivors "), F.col("metric")))
+    return reduce(DataFrame.unionByName, [gates, out["summary"].select("metric", "n"), bars, known, both, coverage])
 
 
 def prefixed_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -265,14 +271,19 @@ def reject_counts(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("level", "error_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fixed_width(spark: SparkSession, d: str) -> DataFrame:
-    rows = proxy.stellar(spark, d).filter("copy = 0")
+def _stellar_lines(rows: DataFrame) -> DataFrame:
+    """Catalog rows as lines of the stellar layout."""
     texts = {"tic_id": F.col("tic_id").cast("string"), "doyle_parallax_over_error": F.col("doyle_parallax_over_error").cast("string"), "doyle_ruwe": F.when(F.col("tic_id") % 4 != 0, F.col("doyle_ruwe").cast("string"))}
     cells, at = [], 1
     for name, start, stop, _ in cat.STELLAR_LAYOUT:
         cells += [F.lpad(F.lit(""), start - at, " "), F.lpad(F.coalesce(texts.get(name, F.lit("")), F.lit("")), stop - start + 1, " ")]
         at = stop + 1
-    return cat.parse_fixed_width(rows.select(F.concat(*cells).alias("value")), cat.STELLAR_LAYOUT).select("tic_id", "doyle_parallax_over_error", "doyle_ruwe", "doyle_gaia_dr3")
+    return rows.select(F.concat(*cells).alias("value"))
+
+
+def fixed_width(spark: SparkSession, d: str) -> DataFrame:
+    lines = _stellar_lines(proxy.stellar(spark, d).filter("copy = 0"))
+    return cat.parse_fixed_width(lines, cat.STELLAR_LAYOUT).select("tic_id", "doyle_parallax_over_error", "doyle_ruwe", "doyle_gaia_dr3")
 
 
 def catalog_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -325,9 +336,9 @@ NOW = "2024-02-01 00:00:00"
 def stale_lookups(spark: SparkSession, d: str) -> DataFrame:
     ids = proxy.table(spark, d, "customer").select(F.col("c_custkey").alias("tic_id"))
     events = proxy.table(spark, d, "events")
-    latest = events.agg(F.max("ts")).first()[0]
+    latest = events.agg(F.max("ts")).scalar()
     cache = events.select(F.col("user_id").alias("tic_id"), F.col("ts").alias("queried_at"))
-    return incremental.stale_lookups(ids, cache, str(latest), max_age_days=1)
+    return incremental.stale_lookups(ids, cache, latest, max_age_days=1)
 
 
 def newest_lookups(spark: SparkSession, d: str) -> DataFrame:
@@ -421,8 +432,13 @@ _MRT_HEAD = ["Title: orders", "=" * 40, "Byte-by-byte Description of file: t.txt
 
 def machine_readable(spark: SparkSession, d: str) -> DataFrame:
     orders = proxy.table(spark, d, "orders")
+    path = scratch_path(spark, "mrt")
     line = F.concat(F.lpad(F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderkey").cast("string")).otherwise(F.lit("-")), 9, " "), F.lit(" "), F.lpad((F.col("o_custkey") / 4).cast("string"), 10, " "), F.lit(" "), F.substring("o_orderstatus", 1, 1))
-    return cat.parse_mrt(orders.select(line.alias("value")), _MRT_HEAD).select(F.col("ticId").alias("tic_id"), "Per", "Flag")
+    # A file per status, its head before its rows; a rule-like line among the rows.
+    rows = orders.select("o_orderstatus", F.lit(1).alias("turn"), F.when(F.col("o_orderkey") % 1000 == 0, F.lit("-" * 40)).otherwise(line).alias("value"))
+    heads = orders.select("o_orderstatus").distinct().select("o_orderstatus", F.lit(0).alias("turn"), F.lit("\n".join(_MRT_HEAD)).alias("value"))
+    rows.union(heads).repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "turn").select("o_orderstatus", "value").write.partitionBy("o_orderstatus").text(path)
+    return cat.read_mrt(spark, f"{path}/*/*.txt").select(F.col("ticId").alias("tic_id"), "Per", "Flag")
 
 
 def summary_records(spark: SparkSession, d: str) -> DataFrame:
@@ -430,6 +446,163 @@ def summary_records(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.summary_records(rows).select(*KEYS, F.get_json_object("record", "$.model_fit_snr").cast("double").alias("snr"), F.get_json_object("record", "$.any_diagnostic_flag").alias("flagged"))
 
 
+# --- what is written and read back ------------------------------------------------------------------
+
+
+def sample_sink(spark: SparkSession, d: str) -> DataFrame:
+    """A sample written by sector with its provenance and thresholds: what another run reads back of it."""
+    path = scratch_path(spark, "sample")
+    tables.write_sample(_sample(spark, d), path, proxy.CONFIG)
+    back = tables.read_table(spark, path)
+    held = tables.read_thresholds(back)
+    rows = back.groupBy("sector", "sample_version").agg(F.count(F.lit(1)).alias("n"), F.count_if("any_diagnostic_flag").alias("n_flagged"))
+    return rows.withColumns({"tmag_max": F.lit(float(held["stellar_cuts"]["tmag_max"])), "log_g_min": F.lit(float(held["stellar_cuts"]["log_g_min"]))})
+
+
+def report_files(spark: SparkSession, d: str) -> DataFrame:
+    """Report files scanned from a folder tree, parsed, and written by sector beside their errors: counts of the run and of what is read back."""
+    folder = scratch_path(spark, "reports")
+    suppliers = proxy.table(spark, d, "supplier").select(F.col("s_suppkey").alias("tic_id"), "s_acctbal")
+    planet = lambda n, sector: F.concat(F.lit(f'<planetResults planetNumber="{n}"><bootstrapResults significance="'), F.col("s_acctbal").cast("string"), F.lit(f'"/><differenceImageResults sector="{sector}"/></planetResults>'))
+    body = F.concat(planet(1, 5), planet("x", 6), F.when(F.col("tic_id") % 3 == 0, planet(2, 7)).otherwise(""))
+    end = F.when(F.col("tic_id") % 7 == 0, "").otherwise("</dvTargetResults>")
+    text = F.when(F.col("tic_id") % 11 == 0, "<other/>").otherwise(F.concat(F.lit("<!-- <a> --><dvTargetResults ticId=\""), F.col("tic_id").cast("string"), F.lit('">'), body, end))
+    suppliers.select("tic_id", text.alias("value")).repartition("tic_id").write.partitionBy("tic_id").text(folder)
+    counts: dict[str, int] = {}
+    parsed = reports.parse_reports(reports.scan_reports(spark, folder, "*.txt"))
+    reports.write_signals(parsed, f"{folder}-signals", f"{folder}-errors", "v1", counts)
+    signals = spark.read.parquet(f"{folder}-signals").groupBy(F.concat(F.lit("sector "), F.col("sector").cast("string"), F.lit(" by "), F.col("parser_version")).alias("metric")).agg(F.count(F.lit(1)).alias("n"))
+    errors = spark.read.json(f"{folder}-errors").groupBy(F.concat_ws(" ", "level", "error_type").alias("metric")).agg(F.count(F.lit(1)).alias("n"))
+    run = spark.createDataFrame(list(counts.items()), "metric string, n long")
+    return run.unionByName(signals).unionByName(errors)
+
+
+def worklist_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The work list as a CSV folder, read back by its suffix."""
+    path = scratch_path(spark, "worklist") + ".csv"
+    tables.write_work_list(flagged(spark, d).transform(flags.survivors), path)
+    return tables.read_table(spark, path, "tic_id long, sector_run string")
+
+
+def predictions_with_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Scores read from a CSV with comment lines, comments behind values and a quoted #."""
+    path = scratch_path(spark, "scores")
+    rows = proxy.predictions(proxy.tce(spark, d))
+    tail = F.when(F.col("target_id") % 3 == 0, " # checked, twice").when(F.col("target_id") % 3 == 1, "#").otherwise("")
+    note = F.when(F.col("target_id") % 2 == 0, F.lit('"a # b, c"')).otherwise(F.lit("plain"))
+    line = F.concat_ws(",", F.col("uid"), F.col("target_id").cast("string"), F.col("tce_plnt_num").cast("string"), note, F.col("score").cast("string"))
+    text = F.when(F.col("tce_plnt_num") == 1, F.concat(F.lit("# next target\n"), line, tail)).otherwise(F.concat(line, tail))
+    # Every row brings a header, as where the files of several runs are put together.
+    rows.select(F.concat(F.lit("# made by a scorer\nuid,target_id,tce_plnt_num,note,score # header\n"), text).alias("value")).write.text(path)
+    return tables.read_predictions(spark, path, "uid string, target_id long, tce_plnt_num int, note string, score double")
+
+
+def _cents(column: str) -> Column:
+    return F.sum(F.col(column).cast("decimal(18,2)")).cast("double")
+
+
+def skipped_files(spark: SparkSession, d: str) -> DataFrame:
+    """A folder in which whole and broken files stand side by side: rows that a tolerant read gives, and files that it skips, by reason."""
+    folder = scratch_path(spark, "mixed")
+    orders = proxy.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    orders.write.parquet(f"{folder}/whole")
+    orders.limit(0).write.parquet(f"{folder}/empty")
+    proxy.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("no table, only text "), "s_name").alias("value")).repartition("k").write.partitionBy("k").text(f"{folder}/broken")
+    schema = "o_orderkey long, o_totalprice double"
+    paths = [f"{folder}/whole", f"{folder}/empty", f"{folder}/broken/*/*.txt", f"{folder}/missing"]
+    rows = tables.read_tolerant(spark, paths, schema).agg(F.lit("rows").alias("what"), F.count(F.lit(1)).alias("n"), _cents("o_totalprice").alias("total"))
+    skipped = tables.skipped_files(spark, paths, schema).groupBy(F.col("reason").alias("what")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("total"))
+    return rows.unionByName(skipped)
+
+
+def stream_replay(spark: SparkSession, d: str) -> DataFrame:
+    """A folder streamed in two runs, the last batch replayed as after a crash: rows by batch as readers see them, with the attempts behind them."""
+    folder, source, checkpoint = (scratch_path(spark, x) for x in ("committed", "arrivals", "stream"))
+    orders = proxy.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    schema = "o_orderkey long, o_custkey long, o_totalprice double"
+    orders = orders.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")])
+    run = lambda: incremental.stream_files(spark, source, schema, folder, checkpoint, "v1").awaitTermination()
+    for part in (0, 1):
+        orders.filter(F.col("o_orderkey") % 2 == part).write.mode("append").parquet(source)
+        run()
+    # The last batch is planned but not marked as done: the next run does it again.
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/1")
+    done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, False)
+    run()
+    rows = incremental.read_committed(spark, folder, schema).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), _cents("o_totalprice").alias("total"))
+    runs = incremental.run_history(spark, folder).groupBy("batch").agg(F.count(F.lit(1)).alias("n_attempts"), F.sum(F.when(F.col("current"), F.col("n_rows"))).alias("n_recorded"), F.max("version").alias("version"))
+    return rows.join(runs, "batch")
+
+
+def entity_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct entities from sketches stored by sector, united for all and for each half: whether within 3 % of the exact count."""
+    path, rows = scratch_path(spark, "sketches"), proxy.tce(spark, d)
+    aggs.entity_sketches(rows).write.parquet(path)
+    half = (F.col("sector") % 2).alias("half")
+    stored = spark.read.parquet(path)
+    united = aggs.entities_of_sketches(stored.withColumn("half", half), ["half"]).unionByName(aggs.entities_of_sketches(stored).withColumn("half", F.lit(None).cast("int")))
+    exact = rows.cube(half).agg(F.countDistinct("tic_id").alias("exact")).withColumnRenamed("half", "of")
+    near = F.abs(F.col("n_entities") - F.col("exact")) <= 0.03 * F.col("exact")
+    return united.join(exact, F.col("half").eqNullSafe(F.col("of"))).select("half", "n_rows", "exact", near.alias("near"))
+
+
+def cached_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """A stored cache of lookups brought up to date bucket by bucket."""
+    path = scratch_path(spark, "cache")
+    events = proxy.table(spark, d, "events").select(F.col("user_id").alias("tic_id"), F.col("ts").alias("queried_at"), "event_id")
+    for part in (0, 1):
+        incremental.upsert_cache(events.filter(F.col("event_id") % 2 == part), path, buckets=16)
+    return spark.read.parquet(path).select("tic_id", "queried_at", "event_id")
+
+
+def bucketed_enrich(spark: SparkSession, d: str) -> DataFrame:
+    """Detections and catalog stored in buckets of the id, then joined without an exchange."""
+    rows, stars = (f"t{scratch_path(spark, 'b').rsplit('-', 1)[1]}" for _ in range(2))
+    tables.write_bucketed(proxy.tce(spark, d).select(*KEYS), rows, scratch_path(spark, "bucketed"), buckets=8)
+    tables.write_bucketed(proxy.stellar(spark, d), stars, scratch_path(spark, "bucketed"), buckets=8)
+    return joins.enrich(spark.table(rows), spark.table(stars), _stellar_order()).select(*KEYS, "doyle_parallax_over_error", "doyle_ruwe", "has_doyle_params")
+
+
+def keyset_page(spark: SparkSession, d: str) -> DataFrame:
+    """The fourth page, reached by the last row of each page before it."""
+    rows, last = proxy.tce(spark, d).select("tic_id", "planet_number", "log_g"), None
+    for _ in range(3):
+        last = select.cursor_of(select.page_after(rows, "log_g", last, descending=True, size=40), "log_g")
+    return select.page_after(rows, "log_g", last, descending=True, size=40)
+
+
+def unique_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The one-to-one check on rows that pass it."""
+    checked = joins.require_unique(proxy.tce(spark, d), ["tic_id", "planet_number"], "detections")
+    return checked.groupBy("sector").agg(F.count(F.lit(1)).alias("n"))
+
+
+def found_id_column(spark: SparkSession, d: str) -> DataFrame:
+    """A CSV catalog whose id column is found by its name."""
+    path = scratch_path(spark, "ids")
+    proxy.table(spark, d, "orders").select(F.col("o_custkey").alias("other"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey").cast("string")).otherwise("none").alias("Tic_ID")).write.csv(path, header=True)
+    return cat.read_id_csv(spark, path, None).select("ticId")
+
+
+def stored_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """A gzipped fixed-width catalog, read through its Parquet copy."""
+    path, folder = scratch_path(spark, "stars"), scratch_path(spark, "copies")
+    rows = proxy.stellar(spark, d).filter("copy = 0")
+    _stellar_lines(rows).coalesce(1).write.option("compression", "gzip").text(path)
+    for _ in range(2):  # the second read finds the copy
+        stars = cat.stored_catalog(spark, path, folder, lambda s, p: cat.read_fixed_width(s, p, partitions=8))
+    return stars.select("tic_id", "doyle_parallax_over_error", "doyle_ruwe", "doyle_gaia_dr3")
+
+
+def absent_catalogs(spark: SparkSession, d: str) -> DataFrame:
+    """Flags where three catalogs are unset, a placeholder and missing, and one is there."""
+    path = scratch_path(spark, "catalog")
+    proxy.id_catalogs(spark, d)["oddo"].write.parquet(path)
+    read = lambda where: cat.optional_catalog(spark, where, lambda s, p: s.read.parquet(p))
+    out = joins.add_catalog_flags(proxy.tce(spark, d), prsa=read(None), kostov_vetted=read("/path/to/catalog"), kostov_unvetted=read(f"{path}-missing"), oddo=read(path))
+    return aggs.bool_counts(out, ["flag_prsa_eb", "flag_kostov_eb", "flag_oddo_eb", "flag_catalog_eb", "annotation_kostov_candidate"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -439,6 +612,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         uid_runs, bitmask_sectors, report_urls, log10_values, parse_reports, reject_counts, fixed_width, catalog_ids, period_harmonics, filter_chain, anomaly_score,
         type_flags, stale_lookups, newest_lookups, family_flags, parent_sample, top_n, control_sample, shared_triples, sentinel_parameters, deep_eclipse,
         decision_rejects, agreement, revet_queue, new_files, phase_fold, summary_records, metrics_absent_columns, report_tables, prefixed_columns, score_round_trip,
-        decisions_for, confusion, read_folder, machine_readable,
+        decisions_for, confusion, read_folder, machine_readable, sample_sink, report_files, worklist_sink, predictions_with_comments, skipped_files, stream_replay,
+        entity_sketches, cached_lookups, bucketed_enrich, keyset_page, unique_keys, found_id_column, absent_catalogs, stored_catalog,
     )
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import find_id_column
 from ..functions.nulls import to_double, to_long
+from .scratch import exists
 
 #: Fixed values: (name, first byte, last byte, type) of the stellar catalog, bytes counted from 1.
 STELLAR_LAYOUT = [
@@ -75,37 +76,84 @@ def mrt_layout(head: list[str]) -> list[tuple[str, int, int, str]]:
     return [(m[4], int(m[1] or m[2]), int(m[2]), kinds[m[3]]) for m in found]
 
 
-def parse_mrt(lines: DataFrame, head: list[str], column: str = "TIC", text_col: str = "value") -> DataFrame:
-    """Rows of a machine-readable table, laid out by its head, with ids as ticId; lines of the head and blank ones are no rows."""
-    body = lines.filter(~F.col(text_col).isin(head) & (F.trim(text_col) != ""))
-    return with_ids(parse_fixed_width(body, mrt_layout(head), id_col=None, text_col=text_col), column)[0]
+def parse_mrt(body: DataFrame, head: list[str], column: str = "TIC", text_col: str = "value") -> DataFrame:
+    """Rows of a machine-readable table, laid out by the lines of its head, with ids as ticId; blank lines are no rows."""
+    rows = parse_fixed_width(body.filter(F.trim(text_col) != ""), mrt_layout(head), id_col=None, text_col=text_col)
+    return with_ids(rows, column)[0]
 
 
-def mrt_head(lines: DataFrame, text_col: str = "value") -> list[str]:
-    """The lines of a file up to its last rule, however many: read on the driver in growing pieces, as many as hold all rules counted in Spark."""
-    n_rules, size, head = lines.filter(F.col(text_col).rlike(_RULE.pattern)).count(), 256, []
-    while n_rules:
-        head = [r[text_col] for r in lines.select(text_col).limit(size).collect()]
-        rules = [i for i, x in enumerate(head) if _RULE.match(x)]
-        if len(rules) == n_rules or len(head) < size:
-            return head[: rules[-1] + 1]
-        size *= 2
-    return head
+#: More lines than any table has columns: the most that a description may have.
+MRT_COLUMNS = 10_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, place) of the lines of text files; places rise with the lines of a file: where its block begins, then the line's turn in its task."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("turn"))
+    return lines.select("value", "file", F.struct("block", "turn").alias("place"))
+
+
+def mrt_description(lines: DataFrame) -> list[str]:
+    """The lines of the byte-by-byte description of the first file that has one: those between the second and third rule after its title."""
+    first = lambda df: df.orderBy("file", "place")
+    title = first(lines.filter(F.col("value").startswith("Byte-by-byte"))).limit(1).collect()
+    if not title:
+        return []
+    at = lambda r: F.struct(*[F.lit(r["place"][x]).cast("long").alias(x) for x in ("block", "turn")])
+    own = lines.filter(F.col("file") == title[0]["file"])
+    rules = first(own.filter(F.col("value").rlike(_RULE.pattern) & (F.col("place") > at(title[0])))).limit(3).collect()
+    if len(rules) < 3:
+        return []
+    inside = own.filter((F.col("place") > at(rules[1])) & (F.col("place") < at(rules[2])))
+    return [r["value"] for r in first(inside).limit(MRT_COLUMNS).collect()]
+
+
+def mrt_body(lines: DataFrame, head: list[str], column: str = "TIC") -> DataFrame:
+    """The lines of each file from its first row on: the first line behind its description that has an id and whose numbers all fit the layout.
+
+    Rows are told from the head by their place, so a row may equal a line of the head, and rule-like lines
+    among the rows end nothing.
+    """
+    layout = mrt_layout(head)
+    field = {name: F.trim(F.substring("value", start, stop - start + 1)) for name, start, stop, _ in layout}
+    fits = to_long(field[column]).isNotNull()
+    for name, _, _, kind in layout:
+        if kind != "string":
+            fits = fits & ((field[name] == "") | field[name].try_cast("double").isNotNull())
+    # One row per file: where its description ends, and where its first row is.
+    behind = lines.filter(F.col("value") == head[-1]).groupBy(F.col("file").alias("_of")).agg(F.min("place").alias("_behind"))
+    begin = lines.filter(fits).join(behind, F.col("file") == F.col("_of")).filter(F.col("place") > F.col("_behind")).groupBy(F.col("file").alias("_file")).agg(F.min("place").alias("_begin"))
+    return lines.join(begin, F.col("file") == F.col("_file")).filter(F.col("place") >= F.col("_begin")).select("value")
 
 
 def read_mrt(spark: SparkSession, path: str, column: str = "TIC") -> DataFrame:
-    """A machine-readable table: its head, up to the last rule, lays out its rows."""
-    lines = spark.read.text(path)
-    head = mrt_head(lines)
+    """Machine-readable tables of one layout: a byte-by-byte description, notes, then rows. The driver sees the description alone."""
+    lines = numbered_lines(spark, path)
+    head = mrt_description(lines)
     if not head:
         raise ValueError(f"{path} has no byte-by-byte description")
-    return parse_mrt(lines, head, column)
+    names = [name for name, *_ in mrt_layout(head)]
+    if column not in names:
+        raise KeyError(f"{column} is not among {names}")
+    return parse_mrt(mrt_body(lines, head, column), head, column)
+
+
+def stored_catalog(spark: SparkSession, path: str, folder: str, read=read_fixed_width) -> DataFrame:
+    """read(spark, path), converted to Parquet once: a copy in `folder` under the source's name, length and modification time.
+
+    A later read of an unchanged file reads the copy, and starts no scan of the text (of a gzip file by one
+    task); a changed file is converted anew, beside the copies of its older states.
+    """
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = name.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(name)  # of a folder, the files in it
+    copy = f"{folder.rstrip('/')}/{name.getName()}-{sum(f.getLen() for f in files)}-{max((f.getModificationTime() for f in files), default=0)}"
+    if not exists(spark, f"{copy}/_SUCCESS"):
+        read(spark, path).write.mode("overwrite").parquet(copy)
+    return spark.read.parquet(copy)
 
 
 def optional_catalog(spark: SparkSession, path: str | None, read, schema: str = "tic_id long") -> DataFrame:
     """read(spark, path), or an empty table where the path is unset, a placeholder or missing."""
     if path and not path.startswith(("/path/to", "TODO")):
-        name = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if name.getFileSystem(spark._jsc.hadoopConfiguration()).exists(name):
+        if exists(spark, path):
             return read(spark, path)
     return spark.createDataFrame([], schema)

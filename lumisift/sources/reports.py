@@ -150,9 +150,14 @@ class Parsed:
         return of_file.agg(F.count(F.lit(1)).alias("files_total"), F.count_if(~failed).alias("files_ok"), F.count_if(failed).alias("files_failed"), F.coalesce(F.sum(F.size(F.coalesce("p", F.array()))), F.lit(0)).cast("long").alias("tces_extracted"))
 
 
-def scan_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, value): every XML file below a folder, whole."""
-    return spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.xml").select(F.col("_metadata.file_path").alias("path"), "value")
+#: Walks the prolog (blanks, comments, instructions, a document type) and stops at the first element: no step is
+#: tried twice, and nothing behind that element is read.
+_ROOT_NAME = r"^(?>[\s\uFEFF]+|<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<!DOCTYPE[^>]*>)*+<(?:[\w.-]+:)?([\w.-]+)[\s/>]"
+
+
+def scan_reports(spark: SparkSession, folder: str, pattern: str = "*.xml") -> DataFrame:
+    """(path, value): every report file below a folder, whole."""
+    return spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def parse_reports(texts: DataFrame, *, text_col: str = "value", path_col: str = "path", bit_order: str = "right") -> Parsed:
@@ -162,7 +167,7 @@ def parse_reports(texts: DataFrame, *, text_col: str = "value", path_col: str =
     gives an all-null row without a mark, so the first tag is tested as well.
     """
     options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    root = F.regexp_extract(F.regexp_replace(F.col(text_col), r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>]*>", ""), r"^\s*<(?:[\w.-]+:)?([\w.-]+)[\s/>]", 1)
+    root = F.regexp_extract(F.col(text_col), _ROOT_NAME, 1)
     error = F.when(F.col("_root") != ROOT, F.when(F.col("r._corrupt_record").isNotNull() | (F.col("_root") == ""), "ParseError").otherwise("ValueError")).when(F.col("r._corrupt_record").isNotNull() | F.col("r").isNull(), "ParseError")
     message = F.when(F.col("error_type") == "ValueError", F.concat(F.lit("unexpected root element "), F.col("_root"))).when(F.col("error_type").isNotNull(), "not well-formed")
     # Exploded from an array of one: filters on the result can't move below a generator and parse again.

@@ -200,3 +200,38 @@ def test_summary_records_skip_what_is_there(spark, tmp_path):
     pipelines.write_summary_records(rows.withColumn("x", F.lit(9.0)), path)
     got = {r["tic_id"]: r["record"] for r in spark.read.parquet(path).collect()}
     assert len(got) == 2 and spark.read.parquet(path).count() == 2 and sum("9.0" in v for v in got.values()) == 1
+
+
+def test_matching_periods_equal_brute_force(spark):
+    """Gaps on both sides of the tolerance, equal and negative periods, values far beyond the tolerance, other orders of bands."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(e, rng.choice([0.0, 0.01, 0.015, 0.03]) * rng.randint(-3, 3) + rng.randint(0, 4) * 0.05 + rng.choice([0, 1e-12, 0.0099, 0.01])) for e in range(400) for _ in range(rng.randint(1, 4))]
+    rows += [(1000, 1e300), (1000, 2e300), (1000, 3e300), (1001, 1e300), (1001, 1e300), (1002, float("inf")), (1002, float("inf")), (1003, float("nan")), (1003, float("nan")), (1004, None), (1004, None)]
+    own = {}
+    for e, p in rows:
+        own.setdefault(e, []).append(p)
+    finite = lambda v: sorted(p for p in v if p is not None and p == p and abs(p) < float("inf"))
+    want = {e for e, v in own.items() if any(b - a < 0.01 for a, b in zip(finite(v), finite(v)[1:], strict=False))}
+    got = matching(spark, rows)
+    assert {e for e, _, m in got if m} == want and len(got) == len(rows) and 50 < len(want) < 380 and 1000 not in want and 1001 in want
+
+
+def test_a_hot_entity_is_spread(spark):
+    """A million rows of one entity: no window, no shuffle by the entity alone, and no task with most of the rows."""
+    df = spark.range(1_000_000).select(F.lit(7).cast("long").alias("tic_id"), (F.col("id") * 0.011).alias("orbital_period_days")).union(spark.range(10).select(F.col("id") + 100, F.lit(1.0)))
+    found = windows.matching_entities(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan
+    assert found.count() == 0
+    one = df.union(spark.createDataFrame([(7, 5500.0001)], "tic_id long, orbital_period_days double"))
+    out = windows.add_matching_period_signals(one)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["tic_id"], r["matching_period_signals"], r["n"]) for r in out.groupBy("tic_id", "matching_period_signals").agg(F.count(F.lit(1)).alias("n")).collect()} == {(7, True, 1_000_001)} | {(100 + i, False, 1) for i in range(10)}
+
+
+def test_periods_may_come_from_a_cheaper_table(spark):
+    rows = spark.createDataFrame([(1, 3.0), (1, 3.005), (2, 3.0)], "tic_id long, orbital_period_days double")
+    out = windows.add_matching_period_signals(rows.withColumn("more", F.lit(1)), periods=rows)
+    assert {(r["tic_id"], r["matching_period_signals"]) for r in out.collect()} == {(1, True), (2, False)} and out.columns == ["tic_id", "orbital_period_days", "more", "matching_period_signals"]

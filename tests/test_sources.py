@@ -148,3 +148,198 @@ def test_reports_are_parsed_once(spark, tmp_path):
     observed = {}
     assert reports.write_signals(parsed, str(tmp_path / "out"), str(tmp_path / "errors"), "1.0", observed)
     assert observed == {"files_total": 2, "files_ok": 1, "files_failed": 1, "rows": 1}
+
+
+def test_mrt_rows_are_told_by_place(spark, tmp_path):
+    """A row that equals a line of the head, a rule-like line among the rows, a note that looks like a rule, and rows without a usable id."""
+    head, rows = MRT.split("       42", 1)
+    head = head.replace("Title: A table\n", "Title: A table\n       42  1.25 x\n" + "=" * 80 + "\n").rstrip("\n") + "\nNote (1): 12 stars\n" + "-" * 80 + "\n"
+    (tmp_path / "t.txt").write_text(head + "       42" + rows + "       42  1.25 x\n" + "-" * 80 + "\n       44  9.75 -\n")
+    got = sorted((r["ticId"], r["Per"], r["Flag"]) for r in catalogs.read_mrt(spark, str(tmp_path / "t.txt")).collect())
+    assert got == [(42, 1.25, "x"), (42, 1.25, "x"), (43, None, "z"), (44, 9.75, "-")]
+    (tmp_path / "u.txt").write_text(MRT)
+    both = catalogs.read_mrt(spark, str(tmp_path / "*.txt")).count()
+    assert both == len(got) + 2
+
+
+def test_mrt_over_several_blocks(spark, tmp_path):
+    """Places rise across the blocks of a file that many tasks read."""
+    (tmp_path / "t.txt").write_text(MRT + "".join(f"{i:9d}  1.25 x\n" for i in range(1000, 6000)))
+    had = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert catalogs.read_mrt(spark, str(tmp_path / "t.txt")).count() == 5002
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", had)
+
+
+def test_catalog_is_converted_once(spark, tmp_path):
+    import gzip
+
+    source, folder = tmp_path / "c.dat.gz", str(tmp_path / "copies")
+    source.write_bytes(gzip.compress((fixed("42", "7.25") + "\n").encode()))
+    reads = []
+
+    def read(s, path):
+        reads.append(path)
+        return catalogs.read_fixed_width(s, path)
+
+    one = lambda: catalogs.stored_catalog(spark, str(source), folder, read)
+    assert [r["tic_id"] for r in one().collect()] == [42] and len(reads) == 1
+    again = one()
+    assert [r["tic_id"] for r in again.collect()] == [42] and len(reads) == 1 and "Text" not in again._jdf.queryExecution().executedPlan().toString()
+    source.write_bytes(gzip.compress((fixed("42", "7.25") + "\n" + fixed("43", "1.0") + "\n").encode()))
+    assert one().count() == 2 and len(reads) == 2
+
+
+def test_skipped_files_are_named(spark, tmp_path):
+    import os
+
+    from lumisift.sources import tables
+
+    rows = spark.range(1000).selectExpr("id AS a", "CAST(id AS STRING) AS b")
+    rows.repartition(2).write.parquet(str(tmp_path / "good"))
+    rows.limit(0).write.parquet(str(tmp_path / "empty"))
+    whole = next(f for f in (tmp_path / "good").iterdir() if f.suffix == ".parquet").read_bytes()
+    bad = tmp_path / "bad files"
+    bad.mkdir()
+    (bad / "cut.parquet").write_bytes(whole[: len(whole) // 2])
+    (bad / "footer.parquet").write_bytes(whole[:-200] + b"\xff" * 192 + whole[-8:])
+    (bad / "tiny.parquet").write_bytes(b"x")
+    page = bytearray(whole)
+    page[8:200] = os.urandom(192)
+    (bad / "page.parquet").write_bytes(bytes(page))
+    paths = [str(tmp_path / "good"), str(tmp_path / "empty"), *sorted(map(str, bad.iterdir())), str(tmp_path / "gone.parquet")]
+    named = {r["path"].rsplit("/", 1)[-1]: r["reason"] for r in tables.skipped_files(spark, paths, "a long, b string").collect()}
+    assert named == {"cut.parquet": "not a Parquet file", "footer.parquet": "a footer that can't be read", "tiny.parquet": "not a Parquet file", "gone.parquet": "missing"}
+    deep = {r["path"].rsplit("/", 1)[-1]: r["reason"] for r in tables.skipped_files(spark, paths, "a long, b string", deep=True).collect()}
+    assert deep == named | {"page.parquet": "columns that can't be read"}
+    with pytest.warns(UserWarning, match="gone"):
+        assert tables.read_tolerant(spark, paths, "a long, b string").count() >= 1000
+    assert tables.skipped_files(spark, [str(tmp_path / "good")], "a long, b string").count() == 0
+    assert [r["reason"] for r in tables.skipped_files(spark, [str(tmp_path / "gone")], "a long").collect()] == ["missing"]
+
+
+def test_predictions_with_comments(spark, tmp_path):
+    from lumisift.sources import tables
+
+    (tmp_path / "p.csv").write_text('# made today\nuid,target_id,score,note # columns\n7-1-S3,7,0.5,"a # b" # tail\n  # only a comment\n8-1-S3,8,,"say ""#1"""\n9-1-S3,9,x,plain#tail\n\n')
+    rows = [tuple(r) for r in tables.read_predictions(spark, str(tmp_path / "p.csv"), "uid string, target_id long, score double, note string").orderBy("uid").collect()]
+    assert rows[0] == ("7-1-S3", 7, 0.5, "a # b") and rows[1][:3] == ("8-1-S3", 8, None) and rows[2] == ("9-1-S3", 9, None, "plain")
+    found = tables.read_predictions(spark, str(tmp_path / "p.csv"))
+    assert dict(found.dtypes) == {"uid": "string", "target_id": "bigint", "score": "string", "note": "string"} and found.count() == 3
+    (tmp_path / "none.csv").write_text("# nothing\n")
+    assert tables.read_predictions(spark, str(tmp_path / "none.csv"), "uid string").count() == 0
+
+
+def test_batches_replace_themselves(spark, tmp_path):
+    folder, schema = str(tmp_path / "c"), "k long, v string"
+    assert incremental.read_committed(spark, folder, schema).count() == 0 and incremental.run_history(spark, folder).count() == 0
+    frame = lambda *rows: spark.createDataFrame(rows, schema)
+    assert incremental.commit_batch(frame((1, "a"), (2, "b")), folder, 0, "v1") == 2
+    incremental.commit_batch(frame((3, "c")), folder, 1, "v1")
+    incremental.commit_batch(frame((3, "d"), (4, "e")), folder, 1, "v2", n_errors=5)
+    frame((9, "lost")).write.parquet(f"{folder}/data/batch=2/attempt=dead")  # an attempt that never got its entry
+    assert sorted(map(tuple, incremental.read_committed(spark, folder, schema).select("batch", "k", "v").collect())) == [(0, 1, "a"), (0, 2, "b"), (1, 3, "d"), (1, 4, "e")]
+    history = sorted((r["batch"], r["version"], r["n_rows"], r["n_errors"], r["current"]) for r in incremental.run_history(spark, folder).collect())
+    assert history == [(0, "v1", 2, 0, True), (1, "v1", 1, 0, False), (1, "v2", 2, 5, True)]
+
+
+def test_reports_are_committed_by_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in")
+    folder = str(tmp_path / "out")
+    go = lambda: incremental.stream_reports(spark, str(tmp_path / "in"), incremental.committed_reports(folder, "v1"), str(tmp_path / "checkpoint")).awaitTermination(120)
+    go()
+    (tmp_path / "checkpoint/commits/0").unlink()  # as after a crash between the sink and the mark
+    (tmp_path / "checkpoint/commits/.0.crc").unlink(missing_ok=True)
+    go()
+    assert incremental.read_committed(spark, f"{folder}/signals", "tic_id long, planet_number int").count() == 1
+    assert sorted((r["n_rows"], r["n_errors"], r["current"]) for r in incremental.run_history(spark, f"{folder}/signals").collect()) == [(1, 3, False), (1, 3, True)]
+    assert incremental.read_committed(spark, f"{folder}/errors", "path string").count() == 3
+
+
+def test_untouched_buckets_keep_their_files(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = lambda n, stamp, at: spark.range(n).selectExpr("id AS tic_id", f"TIMESTAMP '{stamp}' AS queried_at", f"'{at}' AS x")
+    assert incremental.upsert_cache(rows(200, "2024-01-01 00:00:00", "old"), path, buckets=8) == 8
+    files = lambda: {str(f.relative_to(path)): f.stat().st_mtime_ns for f in (tmp_path / "cache").rglob("*.parquet")}
+    before = files()
+    assert incremental.upsert_cache(rows(1, "2024-02-01 00:00:00", "new"), path, buckets=8) == 1
+    after = files()
+    kept = {f for f in before if after.get(f) == before[f]}
+    assert len(before) == len(after) == 8 and len(kept) == 7
+    held = {r["tic_id"]: r["x"] for r in spark.read.parquet(path).collect()}
+    assert len(held) == 200 and held[0] == "new" and held[1] == "old"
+    incremental.upsert_cache(rows(1, "2023-01-01 00:00:00", "older"), path, buckets=8)
+    assert {r["x"] for r in spark.read.parquet(path).filter("tic_id = 0").collect()} == {"new"}
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
+    from lumisift.operators import joins, windows
+    from lumisift.sources import tables
+
+    rows = spark.range(500).selectExpr("id % 97 AS tic_id", "id AS planet_number", "CAST(id AS DOUBLE) AS orbital_period_days")
+    stars = spark.range(97).selectExpr("id AS tic_id", "id * 2 AS ruwe")
+    tables.write_bucketed(rows, "bucketed_rows", str(tmp_path / "rows"), buckets=4)
+    tables.write_bucketed(stars, "bucketed_stars", str(tmp_path / "stars"), buckets=4)
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = joins.enrich(spark.table("bucketed_rows"), spark.table("bucketed_stars"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan and "Window" in plan
+        found = windows.matching_entities(spark.table("bucketed_rows"))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in found
+        assert out.count() == 500 and out.filter("ruwe = tic_id * 2").count() == 500
+        spark.sql("DROP TABLE bucketed_stars")
+        again = tables.attach_bucketed(spark, "bucketed_again", str(tmp_path / "stars"), stars.schema, buckets=4)
+        assert "Exchange" not in joins.enrich(spark.table("bucketed_rows"), again)._jdf.queryExecution().executedPlan().toString() and again.count() == 97
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+        for t in ("bucketed_rows", "bucketed_again", "bucketed_stars"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_sketches_of_sectors_unite(spark, tmp_path):
+    from lumisift.operators import aggs
+
+    rows = spark.range(60_000).selectExpr("id % 20000 AS tic_id", "CAST(id % 7 AS INT) AS sector")
+    path = str(tmp_path / "sketches")
+    aggs.entity_sketches(rows.filter("sector < 6")).write.parquet(path)
+    aggs.entity_sketches(rows.filter("sector = 6")).write.mode("append").parquet(path)
+    got = aggs.entities_of_sketches(spark.read.parquet(path)).first()
+    assert abs(got["n_entities"] - 20_000) <= 0.03 * 20_000 and got["n_rows"] == 60_000
+    each = {r["sector"]: r["n_entities"] for r in aggs.entities_of_sketches(spark.read.parquet(path), ["sector"]).collect()}
+    exact = {r["sector"]: r["n"] for r in rows.groupBy("sector").agg({"tic_id": "count"}).withColumnRenamed("count(tic_id)", "n").collect()}
+    assert set(each) == set(exact) and aggs.entities_of_sketches(spark.read.parquet(path).limit(0)).first()["n_entities"] == 0
+    approx = {r["metric"]: r["n"] for r in aggs.sample_summary(rows, approximate=True).collect()}
+    assert abs(approx["entities"] - 20_000) <= 600 and {r["metric"]: r["n"] for r in aggs.sample_summary(rows).collect()}["entities"] == 20_000
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_keyset_pages_equal_offset_pages(spark, descending):
+    import random
+
+    from lumisift.operators import select
+
+    rng = random.Random(4)
+    rows = [(i // 3, i % 3, rng.choice([None, 1.0, 2.0, 2.5, -1.0])) for i in range(100)]
+    df = spark.createDataFrame(rows, "tic_id long, planet_number int, x double").repartition(3)
+    last, seen = None, []
+    for page in range(12):
+        got = select.page_after(df, "x", last, descending=descending, size=9)
+        want = select.sorted_page(df, "x", descending=descending, size=9, offset=9 * page)
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+        last = select.cursor_of(got, "x")
+        seen += [tuple(r) for r in got.collect()]
+    assert len(seen) == 100 and sorted(seen, key=repr) == sorted(rows, key=repr)
+    assert select.cursor_of(df.limit(0), "x") is None
+
+
+def test_prologs_of_reports(spark):
+    head = "﻿ <?xml version='1.0'?><!DOCTYPE x><!-- <other/> -- > -->\n<!-- b -->"
+    one = '<dv:dvTargetResults xmlns:dv="u" ticId="1"><dv:planetResults planetNumber="1"/></dv:dvTargetResults>'
+    texts = spark.createDataFrame([("a.xml", head + one), ("b.xml", "<!-- " * 20_000), ("c.xml", head + "<other/>"), ("d.xml", "<!-- x -->" * 5000 + one)], "path string, value string")
+    parsed = reports.parse_reports(texts)
+    assert {r["path"]: r["_root"] for r in parsed.files.select("path", "_root").collect()} == {"a.xml": "dvTargetResults", "b.xml": "", "c.xml": "other", "d.xml": "dvTargetResults"}
