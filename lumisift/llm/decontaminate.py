@@ -105,7 +105,7 @@ def best_stretch(a: Column, b: Column, share: float, least: int) -> Column:
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, masks: tuple[str, ...] = MASKS, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """(key, doc_id, item_id, start, words, equal, item_words): the best overlap of each document row and item.
 
-    docs: (key long, doc_id, text); benchmark: (item_id, text). start is the overlap's first word in the document.
+    docs: (key, doc_id, text); benchmark: (item_id, text). start is the overlap's first word in the document.
     """
     named = materialize(benchmark.select("item_id", word_hashes("text").alias("words")).filter(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).distinct(), "bench-named")
     # Items of one text are sought once.
@@ -150,15 +150,20 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, least_words: int = L
     return best.select("key", "doc_id", "item_id", (-F.col("b.s")).alias("start"), (-F.col("b.w")).alias("words"), F.col("b.equal").alias("equal"), F.col("b.item_words").alias("item_words"))
 
 
+def _key() -> Column:
+    """128 bits of id and text."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit(""))))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    return docs.withColumn("key", _key())
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap no benchmark item, with the columns of docs."""
     hits = find_overlaps(_keyed(docs.select("doc_id", "text")), benchmark.select("item_id", "text"))
     hits = materialize(hits.select(F.col("key").alias("_key")).distinct(), "contaminated")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key().alias("_key"))
     return own.join(hits, "_key", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 

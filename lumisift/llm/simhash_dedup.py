@@ -390,13 +390,16 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     smallest doc_id of a group stays (null ids last; then the smallest hash of the text). Repeated rows are
     one document. Documents without words are one group. All columns of docs are kept.
     """
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit(""))))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", key.alias("_key"))
     marks = materialize(wide_fingerprints(keyed.select(F.struct("doc_id", "_key").alias("at"), "text"), "at"), "near-fps")
     first = F.min(F.struct(F.col("at.doc_id").isNull(), "at.doc_id", "at._key")).alias("first")
-    classes = materialize(marks.groupBy("fp", "whole", "n").agg(first, F.min("keys").alias("keys")).withColumn("node", F.col("first._key")), "near-classes")
+    classes = materialize(marks.groupBy("fp", "whole", "n").agg(first, F.min("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()), "near-classes")
     links = materialize(near_links(classes.select("node", "fp", "keys", "n"), STAGE_RADIUS, STAGE_LEAST), "near-links")
     # Rows of one key have one text, and a class needs one of them.
-    texts = keyed.select(F.col("_key").alias("node"), "text")
+    asked = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = materialize(classes.select(F.col("first._key").alias("_key"), "node").join(asked, "node", "left_semi"), "near-asked")
+    texts = keyed.select("_key", "text").join(asked, "_key").select("node", "text")
     true, sets = similar_pairs(links, texts, classes.select("node", "n"))
     true = materialize(true.distinct(), "near-true")
     labels = smallest_reachable(true)

@@ -15,7 +15,9 @@ so that Spark can split an anchor that very many documents share.
 
 Nulls and edges: null text has no words; texts shorter than a window lose nothing; a window that
 repeats inside its own document counts; repeated rows are repeats of each other, so a window in
-them goes; a null doc_id is a document like others; an empty table gives an empty result.
+them goes; a null doc_id is a document like others; equal lowest hashes in a stretch go by the leftmost; texts
+of any length are cut whole, and one text is held at a time; an empty table gives an empty result; other
+columns are left behind.
 """
 
 from __future__ import annotations
@@ -123,7 +125,10 @@ def seed_table(texts: DataFrame, window: int, seed_words: int) -> DataFrame:
 
 
 def show_windows(asked: DataFrame, window: int) -> DataFrame:
-    """(w, key, start, open): hashes of the windows asked for, from rows (key, text binary, asked array<struct<low, high, open>>)."""
+    """(a, w, key, start, open): anchors and hashes of the windows asked for, from rows (key, text binary, asked array<struct<a, low, high, open>>).
+
+    A window's anchor follows from its words, so equal windows agree in both: 128 bits tell windows apart.
+    """
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.small_batches(batches, "text", _BATCH):
@@ -132,12 +137,12 @@ def show_windows(asked: DataFrame, window: int) -> DataFrame:
             key, lists = batch.column("key").to_numpy(), batch.column("asked")
             row = np.repeat(np.arange(len(key)), np.diff(lists.offsets.to_numpy()))
             item = lists.flatten()
-            low, high, is_open = (item.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            anchor, low, high, is_open = (item.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             start, owner = _ranges(low.astype(np.int64), high.astype(np.int64))
             at = start + starts[row[owner]]
-            yield _columns(["w", "key", "start", "open"], [_signed(W.span(sums, at, at + window)), key[row[owner]], start.astype(np.int32), is_open[owner].astype(bool)])
+            yield _columns(["a", "w", "key", "start", "open"], [anchor[owner], _signed(W.span(sums, at, at + window)), key[row[owner]], start.astype(np.int32), is_open[owner].astype(bool)])
 
-    return asked.mapInArrow(show, "w long, key long, start int, open boolean")
+    return asked.mapInArrow(show, "a long, w long, key long, start int, open boolean")
 
 
 def find_repeats(texts: DataFrame, window: int, seed_words: int) -> DataFrame:
@@ -152,14 +157,14 @@ def find_repeats(texts: DataFrame, window: int, seed_words: int) -> DataFrame:
     kinds = materialize(kept.groupBy("a", "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "low", "high")).alias("one")), "repeat-kinds")
     several = materialize(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a"), "repeat-several")
     whole = kept.join(kinds.filter("n > 1").select("a", "x"), ["a", "x"], "left_semi").select("key", "low", "high")
-    asked = kinds.join(several, "a").select("one.key", F.struct("one.low", "one.high", (F.col("n") == 1).alias("open")).alias("part"))
+    asked = kinds.join(several, "a").select("one.key", F.struct("a", "one.low", "one.high", (F.col("n") == 1).alias("open")).alias("part"))
     shown = asked.groupBy("key").agg(F.collect_list("part").alias("asked"))
     # Each window has one anchor, so every occurrence shown counts once.
     each = show_windows(texts.join(shown, "key"), window)
     # The join's key is not the key of the counts but its complement, so both sides are dealt out anew
     # and Spark can split a window that very many documents show.
-    met = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.bitwise_not("w").alias("v"))
-    single = each.filter("open").withColumn("v", F.bitwise_not("w")).join(met, "v", "left_semi").select("key", F.col("start").alias("low"), F.col("start").alias("high"))
+    met = each.groupBy("w", "a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.bitwise_not("w").alias("v"), "a")
+    single = each.filter("open").withColumn("v", F.bitwise_not("w")).join(met, ["v", "a"], "left_semi").select("key", F.col("start").alias("low"), F.col("start").alias("high"))
     return whole.unionByName(single).groupBy("key").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
 
 
