@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import words as W
 from .shared import table
 
 PART = "struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
@@ -164,7 +165,7 @@ def format_each_turn(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, number, begin = object(), 0, 0
-        for batch in batches:
+        for batch in W.even_batches(batches):
             rows = []
             for c, role, parts in zip(*[batch.column(x).to_pylist() for x in ("conv_id", "role", "parts")], strict=True):
                 if c != conv:

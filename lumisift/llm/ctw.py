@@ -19,7 +19,8 @@ grows with the corpus, so it is a table and never a worker's.
 The base score is a unigram model of words, which are counted and looked up the same way.
 
 Nulls and edges: null text is empty and has one token, its end; a null doc_id is neither learned from
-nor held out; without training rows every decision has probability one half and every word is unknown;
+nor held out; texts of any length are scored whole, half a megabyte of runs at a time (one text at least);
+runs and words of equal hash share their counts; without training rows every decision has probability one half and every word is unknown;
 repeated rows are counted and scored each; an empty table gives an empty result; other columns are left behind.
 """
 

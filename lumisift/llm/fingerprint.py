@@ -8,8 +8,8 @@ The search permutes the fingerprint's blocks: two fingerprints at most r bits ap
 `blocks - r` of the blocks, so a table for each choice of that many blocks, keyed by their bits, finds
 every such pair exactly.
 
-Nulls and edges: null text counts as empty; a text without words has the fingerprint zero; equal
-texts have equal fingerprints; repeated rows are kept; where several rows share the id of a next
+Nulls and edges: null text counts as empty; a text without words has the fingerprint zero; a bit on which
+votes are even is zero; texts of any length vote with all their words, dealt by word; equal texts have equal fingerprints; repeated rows are kept; where several rows share the id of a next
 document, the smallest opening and the smallest fingerprint of those rows stand for it; a row without
 an id has no next document: its edited text only loses its last quarter and its near_next is null; an
 empty table gives an empty result; other columns are left behind.

@@ -136,7 +136,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", se
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codecs = [Codec.of(x, settings) for x in shared.value]
-        for batch in batches:
+        for batch in W.small_batches(batches, text_col):
             got: list[tuple] = []
             for text in batch.column(text_col):
                 clean = letters_only(text.as_py() or "")

@@ -15,7 +15,8 @@ Near-duplicates of a corpus are verified: only links whose shingle sets have the
 a forest left out are looked at again where their ends still lie in different components, and there the
 sets themselves are compared: no candidate is lost by the forests.
 
-Nulls and edges: null text counts as empty; texts without words have fingerprint zero and link like
+Nulls and edges: null text counts as empty; a bit that half of the shingles set is zero; texts of any length are
+hashed whole; other columns are left behind by the query and kept by the stage; texts without words have fingerprint zero and link like
 others; equal fingerprints are one node; null ids link like others and get their component's name but
 never name one, so a component of null ids alone is null; an empty table gives an empty result.
 """

@@ -12,7 +12,8 @@ most unread files. Names are opened through pyarrow's file systems (local, hdfs,
 Nulls and edges: a null payload is empty; a null url is left out; line breaks in header values are
 percent-encoded; payloads under min_revisit bytes are always responses; a null id is always a
 response; rows that repeat the smallest id of a payload are responses too; an empty table writes no
-archive. A record is held in memory, an archive never.
+archive; equal payloads go to the smallest id; other columns are left behind. A record, of any length, is held
+in memory once, an archive never.
 """
 
 from __future__ import annotations

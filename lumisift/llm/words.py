@@ -144,6 +144,15 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4
                 yield batch.slice(a, b - a)
 
 
+def even_batches(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches of any columns in parts of as many rows each as make about limit bytes, or one row."""
+    for batch in batches:
+        if batch.num_rows:
+            step = max(1, batch.num_rows // max(1, -(-batch.nbytes // limit)))
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
+
 def vote_counts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """How many of each group's 64-bit hashes set each bit: an array of len(counts) x 64, bit 0 first.
 
