@@ -58,7 +58,7 @@ _RUN, _WORD, _TEXT = 0, 1, 2
 
 @dataclass(frozen=True)
 class CtwSettings:
-    """depth: bytes of the longest context, 1 to 5."""
+    """depth: bytes of the longest context, 1 to 6 (a run of a context and its byte is one integer)."""
 
     depth: int = 5
 

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,6 +194,40 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return marked.mapInArrow(cut, f"{id_col} {id_type}, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
 
 
+def maximal_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35, seed_words: int = 8) -> DataFrame:
+    """(id, begin, n_words, h0, h1, places): the maximal stretches of each document in which every window starts somewhere else too.
+
+    begin: its first word; h0, h1: 128 bits of its words, equal where two stretches are; places: how often the
+    stretch as a whole is one, over all documents. Stretches of a document may overlap where two repeats meet.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    marked = rows.join(find_repeats(rows, window, seed_words), "key").select("id", "text", "low", "high")
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, begins, sizes, h0, h1 = [], [], [], [], []
+            for i in range(batch.num_rows):
+                words = batch.column("text")[i].as_py().split()
+                starts = np.zeros(len(words) + 1, np.int8)
+                at, _ = _ranges(*(batch.column(c)[i].values.to_numpy().astype(np.int64) for c in ("low", "high")))
+                starts[at] = 1
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], starts, [0]))))
+                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                    value = xxhash.xxh3_128_intdigest(b" ".join(words[a : b + window - 1]))
+                    row.append(i)
+                    begins.append(a)
+                    sizes.append(b - a + window - 1)
+                    h0.append(value & (1 << 64) - 1)
+                    h1.append(value >> 64)
+            halves = [_signed(np.array(h, np.uint64)) for h in (h0, h1)]
+            yield _columns([id_col, "begin", "n_words", "h0", "h1"], [batch.column("id").take(pa.array(row, pa.int64())), pa.array(begins, pa.int64()), pa.array(sizes, pa.int64()), *halves])
+
+    found = materialize(marked.mapInArrow(extend, f"{id_col} {id_type}, begin long, n_words long, h0 long, h1 long"), "repeat-spans")
+    places = materialize(found.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("places")), "repeat-places")
+    return found.join(places, ["h0", "h1"]).select(id_col, "begin", "n_words", "h0", "h1", "places")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = drop_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumisift.llm import chat, ctw, graph, langid, line_dedup, registry, simhash_dedup, substring_dedup, warc
+from lumisift.llm import chat, ctw, graph, langid, line_dedup, registry, shared, simhash_dedup, substring_dedup, warc
 from lumisift.llm import words as W
 
 from .conftest import WORDS, prose
@@ -48,6 +48,25 @@ def test_vote_counts():
     assert (W.vote_counts(hashes, counts) == want).all()
 
 
+def test_even_batches():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"x": ["a" * 1000] * 100})
+    parts = list(W.even_batches(iter([batch, batch.slice(0, 0)]), 10_000))
+    assert sum(p.num_rows for p in parts) == 100 and max(p.num_rows for p in parts) <= 10 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+
+
+def test_tables_are_released(spark):
+    import os
+
+    one, two = (shared.materialize(spark.range(n), "released") for n in (3, 4))
+    files = [df.inputFiles()[0].removeprefix("file://") for df in (one, two)]
+    shared.release(one)
+    assert [os.path.exists(f) for f in files] == [False, True] and two.count() == 4
+    shared.release(two.select("id"))  # not a table of its own
+    assert os.path.exists(files[1]) and shared.release_all(spark) >= 1 and not os.path.exists(files[1])
+
+
 # --- 1 language ID ------------------------------------------------------------------------------------
 
 
@@ -227,7 +246,7 @@ def brute_ctw(training, texts, depth):
     return out
 
 
-@pytest.mark.parametrize("depth", [1, 3, 5])
+@pytest.mark.parametrize("depth", [1, 3, 5, 6])
 def test_ctw_equals_brute_force(spark, monkeypatch, depth):
     monkeypatch.setattr(ctw, "_BUCKET", 50)
     monkeypatch.setattr(ctw, "_GROUP", 400)
@@ -469,6 +488,31 @@ def test_substring_query(spark, docs, as_table):
     assert Counter(map(tuple, rows)) == want
 
 
+def test_maximal_repeats_are_objects(spark):
+    """Stretches as long as they repeat, told by their words; two that overlap stay two."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(900)]
+    a, b = words[:40], words[40:70]
+    own = iter(words[100:])
+    fill = lambda n: [next(own) for _ in range(n)]
+    texts = [fill(5) + a + fill(3), a + fill(9) + b, fill(2) + b, fill(30), a[10:] + b[:12], fill(1) + a[25:] + b]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["doc_id"], r["begin"], r["n_words"]): r for r in substring_dedup.maximal_repeats(df, window=12, seed_words=4).collect()}
+    count = Counter(tuple(t[i : i + 12]) for t in texts for i in range(len(t) - 11))
+    want = {}
+    for d, t in enumerate(texts):
+        again = [count[tuple(t[i : i + 12])] > 1 for i in range(len(t) - 11)]
+        for i, hit in enumerate(again):
+            if hit and (i == 0 or not again[i - 1]):
+                end = next((j for j in range(i, len(again)) if not again[j]), len(again))
+                want[d, i, end - i + 11] = tuple(t[i : end + 11])
+    assert set(got) == set(want) and len(want) == 6
+    of = Counter(want.values())
+    assert all(r["places"] == of[want[k]] for k, r in got.items())
+    assert all((got[k]["h0"], got[k]["h1"]) == (got[m]["h0"], got[m]["h1"]) or want[k] != want[m] for k in got for m in got)
+    assert substring_dedup.maximal_repeats(df.limit(0)).count() == 0
+
+
 def test_no_texts(no_docs):
     assert substring_dedup.drop_repeats(no_docs).count() == 0
 
