@@ -60,9 +60,12 @@ def prefixed_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Work list of the survivors against the scores that came back for it."""
-    rows = flagged(spark, d)
-    return pipelines.score_round_trip(rows, proxy.predictions(proxy.tce(spark, d)))
+    """The work list of the survivors as a CSV folder, and the scores that came back for it, read from one."""
+    out, back = scratch_path(spark, "worklist"), scratch_path(spark, "scored")
+    proxy.predictions(proxy.tce(spark, d)).select("uid", "target_id", "tce_plnt_num", "score").write.csv(back)
+    lines = spark.read.text(back)
+    scores = tables.parse_predictions(lines, "uid,target_id,tce_plnt_num,score", "uid string, target_id long, tce_plnt_num int, score double")
+    return pipelines.score_round_trip(flagged(spark, d), scores, f"{out}.csv")
 
 
 def matching_period(spark: SparkSession, d: str) -> DataFrame:
