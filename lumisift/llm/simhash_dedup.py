@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .graph import joined_further, smallest_reachable
 from .shared import materialize, table
-from .tiles import group_starts, in_tiles, set_tiles, settled, several_labels
+from .tiles import in_tiles, pairs_of, set_tiles, settled, several_labels
 
 #: Members of a bucket compared in one task.
 TILE = 1024
@@ -345,20 +345,17 @@ def similar_pairs(links: DataFrame, texts: DataFrame, sizes: DataFrame, least: t
 
 def _apart_in_tiles(rows: pa.Table, first: np.ndarray, last: np.ndarray, radius: int, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows (i, j) of different labels at most radius bits apart whose sizes fit, and their distances."""
-    node = np.arange(rows.num_rows)
-    fps = rows.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+    fps = rows.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(rows.num_rows, -1)
     n, label = rows.column("n").to_numpy(), rows.column("label").to_numpy()
     part, of = least
     found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
-    starts = np.flatnonzero(group_starts(rows))
-    for a, b in zip(starts, np.append(starts[1:], len(node)), strict=True):
-        if (label[a:b] == label[a]).all():
-            continue
-        q, k = links_within(fps[a:b], fps[a:b], radius, later=first[a:b] - a)
-        q, k = q + a, k + a
-        fits = (label[q] != label[k]) & (np.minimum(n[q], n[k]) * of >= np.maximum(n[q], n[k]) * part)
-        q, k = q[fits], k[fits]
-        found.append((q, k, np.bitwise_count(fps[q] ^ fps[k]).sum(axis=1, dtype=np.int64)))
+    # Most pairs are of one label, and go before any distance is taken.
+    for i, j in pairs_of(first, last):
+        fits = (label[i] != label[j]) & (np.minimum(n[i], n[j]) * of >= np.maximum(n[i], n[j]) * part)
+        i, j = i[fits], j[fits]
+        apart = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64)
+        near = apart <= radius
+        found.append((i[near], j[near], apart[near]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
