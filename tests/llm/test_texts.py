@@ -548,10 +548,15 @@ def test_simhash_query(spark, docs, as_table):
     assert len(rows) == docs.count()
     for r in rows:
         assert int(r["fingerprint"], 16) in fps[r["doc_id"]] and len(r["fingerprint"]) == 16
-    single = {d: next(iter(f)) for d, f in fps.items() if d is not None and len(f) == 1}
-    if len(single) == len([d for d in fps if d is not None]):
-        want = brute_components(single)
-        assert all(r["component_id"] == want[r["doc_id"]] for r in rows if r["doc_id"] is not None)
+    # Components of all fingerprints, each named by the smallest id that its rows have.
+    root = brute_components({f: f for f in {int(r["fingerprint"], 16) for r in rows}})
+    name = {}
+    for r in rows:
+        name.setdefault(root[int(r["fingerprint"], 16)], []).append(r["doc_id"])
+    for r in rows:
+        of = [d for d in name[root[int(r["fingerprint"], 16)]] if d is not None]
+        assert r["component_id"] == min(of, default=None)
+    assert len(name) > 20 and any(len(v) > 2 for v in name.values())
 
 
 @pytest.mark.parametrize("tile", [4096, 8])
