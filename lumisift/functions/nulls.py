@@ -42,7 +42,7 @@ def to_long(text: Column) -> Column:
 
 def to_bool(text: Column) -> Column:
     """`true` in any case is true, other text false, missing or empty null."""
-    return F.when(F.nullif(text, F.lit("")).isNotNull(), F.lower(F.trim(text)) == "true")
+    return F.when(F.nullif(text, F.lit("")).isNotNull(), F.trim(text).rlike(r"^(?i:true)\z"))
 
 
 def over(value: Column, by: Column) -> Column:

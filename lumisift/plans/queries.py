@@ -269,9 +269,7 @@ def parse_reports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reject_counts(spark: SparkSession, d: str) -> DataFrame:
-    parsed = reports.parse_reports(report_texts(proxy.tce(spark, d)))
-    both = parsed.file_errors.unionByName(parsed.rejects, allowMissingColumns=True)
-    return both.groupBy("level", "error_type").agg(F.count(F.lit(1)).alias("n"))
+    return reports.parse_errors(report_texts(proxy.tce(spark, d))).groupBy("level", "error_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _stellar_lines(rows: DataFrame) -> DataFrame:

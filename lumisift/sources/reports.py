@@ -59,6 +59,12 @@ def report_schema() -> T.StructType:
     return T.StructType([*target, T.StructField("planetResults", planet), T.StructField("_corrupt_record", T.StringType())])
 
 
+def error_schema() -> T.StructType:
+    """What errors are told by: the target's id, the signals' numbers and whether a report is well-formed."""
+    planet = T.ArrayType(T.StructType([T.StructField("_planetNumber", T.StringType())]))
+    return T.StructType([T.StructField("_ticId", T.StringType()), T.StructField("planetResults", planet), T.StructField("_corrupt_record", T.StringType())])
+
+
 def first(parent: Column, *path: str) -> Column:
     """The first element along a path of arrays; null where any is absent."""
     for name in path:
@@ -100,7 +106,7 @@ def signal_columns(p: Column) -> dict[str, Column]:
     core, halo = first(p, "ghostDiagnosticResults", "coreApertureCorrelationStatistic"), first(p, "ghostDiagnosticResults", "haloApertureCorrelationStatistic")
     images = p["differenceImageResults"]
     return {
-        "planet_number": to_long(p["_planetNumber"]).cast("int"),
+        "planet_number": _number(p),
         "tce_toi_id": p["_toiId"],
         "toi_correlation": to_double(p["_toiCorrelation"]),
         "detrend_filter_length": to_long(p["_detrendFilterLength"]),
@@ -160,26 +166,49 @@ def scan_reports(spark: SparkSession, folder: str, pattern: str = "*.xml") -> Da
     return spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def parse_reports(texts: DataFrame, *, text_col: str = "value", path_col: str = "path", bit_order: str = "right") -> Parsed:
-    """Parse report texts. A file that is no report, or a signal without a number, is set aside and stops nothing.
-
-    A report without signals gives no rows. Malformed text is marked by the XML reader; another root
-    gives an all-null row without a mark, so the first tag is tested as well.
-    """
+def _files(texts: DataFrame, schema: T.StructType, text_col: str, path_col: str) -> DataFrame:
+    """(path, _root, r, error_type, message): each text parsed under a schema. Malformed text is marked by the XML reader; another root gives an all-null row without a mark, so the first tag is tested as well."""
     options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     root = F.regexp_extract(F.col(text_col), _ROOT_NAME, 1)
     error = F.when(F.col("_root") != ROOT, F.when(F.col("r._corrupt_record").isNotNull() | (F.col("_root") == ""), "ParseError").otherwise("ValueError")).when(F.col("r._corrupt_record").isNotNull() | F.col("r").isNull(), "ParseError")
     message = F.when(F.col("error_type") == "ValueError", F.concat(F.lit("unexpected root element "), F.col("_root"))).when(F.col("error_type").isNotNull(), "not well-formed")
     # Exploded from an array of one: filters on the result can't move below a generator and parse again.
-    files = texts.select(F.col(path_col).alias("path"), root.alias("_root"), F.explode(F.array(F.from_xml(F.coalesce(text_col, F.lit("")), report_schema(), options))).alias("r"))
-    files = files.withColumn("error_type", error).withColumn("message", message)
+    files = texts.select(F.col(path_col).alias("path"), root.alias("_root"), F.explode(F.array(F.from_xml(F.coalesce(text_col, F.lit("")), schema, options))).alias("r"))
+    return files.withColumn("error_type", error).withColumn("message", message)
+
+
+def _number(p: Column) -> Column:
+    return to_long(p["_planetNumber"]).cast("int")
+
+
+_NO_NUMBER = "planetNumber is missing or no integer"
+
+
+def parse_reports(texts: DataFrame, *, text_col: str = "value", path_col: str = "path", bit_order: str = "right") -> Parsed:
+    """Parse report texts. A file that is no report, or a signal without a number, is set aside and stops nothing.
+
+    A report without signals gives no rows. Where errors alone are asked for, `parse_errors` is cheaper.
+    """
+    files = _files(texts, report_schema(), text_col, path_col)
     errors = files.filter("error_type is not null").select(F.current_timestamp().alias("timestamp"), F.lit("file").alias("level"), "path", "error_type", "message")
-    each = files.filter("error_type is null").select("path", "r", F.explode("r.planetResults").alias("p"))
-    rows = each.select(F.regexp_extract("path", "[^/]*$", 0).alias("xml_filename"), F.col("path").alias("_path"), *[c.alias(n) for n, c in (target_columns(F.col("r"), bit_order) | signal_columns(F.col("p"))).items()])
-    rejects = rows.filter("planet_number is null").select(F.current_timestamp().alias("timestamp"), F.lit("tce").alias("level"), F.col("_path").alias("path"), "tic_id", F.lit("ValueError").alias("error_type"), F.lit("planetNumber is missing or no integer").alias("message"))
+    # What holds for the target is worked out once a file, in a step below the generator of its signals.
+    target, signal = target_columns(F.col("r"), bit_order), signal_columns(F.col("p"))
+    each = files.filter("error_type is null").select(F.regexp_extract("path", "[^/]*$", 0).alias("xml_filename"), F.col("path").alias("_path"), *[c.alias(f"_t_{n}") for n, c in target.items()], F.col("r.planetResults").alias("_signals"))
+    rows = each.withColumn("p", F.explode("_signals")).select("xml_filename", "_path", *[c.alias(n) for n, c in ({n: F.col(f"_t_{n}") for n in target} | signal).items()])
+    rejects = rows.filter("planet_number is null").select(F.current_timestamp().alias("timestamp"), F.lit("tce").alias("level"), F.col("_path").alias("path"), "tic_id", F.lit("ValueError").alias("error_type"), F.lit(_NO_NUMBER).alias("message"))
     return Parsed(files, rows.filter("planet_number is not null").drop("_path"), errors, rejects)
 
 
+def parse_errors(texts: DataFrame, *, text_col: str = "value", path_col: str = "path") -> DataFrame:
+    """(timestamp, level, path, error_type, message, tic_id): the file errors and rejects of `parse_reports`, from one pass that reads nothing else of a report."""
+    files = _files(texts, error_schema(), text_col, path_col)
+    entry = lambda level, kind, message, tic_id: F.struct(F.lit(level).alias("level"), kind.alias("error_type"), message.alias("message"), tic_id.alias("tic_id"))
+    of_file = F.array(entry("file", F.col("error_type"), F.col("message"), F.lit(None).cast("long")))
+    of_signals = F.transform(F.filter("r.planetResults", lambda p: _number(p).isNull()), lambda p: entry("tce", F.lit("ValueError"), F.lit(_NO_NUMBER), to_long(F.col("r._ticId"))))
+    each = files.select("path", F.explode(F.when(F.col("error_type").isNotNull(), of_file).otherwise(of_signals)).alias("e"))
+    return each.select(F.current_timestamp().alias("timestamp"), "e.level", "path", "e.error_type", "e.message", "e.tic_id")
+
+
 def write_signals(parsed: Parsed, path: str, errors_path: str, parser_version: str, observed: dict[str, int] | None = None) -> bool:
     """Write signals by sector (replacing only the sectors present) and errors as JSON lines; nothing if there are no rows.
 

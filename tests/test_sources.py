@@ -343,3 +343,27 @@ def test_prologs_of_reports(spark):
     texts = spark.createDataFrame([("a.xml", head + one), ("b.xml", "<!-- " * 20_000), ("c.xml", head + "<other/>"), ("d.xml", "<!-- x -->" * 5000 + one)], "path string, value string")
     parsed = reports.parse_reports(texts)
     assert {r["path"]: r["_root"] for r in parsed.files.select("path", "_root").collect()} == {"a.xml": "dvTargetResults", "b.xml": "", "c.xml": "other", "d.xml": "dvTargetResults"}
+
+
+def test_errors_alone_equal_those_of_all_columns(spark, tmp_path, data):
+    """One parse of one scan, and the same errors as from the whole report."""
+    write(tmp_path)
+    texts = reports.scan_reports(spark, str(tmp_path))
+    parsed, errors = reports.parse_reports(texts), reports.parse_errors(texts)
+    want = parsed.file_errors.unionByName(parsed.rejects, allowMissingColumns=True)
+    key = lambda df: sorted((tuple(r) for r in df.select("level", "path", "error_type", "message", "tic_id").collect()), key=repr)
+    assert key(errors) == key(want) and len(key(want)) == 3
+    from lumisift.plans import registry
+
+    plan = registry.queries()["reject_counts"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") + plan.count("xmltostructs") == 1
+
+
+def test_targets_are_worked_out_once_a_file(spark):
+    """A report's own columns are found below the generator of its signals."""
+    text = '<dvTargetResults ticId="1" sectorsObserved="11"><tessMag value="2.5" value2="x"><a>b</a></tessMag><planetResults planetNumber="1"><planetCandidate suspectedEclipsingBinary="True"/></planetResults><planetResults planetNumber="2"/></dvTargetResults>'
+    signals = reports.parse_reports(spark.createDataFrame([("a.xml", text)], "path string, value string")).signals
+    plan = signals._jdf.queryExecution().optimizedPlan().toString()
+    assert "_sectorsObserved" not in plan[: plan.index("Generate explode(_signals")]
+    rows = signals.orderBy("planet_number").collect()
+    assert [(r["tess_mag"], r["sectors_observed"], r["suspected_eclipsing_binary"], r["radius"]) for r in rows] == [(2.5, [1, 2], True, None), (2.5, [1, 2], None, None)]
