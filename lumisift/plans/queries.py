@@ -460,6 +460,12 @@ def sample_sink(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"tmag_max": F.lit(float(held["stellar_cuts"]["tmag_max"])), "log_g_min": F.lit(float(held["stellar_cuts"]["log_g_min"]))})
 
 
+def _a_file_a_row(lines: DataFrame, folder: str) -> None:
+    """Every line as a file of its own, in one folder: a folder for each would have to be listed for each."""
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartition(parts, "value").write.option("maxRecordsPerFile", 1).text(folder)
+
+
 def report_files(spark: SparkSession, d: str) -> DataFrame:
     """Report files scanned from a folder tree, parsed, and written by sector beside their errors: counts of the run and of what is read back."""
     folder = scratch_path(spark, "reports")
@@ -468,7 +474,7 @@ def report_files(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(planet(1, 5), planet("x", 6), F.when(F.col("tic_id") % 3 == 0, planet(2, 7)).otherwise(""))
     end = F.when(F.col("tic_id") % 7 == 0, "").otherwise("</dvTargetResults>")
     text = F.when(F.col("tic_id") % 11 == 0, "<other/>").otherwise(F.concat(F.lit("<!-- <a> --><dvTargetResults ticId=\""), F.col("tic_id").cast("string"), F.lit('">'), body, end))
-    suppliers.select("tic_id", text.alias("value")).repartition("tic_id").write.partitionBy("tic_id").text(folder)
+    _a_file_a_row(suppliers.select(text.alias("value")), folder)
     counts: dict[str, int] = {}
     parsed = reports.parse_reports(reports.scan_reports(spark, folder, "*.txt"))
     reports.write_signals(parsed, f"{folder}-signals", f"{folder}-errors", "v1", counts)
@@ -508,9 +514,9 @@ def skipped_files(spark: SparkSession, d: str) -> DataFrame:
     orders = proxy.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     orders.write.parquet(f"{folder}/whole")
     orders.limit(0).write.parquet(f"{folder}/empty")
-    proxy.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("no table, only text "), "s_name").alias("value")).repartition("k").write.partitionBy("k").text(f"{folder}/broken")
+    _a_file_a_row(proxy.table(spark, d, "supplier").select(F.concat(F.lit("no table, only text "), "s_name").alias("value")), f"{folder}/broken")
     schema = "o_orderkey long, o_totalprice double"
-    paths = [f"{folder}/whole", f"{folder}/empty", f"{folder}/broken/*/*.txt", f"{folder}/missing"]
+    paths = [f"{folder}/whole", f"{folder}/empty", f"{folder}/broken", f"{folder}/missing"]
     rows = tables.read_tolerant(spark, paths, schema).agg(F.lit("rows").alias("what"), F.count(F.lit(1)).alias("n"), _cents("o_totalprice").alias("total"))
     skipped = tables.skipped_files(spark, paths, schema).groupBy(F.col("reason").alias("what")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("total"))
     return rows.unionByName(skipped)

@@ -50,9 +50,9 @@ def skipped_files(spark: SparkSession, paths: list[str], schema: StructType | st
     Files are listed without their content, and tasks attempt a read of each: of its footer alone, which says
     how many rows there are, or with deep=True of all columns of the schema. Files that give no row are opened
     on their own, if they hold at most probe_bytes, to tell an empty table, which is not skipped, from a broken
-    file. With deep=True a file whose columns give fewer rows than its footer says, because a page is broken
+    file: a folder's at once where none of its files gives a row. With deep=True a file whose columns give fewer rows than its footer says, because a page is broken
     or a type doesn't fit, is named too. Files of no bytes are not listed by Spark, and not named. The driver sees
-    the names of files without rows.
+    the folders of files without rows, and their names where others of the folder have rows.
     """
     missing = _missing(spark, paths)
     gone = spark.createDataFrame([(p, None, "missing") for p in missing], "path string, length long, reason string")
@@ -63,13 +63,20 @@ def skipped_files(spark: SparkSession, paths: list[str], schema: StructType | st
     rows = spark.read.schema(schema).options(**_TOLERANT).parquet(*paths)
     listed = spark.read.format("binaryFile").load(paths).select("path", "length", at)
     out = listed.join(rows.select(at).groupBy("at").agg(F.count(F.lit(1)).alias("rows")), "at", "left")
-    silent = [r["path"] for r in out.filter("rows is null").select("path").collect()]
-    named = gone
-    if silent:
-        small = spark.read.format("binaryFile").load(silent).filter(F.col("length") <= probe_bytes).select("path", "length", "content")
-        opened = small.mapInPandas(_opened, "path string, length long, reason string").filter("reason is not null")
-        large = spark.read.format("binaryFile").load(silent).filter(F.col("length") > probe_bytes).select("path", "length", F.lit("no rows, too long to open").alias("reason"))
-        named = opened.unionByName(large).unionByName(gone)
+    short = F.col("length") <= probe_bytes
+    silent = out.filter("rows is null")
+    named = gone.unionByName(silent.filter(~short).select("path", "length", F.lit("no rows, too long to open").alias("reason")))
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    folders = out.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rows").isNull() & short).alias("n_silent")).filter("n_silent > 0").collect()
+    # A folder of silent files alone is listed as one; else each file named is listed by a task of its own.
+    opened_at = [r["folder"] for r in folders if r["n"] == r["n_silent"]]
+    mixed = [r["folder"] for r in folders if r["n"] > r["n_silent"]]
+    if mixed:
+        opened_at += [r["path"] for r in silent.filter(short & folder.isin(mixed)).select("path").collect()]
+    if opened_at:
+        files = spark.read.format("binaryFile").load(opened_at, recursiveFileLookup=True).filter(short).select("path", "length", "content")
+        opened = files.join(silent.select("path"), "path", "left_semi").mapInPandas(_opened, "path string, length long, reason string").filter("reason is not null")
+        named = named.unionByName(opened)
     if deep:
         # A digest of every column that the count depends on, so that none is pruned from the attempt.
         digest = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).alias("digest")

@@ -367,3 +367,22 @@ def test_targets_are_worked_out_once_a_file(spark):
     assert "_sectorsObserved" not in plan[: plan.index("Generate explode(_signals")]
     rows = signals.orderBy("planet_number").collect()
     assert [(r["tess_mag"], r["sectors_observed"], r["suspected_eclipsing_binary"], r["radius"]) for r in rows] == [(2.5, [1, 2], True, None), (2.5, [1, 2], None, None)]
+
+
+def test_folders_of_broken_files_are_listed_as_one(spark, tmp_path, monkeypatch):
+    """The files of a folder without a readable one are not handed over by name; in a mixed folder they are, and a folder below is left out."""
+    from pyspark.sql import DataFrameReader
+
+    from lumisift.sources import tables
+
+    spark.range(5).selectExpr("id AS a").coalesce(1).write.parquet(str(tmp_path / "mixed"))
+    spark.range(5).selectExpr("id AS a").coalesce(1).write.parquet(str(tmp_path / "bad/below"))
+    for i in range(40):
+        (tmp_path / f"bad/{i}.txt").write_text("x")
+    (tmp_path / "mixed/x.txt").write_text("x")
+    asked = []
+    load = DataFrameReader.load
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, path=None, *a, **b: asked.append(path) or load(self, path, *a, **b))
+    named = tables.skipped_files(spark, [str(tmp_path / "mixed"), str(tmp_path / "bad") + "/*.txt"], "a long").collect()
+    assert {r["reason"] for r in named} == {"not a Parquet file"} and len({r["path"] for r in named}) == len(named) == 41
+    assert max(len(p) for p in asked) == 2 and len(asked) == 2
