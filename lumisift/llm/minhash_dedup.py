@@ -104,15 +104,16 @@ def signatures(docs: DataFrame, settings: MinHashSettings, key_col: str = "doc_i
         for batch in W.small_batches(batches, "_text"):
             shingles, counts = shingle_sets(W.as_bytes(batch.column("_text")), settings.shingle)
             claimed = super_minhash(shingles, counts, settings.places)
+            places = (W.mix(claimed) >> W.U(56)).astype(np.uint8)
+            # From the bytes that are compared later: bands equal by these must be keys at which nodes meet.
             keys = np.tile(np.arange(settings.bands, dtype=np.uint64), (len(counts), 1))
             for j in range(settings.rows):
-                keys = W.mix(keys + claimed[:, j :: settings.rows])
+                keys = W.mix(keys + places[:, j :: settings.rows].astype(np.uint64))
             halves, some = np.zeros((2, len(counts)), np.uint64), np.flatnonzero(counts)
             if len(some):
                 begin = W.doc_starts(counts)[:-1][some]
                 for half, salt in zip(halves, (0, 0xA24BAED4963EE407), strict=True):
                     half[some] = np.add.reduceat(W.mix(shingles ^ W.U(salt)), begin)
-            places = (W.mix(claimed) >> W.U(56)).astype(np.uint8)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * settings.bands), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column("_digest"), *[pa.array(h.view(np.int64)) for h in halves], pa.array(counts.astype(np.int64)), lists, pa.array([p.tobytes() for p in places], pa.binary())],
@@ -222,13 +223,16 @@ def similar_groups(classes: DataFrame, docs: DataFrame, settings: MinHashSetting
     asked = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = materialize(full_sets(classes.select("node", "id", "digest").join(asked, "node"), docs, settings, text_col=text_col), "minhash-sets")
     true = materialize(confirmed(links, sets, settings), "minhash-confirmed")
-    # What forests left out: candidates always have a proposed link at both ends, so their sets are there.
+    # What forests left out: candidates have a proposed link at both ends, but for those that meet in two later tiles of a key.
     labels = smallest_reachable(true)
-    labelled = materialize(facts.join(asked, "node").join(labels, "node", "left").select("node", "n", "places", F.coalesce("label", "node").alias("label")), "minhash-labels")
+    seen = asked.unionByName(held.filter("tiles > 2").select("node")).distinct()
+    labelled = materialize(facts.join(seen, "node").join(labels, "node", "left").select("node", "n", "places", F.coalesce("label", "node").alias("label")), "minhash-labels")
     mixed = held.join(labelled, "node")
     left = materialize(open_nodes(several_labels(mixed), settings), "minhash-open")
     if left.isEmpty():
         return labels
+    new = left.select("node").distinct().join(sets.select("node"), "node", "left_anti")
+    sets = sets.unionByName(materialize(full_sets(classes.select("node", "id", "digest").join(new, "node"), docs, settings, text_col=text_col), "minhash-sets"))
     dealt = set_tiles(left, labelled.select("node", "n"), SET_TILE, SET_VALUES)
     again = dealt.join(held.drop("tiles"), ["k", "node"]).join(labelled, "node").join(sets, "node")
     return joined_further(labels, materialize(confirmed_in_tiles(again, settings), "minhash-confirmed"))

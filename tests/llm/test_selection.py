@@ -324,3 +324,32 @@ def test_minhash_empty_and_wordless(spark, no_docs):
     rows = [(1, None), (2, ""), (3, " \n"), (None, None)]
     got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(map(tuple, got)) == Counter([(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (None, 0, None, False)])
+
+
+def test_pairs_meet_at_the_first_band_that_their_places_share(spark):
+    """A pair is compared at its first equal band only, so bands of equal bytes must have one key."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(1500):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(base), " ".join([*base[:55], *(f"z{rng.randrange(10**6)}" for _ in range(5))])]
+    settings = minhash_dedup.MinHashSettings()
+    marks = sorted(minhash_dedup.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), settings).collect(), key=lambda r: r["doc_id"])
+    places = np.frombuffer(b"".join(r["places"] for r in marks), np.uint8).reshape(len(marks), settings.bands, settings.rows)
+    keys = np.array([r["keys"] for r in marks])
+    equal = (places[::2] == places[1::2]).all(axis=2)
+    assert equal.any(axis=1).all() and (keys[::2] == keys[1::2])[equal].all()
+
+
+def test_pairs_of_later_tiles_are_met(spark, monkeypatch):
+    """One band of one place: unlike nodes share keys, and tiles of one node are many."""
+    monkeypatch.setattr(minhash_dedup, "TILE", 1)
+    monkeypatch.setattr(minhash_dedup, "SET_TILE", 1)
+    settings = minhash_dedup.MinHashSettings(bands=1, rows=1, least_places=0)
+    texts = near_texts(12, groups=150, copies=2, words=(20, 40))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = {r["doc_id"]: r["keys"][0] for r in minhash_dedup.signatures(df, settings).collect()}
+    sets = [plain_sets(t) for t in texts]
+    similar = [(i, j) for i, a in enumerate(sets) for j in range(i) if key[i] == key[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j])]
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(df, settings).collect()}
+    assert len(similar) > 20 and [(i, j) for i, j in similar if got[i] != got[j]] == []
