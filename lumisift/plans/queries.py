@@ -435,11 +435,13 @@ def machine_readable(spark: SparkSession, d: str) -> DataFrame:
     orders = proxy.table(spark, d, "orders")
     path = scratch_path(spark, "mrt")
     line = F.concat(F.lpad(F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderkey").cast("string")).otherwise(F.lit("-")), 9, " "), F.lit(" "), F.lpad((F.col("o_custkey") / 4).cast("string"), 10, " "), F.lit(" "), F.substring("o_orderstatus", 1, 1))
-    # A file per status, its head before its rows; a rule-like line among the rows.
-    rows = orders.select("o_orderstatus", F.lit(1).alias("turn"), F.when(F.col("o_orderkey") % 1000 == 0, F.lit("-" * 40)).otherwise(line).alias("value"))
-    heads = orders.select("o_orderstatus").distinct().select("o_orderstatus", F.lit(0).alias("turn"), F.lit("\n".join(_MRT_HEAD)).alias("value"))
-    rows.union(heads).repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "turn").select("o_orderstatus", "value").write.partitionBy("o_orderstatus").text(path)
-    return cat.read_mrt(spark, f"{path}/*/*.txt").select(F.col("ticId").alias("tic_id"), "Per", "Flag")
+    # Files of a status, each with its head before its rows; as many as keep a task's share from growing. A rule-like line among the rows.
+    n = proxy.partitions(orders.count())
+    file = F.pmod(F.hash("o_orderkey"), F.lit(n)).alias("file")
+    rows = orders.select("o_orderstatus", file, F.lit(1).alias("turn"), F.when(F.col("o_orderkey") % 1000 == 0, F.lit("-" * 40)).otherwise(line).alias("value"))
+    heads = rows.select("o_orderstatus", "file").distinct().select("o_orderstatus", "file", F.lit(0).alias("turn"), F.lit("\n".join(_MRT_HEAD)).alias("value"))
+    rows.union(heads).repartition(3 * n, "o_orderstatus", "file").sortWithinPartitions("o_orderstatus", "file", "turn").select("o_orderstatus", "file", "value").write.partitionBy("o_orderstatus", "file").text(path)
+    return cat.read_mrt(spark, f"{path}/*/*/*.txt").select(F.col("ticId").alias("tic_id"), "Per", "Flag")
 
 
 def summary_records(spark: SparkSession, d: str) -> DataFrame:

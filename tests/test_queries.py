@@ -38,3 +38,24 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_partitions_follow_the_lines(spark, data, monkeypatch):
+    """Detections are dealt by order in partitions of so many lines, whatever the session's number of shuffle partitions; the wide rows are shuffled by order once."""
+    from lumisift.plans import proxy
+
+    monkeypatch.setattr(proxy, "ROWS_OF_A_TASK", 500)
+    rows = proxy.tce(spark, data)
+    n = -(-spark.read.parquet(f"{data}/lineitem.parquet").count() // 500)
+    assert rows.count() > 500 and n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {n})") >= 1 and plan.count("Exchange hashpartitioning(l_orderkey") == 1
+
+
+def test_files_of_a_status_follow_the_orders(spark, data, same, monkeypatch):
+    from lumisift.plans import proxy
+
+    monkeypatch.setattr(proxy, "ROWS_OF_A_TASK", 200)
+    same(registry.queries()["machine_readable"], ORACLES["machine_readable"])
+    got = registry.queries()["machine_readable"](spark, data)
+    assert len(got.inputFiles()) > 3
