@@ -94,6 +94,11 @@ def partitions(rows: int) -> int:
     return max(1, -(-rows // ROWS_OF_A_TASK))
 
 
+def shuffled(spark: SparkSession, rows: int) -> int:
+    """Partitions of a shuffle: by the rows, but no more than a task writes one after the other without holding its share of the input."""
+    return min(partitions(rows), max(1, int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -101,9 +106,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tce(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders, customers, parts = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "part"))
     # Orders meet customers, and lines their parts, before lines meet orders: wide rows are shuffled by order once, and
-    # numbered where they are. The number of partitions follows the lines (counted from footers), so a task's share does not grow.
+    # numbered where they are. The number of partitions follows the lines (counted from footers) as far as they are written
+    # straight through: with more, the tasks that read hold and sort what they send, and that grows with their splits.
     placed = orders.join(customers, F.expr("o_custkey = c_custkey"))
-    dealt = lines.join(parts, F.expr("l_partkey = p_partkey")).repartition(partitions(lines.count()), "l_orderkey")
+    dealt = lines.join(parts, F.expr("l_partkey = p_partkey")).repartition(shuffled(spark, lines.count()), "l_orderkey")
     joined = dealt.join(placed, F.expr("l_orderkey = o_orderkey"))
     return joined.selectExpr(*[f"{e} AS {n}" for n, e in TCE.items()])
 

@@ -59,3 +59,14 @@ def test_files_of_a_status_follow_the_orders(spark, data, same, monkeypatch):
     same(registry.queries()["machine_readable"], ORACLES["machine_readable"])
     got = registry.queries()["machine_readable"](spark, data)
     assert len(got.inputFiles()) > 3
+
+
+def test_shuffles_of_lines_are_written_straight_through(spark, data, same, monkeypatch):
+    """However many lines there are, lines are dealt in as many partitions as a task writes without holding its rows, and results stay."""
+    from lumisift.plans import proxy
+
+    monkeypatch.setattr(proxy, "ROWS_OF_A_TASK", 10)
+    assert spark.read.parquet(f"{data}/lineitem.parquet").count() > 200 * 10
+    plan = proxy.tce(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 200), REPARTITION_BY_NUM") == 1
+    same(registry.queries()["derived_metrics"], ORACLES["derived_metrics"])
