@@ -59,17 +59,21 @@ def add_matching_period_signals(df: DataFrame, tol_days: float = 0.01, *, period
 HARMONICS = (1.0, 2.0, 0.5, 3.0, 1.0 / 3.0)
 
 
-def flag_period_harmonics(df: DataFrame, tolerance: float = 0.01, targets: tuple[float, ...] = HARMONICS, *, keys: tuple[str, ...] = ("tic_id", "planet_number", "sector"), entity: str = "tic_id", period_col: str = "orbital_period_days") -> DataFrame:
+def flag_period_harmonics(df: DataFrame, tolerance: float = 0.01, targets: tuple[float, ...] = HARMONICS, *, keys: tuple[str, ...] = ("tic_id", "planet_number", "sector"), entity: str = "tic_id", period_col: str = "orbital_period_days", periods: DataFrame | None = None) -> DataFrame:
     """Add period_harmonic_match and n_period_matches: an entity's other rows whose period ratio is within the tolerance of a target.
 
-    Distinct periods of an entity meet through bands of the logarithm as wide as the tolerance, so an
+    Distinct periods of an entity meet through bands of the logarithm a few tolerances wide, so an
     entity with very many rows is spread over its bands, only near ratios are compared, and equal
-    periods are one row with a count. Rows with a missing or non-positive period match nothing.
+    periods are one row with a count. A period is sent to the one or two bands per target that what
+    matches it can lie in. Rows with a missing or non-positive period match nothing. `periods` names a
+    cheaper table of the same entities and periods, such as the one df was joined from.
     """
-    width = -2 * math.log1p(-tolerance)
-    periods = df.filter(F.col(entity).isNotNull() & (F.col(period_col) > 0)).groupBy(F.col(entity).alias("_e"), F.col(period_col).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    # Logarithms of matches lie within half of `near_by` of the target's; the rest is room for rounding.
+    near_by = -2 * math.log1p(-tolerance)
+    width, reach = 4 * near_by, 0.625 * near_by
+    periods = (df if periods is None else periods).filter(F.col(entity).isNotNull() & (F.col(period_col) > 0)).groupBy(F.col(entity).alias("_e"), F.col(period_col).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     right = periods.select(F.col("_e").alias("_f"), F.col("_p").alias("_q"), F.col("_n").alias("_m"), F.floor(F.log("_p") / width).alias("_band"))
-    bands = [F.floor((F.log("_p") - math.log(t)) / width) + step for t in targets for step in (-1, 0, 1)]
+    bands = [F.floor((F.log("_p") - math.log(t) + side) / width) for t in targets for side in (-reach, reach)]
     left = periods.select("_e", "_p", F.explode(F.array_distinct(F.array(*bands))).alias("_b"))
     ratio = F.col("_p") / F.col("_q")
     near = F.lit(False)

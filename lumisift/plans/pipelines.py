@@ -15,6 +15,7 @@ from ..operators.flags import CATALOG_FLAG, DIAGNOSTIC_FLAGS, add_any_flag, add_
 from ..operators.joins import add_catalog_flags, add_filter_catalogs, enrich, merge_predictions
 from ..operators.select import survivor_table
 from ..operators.sets import union_sectors
+from ..operators.windows import flag_period_harmonics
 from ..sources.tables import with_thresholds, write_work_list
 
 
@@ -57,9 +58,13 @@ def build_parent_sample(observed: DataFrame, config: dict[str, Any], stellar: Da
     return apply_cuts(enrich(grouped, stellar, key=entity, marker=marker), config)
 
 
-def filter_chain(df: DataFrame, config: dict[str, Any], catalogs: dict[str, DataFrame | None]) -> DataFrame:
-    """The filter chain with its catalogs: in_<catalog> columns, then failed_* and passes_all_filters by the configuration's switches."""
-    return apply_filters(add_filter_catalogs(df, catalogs), config)
+def filter_chain(df: DataFrame, config: dict[str, Any], catalogs: dict[str, DataFrame | None], *, harmonics: bool = False) -> DataFrame:
+    """The filter chain with its catalogs: in_<catalog> columns, then failed_* and passes_all_filters by the configuration's switches.
+
+    harmonics=True flags period harmonics too, after the catalogs: these join by id, and rows that lie by id already need not be shuffled for them.
+    """
+    out = add_filter_catalogs(df, catalogs)
+    return apply_filters(flag_period_harmonics(out, periods=df) if harmonics else out, config)
 
 
 def score_round_trip(sample: DataFrame, scores: DataFrame, path: str | None = None, **how: Any) -> DataFrame:

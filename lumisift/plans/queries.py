@@ -316,7 +316,7 @@ def _filtered(spark: SparkSession, d: str) -> DataFrame:
     rows = flags.derive_type_flags(metrics(spark, d), TYPES)
     c = proxy.id_catalogs(spark, d)
     catalogs = {"prsa_eb": c["prsa"], "kostov_eb": c["kostov_vetted"], "oddo_dipper": c["oddo"], "unvetted_cpv": c["kostov_unvetted"], "high_ruwe": c["kostov_unvetted"]}
-    return pipelines.filter_chain(windows.flag_period_harmonics(rows), FILTERS, catalogs)
+    return pipelines.filter_chain(rows, FILTERS, catalogs, harmonics=True)
 
 
 def filter_chain(spark: SparkSession, d: str) -> DataFrame:

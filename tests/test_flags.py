@@ -107,6 +107,30 @@ def test_period_harmonics_brute_force(spark):
     assert harmonics(spark, rows) == want
 
 
+def test_period_harmonics_at_the_tolerance(spark):
+    """Ratios on both sides of each edge, wherever the edge falls in a band."""
+    rows = [(e, p) for e in range(300) for b in (1.07**e,) for t in (1.0, 2.0, 3.0) for p in (b, b * t * 0.99000001, b * t * 0.98999999, b * t * 1.00999999, b * t * 1.01000001)]
+    near = lambda r: any(abs(r - t) / t < 0.01 for t in windows.HARMONICS)
+    want = {i: sum(near(p / q) for j in range(i // 15 * 15, i // 15 * 15 + 15) for q in (rows[j][1],) if i != j) for i, (_, p) in enumerate(rows)}
+    assert harmonics(spark, rows) == want
+
+
+def test_period_harmonics_sends_a_period_to_few_bands(spark):
+    """A period goes to one or two bands per target, not to three each."""
+    df = spark.range(0, 2000).selectExpr("id AS tic_id", "CAST(1 AS INT) AS planet_number", "1 AS sector", "pow(1.003D, id) AS orbital_period_days")
+    out = windows.flag_period_harmonics(df)
+    out.collect()
+
+    def rows_of_generates(node):
+        inner = node.executedPlan() if "AdaptiveSparkPlan" in node.nodeName() else node.plan() if "QueryStage" in node.nodeName() else None
+        below = [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]
+        own = [node.metrics().apply("numOutputRows").value()] if node.nodeName() == "Generate" else []
+        return own + [n for b in below for n in rows_of_generates(b)]
+
+    sent = rows_of_generates(out._jdf.queryExecution().executedPlan())
+    assert len(sent) == 1 and 5 * 2000 <= sent[0] < 8 * 2000
+
+
 def test_cuts(spark):
     config = {"stellar_cuts": {"tmag_min": 6, "tmag_max": 14, "log_g_min": 3.5}, "require_valid": ["log_g"], "required_for_clean": ["passed_tmag_cut", "passed_log_g_cut"]}
     df = spark.createDataFrame([(6.0, 3.5), (14.0, 3.4), (14.1, None), (None, 4.0)], "tess_mag double, log_g double")
