@@ -152,7 +152,8 @@ def distribution_stats(df: DataFrame, columns: list[str], approximate: bool = Fa
 
     Medians are exact: a range around the middle is narrowed until it holds at most `most` values, then
     only these meet in a task. Ranges are found while the query is built: one pass, and from there one or two
-    passes for every thousandfold of `most`. approximate=True gives the nearest of 10 * accuracy quantiles, in one lazy pass.
+    passes for every thousandfold of `most`; each computes df anew, so store columns that are dear to compute
+    (`sources.scratch.stored`). approximate=True gives the nearest of 10 * accuracy quantiles, in one lazy pass.
     """
     value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
     if approximate:

@@ -12,7 +12,7 @@ from ..functions import exprs, nulls
 from ..operators import aggs, flags, joins, select, sets, vetting, windows
 from ..sources import catalogs as cat
 from ..sources import reports, tables
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, stored
 from ..streaming import incremental
 from . import pipelines, proxy
 
@@ -150,7 +150,9 @@ def histogram_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def distribution_stats(spark: SparkSession, d: str) -> DataFrame:
-    return aggs.distribution_stats(metrics(spark, d), ["model_chi_square_reduced", "odd_even_depth_sig", "ghost_diagnostic_ratio", "model_fit_snr", "orbital_period_days", "tess_mag"])
+    """Statistics take several passes, so the six columns are joined and computed once."""
+    names = ["model_chi_square_reduced", "odd_even_depth_sig", "ghost_diagnostic_ratio", "model_fit_snr", "orbital_period_days", "tess_mag"]
+    return aggs.distribution_stats(stored(metrics(spark, d).select(*names), "metrics"), names)
 
 
 def cooccurrence(spark: SparkSession, d: str) -> DataFrame:

@@ -70,3 +70,15 @@ def test_shuffles_of_lines_are_written_straight_through(spark, data, same, monke
     plan = proxy.tce(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count(", 200), REPARTITION_BY_NUM") == 1
     same(registry.queries()["derived_metrics"], ORACLES["derived_metrics"])
+
+
+def test_statistics_join_their_rows_once(spark, data, monkeypatch):
+    """The passes over the metrics read stored columns; the tables are read while these are written, and not again."""
+    from lumisift.operators import aggs
+
+    seen = []
+    inner = aggs.median_ranges
+    monkeypatch.setattr(aggs, "median_ranges", lambda df, *a, **k: seen.append(df) or inner(df, *a, **k))
+    got = registry.queries()["distribution_stats"](spark, data)
+    assert len(seen) == 1 and not any("lineitem" in f for f in seen[0].inputFiles()) and not any("lineitem" in f for f in got.inputFiles())
+    assert seen[0].count() == spark.read.parquet(f"{data}/lineitem.parquet").count()
