@@ -46,7 +46,8 @@ def metrics_absent_columns(spark: SparkSession, d: str) -> DataFrame:
 def report_tables(spark: SparkSession, d: str) -> DataFrame:
     """The counts of a whole report in one table: gates, summary, one histogram, statistics, co-occurrence, survivors and their scores."""
     scores = proxy.predictions(proxy.tce(spark, d)).selectExpr("target_id AS tic_id", "tce_plnt_num AS planet_number", "score")
-    out = pipelines.report(_sample(spark, d), scores)
+    # A report reads its sample many times, so the sample is built once.
+    out = pipelines.report(stored(_sample(spark, d), "sample"), scores)
     gates = aggs.long_form(out["gates"], out["gates"].columns)
     bars = out["histogram_tess_mag"].select(F.concat(F.lit("tess_mag "), F.col("bin").cast("string")).alias("metric"), "n")
     known = out["statistics"].select(F.concat(F.lit("values of "), F.col("metric")).alias("metric"), "n")

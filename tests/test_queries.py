@@ -82,3 +82,13 @@ def test_statistics_join_their_rows_once(spark, data, monkeypatch):
     got = registry.queries()["distribution_stats"](spark, data)
     assert len(seen) == 1 and not any("lineitem" in f for f in seen[0].inputFiles()) and not any("lineitem" in f for f in got.inputFiles())
     assert seen[0].count() == spark.read.parquet(f"{data}/lineitem.parquet").count()
+
+
+def test_report_builds_its_sample_once(spark, data, monkeypatch):
+    from lumisift.plans import pipelines
+
+    seen = []
+    inner = pipelines.report
+    monkeypatch.setattr(pipelines, "report", lambda df, scores: seen.append(df) or inner(df, scores))
+    registry.queries()["report_tables"](spark, data)
+    assert len(seen) == 1 and seen[0].inputFiles() and not any("lineitem" in f or "orders" in f for f in seen[0].inputFiles())
