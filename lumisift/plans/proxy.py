@@ -88,6 +88,10 @@ REPORT_SIGNAL = {
 
 #: Rows that a task sorts, joins or writes where a query deals them out itself.
 ROWS_OF_A_TASK = 100_000
+#: Rows that it takes at most, so that its memory has a bound at any size of the input.
+MOST_ROWS_OF_A_TASK = 250_000
+#: Rows of a table above which a join with it deals out both sides here; the planner broadcasts smaller ones.
+ROWS_TO_BROADCAST = 2_000_000
 
 
 def partitions(rows: int) -> int:
@@ -95,21 +99,30 @@ def partitions(rows: int) -> int:
 
 
 def shuffled(spark: SparkSession, rows: int) -> int:
-    """Partitions of a shuffle: by the rows, but no more than a task writes one after the other without holding its share of the input."""
-    return min(partitions(rows), max(1, int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))))
+    """Partitions of a shuffle: by the rows, but no more than a task writes straight through unless one would take more rows than a task may."""
+    straight = max(1, int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200")))
+    return max(min(partitions(rows), straight), -(-rows // MOST_ROWS_OF_A_TASK))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def met(spark: SparkSession, rows: DataFrame, by: str, others: DataFrame, key: str) -> DataFrame:
+    """Rows with the other row each names; where these are too many to broadcast, partitions follow the rows, not the session's number."""
+    if others.count() > ROWS_TO_BROADCAST:
+        rows = rows.repartition(shuffled(spark, rows.count()), by)
+    return rows.join(others, F.expr(f"{by} = {key}"))
+
+
 def tce(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders, customers, parts = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "part"))
     # Orders meet customers, and lines their parts, before lines meet orders: wide rows are shuffled by order once, and
     # numbered where they are. The number of partitions follows the lines (counted from footers) as far as they are written
-    # straight through: with more, the tasks that read hold and sort what they send, and that grows with their splits.
-    placed = orders.join(customers, F.expr("o_custkey = c_custkey"))
-    dealt = lines.join(parts, F.expr("l_partkey = p_partkey")).repartition(shuffled(spark, lines.count()), "l_orderkey")
+    # straight through: with more, the tasks that read hold and sort what they send, a split each. Beyond that a task's rows
+    # have a bound, and so has the split.
+    placed = met(spark, orders, "o_custkey", customers, "c_custkey")
+    dealt = met(spark, lines, "l_partkey", parts, "p_partkey").repartition(shuffled(spark, lines.count()), "l_orderkey")
     joined = dealt.join(placed, F.expr("l_orderkey = o_orderkey"))
     return joined.selectExpr(*[f"{e} AS {n}" for n, e in TCE.items()])
 

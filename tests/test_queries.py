@@ -92,3 +92,29 @@ def test_report_builds_its_sample_once(spark, data, monkeypatch):
     monkeypatch.setattr(pipelines, "report", lambda df, scores: seen.append(df) or inner(df, scores))
     registry.queries()["report_tables"](spark, data)
     assert len(seen) == 1 and seen[0].inputFiles() and not any("lineitem" in f or "orders" in f for f in seen[0].inputFiles())
+
+
+@pytest.mark.parametrize("name", ["score_round_trip", "sample_sink", "survivor_table"])
+def test_rows_of_a_task_have_a_bound(spark, data, same, monkeypatch, name):
+    """Where 200 partitions would give a task more rows than it may take, there are more partitions, and results stay."""
+    from lumisift.plans import proxy
+
+    monkeypatch.setattr(proxy, "ROWS_OF_A_TASK", 10)
+    monkeypatch.setattr(proxy, "MOST_ROWS_OF_A_TASK", 25)
+    n = -(-spark.read.parquet(f"{data}/lineitem.parquet").count() // 25)
+    assert n > 200 and proxy.tce(spark, data)._jdf.queryExecution().executedPlan().toString().count(f", {n}), REPARTITION_BY_NUM") == 1
+    same(registry.queries()[name], ORACLES[name])
+
+
+@pytest.mark.parametrize("name", ["build_sample", "diagnostic_flags", "top_n"])
+def test_joins_with_many_parts_follow_the_lines(spark, data, same, monkeypatch, name):
+    """Lines meet parts, and orders customers, that are too many to broadcast in partitions of so many rows, whatever the session's number."""
+    from lumisift.plans import proxy
+
+    monkeypatch.setattr(proxy, "ROWS_OF_A_TASK", 100)
+    monkeypatch.setattr(proxy, "ROWS_TO_BROADCAST", 10)
+    plan = proxy.tce(spark, data)._jdf.queryExecution().executedPlan().toString()
+    for table, key in (("lineitem", "l_partkey"), ("orders", "o_custkey")):
+        n = -(-spark.read.parquet(f"{data}/{table}.parquet").count() // 100)
+        assert n > int(spark.conf.get("spark.sql.shuffle.partitions")) and len([x for x in plan.splitlines() if f"hashpartitioning({key}" in x and f", {n}), REPARTITION_BY_NUM" in x]) == 1
+    same(registry.queries()[name], ORACLES[name])
