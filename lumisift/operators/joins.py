@@ -69,11 +69,12 @@ def require_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
     return checked.filter(F.when(F.col("_n") > 1, F.raise_error(F.lit(f"{what}: key ({', '.join(keys)}) is not unique")).cast("boolean")).otherwise(F.lit(True))).drop("_n")
 
 
-def merge_predictions(sample: DataFrame, predictions: DataFrame, *, scope_by_run: bool = True, run_col: str | None = None, check: bool = True) -> DataFrame:
+def merge_predictions(sample: DataFrame, predictions: DataFrame, *, scope_by_run: bool = True, run_col: str | None = None, check: bool = True, partitions: int | None = None) -> DataFrame:
     """Left join of external scores on (id, number) and, if scoped, the run; adds median_z_score.
 
     Columns that both sides have stay the sample's. A key that occurs twice on either side raises. The
     sample's run is its sector, or run_col where given; a score's run is read from its uid. Missing runs match nothing.
+    Both sides meet in `partitions` partitions where given, else in the session's number, whatever their rows.
     """
     for c in ("tic_id", "planet_number", *(["sector"] if scope_by_run and run_col is None else [])):
         if c not in sample.columns:
@@ -88,6 +89,8 @@ def merge_predictions(sample: DataFrame, predictions: DataFrame, *, scope_by_run
         keys["_r"] = normalize_run(run_of_uid(F.col("uid")))
         own["_r0"] = F.col(run_col) if run_col else sector_run(F.col("sector"))
     left, right = sample.withColumns(own), predictions.withColumns(keys).select(*keys, *[f"`{c}`" for c in predictions.columns if c not in drop])
+    if partitions:
+        left, right = left.repartition(partitions, *own), right.repartition(partitions, *keys)
     if check:
         left, right = require_unique(left, list(own), "sample"), require_unique(right, list(keys), "predictions")
     on = reduce(Column.__and__, [F.col(a) == F.col(b) for a, b in zip(own, keys, strict=True)])

@@ -108,6 +108,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions that the lines of a folder are dealt in (counted from footers)."""
+    return shuffled(spark, table(spark, sf_dir, "lineitem").count())
+
+
 def met(spark: SparkSession, rows: DataFrame, by: str, others: DataFrame, key: str) -> DataFrame:
     """Rows with the other row each names; where these are too many to broadcast, partitions follow the rows, not the session's number."""
     if others.count() > ROWS_TO_BROADCAST:

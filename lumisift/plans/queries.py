@@ -66,7 +66,7 @@ def score_round_trip(spark: SparkSession, d: str) -> DataFrame:
     proxy.predictions(proxy.tce(spark, d)).select("uid", "target_id", "tce_plnt_num", "score").write.csv(back)
     lines = spark.read.text(back)
     scores = tables.parse_predictions(lines, "uid,target_id,tce_plnt_num,score", "uid string, target_id long, tce_plnt_num int, score double")
-    return pipelines.score_round_trip(flagged(spark, d), scores, f"{out}.csv")
+    return pipelines.score_round_trip(flagged(spark, d), scores, f"{out}.csv", partitions=proxy.dealt(spark, d))
 
 
 def matching_period(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +187,7 @@ def _merged(spark: SparkSession, d: str, scoped: bool) -> DataFrame:
     scores = proxy.predictions(rows)
     if scoped:  # every fifth score belongs to another run and must not match
         scores = scores.withColumn("uid", F.expr("CASE WHEN target_id % 5 = 0 THEN concat(CAST(target_id AS STRING), '-', CAST(tce_plnt_num AS STRING), '-S1-S2') ELSE uid END"))
-    return joins.merge_predictions(rows, scores, scope_by_run=scoped).select(*KEYS, "score", "tce_period", "median_z_score", "uid")
+    return joins.merge_predictions(rows, scores, scope_by_run=scoped, partitions=proxy.dealt(spark, d)).select(*KEYS, "score", "tce_period", "median_z_score", "uid")
 
 
 def merge_predictions_scoped(spark: SparkSession, d: str) -> DataFrame:

@@ -118,3 +118,16 @@ def test_joins_with_many_parts_follow_the_lines(spark, data, same, monkeypatch,
         n = -(-spark.read.parquet(f"{data}/{table}.parquet").count() // 100)
         assert n > int(spark.conf.get("spark.sql.shuffle.partitions")) and len([x for x in plan.splitlines() if f"hashpartitioning({key}" in x and f", {n}), REPARTITION_BY_NUM" in x]) == 1
     same(registry.queries()[name], ORACLES[name])
+
+
+@pytest.mark.parametrize("name", ["score_round_trip", "merge_predictions_scoped", "merge_predictions_unscoped"])
+def test_scores_meet_rows_in_partitions_that_follow_the_lines(spark, data, same, monkeypatch, name):
+    """Both sides of the join with scores are dealt in partitions of so many rows, whatever the session's number."""
+    from lumisift.plans import proxy
+
+    monkeypatch.setattr(proxy, "ROWS_OF_A_TASK", 100)
+    n = -(-spark.read.parquet(f"{data}/lineitem.parquet").count() // 100)
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) < n <= 200
+    plan = registry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.splitlines() if "hashpartitioning(_t" in x and f", {n}), REPARTITION_BY_NUM" in x]) == 2 and not [x for x in plan.splitlines() if "hashpartitioning(_t" in x and f", {n})" not in x]
+    same(registry.queries()[name], ORACLES[name])
