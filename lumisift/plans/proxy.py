@@ -116,7 +116,8 @@ def dealt(spark: SparkSession, sf_dir: str) -> int:
 def met(spark: SparkSession, rows: DataFrame, by: str, others: DataFrame, key: str) -> DataFrame:
     """Rows with the other row each names; where these are too many to broadcast, partitions follow the rows, not the session's number."""
     if others.count() > ROWS_TO_BROADCAST:
-        rows = rows.repartition(shuffled(spark, rows.count()), by)
+        # Of few columns the planner would still broadcast all rows, as it goes by estimated bytes.
+        rows, others = rows.repartition(shuffled(spark, rows.count()), by), others.hint("merge")
     return rows.join(others, F.expr(f"{by} = {key}"))
 
 

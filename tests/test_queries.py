@@ -131,3 +131,13 @@ def test_scores_meet_rows_in_partitions_that_follow_the_lines(spark, data, same,
     plan = registry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert len([x for x in plan.splitlines() if "hashpartitioning(_t" in x and f", {n}), REPARTITION_BY_NUM" in x]) == 2 and not [x for x in plan.splitlines() if "hashpartitioning(_t" in x and f", {n})" not in x]
     same(registry.queries()[name], ORACLES[name])
+
+
+def test_many_parts_are_not_broadcast_for_few_columns(spark, data, same, monkeypatch):
+    """Keys alone are few bytes a row, but too many rows still are no broadcast."""
+    from lumisift.plans import proxy
+
+    monkeypatch.setattr(proxy, "ROWS_TO_BROADCAST", 10)
+    plan = proxy.tce(spark, data).select("tic_id", "orbital_period_days")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin [l_partkey") == 1 and plan.count("SortMergeJoin [o_custkey") == 1
+    same(registry.queries()["build_sample"], ORACLES["build_sample"])
