@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import decode_bitmask
 from ..functions.nulls import over, to_bool, to_double, to_long
+from .elements import Layout, parsed
 
 ROOT = "dvTargetResults"
 #: Model parameters by their names in a report.
@@ -31,112 +31,92 @@ STELLAR = {
 }
 
 
-def _element(attributes: list[str], children: dict[str, T.DataType] | None = None) -> T.ArrayType:
-    """An element as an array: a scalar would keep the last of repeated elements, and the first counts."""
-    fields = [T.StructField(f"_{a}", T.StringType()) for a in attributes]
-    return T.ArrayType(T.StructType(fields + [T.StructField(k, v) for k, v in (children or {}).items()]))
-
-
-def report_schema() -> T.StructType:
-    offset = {"meanSkyOffset": _element(["value", "uncertainty"])}
-    planet = _element(["planetNumber", "toiId", "toiCorrelation", "detrendFilterLength"], {
-        "planetCandidate": _element(
-            ["suspectedEclipsingBinary", "maxSingleEventSigma", "maxMultipleEventSigma", "robustStatistic", "modelChiSquare2", "modelChiSquareDof2", "modelChiSquareGof", "modelChiSquareGofDof"],
-            {"weakSecondary": _element(["mesMad", "robustStatistic"])}),
-        "allTransitsFit": _element(
-            ["fullConvergence", "modelChiSquare", "modelDegreesOfFreedom", "modelFitSnr", "transitModelName"],
-            {"modelParameters": _element([], {"modelParameter": _element(["name", "value", "uncertainty"])})}),
-        "binaryDiscriminationResults": _element([], {"oddEvenTransitDepthComparisonStatistic": _element(["value", "significance"])}),
-        "bootstrapResults": _element(["significance"]),
-        "centroidResults": _element([], {"differenceImageMotionResults": _element([], {"msTicCentroidOffsets": _element([], offset), "msControlCentroidOffsets": _element([], offset)})}),
-        "ghostDiagnosticResults": _element([], {"coreApertureCorrelationStatistic": _element(["value", "significance"]), "haloApertureCorrelationStatistic": _element(["value", "significance"])}),
-        "differenceImageResults": _element(["sector"]),
-    })
-    target = [T.StructField(f"_{a}", T.StringType()) for a in ("ticId", "toiId", "planetCandidateCount", "sectorsObserved", "startCadence", "endCadence", "pipelineTaskId")]
-    target.append(T.StructField("matchedToiId", T.ArrayType(T.StringType())))
-    target += [T.StructField(name, _element(["value", "uncertainty"])) for name in STELLAR]
-    target.append(T.StructField("limbDarkeningModel", _element(["modelName", "coefficient1", "coefficient2", "coefficient3", "coefficient4"])))
-    return T.StructType([*target, T.StructField("planetResults", planet), T.StructField("_corrupt_record", T.StringType())])
-
-
-def error_schema() -> T.StructType:
-    """What errors are told by: the target's id, the signals' numbers and whether a report is well-formed."""
-    planet = T.ArrayType(T.StructType([T.StructField("_planetNumber", T.StringType())]))
-    return T.StructType([T.StructField("_ticId", T.StringType()), T.StructField("planetResults", planet), T.StructField("_corrupt_record", T.StringType())])
-
-
-def first(parent: Column, *path: str) -> Column:
-    """The first element along a path of arrays; null where any is absent."""
-    for name in path:
-        parent = F.try_element_at(parent[name], F.lit(1))
-    return parent
+_MOTION, _GHOST = "centroidResults/differenceImageMotionResults", "ghostDiagnosticResults"
+#: What is read of a report and of each of its signals.
+TARGET = Layout({
+    "": ("ticId", "toiId", "planetCandidateCount", "sectorsObserved", "startCadence", "endCadence", "pipelineTaskId"),
+    **{name: ("value",) for name in STELLAR},
+    "limbDarkeningModel": ("modelName", "coefficient1", "coefficient2", "coefficient3", "coefficient4"),
+}, lists={"matchedToiId": None})
+SIGNAL = Layout({
+    "": ("planetNumber", "toiId", "toiCorrelation", "detrendFilterLength"),
+    "planetCandidate": ("suspectedEclipsingBinary", "maxSingleEventSigma", "maxMultipleEventSigma", "robustStatistic", "modelChiSquare2", "modelChiSquareDof2", "modelChiSquareGof", "modelChiSquareGofDof"),
+    "planetCandidate/weakSecondary": ("mesMad", "robustStatistic"),
+    "allTransitsFit": ("fullConvergence", "modelChiSquare", "modelDegreesOfFreedom", "modelFitSnr", "transitModelName"),
+    "binaryDiscriminationResults/oddEvenTransitDepthComparisonStatistic": ("value", "significance"),
+    "bootstrapResults": ("significance",),
+    f"{_MOTION}/msTicCentroidOffsets/meanSkyOffset": ("value", "uncertainty"),
+    f"{_MOTION}/msControlCentroidOffsets/meanSkyOffset": ("value", "uncertainty"),
+    f"{_GHOST}/coreApertureCorrelationStatistic": ("value", "significance"),
+    f"{_GHOST}/haloApertureCorrelationStatistic": ("value", "significance"),
+}, named=("allTransitsFit/modelParameters", "modelParameter", list(MODEL_PARAMETERS), ("value", "uncertainty")), lists={"differenceImageResults": "sector"})
+#: What errors are told by: the target's id and the signals' numbers.
+TARGET_ID, SIGNAL_NUMBER = Layout({"": ("ticId",)}), Layout({"": ("planetNumber",)})
+
+
+def _text(value: Column) -> Column:
+    """Text without the blanks around it."""
+    return F.btrim(value, F.lit(" \t\r\n"))
 
 
 def target_columns(r: Column, bit_order: str = "right") -> dict[str, Column]:
-    limb = first(r, "limbDarkeningModel")
+    sectors = _text(r["_sectorsObserved"])
     return {
         "tic_id": to_long(r["_ticId"]),
-        "toi_id": r["_toiId"],
+        "toi_id": _text(r["_toiId"]),
         "planet_candidate_count": to_long(r["_planetCandidateCount"]),
-        "sectors_observed_bitmask": r["_sectorsObserved"],
+        "sectors_observed_bitmask": sectors,
         "start_cadence": to_long(r["_startCadence"]),
         "end_cadence": to_long(r["_endCadence"]),
         "pipeline_task_id": to_long(r["_pipelineTaskId"]),
-        "sectors_observed": F.coalesce(decode_bitmask(r["_sectorsObserved"], bit_order), F.array().cast("array<int>")),
-        "matched_toi_ids": F.coalesce(F.filter(r["matchedToiId"], lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>")),
-        **{out: to_double(first(r, name)["_value"]) for name, out in STELLAR.items()},
-        "limb_darkening_model": limb["_modelName"],
-        **{f"limb_darkening_c{i}": to_double(limb[f"_coefficient{i}"]) for i in range(1, 5)},
+        "sectors_observed": F.coalesce(decode_bitmask(sectors, bit_order), F.array().cast("array<int>")),
+        "matched_toi_ids": F.filter(F.transform(r["matchedToiId"], _text), lambda x: x.isNotNull() & (x != "")),
+        **{out: to_double(r[f"{name}_value"]) for name, out in STELLAR.items()},
+        "limb_darkening_model": _text(r["limbDarkeningModel_modelName"]),
+        **{f"limb_darkening_c{i}": to_double(r[f"limbDarkeningModel_coefficient{i}"]) for i in range(1, 5)},
     }
 
 
 def signal_columns(p: Column) -> dict[str, Column]:
-    candidate, fit = first(p, "planetCandidate"), first(p, "allTransitsFit")
-    weak = first(candidate, "weakSecondary")
-    parameters = first(fit, "modelParameters")["modelParameter"]
-
-    def parameter(name: str) -> Column:
-        """The last of a name counts."""
-        return F.try_element_at(F.filter(parameters, lambda x: x["_name"] == name), F.lit(-1))
-
-    named = {out: parameter(name) for name, out in MODEL_PARAMETERS.items()}
-    odd_even = first(p, "binaryDiscriminationResults", "oddEvenTransitDepthComparisonStatistic")
-    motion = first(p, "centroidResults", "differenceImageMotionResults")
-    sky = {out: first(motion, name, "meanSkyOffset") for name, out in (("msTicCentroidOffsets", "ms_tic_centroid_offset_sigma"), ("msControlCentroidOffsets", "ms_control_centroid_offset_sigma"))}
-    core, halo = first(p, "ghostDiagnosticResults", "coreApertureCorrelationStatistic"), first(p, "ghostDiagnosticResults", "haloApertureCorrelationStatistic")
-    images = p["differenceImageResults"]
+    number = lambda path, name: to_double(p[f"{path}_{name}"])
+    candidate, weak, fit = "planetCandidate", "planetCandidate/weakSecondary", "allTransitsFit"
+    odd_even = "binaryDiscriminationResults/oddEvenTransitDepthComparisonStatistic"
+    sky = {out: f"{_MOTION}/{name}/meanSkyOffset" for name, out in (("msTicCentroidOffsets", "ms_tic_centroid_offset_sigma"), ("msControlCentroidOffsets", "ms_control_centroid_offset_sigma"))}
+    core, halo = f"{_GHOST}/coreApertureCorrelationStatistic", f"{_GHOST}/haloApertureCorrelationStatistic"
+    # A higher-order function keeps these columns out of whole-stage code, where all of them make one method that is too long for the JVM to compile.
+    images = F.filter(p["differenceImageResults"], lambda x: F.lit(True))
     return {
         "planet_number": _number(p),
-        "tce_toi_id": p["_toiId"],
+        "tce_toi_id": _text(p["_toiId"]),
         "toi_correlation": to_double(p["_toiCorrelation"]),
         "detrend_filter_length": to_long(p["_detrendFilterLength"]),
-        "suspected_eclipsing_binary": to_bool(candidate["_suspectedEclipsingBinary"]),
-        "max_single_event_sigma": to_double(candidate["_maxSingleEventSigma"]),
-        "max_multiple_event_sigma": to_double(candidate["_maxMultipleEventSigma"]),
-        "robust_statistic": to_double(candidate["_robustStatistic"]),
-        "model_chi_square_2": to_double(candidate["_modelChiSquare2"]),
-        "model_chi_square_dof_2": to_double(candidate["_modelChiSquareDof2"]),
-        "model_chi_square_gof": to_double(candidate["_modelChiSquareGof"]),
-        "model_chi_square_gof_dof": to_double(candidate["_modelChiSquareGofDof"]),
-        "weak_secondary_mes_mad": to_double(weak["_mesMad"]),
-        "weak_secondary_robust_statistic": to_double(weak["_robustStatistic"]),
-        "full_convergence": to_bool(fit["_fullConvergence"]),
-        "model_chi_square": to_double(fit["_modelChiSquare"]),
-        "model_degrees_of_freedom": to_double(fit["_modelDegreesOfFreedom"]),
-        "model_fit_snr": to_double(fit["_modelFitSnr"]),
-        "transit_model_name": fit["_transitModelName"],
-        **{k: to_double(v["_value"]) for k, v in named.items()},
-        **{f"{k}_err": to_double(v["_uncertainty"]) for k, v in named.items()},
-        "odd_even_depth_statistic": to_double(odd_even["_value"]),
-        "odd_even_depth_significance": to_double(odd_even["_significance"]),
-        "bootstrap_significance": to_double(first(p, "bootstrapResults")["_significance"]),
-        **{out: over(to_double(x["_value"]), to_double(x["_uncertainty"])) for out, x in sky.items()},
-        "ghost_core_correlation": to_double(core["_value"]),
-        "ghost_core_correlation_significance": to_double(core["_significance"]),
-        "ghost_halo_correlation": to_double(halo["_value"]),
-        "ghost_halo_correlation_significance": to_double(halo["_significance"]),
-        "sector": to_long(F.try_element_at(images, F.lit(-1))["_sector"]).cast("int"),
-        "n_difference_images": F.coalesce(F.size(images), F.lit(0)),
+        "suspected_eclipsing_binary": to_bool(_text(p[f"{candidate}_suspectedEclipsingBinary"])),
+        "max_single_event_sigma": number(candidate, "maxSingleEventSigma"),
+        "max_multiple_event_sigma": number(candidate, "maxMultipleEventSigma"),
+        "robust_statistic": number(candidate, "robustStatistic"),
+        "model_chi_square_2": number(candidate, "modelChiSquare2"),
+        "model_chi_square_dof_2": number(candidate, "modelChiSquareDof2"),
+        "model_chi_square_gof": number(candidate, "modelChiSquareGof"),
+        "model_chi_square_gof_dof": number(candidate, "modelChiSquareGofDof"),
+        "weak_secondary_mes_mad": number(weak, "mesMad"),
+        "weak_secondary_robust_statistic": number(weak, "robustStatistic"),
+        "full_convergence": to_bool(_text(p[f"{fit}_fullConvergence"])),
+        "model_chi_square": number(fit, "modelChiSquare"),
+        "model_degrees_of_freedom": number(fit, "modelDegreesOfFreedom"),
+        "model_fit_snr": number(fit, "modelFitSnr"),
+        "transit_model_name": _text(p[f"{fit}_transitModelName"]),
+        **{out: number(name, "value") for name, out in MODEL_PARAMETERS.items()},
+        **{f"{out}_err": number(name, "uncertainty") for name, out in MODEL_PARAMETERS.items()},
+        "odd_even_depth_statistic": number(odd_even, "value"),
+        "odd_even_depth_significance": number(odd_even, "significance"),
+        "bootstrap_significance": number("bootstrapResults", "significance"),
+        **{out: over(number(path, "value"), number(path, "uncertainty")) for out, path in sky.items()},
+        "ghost_core_correlation": number(core, "value"),
+        "ghost_core_correlation_significance": number(core, "significance"),
+        "ghost_halo_correlation": number(halo, "value"),
+        "ghost_halo_correlation_significance": number(halo, "significance"),
+        "sector": to_long(F.try_element_at(images, F.lit(-1))).cast("int"),
+        "n_difference_images": F.size(images),
     }
 
 
@@ -166,14 +146,12 @@ def scan_reports(spark: SparkSession, folder: str, pattern: str = "*.xml") -> Da
     return spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def _files(texts: DataFrame, schema: T.StructType, text_col: str, path_col: str) -> DataFrame:
-    """(path, _root, r, error_type, message): each text parsed under a schema. Malformed text is marked by the XML reader; another root gives an all-null row without a mark, so the first tag is tested as well."""
-    options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    root = F.regexp_extract(F.col(text_col), _ROOT_NAME, 1)
-    error = F.when(F.col("_root") != ROOT, F.when(F.col("r._corrupt_record").isNotNull() | (F.col("_root") == ""), "ParseError").otherwise("ValueError")).when(F.col("r._corrupt_record").isNotNull() | F.col("r").isNull(), "ParseError")
+def _files(texts: DataFrame, target: Layout, signal: Layout, text_col: str, path_col: str) -> DataFrame:
+    """(path, _root, r, error_type, message): each text parsed by its layouts. `r` is null where a text isn't well-formed; that its root is a report's is told by the first tag."""
+    named = texts.select(F.col(path_col).alias("path"), F.regexp_extract(text_col, _ROOT_NAME, 1).alias("_root"), F.col(text_col).alias("value"))
+    error = F.when(F.col("r").isNull() | (F.col("_root") == ""), "ParseError").when(F.col("_root") != ROOT, "ValueError")
     message = F.when(F.col("error_type") == "ValueError", F.concat(F.lit("unexpected root element "), F.col("_root"))).when(F.col("error_type").isNotNull(), "not well-formed")
-    # Exploded from an array of one: filters on the result can't move below a generator and parse again.
-    files = texts.select(F.col(path_col).alias("path"), root.alias("_root"), F.explode(F.array(F.from_xml(F.coalesce(text_col, F.lit("")), schema, options))).alias("r"))
+    files = parsed(named, "value", target, "planetResults", signal)
     return files.withColumn("error_type", error).withColumn("message", message)
 
 
@@ -189,7 +167,7 @@ def parse_reports(texts: DataFrame, *, text_col: str = "value", path_col: str =
 
     A report without signals gives no rows. Where errors alone are asked for, `parse_errors` is cheaper.
     """
-    files = _files(texts, report_schema(), text_col, path_col)
+    files = _files(texts, TARGET, SIGNAL, text_col, path_col)
     errors = files.filter("error_type is not null").select(F.current_timestamp().alias("timestamp"), F.lit("file").alias("level"), "path", "error_type", "message")
     # What holds for the target is worked out once a file, in a step below the generator of its signals.
     target, signal = target_columns(F.col("r"), bit_order), signal_columns(F.col("p"))
@@ -201,7 +179,7 @@ def parse_reports(texts: DataFrame, *, text_col: str = "value", path_col: str =
 
 def parse_errors(texts: DataFrame, *, text_col: str = "value", path_col: str = "path") -> DataFrame:
     """(timestamp, level, path, error_type, message, tic_id): the file errors and rejects of `parse_reports`, from one pass that reads nothing else of a report."""
-    files = _files(texts, error_schema(), text_col, path_col)
+    files = _files(texts, TARGET_ID, SIGNAL_NUMBER, text_col, path_col)
     entry = lambda level, kind, message, tic_id: F.struct(F.lit(level).alias("level"), kind.alias("error_type"), message.alias("message"), tic_id.alias("tic_id"))
     of_file = F.array(entry("file", F.col("error_type"), F.col("message"), F.lit(None).cast("long")))
     of_signals = F.transform(F.filter("r.planetResults", lambda p: _number(p).isNull()), lambda p: entry("tce", F.lit("ValueError"), F.lit(_NO_NUMBER), to_long(F.col("r._ticId"))))

@@ -386,3 +386,45 @@ def test_folders_of_broken_files_are_listed_as_one(spark, tmp_path, monkeypatch)
     named = tables.skipped_files(spark, [str(tmp_path / "mixed"), str(tmp_path / "bad") + "/*.txt"], "a long").collect()
     assert {r["reason"] for r in named} == {"not a Parquet file"} and len({r["path"] for r in named}) == len(named) == 41
     assert max(len(p) for p in asked) == 2 and len(asked) == 2
+
+
+def test_texts_of_one_structure_are_read_as_if_each_were_parsed():
+    """Values found by their places equal those of a whole parse, also where a value, a quote, a comment or a cut stands in the way."""
+    from lumisift.sources import elements
+
+    plain = REPORT.format(tic=11, planets=PLANET.format(n=1) + PLANET.format(n=2)).replace("<!-- a <comment> -->", "")
+    odd = [("11", "12"), ('value="6"', 'value=""'), ('value="6"', 'value="6&lt;"'), ('value="6"', 'value="6<"'), ('value="6"', 'value="6>"'), ('value="6"', 'value=" 6\n"'), ('value="6"', 'value="\x01"'), ('value="6"', 'value="é"'), ('value="6"', "value='6'"),
+           ('value="6"', 'value=\'"6"\''), ('value="6"', 'value="6" value="7"'), ('value="6"', 'value="<dv:planetResults "'), ('value="6"', 'dv:value="6"'), ('name="unknown"', 'name="transitDepthPpm"'), ('name="unknown" value="8"', 'value="8" name="transitDepthPpm"'),
+           ('name="unknown"', 'name = "transitDepthPpm"'), ('name="unknown"', 'name="it\'s"'), ("100.01", '"100.01"'), ("100.01", "1<!-- c -->2"), ("100.01", "<![CDATA[a\"b\"]]>"), ("100.01", 'x name="y"'), ("100.01", ""), (' planetNumber="1"', ""), ("</dv:planetResults>\n", '</dv:planetResults>"]]>"\n'),
+           ("</dv:dvTargetResults>", ""), ("</dv:dvTargetResults>", '<dv:tessMag value="1"/><dv:radius value="2"/></dv:dvTargetResults>'), ("</dv:dvTargetResults>", "</dv:dvTargetResults><a/>"), ("</dv:dvTargetResults>", '</dv:dvTargetResults>"x'), ("</dv:planetResults>\n", '</dv:planetResults>"x\n'), ("</dv:dvTargetResults>", '</dv:dvTargetResults><!-- "--" -->'), ("dv:", ""), ("dv:planetResults", "planetResults"),
+           ("<dv:planetResults", "<!-- <dv:planetResults"), ("<dv:planetResults", "<a><dv:planetResults"), ('<?xml version="1.0"?>', ""), ('<?xml version="1.0"?>', "\n"), ('<?xml version="1.0"?>', "<?xml version=1.0?>"), ('<?xml version="1.0"?>', '<?xml version="1.0"?><!DOCTYPE a>')]
+    texts = [plain, plain, *(x for a, b in odd for x in (plain.replace(a, b), plain.replace(a, b, 1)) if x != plain), "", "<", '"', "<a", '<a b="', '<a b="c"/>', "<planetResults planetNumber='1'/>"]
+    quick, whole = (elements.Reader(reports.TARGET, "planetResults", reports.SIGNAL) for _ in range(2))
+    whole._by_shape = lambda raw: None
+    parsed = []
+    quick.names.tree, tree = lambda text: parsed.append(text) or tree(text), quick.names.tree
+    for text in texts * 2:
+        assert quick.read(text.encode()) == whole.read(text.encode()), text
+    assert quick.read(None) == (None, []) and len(quick.read(plain.encode())[1]) == 2
+    parsed.clear()
+    assert quick.read(plain.replace("9.5", "8.25").encode())[1][0][6] == "8.25" and not parsed
+    quick.room = 0
+    assert quick.read(plain.replace("dv:", "x:").encode()) == whole.read(plain.encode()) and len(quick.shapes) == 3
+
+
+def test_texts_behind_a_report_are_an_error(spark):
+    """As for every XML parser, a report with anything but comments behind its root is not well-formed; bytes that are no UTF-8 stop nothing."""
+    one = '<dvTargetResults ticId="1" toiId=" T 1 "><planetResults planetNumber="1"/></dvTargetResults>'
+    texts = spark.createDataFrame([("a.xml", one + "<!-- x -->\n"), ("b.xml", one + "x"), ("c.xml", one + one)], "path string, value string")
+    latin = spark.sql("SELECT 'd.xml' AS path, CAST(concat(CAST('<dvTargetResults ticId=\"2\" toiId=\"' AS BINARY), X'E9', CAST('\"><planetResults planetNumber=\"1\"/></dvTargetResults>' AS BINARY)) AS STRING) AS value")
+    parsed = reports.parse_reports(texts.unionByName(latin))
+    assert {(r["xml_filename"], r["tic_id"], r["toi_id"]) for r in parsed.signals.collect()} == {("a.xml", 1, "T 1"), ("d.xml", 2, "�")}
+    assert {(r["path"], r["error_type"]) for r in parsed.file_errors.collect()} == {("b.xml", "ParseError"), ("c.xml", "ParseError")}
+
+
+def test_columns_of_signals_are_no_one_method(spark):
+    """The columns stand outside of whole-stage code, whose one method for all of them is longer than the JVM compiles."""
+    texts = spark.createDataFrame([("a.xml", "<x/>")], "path string, value string")
+    plan = reports.parse_reports(texts).signals._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode(_signals")]
+    assert plan.count("MapInArrow from_xml") == 1 and "Project [xml_filename" in above and not any("*(" in x for x in above.splitlines() if "Project [xml_filename" in x)
