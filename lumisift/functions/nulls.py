@@ -28,8 +28,7 @@ def present(value: Column) -> Column:
 
 def to_double(text: Column) -> Column:
     """A number from text; empty, unparseable and NaN are null."""
-    value = F.nullif(text, F.lit("")).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
 
 
 def to_long(text: Column) -> Column:
